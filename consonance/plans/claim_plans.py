@@ -1 +1,91 @@
-"""Registered queries (filled in below)."""
+"""Registered queries for the claim graph (FX-BM: claims = ``benchmark`` items, responses =
+``documents``, group = document ``source``, support = verbatim containment)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import claims as H
+from ..sources.tables import table
+from .registry import register
+
+GRP = ["source"]
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    items = table(spark, sf_dir, "benchmark")
+    e = H.containment_edges(items, docs, "item_id", "text", "doc_id", "text")
+    return e.join(docs.select("doc_id", "source"), "doc_id")
+
+
+def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark")
+    occ = _edges(spark, sf_dir).join(items, "item_id").select("source", "doc_id", F.col("item_id").alias("claim_id"), "text")
+    return H.claim_union(occ, GRP, ["doc_id"], "text")
+
+
+def _graph(spark: SparkSession, sf_dir: str):
+    claims = _claims(spark, sf_dir)
+    edges = _edges(spark, sf_dir).select("source", F.col("item_id").alias("claim_id"), F.col("doc_id").alias("response_id"))
+    edges = edges.join(claims.select("source", "claim_id"), ["source", "claim_id"], "left_semi")
+    resp = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("response_id"))
+    return claims, edges, resp
+
+
+@register("h2_support_edges", sql="""
+SELECT d.source, b.item_id, d.doc_id FROM benchmark b JOIN documents d ON instr(d.text, b.text) > 0""")
+def support_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H2 (+C13): claim–response support edges via the exact n-gram index join."""
+    return _edges(spark, sf_dir).select("source", "item_id", "doc_id")
+
+
+SQL_CLAIMS = r"""
+e AS (SELECT d.source, b.item_id, d.doc_id, b.text FROM benchmark b JOIN documents d ON instr(d.text, b.text) > 0),
+f AS (SELECT source, regexp_replace(lower(trim(text)), '\s+', ' ', 'g') AS norm,
+             arg_min(item_id, (doc_id, item_id)) AS claim_id, min(doc_id) AS first_doc FROM e GROUP BY ALL),
+c AS (SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY first_doc, claim_id) - 1 AS INTEGER) AS claim_idx,
+             claim_id FROM f)
+"""
+
+
+@register("h1_claim_union", sql=f"WITH {SQL_CLAIMS} SELECT source, claim_idx, claim_id FROM c")
+def claim_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H1: claims of a group in first-occurrence order, exact-normalised duplicates dropped."""
+    return _claims(spark, sf_dir).select("source", "claim_idx", "claim_id")
+
+
+@register("h3_h4_degrees", sql=f"""WITH {SQL_CLAIMS},
+ke AS (SELECT e.source, e.item_id, e.doc_id FROM e JOIN c ON c.source = e.source AND c.claim_id = e.item_id)
+SELECT c.source, 'claim' AS side, c.claim_id AS node_id,
+       CAST((SELECT count(*) FROM ke WHERE ke.source = c.source AND ke.item_id = c.claim_id) AS BIGINT) AS degree FROM c
+UNION ALL
+SELECT d.source, 'response', d.doc_id,
+       CAST((SELECT count(*) FROM ke WHERE ke.source = d.source AND ke.doc_id = d.doc_id) AS BIGINT) FROM documents d""")
+def degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H3 + H4: bipartite node tables (isolated nodes kept) with degree."""
+    claims, edges, resp = _graph(spark, sf_dir)
+    return H.degrees(edges, claims.select("source", "claim_id"), resp, GRP)
+
+
+def centrality_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    claims, edges, resp = _graph(spark, sf_dir)
+    n = claims.groupBy("source").agg(F.count(F.lit(1)).alias("nc")).join(
+        resp.groupBy("source").agg(F.count(F.lit(1)).alias("nr")), "source").select(
+        "source", (F.col("nc") + F.col("nr")).alias("n_nodes"))
+    return H.graph_centralities(edges, n, GRP)
+
+
+@register("h5_h8_centralities")
+def centralities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H5–H8: betweenness, eigenvector, PageRank and closeness per connected node (+ isolated row)."""
+    return centrality_table(spark, sf_dir)
+
+
+@register("h9_h10_claim_metrics")
+def claim_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H9 + H10: claim-side metric table (degree, betweenness, eigenvector, PageRank, closeness)."""
+    claims, edges, resp = _graph(spark, sf_dir)
+    deg = H.degrees(edges, claims.select("source", "claim_id"), resp, GRP)
+    return H.claim_metrics(deg, centrality_table(spark, sf_dir), GRP)
