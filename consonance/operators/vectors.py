@@ -189,9 +189,15 @@ def _direct(data: DataFrame, group_cols: list[str], out_schema: T.StructType,
     return data.groupBy(*group_cols).applyInPandas(kernel, schema=out_schema)
 
 
-def _gram_path(data: DataFrame, group_cols: list[str], gfields: list[T.StructField],
-               out_schema: T.StructType, jitter: float, alpha: float) -> DataFrame:
-    """Partial Gram per (input partition, group) → native sum → d×d finish per group."""
+def gram_partials(data: DataFrame, group_cols: list[str]) -> DataFrame:
+    """Partial sums per (input partition, group) in long form ``(group…, _cell, _v)``.
+
+    Cells: upper triangles of UᵀU and CᵀC (unit rows U, row-centred raw rows C),
+    then Σu, Σ‖u‖² and the row count. Every cell is additive, so partials of any
+    split of a group – partitions, micro-batches – sum to the group's totals.
+    ``data`` carries the group columns and ``_x`` (array<double>).
+    """
+    gfields = [data.schema[g] for g in group_cols]
     part_schema = T.StructType(list(gfields) + [
         T.StructField("_cell", T.IntegerType()), T.StructField("_v", T.DoubleType())])
 
@@ -201,13 +207,12 @@ def _gram_path(data: DataFrame, group_cols: list[str], gfields: list[T.StructFie
             for key, sub in pdf.groupby(group_cols, sort=False, dropna=False):
                 x = np.stack(sub["_x"].to_numpy()).astype(np.float64)
                 u, c = _unit_and_centred(x)
-                d = x.shape[1]
-                iu = np.triu_indices(d)
+                iu = np.triu_indices(x.shape[1])
                 vals = np.concatenate([(u.T @ u)[iu], (c.T @ c)[iu], u.sum(axis=0),
-                                       [float(np.sum(u * u)), float(len(x)), float(d)]])
+                                       [float(np.sum(u * u)), float(len(x))]])
                 key = key if isinstance(key, tuple) else (key,)
                 if key in acc:
-                    acc[key][:-1] += vals[:-1]
+                    acc[key] += vals
                 else:
                     acc[key] = vals
         for key, vals in acc.items():
@@ -216,15 +221,24 @@ def _gram_path(data: DataFrame, group_cols: list[str], gfields: list[T.StructFie
                 out[g] = kv
             yield out[group_cols + ["_cell", "_v"]]
 
-    partials = data.mapInPandas(partial, schema=part_schema)
-    # The last cell carries d (identical in every partial) – take max, sum the rest.
-    summed = partials.groupBy(*group_cols, "_cell").agg(F.sum("_v").alias("_s"), F.max("_v").alias("_m"))
+    return data.mapInPandas(partial, schema=part_schema)
+
+
+def sum_cells(cells: DataFrame, group_cols: list[str]) -> DataFrame:
+    """Native aggregation of partial cells (map-side partial aggregation applies)."""
+    return cells.groupBy(*group_cols, "_cell").agg(F.sum("_v").alias("_v"))
+
+
+def spectra_from_cells(cells: DataFrame, group_cols: list[str], jitter: float = JITTER,
+                       alpha: float = EIGENSCORE_ALPHA) -> DataFrame:
+    """Finish per group from summed cells: one d×d eigen-problem per Gram (d² rows per group)."""
+    gfields = [cells.schema[g] for g in group_cols]
+    out_schema = _summary_schema(gfields)
     names = [f.name for f in out_schema.fields]
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_cell")
-        vals = pdf["_s"].to_numpy()
-        d = int(pdf["_m"].to_numpy()[-1])
+        vals = pdf.sort_values("_cell")["_v"].to_numpy()
+        d = int(round(np.sqrt(len(vals) - 1))) - 1      # len = d² + 2d + 2
         t = d * (d + 1) // 2
         iu = np.triu_indices(d)
 
@@ -240,7 +254,13 @@ def _gram_path(data: DataFrame, group_cols: list[str], gfields: list[T.StructFie
         row.update(_summary(k, gu, gc, s, tr, jitter, alpha))
         return pd.DataFrame([row], columns=names)
 
-    return summed.groupBy(*group_cols).applyInPandas(finish, schema=out_schema)
+    return cells.groupBy(*group_cols).applyInPandas(finish, schema=out_schema)
+
+
+def _gram_path(data: DataFrame, group_cols: list[str], gfields: list[T.StructField],
+               out_schema: T.StructType, jitter: float, alpha: float) -> DataFrame:
+    """Partial Gram per (input partition, group) → native sum → d×d finish per group."""
+    return spectra_from_cells(sum_cells(gram_partials(data, group_cols), group_cols), group_cols, jitter, alpha)
 
 
 # ---------------------------------------------------------------- F2 (inspection only)
