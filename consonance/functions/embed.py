@@ -24,8 +24,11 @@ def token_bucket(tok: Column, dim: int = DIM) -> Column:
 def hashed_embedding(text: Column, dim: int = DIM) -> Column:
     """array<double> of per-bucket token counts."""
     buckets = F.transform(TX.tokens(text), lambda t: token_bucket(t, dim))
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                       lambda b: F.size(F.filter(buckets, lambda x: x == b)).cast("double"))
+    # The bucket list enters the per-dimension lambda through array_repeat, so it is
+    # computed once per row (an outer column referenced inside a lambda would be
+    # re-evaluated for every dimension after projection collapsing).
+    return F.zip_with(F.sequence(F.lit(0), F.lit(dim - 1)), F.array_repeat(buckets, dim),
+                      lambda b, bs: F.size(F.filter(bs, lambda x: x == b)).cast("double"))
 
 
 def model_embedder(make_predict_fn, dim: int, batch_size: int = 64):

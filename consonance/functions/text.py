@@ -18,7 +18,7 @@ WORDS_TO_TOKENS = 4.0 / 3.0                 # token estimate per word
 
 def tokens(text: Column) -> Column:
     """Lower-cased alphanumeric tokens (non-ASCII letters act as separators)."""
-    return F.filter(F.split(F.lower(text), TOKEN_SPLIT), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(text), TOKEN_SPLIT), "")
 
 
 def token_set(text: Column) -> Column:

@@ -35,7 +35,7 @@ PAGERANK_TOL = 1e-6
 
 
 def _words(col):
-    return F.filter(F.split(col, WORD_SPLIT), lambda x: x != "")
+    return F.array_remove(F.split(col, WORD_SPLIT), "")
 
 
 def containment_edges(claims: DataFrame, responses: DataFrame, claim_key: str, claim_text: str,
@@ -49,9 +49,11 @@ def containment_edges(claims: DataFrame, responses: DataFrame, claim_key: str, c
 
     r = responses.select(F.col(resp_key).alias("_rk"), _words(F.col(resp_text)).alias("_w")).filter(
         F.size("_w") >= NGRAM)
-    grams = r.select("_rk", F.explode(F.transform(
-        F.sequence(F.lit(0), F.size("_w") - NGRAM),
-        lambda k: F.array_join(F.slice("_w", k + 1, NGRAM), SEP))).alias("_g"))
+    # n-grams by zipping the word array with its shifted copies: O(words) per response.
+    # The key is built after the explode, in whole-stage codegen.
+    shifted = F.arrays_zip(*[F.slice("_w", i + 1, F.size("_w")).alias(f"w{i}") for i in range(NGRAM)])
+    grams = (r.select("_rk", F.explode(shifted).alias("e")).filter(F.col(f"e.w{NGRAM - 1}").isNotNull())
+             .select("_rk", F.concat_ws(SEP, *[F.col(f"e.w{i}") for i in range(NGRAM)]).alias("_g")))
     cand = grams.join(keyed, "_g").select("_rk", "_ck").distinct()
 
     texts = responses.select(F.col(resp_key).alias("_rk"), F.col(resp_text).alias("_rt"))

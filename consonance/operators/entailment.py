@@ -239,8 +239,9 @@ def laplacian(edges: DataFrame, items: DataFrame, group_cols: list[str], normali
 
 # ---------------------------------------------------------------- grouped spectral kernels
 
-def _vn_entropy(k: np.ndarray, scale: bool) -> float:
-    """G19 + G20: normalise the kernel, divide by n, −Σ e ln e over |e| > 1e-8, optional ÷ ln n."""
+def _vn_entropy(k: np.ndarray) -> tuple[float, float]:
+    """G19 + G20: normalise the kernel, divide by n, −Σ e ln e over |e| > 1e-8;
+    returns (scaled by ln n, unscaled) from one eigen-decomposition."""
     n = k.shape[0]
     d = np.sqrt(np.diag(k)) + KERNEL_EPS
     kn = k / np.outer(d, d) / n
@@ -248,9 +249,7 @@ def _vn_entropy(k: np.ndarray, scale: bool) -> float:
     ev = ev[np.abs(ev) > EIG_FLOOR]
     with np.errstate(invalid="ignore"):
         h = float(-np.sum(ev * np.log(ev)))
-    if scale:
-        h = h / np.log(n) if n > 1 else float("nan")
-    return h
+    return (h / np.log(n) if n > 1 else float("nan")), h
 
 
 def _laplacians(adj: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -280,8 +279,9 @@ def _kernel_panel(adj: np.ndarray) -> list[tuple[str, float]]:
                 kernels.append((f"{name}_kappa={kappa:.2}_nu={nu:.2}", (v * f) @ v.T))
     out = []
     for name, k in kernels:
-        for scale in (True, False):
-            out.append((f"{name}_kernel_entropy{'_s' if scale else ''}", _vn_entropy(k, scale)))
+        scaled, plain_h = _vn_entropy(k)
+        out.append((f"{name}_kernel_entropy_s", scaled))
+        out.append((f"{name}_kernel_entropy", plain_h))
     return out
 
 

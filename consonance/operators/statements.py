@@ -97,8 +97,8 @@ def parse_label_list(text: Column) -> Column:
 def response_body(text: Column, tag: str = "response") -> Column:
     """struct(body, left_trim, right_trim) of the text between the tags."""
     inner = TX.between_tags(text, tag)
-    lstripped = F.ltrim(inner)
-    body = F.rtrim(lstripped)
+    lstripped = F.regexp_replace(inner, "^\\s+", "")
+    body = F.regexp_replace(lstripped, "\\s+$", "")
     return F.struct(body.alias("body"),
                     F.substring(inner, 1, F.length(inner) - F.length(lstripped)).alias("left_trim"),
                     F.substring(lstripped, F.length(body) + 1, F.length(lstripped)).alias("right_trim"))
@@ -116,7 +116,7 @@ def top_logprob_rounded(top: Column) -> Column:
 
 def parse_claim_list(text: Column, tag: str = "new_claims") -> Column:
     """Lines between the tags, spaces stripped, leading '-' removed."""
-    inner = F.trim(TX.between_tags(text, tag))
+    inner = F.regexp_replace(TX.between_tags(text, tag), "^\\s+|\\s+$", "")
     return F.transform(F.split(inner, "\n"), lambda s: F.regexp_replace(F.trim(s), "^-+", ""))
 
 

@@ -43,19 +43,22 @@ def _judge_prob(stmt: Column, ref_tokens: Column) -> Column:
 def judged_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Responses with the stand-in judge's tagged output and its token trace."""
     r = conv_responses(spark, sf_dir).join(reference_texts(spark, sf_dir), "conv_id", "left")
-    ref_tokens = F.array_distinct(F.coalesce(TX.tokens(F.col("reference")), F.array().cast("array<string>")))
-    stmts = TX.statements(F.col("response"))
-
-    def tagged_one(s):
-        p = _judge_prob(s, ref_tokens)
-        cls = F.when(p >= 0.5, F.lit("1")).otherwise(F.lit("0"))
-        return F.concat(F.lit("<statement>"), s, F.lit("</statement>"),
-                        F.when(F.size(TX.tokens(s)) == 0, F.lit("")).otherwise(
-                            F.concat(F.lit("<class>"), cls, F.lit("</class>"))))
-
-    def trace_one(s):
-        p = _judge_prob(s, ref_tokens)
-        has = F.size(TX.tokens(s)) > 0
+    r = r.select(*RESP, "response",
+                 F.array_distinct(F.coalesce(TX.tokens(F.col("reference")), F.array().cast("array<string>"))).alias("_rt"),
+                 TX.statements(F.col("response")).alias("_ss"))
+    # Per-statement features computed once: the reference tokens enter the lambda via
+    # array_repeat so they are not re-derived for every statement.
+    feats = F.zip_with("_ss", F.array_repeat("_rt", F.size("_ss")), lambda s, rt: F.struct(
+        s.alias("s"), (F.size(TX.tokens(s)) > 0).alias("has"), _judge_prob(s, rt).alias("p")))
+    r = r.select(*RESP, "response", feats.alias("_f"))
+
+    def tagged_one(x):
+        cls = F.when(x["p"] >= 0.5, F.lit("1")).otherwise(F.lit("0"))
+        return F.concat(F.lit("<statement>"), x["s"], F.lit("</statement>"),
+                        F.when(~x["has"], F.lit("")).otherwise(F.concat(F.lit("<class>"), cls, F.lit("</class>"))))
+
+    def trace_one(x):
+        s, p, has = x["s"], x["p"], x["has"]
         cls = F.when(p >= 0.5, F.lit("1")).otherwise(F.lit("0"))
         chosen = F.when(p >= 0.5, p).otherwise(1 - p)
         toks_cls = F.array(F.lit("<statement>"), s, F.lit("</statement>"), F.lit("<class>"), cls,
@@ -65,23 +68,22 @@ def judged_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         lp_cls = F.array(z, z, z, z, F.log(chosen), z, z)
         lp_plain = F.array(z, z, z, z)
         empty = F.create_map().cast("map<string,double>")
-        alts = F.map_from_entries(F.filter(
-            F.array(F.struct(F.lit("1").alias("k"), p.alias("v")), F.struct(F.lit("0").alias("k"), (1 - p).alias("v"))),
-            lambda e: e["v"] > 0))
-        top_alt = F.map_from_entries(F.transform(F.map_entries(alts), lambda e: F.struct(e["key"], F.log(e["value"]))))
+        alts = F.filter(F.array(F.struct(F.lit("1").alias("k"), p.alias("v")),
+                                F.struct(F.lit("0").alias("k"), (1 - p).alias("v"))), lambda e: e["v"] > 0)
+        top_alt = F.map_from_entries(F.transform(alts, lambda e: F.struct(e["k"], F.log(e["v"]))))
         top_cls = F.array(empty, empty, empty, empty, top_alt, empty, empty)
         top_plain = F.array(empty, empty, empty, empty)
         return F.struct(F.when(has, toks_cls).otherwise(toks_plain).alias("t"),
                         F.when(has, lp_cls).otherwise(lp_plain).alias("l"),
                         F.when(has, top_cls).otherwise(top_plain).alias("m"))
 
-    traces = F.transform(stmts, trace_one)
-    return r.select(
-        *RESP, "response",
-        F.array_join(F.transform(stmts, tagged_one), "\n").alias("judge_output"),
-        F.flatten(F.transform(traces, lambda x: x["t"])).alias("tokens"),
-        F.flatten(F.transform(traces, lambda x: x["l"])).alias("logprobs"),
-        F.flatten(F.transform(traces, lambda x: x["m"])).alias("top"),
+    traced = r.select(*RESP, "response", F.array_join(F.transform("_f", tagged_one), "\n").alias("judge_output"),
+                      F.transform("_f", trace_one).alias("_tr"))
+    return traced.select(
+        *RESP, "response", "judge_output",
+        F.flatten(F.transform("_tr", lambda x: x["t"])).alias("tokens"),
+        F.flatten(F.transform("_tr", lambda x: x["l"])).alias("logprobs"),
+        F.flatten(F.transform("_tr", lambda x: x["m"])).alias("top"),
     )
 
 

@@ -171,11 +171,11 @@ WITH b AS (
          '<new_claims>' || chr(10) || array_to_string(list_transform({sql_stmts('text')}, lambda s: ' - ' || s), chr(10)) || chr(10) || '</new_claims>' AS claims_out
   FROM conversations),
 x AS (SELECT *, split_part(split_part(generated, '<response>', 2), '</response>', 1) AS inner_text FROM b)
-SELECT conv_id, response_idx, rtrim(ltrim(inner_text)) AS body,
-       CAST(length(inner_text) - length(ltrim(inner_text)) AS INTEGER) AS left_trim_len,
-       CAST(len(list_transform(string_split(trim(split_part(split_part(claims_out, '<new_claims>', 2), '</new_claims>', 1)), chr(10)),
+SELECT conv_id, response_idx, regexp_replace(inner_text, '^\\s+|\\s+$', '', 'g') AS body,
+       CAST(length(inner_text) - length(regexp_replace(inner_text, '^\\s+', '')) AS INTEGER) AS left_trim_len,
+       CAST(len(list_transform(string_split(regexp_replace(split_part(split_part(claims_out, '<new_claims>', 2), '</new_claims>', 1), '^\\s+|\\s+$', '', 'g'), chr(10)),
             lambda s: regexp_replace(trim(s), '^-+', ''))) AS INTEGER) AS n_claims,
-       list_transform(string_split(trim(split_part(split_part(claims_out, '<new_claims>', 2), '</new_claims>', 1)), chr(10)),
+       list_transform(string_split(regexp_replace(split_part(split_part(claims_out, '<new_claims>', 2), '</new_claims>', 1), '^\\s+|\\s+$', '', 'g'), chr(10)),
             lambda s: regexp_replace(trim(s), '^-+', ''))[1] AS first_claim
 FROM x""")
 def tagged_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:

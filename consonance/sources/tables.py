@@ -7,8 +7,24 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
+# Tables whose rows carry long texts: per-row tokenising/regex work dominates their plans.
+TEXT_TABLES = {"conversations", "documents", "pages"}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy row work at least one partition per core.
+
+    A scan yields one partition per file split; a small file with one row
+    group is a single task. When the scan has fewer partitions than the
+    session's default parallelism the rows are dealt round-robin; on large
+    inputs (thousands of splits) this is a no-op.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
