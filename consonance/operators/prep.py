@@ -237,3 +237,9 @@ def shortfall(expected: DataFrame, existing: DataFrame, key_cols: list[str], n:
     j = expected.join(have, key_cols, "left").fillna({"have": 0}).withColumn(
         "missing", F.greatest(nn - F.col("have"), F.lit(0)))
     return replicate(j, F.col("missing"), "sample_idx")
+
+
+def remap_aliases(df: DataFrame, col: str, aliases: DataFrame, alias_rows: int = 1_000_000) -> DataFrame:
+    """Replace keys found in an alias table ``(alias, canonical)``; others unchanged."""
+    a = broadcast_if_small(aliases.select(F.col("alias").alias("_a"), F.col("canonical").alias("_c")), alias_rows)
+    return df.join(a, F.col(col) == F.col("_a"), "left").withColumn(col, F.coalesce("_c", col)).drop("_a", "_c")

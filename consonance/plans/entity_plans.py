@@ -321,3 +321,50 @@ def reference_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     ents = p.select(F.regexp_extract("html", "<h1>(.*?)</h1>", 1).alias("title")).distinct()
     m = docs.join(ents, "title", "left_semi")
     return m.groupBy("title").agg(F.max_by("n", "page_id").alias("n_chars"))
+
+
+@register("a9_book_plot_lookup", sql="""
+WITH b AS (SELECT o.o_orderkey, replace(o.o_orderpriority, '''', '') || ' written by ' || replace(c.c_name, '''', '') ||
+                  ' in the year ' || strftime(o.o_orderdate, '%B %-d, %Y') AS entity,
+                  'Order ' || o.o_orderkey || ' of ' || c.c_name AS plot
+           FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey)
+SELECT entity, arg_max(plot, o_orderkey) AS plot FROM b GROUP BY entity""")
+def book_plot_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entity (B7 form) → plot; a repeated entity keeps its last row."""
+    from ..sources import io as IO
+
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    b = o.select("o_orderkey", P.book_entity(F.col("o_orderpriority"), F.col("c_name"), P.long_date(F.col("o_orderdate"))).alias("entity"),
+                 F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"), F.lit(" of "), F.col("c_name")).alias("plot"))
+    return IO.lookup_last(b, ["entity"], "plot", "o_orderkey")
+
+
+@register("b16_alias_remap", sql="""
+SELECT c.c_custkey, coalesce(n.n_name, lower(cn.n_name)) AS entity
+FROM customer c JOIN nation cn ON cn.n_nationkey = c.c_nationkey
+LEFT JOIN nation n ON lower(n.n_name) = lower(cn.n_name) AND n.n_regionkey = 0""")
+def alias_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lower-cased nation names as keys, fixed through an alias table (nations of region 0)."""
+    n = table(spark, sf_dir, "nation")
+    c = table(spark, sf_dir, "customer").join(n, F.col("n_nationkey") == F.col("c_nationkey")).select(
+        "c_custkey", F.lower("n_name").alias("entity"))
+    aliases = n.filter(F.col("n_regionkey") == 0).select(F.lower("n_name").alias("alias"), F.col("n_name").alias("canonical"))
+    return P.remap_aliases(c, "entity", aliases)
+
+
+@register("f9_hashed_embeddings", sql=f"""
+SELECT conv_id, CAST(turn AS INTEGER) AS response_idx, {sql_embedding('text')} AS embedding FROM conversations""")
+def hashed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the default offline embedder over every turn (64 md5 buckets of token counts)."""
+    r = FX.conv_responses(spark, sf_dir)
+    return r.select(*FX.RESP, EM.hashed_embedding(F.col("response")).alias("embedding"))
+
+
+@register("c14_subset_claims")
+def subset_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C14 + B20: the claim (statement) lists of a seeded 3-of-K response subset, joined by key."""
+    r = FX.conv_responses(spark, sf_dir).select("conv_id", "response_idx")
+    keep = P.group_subset(r, ["conv_id"], "response_idx", 3, seed=11)
+    st = FX.conv_statements(spark, sf_dir)
+    return st.join(keep, ["conv_id", "response_idx"], "left_semi").groupBy("conv_id", "response_idx").agg(
+        F.count(F.lit(1)).alias("n_claims"))

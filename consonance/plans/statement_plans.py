@@ -210,3 +210,31 @@ def request_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.groupBy("conv_id").agg(
         F.round(F.sum((F.col("w") * 2 + 40) * ratio), 6).alias("labelling_tokens"),
         F.round(F.sum(((F.col("w") + 40) * ratio + F.col("n_st")) * 3), 6).alias("sampled_scoring_tokens"))
+
+
+@register("d7_d8_logprob_slices", sql=f"""
+WITH x AS (SELECT conv_id, CAST(turn AS INTEGER) AS response_idx, {sql_tokens('text')} AS toks,
+                  len({sql_tokens(f"coalesce(({sql_stmts('text')})[1], '')")}) AS n_p FROM conversations),
+y AS (SELECT *, list_transform(toks, lambda t: -length(t) / 10.0) AS lp,
+             list_transform(toks, lambda t: round(greatest(-length(t) / 10.0, -(length(t) + 1) / 10.0), 8)) AS top_max FROM x)
+SELECT conv_id, response_idx, CAST(len(toks) - n_p AS INTEGER) AS n_body,
+       CAST(len(list_slice(lp, n_p + 1, len(toks))) AS INTEGER) AS n_body_lp,
+       round(coalesce(list_sum(list_slice(lp, n_p + 1, len(toks))), 0), 6) AS body_lp_sum,
+       round(coalesce(list_sum(top_max), 0), 6) AS top_max_sum
+FROM y""")
+def logprob_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D7 (body slice of the logprobs after a prefix, with its length check) and D8 (best
+    alternative per token, rounded to 8 digits); prefix = the turn's first statement."""
+    r = FX.conv_responses(spark, sf_dir)
+    toks = TX.tokens(F.col("response"))
+    first = F.coalesce(F.element_at(TX.statements(F.col("response")), 1), F.lit(""))
+    d = r.select(*FX.RESP, toks.alias("toks"), F.size(TX.tokens(first)).alias("n_p"))
+    d = d.select(*FX.RESP, "toks", "n_p",
+                 F.transform("toks", lambda t: -F.length(t) / 10.0).alias("lp"),
+                 F.transform("toks", lambda t: F.create_map(t, -F.length(t) / 10.0, F.lit("<alt>"),
+                                                            -(F.length(t) + 1) / 10.0)).alias("top"))
+    n_b = F.size("toks") - F.col("n_p")
+    body = ST.slice_body_logprobs(F.col("lp"), F.col("n_p") + 1, n_b)
+    return d.select(*FX.RESP, n_b.alias("n_body"), F.size(body).alias("n_body_lp"),
+                    F.round(F.aggregate(body, F.lit(0.0), lambda a, x: a + x), 6).alias("body_lp_sum"),
+                    F.round(F.aggregate(ST.top_logprob_rounded(F.col("top")), F.lit(0.0), lambda a, x: a + x), 6).alias("top_max_sum"))

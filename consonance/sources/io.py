@@ -162,3 +162,8 @@ def scan_logs(spark: SparkSession, path: str) -> DataFrame:
         F.max(F.col("value").rlike(ERROR_KEYWORDS).cast("int")).alias("_err"))
     return per.select("file", F.regexp_extract("file", "\\.([A-Za-z0-9]+)$", 1).alias("type"), "chars", "lines",
                       (F.col("_err") == 1).alias("has_error"))
+
+
+def lookup_last(df: DataFrame, key_cols: list[str], value_col: str, order_col: str) -> DataFrame:
+    """Key → value table where a repeated key keeps its last row (highest ``order_col``)."""
+    return df.groupBy(*key_cols).agg(F.max_by(value_col, order_col).alias(value_col))
