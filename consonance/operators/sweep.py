@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import embed as EM
+from ..session import cut_lineage
 from . import statements as ST
 from . import vectors as V
 
@@ -59,7 +60,9 @@ def dispersion_sweep(stmts: DataFrame, group_cols: list[str], resp_col: str, len
     t = truncation_sweep(stmts, group_cols + [resp_col], lengths)
     e = t.select(*group_cols, resp_col, "response_count", embed(F.col("truncated")).alias("vec"))
     good, _ = V.normalize_rows(e, "vec")
-    return V.group_spectra(good.select(*group_cols, "response_count", "vec"), group_cols + ["response_count"], "vec")
+    # The embedded sweep feeds two passes (group sizes, then scores): write it once.
+    good = cut_lineage(good.select(*group_cols, "response_count", "vec"))
+    return V.group_spectra(good, group_cols + ["response_count"], "vec")
 
 
 METRICS = ("isotropy", "luq", "entailment", "graph_uncertainty")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, by_group
 
 # Fixed parameter defaults of the dispersion family.
 JITTER = 1e-3          # added to the kernel diagonal before the eigen-decomposition
@@ -186,7 +186,7 @@ def _direct(data: DataFrame, group_cols: list[str], out_schema: T.StructType,
         row.update(_summary(k, gu, gc, u.sum(axis=0), float(np.sum(u * u)), jitter, alpha))
         return pd.DataFrame([row], columns=names)
 
-    return data.groupBy(*group_cols).applyInPandas(kernel, schema=out_schema)
+    return by_group(data, group_cols).groupBy(*group_cols).applyInPandas(kernel, schema=out_schema)
 
 
 def gram_partials(data: DataFrame, group_cols: list[str]) -> DataFrame:
@@ -254,7 +254,7 @@ def spectra_from_cells(cells: DataFrame, group_cols: list[str], jitter: float =
         row.update(_summary(k, gu, gc, s, tr, jitter, alpha))
         return pd.DataFrame([row], columns=names)
 
-    return cells.groupBy(*group_cols).applyInPandas(finish, schema=out_schema)
+    return by_group(cells, group_cols).groupBy(*group_cols).applyInPandas(finish, schema=out_schema)
 
 
 def _gram_path(data: DataFrame, group_cols: list[str], gfields: list[T.StructField],

@@ -20,15 +20,17 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(docs.select("doc_id", "source"), "doc_id")
 
 
-def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _claims(spark: SparkSession, sf_dir: str, edges: DataFrame | None = None) -> DataFrame:
     items = table(spark, sf_dir, "benchmark")
-    occ = _edges(spark, sf_dir).join(items, "item_id").select("source", "doc_id", F.col("item_id").alias("claim_id"), "text")
+    e = edges if edges is not None else _edges(spark, sf_dir)
+    occ = e.join(items, "item_id").select("source", "doc_id", F.col("item_id").alias("claim_id"), "text")
     return H.claim_union(occ, GRP, ["doc_id"], "text")
 
 
 def _graph(spark: SparkSession, sf_dir: str):
-    claims = _claims(spark, sf_dir)
-    edges = _edges(spark, sf_dir).select("source", F.col("item_id").alias("claim_id"), F.col("doc_id").alias("response_id"))
+    raw = _edges(spark, sf_dir)
+    claims = _claims(spark, sf_dir, raw)
+    edges = raw.select("source", F.col("item_id").alias("claim_id"), F.col("doc_id").alias("response_id"))
     edges = edges.join(claims.select("source", "claim_id"), ["source", "claim_id"], "left_semi")
     resp = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("response_id"))
     return claims, edges, resp
@@ -69,8 +71,8 @@ def degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.degrees(edges, claims.select("source", "claim_id"), resp, GRP)
 
 
-def centrality_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims, edges, resp = _graph(spark, sf_dir)
+def centrality_table(spark: SparkSession, sf_dir: str, graph=None) -> DataFrame:
+    claims, edges, resp = graph or _graph(spark, sf_dir)
     n = claims.groupBy("source").agg(F.count(F.lit(1)).alias("nc")).join(
         resp.groupBy("source").agg(F.count(F.lit(1)).alias("nr")), "source").select(
         "source", (F.col("nc") + F.col("nr")).alias("n_nodes"))
@@ -86,6 +88,7 @@ def centralities(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("h9_h10_claim_metrics")
 def claim_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H9 + H10: claim-side metric table (degree, betweenness, eigenvector, PageRank, closeness)."""
-    claims, edges, resp = _graph(spark, sf_dir)
+    graph = _graph(spark, sf_dir)
+    claims, edges, resp = graph
     deg = H.degrees(edges, claims.select("source", "claim_id"), resp, GRP)
-    return H.claim_metrics(deg, centrality_table(spark, sf_dir), GRP)
+    return H.claim_metrics(deg, centrality_table(spark, sf_dir, graph), GRP)

@@ -46,7 +46,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     fresh private folder. On a cluster without the setting we refuse, because
     a machine-local folder does not survive executor loss.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - no SparkContext access: the conf must name the folder
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder for iterative jobs")
+        return configured
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -76,3 +82,16 @@ def broadcast_if_small(df: DataFrame, max_rows: int, count: int | None = None) -
 
     n = df.count() if count is None else count
     return F.broadcast(df) if n <= max_rows else df
+
+
+def by_group(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Hash-partition by the group key into ``spark.sql.shuffle.partitions`` parts before a
+    CPU-heavy grouped pandas kernel.
+
+    An explicit partition count is not coalesced by AQE, so the groups of a small
+    input still spread over all cores; the following ``groupBy(cols)`` reuses this
+    partitioning (no second shuffle). On large inputs the count is the cluster's
+    configured shuffle parallelism.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *cols)
