@@ -228,3 +228,33 @@ def claim_metrics(degree: DataFrame, cent: DataFrame, group_cols: list[str], sid
     j = d.join(c, group_cols + ["side", "node_id"], "left")
     return j.select(*group_cols, "node_id", F.col("degree").cast("double").alias("degree"),
                     *[F.coalesce(m, F.lit(0.0)).alias(m) for m in ("betweenness", "eigenvector", "pagerank", "closeness")])
+
+
+def drop_covered_claims(claims: DataFrame, group_cols: list[str], idx_col: str, text_col: str,
+                        tau: float) -> DataFrame:
+    """H1 (scored part): drop claim j when an earlier claim i < j of its group covers it,
+    c(j, i) = |T_j ∩ T_i| / |T_j| ≥ τ (tokens as in ``functions.text``). "Earlier" means any
+    earlier claim, kept or not. Claims without tokens are kept.
+
+    Exact prefix filtering instead of all pairs: order each group's tokens by (group
+    frequency, token); a cover needs ≥ ⌈τ|T_j|⌉ shared tokens, so j and i must share one
+    of j's first |T_j| − ⌈τ|T_j|⌉ + 1 tokens. Candidates come from an equi-join on those
+    prefix tokens and are verified on the full sets.
+    """
+    from ..functions import text as TX
+
+    g = group_cols
+    t = claims.select(*g, F.col(idx_col).alias("_j"), F.array_distinct(TX.tokens(F.col(text_col))).alias("_t"))
+    rows = t.select(*g, "_j", F.size("_t").alias("_n"), F.explode("_t").alias("_tok"))
+    freq = rows.groupBy(*g, "_tok").agg(F.count(F.lit(1)).alias("_f"))
+    ranked = rows.join(freq, g + ["_tok"]).withColumn(
+        "_r", F.row_number().over(Window.partitionBy(*g, "_j").orderBy("_f", "_tok")))
+    need = F.ceil(F.col("_n") * F.lit(tau))
+    prefix = ranked.filter(F.col("_r") <= F.col("_n") - need + 1).select(*g, "_tok", "_j")
+    allt = rows.select(*g, "_tok", F.col("_j").alias("_i"))
+    cand = prefix.join(allt, g + ["_tok"]).filter(F.col("_i") < F.col("_j")).select(*g, "_i", "_j").distinct()
+    ti = t.select(*g, F.col("_j").alias("_i"), F.col("_t").alias("_ti"))
+    ver = cand.join(t, g + ["_j"]).join(ti, g + ["_i"]).filter(
+        F.size(F.array_intersect("_t", "_ti")) >= F.ceil(F.size("_t") * F.lit(tau)))
+    covered = ver.select(*g, F.col("_j").alias(idx_col)).distinct()
+    return claims.join(covered, g + [idx_col], "left_anti")

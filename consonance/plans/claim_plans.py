@@ -92,3 +92,21 @@ def claim_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims, edges, resp = graph
     deg = H.degrees(edges, claims.select("source", "claim_id"), resp, GRP)
     return H.claim_metrics(deg, centrality_table(spark, sf_dir, graph), GRP)
+
+
+COVER_TAU = 0.5
+
+
+@register("h1_covered_claims_dropped", sql=f"""WITH {SQL_CLAIMS},
+ct AS (SELECT c.source, c.claim_idx, list_distinct(list_filter(string_split_regex(lower(b.text), '[^a-z0-9]+'), lambda t: t <> '')) AS tk
+       FROM c JOIN benchmark b ON b.item_id = c.claim_id),
+cov AS (SELECT DISTINCT j.source, j.claim_idx FROM ct j JOIN ct i ON i.source = j.source AND i.claim_idx < j.claim_idx
+        WHERE len(j.tk) > 0 AND len(list_intersect(j.tk, i.tk)) >= ceil(len(j.tk) * {COVER_TAU}))
+SELECT c.source, c.claim_idx, c.claim_id FROM c
+WHERE NOT EXISTS (SELECT 1 FROM cov WHERE cov.source = c.source AND cov.claim_idx = c.claim_idx)""")
+def covered_claims_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H1 (scored): claims of a group after dropping those covered (containment ≥ 0.5) by an
+    earlier claim, via the exact prefix-filtered similarity join."""
+    c = _claims(spark, sf_dir)
+    kept = H.drop_covered_claims(c, GRP, "claim_idx", "text", COVER_TAU)
+    return kept.select("source", "claim_idx", "claim_id")

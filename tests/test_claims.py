@@ -32,3 +32,23 @@ def test_claim_union_first_occurrence(spark):
                                 "g string, doc_id int, claim_id long, text string")
     u = sorted((r["claim_idx"], r["claim_id"]) for r in H.claim_union(occ, ["g"], ["doc_id"], "text").collect())
     assert u == [(0, 8), (1, 9)]
+
+
+def test_prefix_filtered_cover_equals_brute_force(spark):
+    import math
+    import random
+
+    rnd = random.Random(4)
+    vocab = [f"w{i}" for i in range(12)]
+    rows = [(g, j, " ".join(rnd.sample(vocab, rnd.randint(0, 6)))) for g in range(5) for j in range(12)]
+    df = spark.createDataFrame(rows, "g int, claim_idx int, text string")
+    for tau in (0.5, 0.8, 1.0):
+        got = {(r["g"], r["claim_idx"]) for r in H.drop_covered_claims(df, ["g"], "claim_idx", "text", tau).collect()}
+        want = set()
+        for g, j, text in rows:
+            tj = set(text.split())
+            covered = bool(tj) and any(i < j and gi == g and len(tj & set(ti.split())) >= math.ceil(tau * len(tj))
+                                       for gi, i, ti in rows)
+            if not covered:
+                want.add((g, j))
+        assert got == want, tau
