@@ -52,3 +52,14 @@ def test_prefix_filtered_cover_equals_brute_force(spark):
             if not covered:
                 want.add((g, j))
         assert got == want, tau
+
+
+def test_iterative_pagerank_matches_kernel(spark):
+    edges = spark.createDataFrame([("g", "c0", "r0"), ("g", "c1", "r0"), ("g", "c1", "r1")], "g string, src string, dst string")
+    nodes = spark.createDataFrame([("g", n) for n in ["c0", "c1", "c2", "r0", "r1"]], "g string, node string")
+    got = {r["node"]: r["rank"] for r in H.pagerank_iterative(edges, nodes, ["g"], iterations=60).collect()}
+    m = H.centralities(4, np.array([(0, 2), (1, 2), (1, 3)]), 5)
+    want = dict(zip(["c0", "c1", "r0", "r1"], m["pagerank"]))
+    want["c2"] = m["isolated"][2]
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v, abs=1e-5)
