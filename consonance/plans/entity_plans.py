@@ -48,7 +48,7 @@ p AS (SELECT "index", '{P.DEFAULT_SYSTEM}' || chr(10) || chr(10) ||
              'Answer the open-ended question given between <question> tags in about 500 words. ' ||
              'Put the whole answer between one <response> and one </response> tag and use no other tags.' || chr(10) || chr(10) ||
              '<question>Write a few paragraphs on ''' || entity || '''.</question>' || chr(10) AS prompt FROM e)
-SELECT "index", CAST(s.sample_idx AS INTEGER) AS sample_idx, md5(prompt) AS prompt_md5, length(prompt) AS prompt_chars
+SELECT "index", CAST(s.sample_idx AS INTEGER) AS sample_idx, md5(prompt) AS prompt_md5, CAST(length(prompt) AS INTEGER) AS prompt_chars
 FROM p, range(0, 3) s(sample_idx)""")
 def generation_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B2 + B3: generation prompt per entity, replicated 3 times."""
@@ -143,8 +143,8 @@ def ambiguity_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("b13_filter_report", sql=f"""WITH {SQL_AMBIG}
-SELECT count(*) AS total, sum(CAST(is_first_name OR is_ambiguous_place AS BIGINT)) AS filtered,
-       sum(CAST(NOT (is_first_name OR is_ambiguous_place) AS BIGINT)) AS kept FROM g""")
+SELECT count(*) AS total, CAST(sum(CAST(is_first_name OR is_ambiguous_place AS BIGINT)) AS BIGINT) AS filtered,
+       CAST(sum(CAST(NOT (is_first_name OR is_ambiguous_place) AS BIGINT)) AS BIGINT) AS kept FROM g""")
 def filter_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply both filters and report the counts."""
     a = _ambiguity(spark, sf_dir).withColumn("_f", F.col("is_first_name") | F.col("is_ambiguous_place"))
@@ -312,7 +312,7 @@ def resume_shortfall(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("a7_reference_fetch", sql="""
 WITH d AS (SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title, length(html) AS n FROM pages),
 e AS (SELECT DISTINCT regexp_extract(html, '<h1>(.*?)</h1>', 1) AS title FROM pages)
-SELECT title, arg_max(n, page_id) AS n_chars FROM d WHERE title IN (SELECT title FROM e) GROUP BY title""")
+SELECT title, CAST(arg_max(n, page_id) AS INTEGER) AS n_chars FROM d WHERE title IN (SELECT title FROM e) GROUP BY title""")
 def reference_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose title is in the entity set (semi-join), one text per title (last wins)."""
     p = table(spark, sf_dir, "pages")

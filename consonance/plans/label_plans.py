@@ -122,8 +122,8 @@ def event_type_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("e13_run_report", sql="""
 SELECT user_id, count(*) AS total,
-       sum(CAST(event_id IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL AND props IS NOT NULL
-                AND event_type <> 'error' AS BIGINT)) AS valid,
+       CAST(sum(CAST(event_id IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL AND props IS NOT NULL
+                AND event_type <> 'error' AS BIGINT)) AS BIGINT) AS valid,
        round(sum(CAST(event_id IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL AND props IS NOT NULL
                 AND event_type <> 'error' AS BIGINT)) / count(*), 6) AS success_rate,
        round(min(value) FILTER (WHERE value IS NOT NULL AND props IS NOT NULL AND ts IS NOT NULL AND event_type <> 'error'), 6) AS min_runtime,
@@ -157,7 +157,7 @@ y AS (SELECT conv_id, response_idx,
              array_to_string(list_transform(ss, lambda s, i: i || '. ' ||
                  CASE WHEN {sql_containment(sql_tokens('s'), 'rt')} >= 0.5 THEN 'True' ELSE 'False' END), chr(10)) AS answer
       FROM x)
-SELECT conv_id, response_idx, length(prompt) AS prompt_chars,
+SELECT conv_id, response_idx, CAST(length(prompt) AS INTEGER) AS prompt_chars,
        CAST(len(regexp_extract_all(answer, '\\d+\\.\\s*(True|False)', 1)) AS INTEGER) AS n_labels,
        CAST(len(list_filter(regexp_extract_all(answer, '\\d+\\.\\s*(True|False)', 1), lambda v: lower(v) = 'true')) AS INTEGER) AS n_true
 FROM y""")
