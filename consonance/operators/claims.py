@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import broadcast_if_small, by_group
+from ..session import broadcast_if_small
 
 WORD_SPLIT = "[^\\p{L}\\p{N}]+"
 NGRAM = 3
@@ -216,7 +216,10 @@ def graph_centralities(edges: DataFrame, node_counts: DataFrame, group_cols: lis
             out[g] = pdf[g].iloc[0]
         return out[[f.name for f in schema.fields]]
 
-    return by_group(e, group_cols).groupBy(*group_cols).applyInPandas(kernel, schema=schema)
+    from .grouped import map_sorted_groups, per_group
+
+    names = [f.name for f in schema.fields]
+    return map_sorted_groups(e, group_cols, per_group(kernel, group_cols, names), schema)
 
 
 def claim_metrics(degree: DataFrame, cent: DataFrame, group_cols: list[str], side: str = "claim") -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as TX
-from ..session import by_group
+
 
 # Fixed values of the kernel panel and thresholds.
 HEAT_T = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7]
@@ -346,7 +346,10 @@ def spectral_panel(pairs: DataFrame, items: DataFrame, group_cols: list[str], pc
             out[g] = pdf[g].iloc[0]
         return out[group_cols + ["metric", "value"]]
 
-    return by_group(data, group_cols).groupBy(*group_cols).applyInPandas(kernel, schema=schema)
+    from .grouped import map_sorted_groups, per_group
+
+    names = [f.name for f in schema.fields]
+    return map_sorted_groups(data, group_cols, per_group(kernel, group_cols, names), schema)
 
 
 # ---------------------------------------------------------------- LUQ

@@ -54,11 +54,34 @@ def truncation_sweep(stmts: DataFrame, key_cols: list[str], lengths: list[int])
     return ST.rebuild_text(kept, keys, all_keys=all_keys)
 
 
+def additive_sweep_embeddings(stmts: DataFrame, key_cols: list[str], lengths: list[int],
+                              embed=EM.hashed_embedding, dim: int = EM.DIM) -> DataFrame:
+    """Embeddings of every truncated response for an embedder that is additive over
+    statements (token counts): each statement is embedded once, and a truncated response's
+    vector is the sum of its kept statements' vectors – no re-embedding per length."""
+    e = stmts.withColumn("_v", embed(F.col("text")))
+    s = e.withColumn("response_count", F.explode(F.array(*[F.lit(n) for n in lengths])))
+    keys = key_cols + ["response_count"]
+    kept = ST.truncate_words(s, keys, "response_count")
+    zero = F.array_repeat(F.lit(0.0), dim)
+    return kept.groupBy(*keys).agg(F.aggregate(F.collect_list("_v"), zero,
+                                               lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b)).alias("vec"))
+
+
 def dispersion_sweep(stmts: DataFrame, group_cols: list[str], resp_col: str, lengths: list[int],
-                     embed=EM.hashed_embedding) -> DataFrame:
-    """F11 + F12: dispersion per (group, response_count) of the embedded truncated responses."""
-    t = truncation_sweep(stmts, group_cols + [resp_col], lengths)
-    e = t.select(*group_cols, resp_col, "response_count", embed(F.col("truncated")).alias("vec"))
+                     embed=EM.hashed_embedding, additive: bool | None = None) -> DataFrame:
+    """F11 + F12: dispersion per (group, response_count) of the embedded truncated responses.
+
+    ``additive`` (default: True for the hashed-token embedder) embeds statements once
+    and sums; otherwise every truncated text is embedded as a whole.
+    """
+    if additive is None:
+        additive = embed is EM.hashed_embedding
+    if additive:
+        e = additive_sweep_embeddings(stmts, group_cols + [resp_col], lengths, embed)
+    else:
+        t = truncation_sweep(stmts, group_cols + [resp_col], lengths)
+        e = t.select(*group_cols, resp_col, "response_count", embed(F.col("truncated")).alias("vec"))
     good, _ = V.normalize_rows(e, "vec")
     # The embedded sweep feeds two passes (group sizes, then scores): write it once.
     good = cut_lineage(good.select(*group_cols, "response_count", "vec"))

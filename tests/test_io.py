@@ -41,3 +41,19 @@ def test_upsert_and_merge(spark):
     new = spark.createDataFrame([(1, "c", 2)], "k int, v string, t int")
     up = {r["k"]: r["v"] for r in IO.upsert_latest(old, new, ["k"], "t").collect()}
     assert up == {1: "c", 2: "b"}
+
+
+def test_additive_sweep_equals_embedding_truncated_text(spark):
+    from pyspark.sql import functions as F
+
+    from consonance.functions import embed as EM
+    from consonance.operators import statements as ST
+    from consonance.operators import sweep as S
+
+    resp = spark.createDataFrame([(1, 0, "Alpha beta gamma. Delta epsilon!\nZeta eta theta iota."),
+                                  (1, 1, "One two. Three four five six seven.")], "g int, r int, response string")
+    st = ST.split_statements(resp, ["g", "r"])
+    a = {(x["g"], x["r"], x["response_count"]): x["vec"] for x in S.additive_sweep_embeddings(st, ["g", "r"], [1, 3, 6, 50]).collect()}
+    t = S.truncation_sweep(st, ["g", "r"], [1, 3, 6, 50]).select("g", "r", "response_count", EM.hashed_embedding(F.col("truncated")).alias("vec"))
+    b = {(x["g"], x["r"], x["response_count"]): x["vec"] for x in t.collect()}
+    assert a == b

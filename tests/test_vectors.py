@@ -75,3 +75,20 @@ def test_cosine_and_pooling(spark):
     assert V.pool_tokens(df, ["k"], "pos", "v", "m", "last").first()["pooled"] == [0.0, 2.0]
     c = spark.range(1).select(V.cosine(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(1.0), F.lit(1.0))).alias("c")).first()["c"]
     assert c == pytest.approx(2 ** -0.5)
+
+
+def test_groups_straddling_arrow_batches(spark):
+    rng = np.random.default_rng(12)
+    groups = {f"g{j}": rng.normal(size=(int(rng.integers(1, 9)), 5)).tolist() for j in range(40)}
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        a = _spectra(spark, groups)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    b = _spectra(spark, groups, direct_max_k=0)
+    assert a.keys() == b.keys() == groups.keys()
+    for g in groups:
+        assert a[g]["k"] == len(groups[g])
+        assert a[g]["dispersion"] == pytest.approx(b[g]["dispersion"], abs=1e-9)
+        assert a[g]["eigenscore"] == pytest.approx(b[g]["eigenscore"], abs=1e-8)
