@@ -23,6 +23,7 @@ from ..streaming import incremental as J
 from . import fixtures as FX
 from .dispersion_plans import _F7_SQL
 from .registry import register
+from .nli_plans import SQL_LUQ
 from .statement_plans import SQL_STATEMENTS_CTE
 
 
@@ -367,3 +368,13 @@ def multi_judge_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept, _status = E.length_consensus(long, per.select(*FX.RESP, "n_statements"), FX.RESP)
     t = E.statement_truth(kept, FX.RESP)
     return t.select(*FX.RESP, "statement_idx", *_r6("p_true"), "n_votes", "majority")
+
+
+@register("j1_incremental_luq", sql=SQL_LUQ + """SELECT conv_id,
+  round(CASE WHEN count(confidence) = count(*) THEN avg(1 - confidence) END, 6) AS uncertainty FROM conf GROUP BY conv_id""")
+def incremental_luq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J1 (LUQ): turns streamed in; touched conversations rescored and upserted per micro-batch."""
+    src = f"{sf_dir}/conversations.parquet*"
+    schema = spark.read.parquet(f"{sf_dir}/conversations.parquet").schema
+    res = J.run_incremental_luq(spark, src, schema, ["conv_id"], "turn", "text", work_dir=_scratch(spark, "luq-stream"))
+    return J.latest_luq(spark, res).select("conv_id", F.round("uncertainty", 6).alias("uncertainty"))

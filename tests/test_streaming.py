@@ -34,3 +34,33 @@ def test_stream_folds_several_batches(spark):
     assert len(os.listdir(state)) >= 4
     for k in want:
         assert got[k] == pytest.approx(want[k], abs=1e-9)
+
+
+def test_incremental_luq_over_several_batches(spark):
+    from pyspark.sql import functions as F
+
+    from consonance.operators import entailment as G
+    from consonance.operators import statements as ST
+    from consonance.streaming import incremental as J
+
+    conv = spark.read.parquet(f"{SF_SMALL}/conversations.parquet")
+    src = tempfile.mkdtemp(prefix="consonance-luq-src-")
+    # turns arrive in four files: a conversation's turns are spread over several batches
+    conv.withColumn("part", F.col("turn") % 4).write.partitionBy("part").parquet(src + "/in")
+    files = [os.path.join(dp, f) for dp, _, fs in os.walk(src + "/in") for f in fs if f.endswith(".parquet")]
+    flat = src + "/flat"
+    os.makedirs(flat)
+    for n, f in enumerate(sorted(files)):
+        os.link(f, os.path.join(flat, f"b{n:03d}.parquet"))
+    res = J.run_incremental_luq(spark, flat, conv.schema, ["conv_id"], "turn", "text",
+                                work_dir=tempfile.mkdtemp(prefix="consonance-luq-"))
+    got = {r["conv_id"]: r["uncertainty"] for r in J.latest_luq(spark, res).collect()}
+    st = ST.split_statements(conv, ["conv_id", "turn"], "text")
+    _, unc = G.luq(st, conv, ["conv_id"], "turn", "text")
+    want = {r["conv_id"]: r["uncertainty"] for r in unc.collect()}
+    assert got.keys() == want.keys()
+    for k in want:
+        if want[k] is None:
+            assert got[k] is None
+        else:
+            assert got[k] == pytest.approx(want[k], abs=1e-12)
