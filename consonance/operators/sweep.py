@@ -88,13 +88,13 @@ def dispersion_sweep(stmts: DataFrame, group_cols: list[str], resp_col: str, len
     return V.group_spectra(good, group_cols + ["response_count"], "vec")
 
 
-METRICS = ("isotropy", "luq", "entailment", "graph_uncertainty")
+METRICS = ("dispersion", "luq", "entailment", "graph_uncertainty")
 
 
 def score(metric: str, **inputs) -> DataFrame:
     """Dispatch a metric by name over group tables; unknown names raise.
 
-    * isotropy: ``vectors``, ``group_cols``, ``vec_col`` → dispersion table
+    * dispersion: ``vectors``, ``group_cols``, ``vec_col`` → dispersion table
     * luq: ``statements``, ``responses``, ``group_cols`` → uncertainty per group
     * entailment: ``responses``, ``group_cols`` → long (group, metric, value)
     * graph_uncertainty: ``edges``, ``node_counts``, ``group_cols`` → centralities
@@ -102,7 +102,7 @@ def score(metric: str, **inputs) -> DataFrame:
     from . import claims as H
     from . import entailment as G
 
-    if metric == "isotropy":
+    if metric == "dispersion":
         return V.group_spectra(inputs["vectors"], inputs["group_cols"], inputs["vec_col"])
     if metric == "luq":
         return G.luq(inputs["statements"], inputs["responses"], inputs["group_cols"])[1]

@@ -64,7 +64,7 @@ def flatten_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("a3_a11_metrics_store", sql=f"""WITH m AS ({_F7_SQL})
-SELECT 'isotropy' AS metric, 'stand_in' AS model, 0 AS response_count, label, name, value FROM m
+SELECT 'dispersion' AS metric, 'stand_in' AS model, 0 AS response_count, label, name, value FROM m
 UNPIVOT (value FOR name IN (trace, fro2, mean_cos, purity, renyi2))""")
 def metrics_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A3 + A11: long metrics table written twice as partitioned Parquet (dynamic partition
@@ -75,7 +75,7 @@ def metrics_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["trace", "fro2", "mean_cos", "purity", "renyi2"]
     long = s.select("label", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.round(n, 6).alias("value"))
                                                  for n in names])).alias("m")).select(
-        F.lit("isotropy").alias("metric"), F.lit("stand_in").alias("model"), F.lit(0).alias("response_count"),
+        F.lit("dispersion").alias("metric"), F.lit("stand_in").alias("model"), F.lit(0).alias("response_count"),
         "label", "m.name", "m.value")
     path = _scratch(spark, "metrics")
     IO.write_metrics(long, path)
@@ -261,7 +261,7 @@ def log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("i1_i2_parameter_grid", sql="""
 WITH runs AS (SELECT r.r_name AS block, list('org/' || lower(replace(n.n_name, '_', '-')) ORDER BY n.n_nationkey) AS models
               FROM region r JOIN nation n ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name),
-g AS (SELECT block, unnest(['isotropy', 'luq']) AS metric, models FROM runs),
+g AS (SELECT block, unnest(['dispersion', 'luq']) AS metric, models FROM runs),
 g2 AS (SELECT block, metric, unnest(models) AS model FROM g)
 SELECT block, metric, model AS name, 'mean' AS pooling, replace(split_part(model, '/', -1), '-', '_') AS suffix,
        CAST(rc AS INTEGER) AS response_count
@@ -274,7 +274,7 @@ def parameter_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = r.join(n, F.col("n_regionkey") == F.col("r_regionkey")).groupBy(F.col("r_name").alias("block")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))),
                     lambda x: F.array(F.concat(F.lit("org/"), F.lower(F.replace(x["n_name"], F.lit("_"), F.lit("-")))))).alias("model"))
-    runs = runs.withColumn("metric", F.array(F.lit("isotropy"), F.lit("luq"))).withColumn(
+    runs = runs.withColumn("metric", F.array(F.lit("dispersion"), F.lit("luq"))).withColumn(
         "response_count", F.array(*[F.lit(x) for x in (125, 250, 375, 500)]))
     g = S.parameter_grid(runs, ["metric", "model", "response_count"])
     spec = S.model_spec(F.col("model"))
