@@ -153,12 +153,15 @@ def dense_index(df: DataFrame, order_cols: list[str], col: str = "row_idx", n_pa
 
     Range-partition and sort, number rows inside each partition, then add the
     partition's offset from a per-partition count table (one row per partition).
+    The in-partition number is the low 33 bits of ``monotonically_increasing_id``
+    (assigned in sorted order), so no window and no further shuffle is needed.
+    ``order_cols`` must be unique (ties would make the numbering order-dependent).
     """
     spark = df.sparkSession
     n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     s = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols).withColumn(
         "_pid", F.spark_partition_id())
-    s = s.withColumn("_local", F.row_number().over(Window.partitionBy("_pid").orderBy(*order_cols)) - 1)
+    s = s.withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("long"), 33))
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_c").over(
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
