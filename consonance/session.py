@@ -36,6 +36,7 @@ def get_spark(master: str | None = None, app: str = "consonance",
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_library(spark)
     return spark
 
 
@@ -90,8 +91,47 @@ def by_group(df: DataFrame, cols: list[str]) -> DataFrame:
 
     An explicit partition count is not coalesced by AQE, so the groups of a small
     input still spread over all cores; the following ``groupBy(cols)`` reuses this
-    partitioning (no second shuffle). On large inputs the count is the cluster's
-    configured shuffle parallelism.
+    partitioning (no second shuffle). The count is the configured shuffle parallelism,
+    capped at four partitions per core.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        n = min(n, 4 * df.sparkSession.sparkContext.defaultParallelism)
+    except Exception:  # noqa: BLE001 - no SparkContext access: keep the configured count
+        pass
     return df.repartition(n, *cols)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_library(spark: SparkSession) -> None:
+    """Make this package importable in Python workers (the programmatic ``--py-files``).
+
+    Grouped kernels and ``mapInPandas`` functions live in this package; executors that
+    did not start with it on their path import it from the shipped zip. Done once per
+    application.
+    """
+    import zipfile
+
+    try:
+        sc = spark.sparkContext
+        key = sc.applicationId
+    except Exception:  # noqa: BLE001 - Spark Connect: no SparkContext
+        sc, key = None, "connect"
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    zpath = os.path.join(tempfile.mkdtemp(prefix="consonance-lib-"), "consonance.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for here, _dirs, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(here, f)
+                    z.write(full, os.path.relpath(full, root))
+    if sc is not None:
+        sc.addPyFile(zpath)
+    else:
+        spark.addArtifacts(zpath, pyfile=True)
+    _SHIPPED.add(key)
