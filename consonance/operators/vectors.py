@@ -147,18 +147,24 @@ def _summary_schema(group_schema: list[T.StructField]) -> T.StructType:
 
 def group_spectra(vectors: DataFrame, group_cols: list[str], vec_col: str,
                   jitter: float = JITTER, alpha: float = EIGENSCORE_ALPHA,
-                  direct_max_k: int = 2048, hot_broadcast_rows: int = 1_000_000) -> DataFrame:
+                  direct_max_k: int = 2048, hot_broadcast_rows: int = 1_000_000,
+                  size_source: DataFrame | None = None) -> DataFrame:
     """F3/F4/F6/F7 per group: dispersion (von Neumann entropy of Z + jitter·I over K,
     eigenvalues not renormalised), dispersion / ln K, eigen-score of the raw rows,
     and kernel moments (trace, ‖Z‖²_F, mean off-diagonal cosine, purity, Rényi-2).
 
     Rows must have non-zero vectors (use ``normalize_rows`` to quarantine).
+    ``size_source`` (optional) is a frame with the group columns whose per-group
+    row count bounds K from above, e.g. the unfiltered table: the routing count then
+    reads only the key columns. Routing on an upper bound stays exact – both paths
+    compute the same values.
     """
     data = vectors.select(*group_cols, F.col(vec_col).cast("array<double>").alias("_x"))
     gfields = [data.schema[c] for c in group_cols]
     out_schema = _summary_schema(gfields)
 
-    sizes = data.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_k"))
+    sizes = (size_source if size_source is not None else data).groupBy(*group_cols).agg(
+        F.count(F.lit(1)).alias("_k"))
     hot = sizes.filter(F.col("_k") > direct_max_k).select(*group_cols)
     n_hot = hot.count()
     if n_hot == 0:

@@ -18,7 +18,7 @@ def label_spectra(spark: SparkSession, sf_dir: str, direct_max_k: int = 2048) ->
     emb = table(spark, sf_dir, "embeddings")
     good, _rejected = V.normalize_rows(emb, "embedding")
     return V.group_spectra(good.select("label", "embedding"), ["label"], "embedding",
-                           direct_max_k=direct_max_k)
+                           direct_max_k=direct_max_k, size_source=emb.select("label"))
 
 
 @register("f3_dispersion_by_label")

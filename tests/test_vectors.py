@@ -92,3 +92,18 @@ def test_groups_straddling_arrow_batches(spark):
         assert a[g]["k"] == len(groups[g])
         assert a[g]["dispersion"] == pytest.approx(b[g]["dispersion"], abs=1e-9)
         assert a[g]["eigenscore"] == pytest.approx(b[g]["eigenscore"], abs=1e-8)
+
+
+def test_flagship_direct_equals_gram_path_on_table(spark):
+    from conftest import SF_SMALL
+    from consonance.plans.dispersion_plans import dispersion_by_label, dispersion_gram, eigenscore_by_label
+
+    a = {r["label"]: r for r in dispersion_by_label(spark, SF_SMALL).collect()}
+    b = {r["label"]: r for r in dispersion_gram(spark, SF_SMALL).collect()}
+    assert a.keys() == b.keys() and len(a) > 0
+    for k in a:
+        assert a[k]["k"] == b[k]["k"]
+        assert a[k]["dispersion"] == pytest.approx(b[k]["dispersion"], abs=1e-8)
+        # 0 ≤ normalised dispersion ≲ 1 (jitter makes it slightly larger than ln K at most)
+        assert 0 <= a[k]["dispersion_norm"] <= 1.01
+    assert all(r["eigenscore"] is not None for r in eigenscore_by_label(spark, SF_SMALL).collect())
