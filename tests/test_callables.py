@@ -53,3 +53,31 @@ def test_predict_batch_embedder_matches_hashed(spark):
     got = {r["i"]: list(r["v"]) for r in df.select("i", embed("t").alias("v")).collect()}
     want = {r["i"]: r["v"] for r in df.select("i", EM.hashed_embedding(F.col("t")).alias("v")).collect()}
     assert got == want
+
+
+def test_retries_recover_at_temperature_zero(spark):
+    from consonance.operators import inference as K
+
+    prompts = spark.createDataFrame([(i, f"<question>q{i}</question>") for i in range(40)], "idx int, prompt string")
+    first = K.generate(prompts, K.dry_run_generator, {"temperature": 1.0})
+    n_broken = first.filter(~F.col("text").contains("</response>")).count()
+    assert 0 < n_broken < 40
+    ok, failed = K.generate_with_retries(prompts, ["idx"], K.dry_run_generator, F.col("text").contains("</response>"))
+    assert ok.count() == 40 and failed.count() == 0
+    assert ok.select("idx").distinct().count() == 40
+
+
+def test_multi_judge_fan_out(spark):
+    from consonance.operators import inference as K
+
+    st = spark.createDataFrame([(1, "1. <statement>a</statement>\n2. <statement>b</statement>", 2)],
+                               "k int, prompt string, n_statements int")
+    lab = K.label_samples(st, ["k"], ["m1", "m2"], 3, K.dry_run_judge).collect()
+    assert sorted((r["model"], r["sample_idx"]) for r in lab) == [(m, s) for m in ("m1", "m2") for s in range(3)]
+    assert all(len(r["labels"]) == 2 for r in lab)
+
+    def broken(pdf):
+        raise RuntimeError("judge down")
+
+    empty = K.label_samples(st, ["k"], ["m1"], 2, broken).collect()
+    assert [r["labels"] for r in empty] == [[], []]  # a failed call gives an empty sample
