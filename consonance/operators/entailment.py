@@ -50,16 +50,47 @@ def _tokenised(responses: DataFrame, group_cols: list[str], idx_col: str, text_c
                             F.array_distinct(TX.tokens(F.col(text_col))).alias("_tok"))
 
 
-def nli_pairs(responses: DataFrame, group_cols: list[str], idx_col: str = "response_idx",
-              text_col: str = "response", scorer=default_scorer) -> DataFrame:
-    """G1: 3-way probabilities for every ordered pair i ≠ j of a group."""
+PROBS = ("p_contra", "p_neutral", "p_entail")
+
+
+def nli_pairs_unordered(responses: DataFrame, group_cols: list[str], idx_col: str = "response_idx",
+                        text_col: str = "response", scorer=default_scorer) -> DataFrame:
+    """G1 in unordered form: one row per pair i < j with both directions,
+    ``p_*_ij`` (premise i) and ``p_*_ji`` (premise j). Operators that need both
+    directions (G6, G7, G13, G14, G16) use it without a transpose join."""
     t = _tokenised(responses, group_cols, idx_col, text_col)
     a, b = t.alias("a"), t.alias("b")
     cond = [F.col(f"a.{g}") == F.col(f"b.{g}") for g in group_cols] + [F.col("a._i") < F.col("b._i")]
-    j = a.join(b, cond).select(
-        *[F.col(f"a.{g}").alias(g) for g in group_cols], F.col("a._i").alias("i"), F.col("b._i").alias("j"),
-        scorer(F.col("a._tok"), F.col("b._tok"), F.col("a._txt"), F.col("b._txt")).alias("fw"),
-        scorer(F.col("b._tok"), F.col("a._tok"), F.col("b._txt"), F.col("a._txt")).alias("bw"))
+    keys = [*[F.col(f"a.{g}").alias(g) for g in group_cols], F.col("a._i").alias("i"), F.col("b._i").alias("j")]
+    if scorer is default_scorer:
+        # Containment once per direction, behind a one-row ``inline`` (a Generate node):
+        # later filters on the probabilities (equivalence, edge thresholds) are then not
+        # pushed into the join condition with the containment expression copied into
+        # every reference.
+        j = a.join(b, cond).select(*keys, F.inline(F.array(F.struct(
+            TX.containment(F.col("a._tok"), F.col("b._tok")).alias("_c_ij"),
+            TX.containment(F.col("b._tok"), F.col("a._tok")).alias("_c_ji")))))
+        fw, bw = TX.nli_probs(F.col("_c_ij")), TX.nli_probs(F.col("_c_ji"))
+    else:
+        j = a.join(b, cond).select(
+            *keys, scorer(F.col("a._tok"), F.col("b._tok"), F.col("a._txt"), F.col("b._txt")).alias("_fw"),
+            scorer(F.col("b._tok"), F.col("a._tok"), F.col("b._txt"), F.col("a._txt")).alias("_bw"))
+        fw, bw = F.col("_fw"), F.col("_bw")
+    return j.select(*group_cols, "i", "j", *[fw[p].alias(f"{p}_ij") for p in PROBS],
+                    *[bw[p].alias(f"{p}_ji") for p in PROBS])
+
+
+def nli_pairs(responses: DataFrame, group_cols: list[str], idx_col: str = "response_idx",
+              text_col: str = "response", scorer=default_scorer) -> DataFrame:
+    """G1: 3-way probabilities for every ordered pair i ≠ j of a group."""
+    return ordered_pairs(nli_pairs_unordered(responses, group_cols, idx_col, text_col, scorer), group_cols)
+
+
+def ordered_pairs(unordered: DataFrame, group_cols: list[str]) -> DataFrame:
+    """Unordered two-direction rows → ordered pair table (one explode, no shuffle)."""
+    j = unordered.select(*group_cols, "i", "j",
+                         F.struct(*[F.col(f"{p}_ij").alias(p) for p in PROBS]).alias("fw"),
+                         F.struct(*[F.col(f"{p}_ji").alias(p) for p in PROBS]).alias("bw"))
     both = F.explode(F.array(
         F.struct(F.col("i").alias("i"), F.col("j").alias("j"), F.col("fw").alias("p")),
         F.struct(F.col("j").alias("i"), F.col("i").alias("j"), F.col("bw").alias("p"))))
@@ -76,8 +107,19 @@ def implication(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("label", label.cast("int")).withColumn("confidence", F.greatest(c, n, e))
 
 
+def _label(c, n, e):
+    return F.when((c >= n) & (c >= e), 0).when(n >= e, 1).otherwise(2).cast("int")
+
+
 def _unordered(pairs: DataFrame, group_cols: list[str]) -> DataFrame:
-    """Both directions of each unordered pair in one row (i < j)."""
+    """Both directions of each unordered pair in one row (i < j): labels and confidences.
+
+    Accepts the unordered form (no join needed) or an ordered pair table (joined to
+    its transpose)."""
+    if "p_entail_ji" in pairs.columns:
+        cols = {d: [F.col(f"{p}_{d}") for p in PROBS] for d in ("ij", "ji")}
+        return pairs.select(*group_cols, "i", "j", _label(*cols["ij"]).alias("l_ij"), F.greatest(*cols["ij"]).alias("c_ij"),
+                            _label(*cols["ji"]).alias("l_ji"), F.greatest(*cols["ji"]).alias("c_ji"))
     imp = implication(pairs)
     fw = imp.filter(F.col("i") < F.col("j")).select(*group_cols, "i", "j", F.col("label").alias("l_ij"),
                                                     F.col("confidence").alias("c_ij"))

@@ -26,6 +26,11 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.nli_pairs(_responses(spark, sf_dir), GRP)
 
 
+def _upairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unordered two-direction pairs: for the operators that need both directions."""
+    return G.nli_pairs_unordered(_responses(spark, sf_dir), GRP)
+
+
 def _r6(*cols: str):
     return [F.round(c, 6).alias(c) for c in cols]
 
@@ -79,7 +84,7 @@ def implication(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT conv_id, i, j, (l_ij <> 0 AND l_ji <> 0 AND NOT (l_ij = 1 AND l_ji = 1)) AS equivalent,
        (l_ij = 2 AND l_ji = 2) AS equivalent_strict FROM un""")
 def equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _pairs(spark, sf_dir)
+    p = _upairs(spark, sf_dir)
     d = G.equivalence(p, GRP).select("conv_id", "i", "j", "equivalent")
     s = G.equivalence(p, GRP, strict=True).select("conv_id", "i", "j", F.col("equivalent").alias("equivalent_strict"))
     return d.join(s, ["conv_id", "i", "j"])
@@ -89,7 +94,7 @@ def equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT conv_id, i, cluster_id FROM ids""")
 def semantic_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy, order-dependent semantic clusters per conversation."""
-    return G.semantic_ids(_pairs(spark, sf_dir), _items(spark, sf_dir), GRP)
+    return G.semantic_ids(_upairs(spark, sf_dir), _items(spark, sf_dir), GRP)
 
 
 @register("g8_semantic_entropy", sql=f"""WITH RECURSIVE {SQL_PAIRS}, {SQL_CLUSTERS},
@@ -98,7 +103,7 @@ p AS (SELECT conv_id, n * 1.0 / sum(n) OVER (PARTITION BY conv_id) AS p FROM cnt
 SELECT conv_id, round(-sum(p * ln(p)), 6) AS entropy, CAST(count(*) AS BIGINT) AS n_clusters FROM p GROUP BY conv_id""")
 def semantic_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G8 = E7 on G7's ids."""
-    ids = G.semantic_ids(_pairs(spark, sf_dir), _items(spark, sf_dir), GRP)
+    ids = G.semantic_ids(_upairs(spark, sf_dir), _items(spark, sf_dir), GRP)
     e = G.cluster_entropy(ids, GRP)
     return e.select("conv_id", *_r6("entropy"), "n_clusters")
 
@@ -143,7 +148,7 @@ UNION ALL
 SELECT conv_id, i, j, round(c_ij + c_ji, 6) AS weight, 'deberta' AS kind FROM un WHERE {SQL_WEIGHT} > 0""")
 def entailment_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unweighted (≥ 1.5) and weighted (manual / max-probability) entailment graphs."""
-    p = _pairs(spark, sf_dir)
+    p = _upairs(spark, sf_dir)
     u = G.entailment_graph(p, GRP).withColumn("kind", F.lit("unweighted"))
     m = G.entailment_graph(p, GRP, weighted=True).withColumn("kind", F.lit("manual"))
     d = G.entailment_graph(p, GRP, weighted=True, weight_strategy="deberta").withColumn("kind", F.lit("deberta"))
@@ -157,7 +162,7 @@ SELECT e.conv_id, least(a.cluster_id, b.cluster_id) AS c1, greatest(a.cluster_id
 FROM e JOIN ids a ON a.conv_id = e.conv_id AND a.i = e.i JOIN ids b ON b.conv_id = e.conv_id AND b.i = e.j
 GROUP BY ALL""")
 def cluster_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _pairs(spark, sf_dir)
+    p = _upairs(spark, sf_dir)
     ids = G.semantic_ids(p, _items(spark, sf_dir), GRP)
     edges = G.entailment_graph(p, GRP, weighted=True).withColumn("i", F.col("i").cast("long")).withColumn(
         "j", F.col("j").cast("long"))
@@ -169,7 +174,7 @@ def cluster_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT conv_id, i, cluster_id,
        CAST(row_number() OVER (PARTITION BY conv_id ORDER BY cluster_id, i) - 1 AS INTEGER) AS position FROM ids""")
 def cluster_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = G.semantic_ids(_pairs(spark, sf_dir), _items(spark, sf_dir), GRP)
+    ids = G.semantic_ids(_upairs(spark, sf_dir), _items(spark, sf_dir), GRP)
     return G.order_by_cluster(ids, GRP)
 
 
@@ -186,7 +191,7 @@ UNION ALL SELECT b.conv_id, b.i, b.j, round(-b.w / sqrt(di.d * dj.d), 6), 'norma
 FROM b JOIN d di ON di.conv_id = b.conv_id AND di.i = b.i JOIN d dj ON dj.conv_id = b.conv_id AND dj.i = b.j""")
 def laplacian(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain and normalised Laplacian entries of the weighted entailment graph."""
-    p = _pairs(spark, sf_dir)
+    p = _upairs(spark, sf_dir)
     e = G.entailment_graph(p, GRP, weighted=True)
     items = _items(spark, sf_dir)
     a = G.laplacian(e, items, GRP).withColumn("kind", F.lit("plain"))
@@ -248,7 +253,7 @@ UNION ALL SELECT conv_id, cluster_id, 'mean', round(lse - ln(n), 6) FROM c
 UNION ALL SELECT conv_id, cluster_id, 'sum_normalized', round(lse - tot, 6) FROM c JOIN t USING (conv_id)""")
 def logsumexp_by_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-sum-exp of response log-likelihoods per semantic cluster, three modes."""
-    ids = G.semantic_ids(_pairs(spark, sf_dir), _items(spark, sf_dir), GRP)
+    ids = G.semantic_ids(_upairs(spark, sf_dir), _items(spark, sf_dir), GRP)
     ll = _responses(spark, sf_dir).select("conv_id", F.col("response_idx").cast("long").alias("i"),
                                           (-F.log1p(TX.word_count(F.col("response")))).alias("ll"))
     j = ids.join(ll, ["conv_id", "i"])
