@@ -245,9 +245,13 @@ def drop_covered_claims(claims: DataFrame, group_cols: list[str], idx_col: str,
     prefix tokens and are verified on the full sets.
     """
     from ..functions import text as TX
+    from ..session import cut_lineage
 
     g = group_cols
-    t = claims.select(*g, F.col(idx_col).alias("_j"), F.array_distinct(TX.tokens(F.col(text_col))).alias("_t"))
+    # The claims' token sets feed five branches (frequencies, prefixes, all tokens, both
+    # verification sides): write them once.
+    t = cut_lineage(claims.select(*g, F.col(idx_col).alias("_j"),
+                                  F.array_distinct(TX.tokens(F.col(text_col))).alias("_t")))
     rows = t.select(*g, "_j", F.size("_t").alias("_n"), F.explode("_t").alias("_tok"))
     freq = rows.groupBy(*g, "_tok").agg(F.count(F.lit(1)).alias("_f"))
     ranked = rows.join(freq, g + ["_tok"]).withColumn(
@@ -260,7 +264,7 @@ def drop_covered_claims(claims: DataFrame, group_cols: list[str], idx_col: str,
     ver = cand.join(t, g + ["_j"]).join(ti, g + ["_i"]).filter(
         F.size(F.array_intersect("_t", "_ti")) >= F.ceil(F.size("_t") * F.lit(tau)))
     covered = ver.select(*g, F.col("_j").alias(idx_col)).distinct()
-    return claims.join(covered, g + [idx_col], "left_anti")
+    return claims.join(covered, g + [idx_col], "left_anti")  # covered is small: broadcast by AQE
 
 
 def pagerank_iterative(edges: DataFrame, nodes: DataFrame, group_cols: list[str], iterations: int = 100,

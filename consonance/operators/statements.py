@@ -36,7 +36,10 @@ def parse_tagged(df: DataFrame, key_cols: list[str], text_col: str) -> tuple[Dat
     stmts = F.regexp_extract_all(t, F.lit(PAIR_PATTERN), 1)
     classes = F.regexp_extract_all(t, F.lit(PAIR_PATTERN), 2)
     n_tags = F.size(F.regexp_extract_all(t, F.lit(STATEMENT_TAG_PATTERN), 1))
-    flagged = df.select(*key_cols, t.alias("_t"), stmts.alias("_s"), classes.alias("_c"), n_tags.alias("_n"))
+    # one-row inline (a Generate node): the ok / not-ok filters below are not pushed
+    # down with the three regex extractions copied into them
+    flagged = df.select(*key_cols, F.inline(F.array(F.struct(t.alias("_t"), stmts.alias("_s"), classes.alias("_c"),
+                                                             n_tags.alias("_n")))))
     ok = F.size("_s") == F.col("_n")
     good = flagged.filter(ok).select(
         *key_cols, F.posexplode(F.arrays_zip(F.col("_s").alias("s"), F.col("_c").alias("c"))).alias("statement_idx", "p"))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import claims as H
+from ..session import cut_lineage
 from ..sources.tables import table
 from .registry import register
 
@@ -28,7 +29,9 @@ def _claims(spark: SparkSession, sf_dir: str, edges: DataFrame | None = None) ->
 
 
 def _graph(spark: SparkSession, sf_dir: str):
-    raw = _edges(spark, sf_dir)
+    # The edge table feeds the claim union, the node tables, degrees and centralities;
+    # write it once instead of re-running the n-gram index join per reference.
+    raw = cut_lineage(_edges(spark, sf_dir))
     claims = _claims(spark, sf_dir, raw)
     edges = raw.select("source", F.col("item_id").alias("claim_id"), F.col("doc_id").alias("response_id"))
     edges = edges.join(claims.select("source", "claim_id"), ["source", "claim_id"], "left_semi")
@@ -107,7 +110,7 @@ WHERE NOT EXISTS (SELECT 1 FROM cov WHERE cov.source = c.source AND cov.claim_id
 def covered_claims_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H1 (scored): claims of a group after dropping those covered (containment ≥ 0.5) by an
     earlier claim, via the exact prefix-filtered similarity join."""
-    c = _claims(spark, sf_dir)
+    c = _claims(spark, sf_dir, cut_lineage(_edges(spark, sf_dir)))
     kept = H.drop_covered_claims(c, GRP, "claim_idx", "text", COVER_TAU)
     return kept.select("source", "claim_idx", "claim_id")
 

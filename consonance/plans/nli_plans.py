@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as TX
 from ..operators import entailment as G
+from ..session import cut_lineage
 from . import fixtures as FX
 from .registry import register
 from .statement_plans import SQL_STATEMENTS_CTE, sql_containment, sql_tokens
@@ -192,7 +193,8 @@ FROM b JOIN d di ON di.conv_id = b.conv_id AND di.i = b.i JOIN d dj ON dj.conv_i
 def laplacian(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain and normalised Laplacian entries of the weighted entailment graph."""
     p = _upairs(spark, sf_dir)
-    e = G.entailment_graph(p, GRP, weighted=True)
+    # six references to the edge table below: write it once
+    e = cut_lineage(G.entailment_graph(p, GRP, weighted=True))
     items = _items(spark, sf_dir)
     a = G.laplacian(e, items, GRP).withColumn("kind", F.lit("plain"))
     b = G.laplacian(e, items, GRP, normalized=True).withColumn("kind", F.lit("normalized"))
