@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import embed as EM
-from ..functions import text as TX
 from ..operators import prep as P
 from ..operators import vectors as V
 from ..sources.tables import table

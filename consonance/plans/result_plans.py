@@ -15,7 +15,6 @@ from ..operators import inference as K
 from ..operators import prep as P
 from ..operators import statements as ST
 from ..operators import sweep as S
-from ..operators import vectors as V
 from ..session import checkpoint_dir
 from ..sources import io as IO
 from ..sources.tables import table
