@@ -246,3 +246,24 @@ def remap_aliases(df: DataFrame, col: str, aliases: DataFrame, alias_rows: int =
     """Replace keys found in an alias table ``(alias, canonical)``; others unchanged."""
     a = broadcast_if_small(aliases.select(F.col("alias").alias("_a"), F.col("canonical").alias("_c")), alias_rows)
     return df.join(a, F.col(col) == F.col("_a"), "left").withColumn(col, F.coalesce("_c", col)).drop("_a", "_c")
+
+
+def number_within_groups(df: DataFrame, key_cols: list[str], order_cols: list[str], col: str = "rn",
+                         n_parts: int | None = None) -> DataFrame:
+    """0-based row number per key in ``order_cols`` order, exact, without a per-key window.
+
+    Range-partition and sort by (key, order): a hot key spans many partitions. Inside a
+    partition a key's rows are contiguous and numbered from ``monotonically_increasing_id``;
+    the key's offset in a partition is its row count in earlier partitions, from a count
+    table with one row per (partition, key). ``key_cols + order_cols`` must be unique.
+    """
+    spark = df.sparkSession
+    n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    s = (df.repartitionByRange(n, *key_cols, *order_cols).sortWithinPartitions(*key_cols, *order_cols)
+         .withColumn("_pid", F.spark_partition_id())
+         .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("long"), 33)))
+    per = s.groupBy(*key_cols, "_pid").agg(F.min("_local").alias("_first"), F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*key_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_off", F.coalesce(F.sum("_c").over(w), F.lit(0)))
+    return s.join(per.select(*key_cols, "_pid", "_first", "_off"), key_cols + ["_pid"]).withColumn(
+        col, (F.col("_off") + F.col("_local") - F.col("_first")).cast("long")).drop("_pid", "_local", "_first", "_off")

@@ -4,7 +4,7 @@ writers go through Spark's commit protocol (staging + atomic job commit)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,10 +87,13 @@ def append_projected(df: DataFrame, fields: list[str]) -> DataFrame:
 def merge_extend(existing: DataFrame, new: DataFrame, key_cols: list[str], idx_col: str = "response_idx",
                  batch_col: str = "batch") -> DataFrame:
     """A key's new responses extend its existing list; indices renumbered in
-    (batch, previous index) order."""
+    (batch, previous index) order. The renumbering never sorts a whole key in one task
+    (a key may hold a large share of the rows): see ``prep.number_within_groups``."""
+    from ..operators.prep import number_within_groups
+
     u = existing.unionByName(new)
-    w = Window.partitionBy(*key_cols).orderBy(batch_col, idx_col)
-    return u.withColumn(idx_col, (F.row_number().over(w) - 1).cast("int"))
+    return number_within_groups(u, key_cols, [batch_col, idx_col], "_rn").withColumn(
+        idx_col, F.col("_rn").cast("int")).drop("_rn")
 
 
 def flatten_export(groups: DataFrame, topic_col: str) -> DataFrame:

@@ -42,3 +42,17 @@ def test_flags_and_shortfall(spark):
     have = spark.createDataFrame([(1,), (1,), (1,), (2,)], "k int")
     s = P.shortfall(exp, have, ["k"], "n")
     assert sorted((r["k"], r["sample_idx"]) for r in s.collect()) == [(2, 0), (2, 1)]
+
+
+def test_number_within_groups_with_a_hot_key(spark):
+    import random
+
+    rnd = random.Random(2)
+    rows = [("hot", i, rnd.random()) for i in range(600)] + [(f"k{j}", i, rnd.random()) for j in range(30) for i in range(5)]
+    df = spark.createDataFrame(rows, "k string, i int, x double")
+    got = {(r["k"], r["i"]): r["rn"] for r in P.number_within_groups(df, ["k"], ["x", "i"], n_parts=7).collect()}
+    want = {}
+    for k in {r[0] for r in rows}:
+        for n, r in enumerate(sorted([r for r in rows if r[0] == k], key=lambda r: (r[2], r[1]))):
+            want[(k, r[1])] = n
+    assert got == want
