@@ -282,19 +282,6 @@ def laplacian(edges: DataFrame, items: DataFrame, group_cols: list[str], normali
 
 # ---------------------------------------------------------------- grouped spectral kernels
 
-def _vn_entropy(k: np.ndarray) -> tuple[float, float]:
-    """G19 + G20: normalise the kernel, divide by n, −Σ e ln e over |e| > 1e-8;
-    returns (scaled by ln n, unscaled) from one eigen-decomposition."""
-    n = k.shape[0]
-    d = np.sqrt(np.diag(k)) + KERNEL_EPS
-    kn = k / np.outer(d, d) / n
-    ev = np.linalg.eigvalsh((kn + kn.T) / 2)
-    ev = ev[np.abs(ev) > EIG_FLOOR]
-    with np.errstate(invalid="ignore"):
-        h = float(-np.sum(ev * np.log(ev)))
-    return (h / np.log(n) if n > 1 else float("nan")), h
-
-
 def _laplacians(adj: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     deg = adj.sum(axis=1)
     plain = np.diag(deg) - adj
@@ -306,28 +293,48 @@ def _laplacians(adj: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _kernel_panel(adj: np.ndarray) -> list[tuple[str, float]]:
-    """G17 + G18 + G21: 32 kernels (heat, Matérn; plain and normalised Laplacian) × scaled/unscaled."""
+    """G17 + G18 + G21: 32 kernels (heat, Matérn; plain and normalised Laplacian) × scaled/unscaled.
+
+    All kernels share the two Laplacian eigenbases: they are built with one ``einsum`` per
+    family, and their entropies come from one stacked ``eigvalsh`` call."""
     plain, norm = _laplacians(adj)
+    names, spectra, bases = [], [], []
     eig = {False: np.linalg.eigh(plain), True: np.linalg.eigh(norm)}
-    kernels = []
     for t in HEAT_T:
         for normed, name in ((False, "heat"), (True, "heatn")):
             lam, v = eig[normed]
-            kernels.append((f"{name}_t={t:.2}", (v * np.exp(-t * lam)) @ v.T))
+            names.append(f"{name}_t={t:.2}")
+            spectra.append(np.exp(-t * lam))
+            bases.append(v)
     for kappa in MATERN_KAPPA:
         for nu in MATERN_NU:
             for normed, name in ((False, "matern"), (True, "maternn")):
                 lam, v = eig[normed]
-                f = np.power(2 * nu / kappa ** 2 + lam, -nu)
-                kernels.append((f"{name}_kappa={kappa:.2}_nu={nu:.2}", (v * f) @ v.T))
+                names.append(f"{name}_kappa={kappa:.2}_nu={nu:.2}")
+                spectra.append(np.power(2 * nu / kappa ** 2 + lam, -nu))
+                bases.append(v)
+    v = np.stack(bases)
+    kernels = np.einsum("kij,kj,klj->kil", v, np.stack(spectra), v)
     out = []
-    for name, k in kernels:
-        scaled, plain_h = _vn_entropy(k)
+    for name, (scaled, plain_h) in zip(names, _vn_entropies(kernels)):
         out.append((f"{name}_kernel_entropy_s", scaled))
         out.append((f"{name}_kernel_entropy", plain_h))
     return out
 
 
+def _vn_entropies(kernels: np.ndarray) -> list[tuple[float, float]]:
+    """G19 + G20 for a stack of kernels: normalise, ÷ n, −Σ e ln e over |e| > 1e-8; (scaled, unscaled)."""
+    n = kernels.shape[1]
+    d = np.sqrt(np.einsum("kii->ki", kernels)) + KERNEL_EPS
+    kn = kernels / (d[:, :, None] * d[:, None, :]) / n
+    ev = np.linalg.eigvalsh((kn + kn.transpose(0, 2, 1)) / 2)
+    keep = np.abs(ev) > EIG_FLOOR
+    with np.errstate(invalid="ignore", divide="ignore"):
+        h = -np.sum(np.where(keep, ev * np.log(np.where(keep, ev, 1.0)), 0.0), axis=1)
+    scale = np.log(n) if n > 1 else float("nan")
+    return [(float(x / scale) if n > 1 else float("nan"), float(x)) for x in h]
+
+
 def _spectral(e: np.ndarray, pct_k: float) -> list[tuple[str, float]]:
     """G10 + G11 from the entailment slice E (diagonal 1)."""
     m = e.shape[0]
