@@ -56,6 +56,19 @@ def group_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         "index", F.col("response_idx").cast("int").alias("response_idx"), F.col("r.response").alias("response"))
 
 
+@register("a1_json_array_documents", sql="""
+SELECT conv_id AS "index", CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS response_idx, text AS response
+FROM conversations""")
+def json_array_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1: groups written as files that each hold one JSON array document, read back with
+    ``multiLine`` and an explicit schema, flattened."""
+    path = _scratch(spark, "group-arrays")
+    IO.write_json_array_documents(_groups(spark, sf_dir), path, n_files=4)
+    g = IO.read_groups(spark, path, multiline=True)
+    return g.select("index", F.posexplode("responses").alias("response_idx", "r")).select(
+        "index", F.col("response_idx").cast("int").alias("response_idx"), F.col("r.response").alias("response"))
+
+
 @register("a17_flatten_export", sql="SELECT 'conversation ' || conv_id AS topic, text AS output FROM conversations")
 def flatten_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(topic, output) export lines, one per response."""

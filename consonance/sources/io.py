@@ -170,3 +170,33 @@ def scan_logs(spark: SparkSession, path: str) -> DataFrame:
 def lookup_last(df: DataFrame, key_cols: list[str], value_col: str, order_col: str) -> DataFrame:
     """Key → value table where a repeated key keeps its last row (highest ``order_col``)."""
     return df.groupBy(*key_cols).agg(F.max_by(value_col, order_col).alias(value_col))
+
+
+def write_json_array_documents(df: DataFrame, path: str, n_files: int | None = None) -> None:
+    """A1 sink: every output file is one JSON array document (``[ {...}, {...} ]``).
+
+    Each partition streams its rows in order and frames them – '[' before the first,
+    ',' between, ']' after the last – so no group set is ever gathered; one file per
+    partition (``n_files`` repartitions first).
+    """
+    import pandas as pd
+
+    js = df.select(F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias("j"))
+    if n_files:
+        js = js.repartition(n_files)
+
+    def frame(batches):
+        prev, opened = None, False
+        for pdf in batches:
+            out = []
+            for v in pdf["j"].tolist():
+                if prev is not None:
+                    out.append(("" if opened else "[") + prev + ",")
+                    opened = True
+                prev = v
+            if out:
+                yield pd.DataFrame({"value": out})
+        if prev is not None:
+            yield pd.DataFrame({"value": [("" if opened else "[") + prev + "]"]})
+
+    js.mapInPandas(frame, schema="value string").write.mode("overwrite").text(path)

@@ -57,3 +57,16 @@ def test_additive_sweep_equals_embedding_truncated_text(spark):
     t = S.truncation_sweep(st, ["g", "r"], [1, 3, 6, 50]).select("g", "r", "response_count", EM.hashed_embedding(F.col("truncated")).alias("vec"))
     b = {(x["g"], x["r"], x["response_count"]): x["vec"] for x in t.collect()}
     assert a == b
+
+
+def test_json_array_document_sink_round_trip(spark):
+    import glob
+
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(23)], "k int, v string")
+    d = tempfile.mkdtemp(prefix="consonance-a1w-") + "/out"
+    IO.write_json_array_documents(df, d, n_files=3)
+    for f in glob.glob(d + "/part-*"):
+        if os.path.getsize(f):
+            assert isinstance(json.load(open(f)), list)
+    back = spark.read.schema("k int, v string").option("multiLine", True).json(d)
+    assert sorted(tuple(r) for r in back.collect()) == [(i, f"t{i}") for i in range(23)]
