@@ -1,0 +1,65 @@
+"""Simulate the driver's correctness gate as an outsider would run it.
+
+A plain SparkSession with default settings (optionally another session time zone), the entry
+module loaded by file path from a foreign working directory, every registered query at an sf
+directory compared with its DuckDB oracle.
+
+    cd /tmp && python /root/repo/tools/gate_sim.py [/root/testdata/sf0.01] [Time/Zone]
+"""
+
+import importlib.util
+import os
+import sys
+import time
+
+import duckdb
+from pyspark.sql import SparkSession
+
+HERE = os.path.dirname(os.path.abspath(__file__))
+REPO = os.path.dirname(HERE)
+
+
+def load(name, path):
+    spec = importlib.util.spec_from_file_location(name, path)
+    mod = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(mod)
+    return mod
+
+
+def main():
+    sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
+    builder = (SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
+               .config("spark.ui.showConsoleProgress", "false"))
+    if len(sys.argv) > 2:
+        builder = builder.config("spark.sql.session.timeZone", sys.argv[2])
+    E = load("gate_entry", os.path.join(REPO, "__spark_entry__.py"))
+    OC = load("gate_oc", os.path.join(HERE, "oracle_check.py"))
+    spark = builder.getOrCreate()
+    spark.sparkContext.setLogLevel("ERROR")
+    con = duckdb.connect()
+    for t in ("region nation customer supplier part orders lineitem events documents embeddings pages "
+              "benchmark labels conversations").split():
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    print("entry rows", E.entry(spark).count())
+    qs, sqls = E.queries(), E.oracle_sql()
+    bad, t0 = [], time.time()
+    for k in sorted(qs):
+        try:
+            df = qs[k](spark, sf)
+            rows = [tuple(r) for r in df.collect()]
+        except Exception as e:  # noqa: BLE001
+            bad.append((k, "spark " + str(e)[:200]))
+            continue
+        if k in sqls:
+            res = con.execute(sqls[k])
+            dcols = [d[0] for d in res.description]
+            drows = res.fetchall()
+            if (sorted(df.columns) != sorted(dcols) or len(rows) != len(drows)
+                    or OC.digest(df.columns, rows)[0] != OC.digest(dcols, drows)[0]):
+                bad.append((k, "mismatch"))
+    print("queries", len(qs), "oracles", len(sqls), "problems", bad, "seconds", round(time.time() - t0))
+    spark.stop()
+
+
+if __name__ == "__main__":
+    main()
