@@ -21,17 +21,23 @@ def _r6(*cols: str):
 
 
 def _samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """FX-LAB judge samples: 0 = quality, 1 = not toxic, 2 = quality over non-toxic docs only."""
+    """FX-LAB judge samples: 0 = quality, 1 = not toxic, 2 = quality over non-toxic docs only.
+
+    One join of documents and labels; the three samples come from one ``explode``."""
     ld = FX.labelled_documents(spark, sf_dir)
-    base = [F.col("source"), F.col("lang"), F.lit("stand_in").alias("model")]
-    s0 = ld.select(*base, F.lit(0).alias("sample_idx"), F.col("doc_id").alias("statement_idx"),
-                   (F.col("quality") == 1).alias("label"))
-    s1 = ld.select(*base, F.lit(1).alias("sample_idx"), F.col("doc_id").alias("statement_idx"),
-                   (F.col("toxic") == 0).alias("label"))
-    s2 = ld.filter(F.col("toxic") == 0).select(*base, F.lit(2).alias("sample_idx"), F.col("doc_id").alias("statement_idx"),
-                                               (F.col("quality") == 1).alias("label"))
-    n = ld.groupBy(*RESP).agg(F.count(F.lit(1)).alias("n_statements"))
-    return s0.unionByName(s1).unionByName(s2), n
+    q, nt = F.col("quality") == 1, F.col("toxic") == 0
+    x = F.explode(F.array(
+        F.struct(F.lit(0).alias("sample_idx"), q.alias("label"), F.lit(True).alias("keep")),
+        F.struct(F.lit(1).alias("sample_idx"), nt.alias("label"), F.lit(True).alias("keep")),
+        F.struct(F.lit(2).alias("sample_idx"), q.alias("label"), nt.alias("keep"))))
+    samples = (ld.select("source", "lang", F.lit("stand_in").alias("model"), F.col("doc_id").alias("statement_idx"),
+                         x.alias("x"))
+               .filter(F.col("x.keep"))
+               .select("source", "lang", "model", F.col("x.sample_idx").alias("sample_idx"), "statement_idx",
+                       F.col("x.label").alias("label")))
+    # sample 0 labels every labelled document: its size per response is the statement count
+    n = samples.filter(F.col("sample_idx") == 0).groupBy(*RESP).agg(F.count(F.lit(1)).alias("n_statements"))
+    return samples, n
 
 
 SQL_LD = """ld AS (SELECT d.doc_id, d.source, d.lang, l.quality, l.toxic FROM documents d JOIN labels l USING (doc_id))"""
