@@ -5,8 +5,9 @@ of the unit rows is never materialised as a pair table here: every quantity
 below depends on Z only through its spectrum or its Frobenius norm, and those
 equal the spectrum / norm of the d×d Gram UᵀU. So
 
-* groups with K <= ``direct_max_k`` are scored in one grouped numpy kernel
-  (``applyInPandas``; the group's K×d matrix is small by construction), and
+* groups with K <= ``direct_max_k`` are scored by a batched numpy kernel over
+  partitions sorted by group (many groups per Arrow batch, stacked eigen-solvers; a
+  group's K×d matrix is small by construction), and
 * larger ("hot") groups are never gathered: every input partition emits its
   partial d×d Gram per group (``mapInPandas``), Spark sums the partials with a
   native aggregation, and one d×d eigen-problem per group finishes the job.
