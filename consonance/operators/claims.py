@@ -130,17 +130,44 @@ def _bfs(adj: list[list[int]], s: int) -> tuple[np.ndarray, list[int], list[list
     return dist, order, preds, sigma
 
 
-def centralities(n_conn: int, edges: np.ndarray, n_total: int) -> dict[str, np.ndarray]:
-    """H5–H8 on a graph of ``n_conn`` connected nodes (0..n_conn-1) plus
-    ``n_total - n_conn`` isolated ones. Returns arrays over the connected nodes
-    and the isolated nodes' common values under key ``'isolated'``."""
-    n = n_total
+DENSE_BFS_MAX_NODES = 3000   # all-source BFS as matrix products up to this many connected nodes
+
+
+def _paths_dense(n_conn: int, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All-source BFS with shortest-path counts and Brandes dependencies, one matrix
+    product per BFS level (rows = sources). Returns (raw betweenness, distance matrix)."""
+    a = np.zeros((n_conn, n_conn))
+    a[edges[:, 0], edges[:, 1]] = 1.0
+    a[edges[:, 1], edges[:, 0]] = 1.0
+    dist = np.full((n_conn, n_conn), -1, dtype=np.int64)
+    sigma = np.zeros((n_conn, n_conn))
+    np.fill_diagonal(dist, 0)
+    np.fill_diagonal(sigma, 1.0)
+    frontier = np.eye(n_conn)
+    level = 0
+    while frontier.any():
+        nxt = frontier @ a
+        new = (nxt > 0) & (dist < 0)
+        level += 1
+        dist[new] = level
+        sigma[new] = nxt[new]
+        frontier = np.where(new, sigma, 0.0)
+    delta = np.zeros((n_conn, n_conn))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for d in range(level - 1, 0, -1):
+            x = np.where(dist == d + 1, (1.0 + delta) / sigma, 0.0)
+            delta = np.where(dist == d, sigma * (x @ a), delta)
+    return delta.sum(axis=0), dist
+
+
+def _paths_loop(n_conn: int, edges: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Per-source BFS (Brandes) in O(V + E) memory, for graphs too large for dense levels."""
     adj: list[list[int]] = [[] for _ in range(n_conn)]
     for a, b in edges:
         adj[a].append(b)
         adj[b].append(a)
     bet = np.zeros(n_conn)
-    clo = np.zeros(n_conn)
+    dists = []
     for s in range(n_conn):
         dist, order, preds, sigma = _bfs(adj, s)
         delta = np.zeros(n_conn)
@@ -149,6 +176,24 @@ def centralities(n_conn: int, edges: np.ndarray, n_total: int) -> dict[str, np.n
                 delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
             if w != s:
                 bet[w] += delta[w]
+        dists.append(dist)
+    return bet, dists
+
+
+def centralities(n_conn: int, edges: np.ndarray, n_total: int,
+                 dense_max: int = DENSE_BFS_MAX_NODES) -> dict[str, np.ndarray]:
+    """H5–H8 on a graph of ``n_conn`` connected nodes (0..n_conn-1) plus
+    ``n_total - n_conn`` isolated ones. Returns arrays over the connected nodes
+    and the isolated nodes' common values under key ``'isolated'``."""
+    n = n_total
+    edges = np.asarray(edges, dtype=int).reshape(-1, 2)
+    if 0 < n_conn <= dense_max:
+        bet, dist_m = _paths_dense(n_conn, edges)
+        dist_rows = list(dist_m)
+    else:
+        bet, dist_rows = _paths_loop(n_conn, edges)
+    clo = np.zeros(n_conn)
+    for s, dist in enumerate(dist_rows):
         reach = dist[dist > 0]
         r, tot = len(reach), float(reach.sum())
         clo[s] = (r / tot) * (r / (n - 1)) if tot > 0 and n > 1 else 0.0

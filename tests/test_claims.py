@@ -63,3 +63,20 @@ def test_iterative_pagerank_matches_kernel(spark):
     want["c2"] = m["isolated"][2]
     for k, v in want.items():
         assert got[k] == pytest.approx(v, abs=1e-5)
+
+
+def test_dense_level_bfs_equals_per_source_bfs():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        nc, nr = int(rng.integers(1, 10)), int(rng.integers(1, 10))
+        e = [(c, nc + r) for c in range(nc) for r in range(nr) if rng.random() < 0.3]
+        if not e:
+            continue
+        used = sorted({x for ed in e for x in ed})
+        pos = {v: k for k, v in enumerate(used)}
+        ed = np.array([(pos[a], pos[b]) for a, b in e])
+        n_total = len(used) + int(rng.integers(0, 4))
+        a = H.centralities(len(used), ed, n_total)
+        b = H.centralities(len(used), ed, n_total, dense_max=0)
+        for k in ("betweenness", "closeness"):
+            assert np.allclose(a[k], b[k], atol=1e-12)
