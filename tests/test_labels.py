@@ -36,3 +36,12 @@ def test_truth_and_entropy(spark):
     p = [0.5, 0.25, 0.25]
     assert abs(h["entropy"] - (-sum(x * math.log(x) for x in p))) < 1e-12
     assert abs(h["entropy_scaled"] - h["entropy"] / math.log(4)) < 1e-12
+
+
+def test_one_flagged_response_fails_its_group(spark):
+    status = spark.createDataFrame([("s1", "en", True), ("s1", "fr", False), ("s2", "en", False)],
+                                   "source string, lang string, flagged boolean")
+    ok, bad = E.split_by_group_flag(status, ["source"])
+    assert sorted((r["source"], r["lang"]) for r in bad.collect()) == [("s1", "en"), ("s1", "fr")]
+    assert {r["reason"] for r in bad.collect()} == {"sampled_labels_mismatch"}
+    assert [(r["source"], r["lang"]) for r in ok.collect()] == [("s2", "en")]
