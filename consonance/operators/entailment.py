@@ -28,7 +28,12 @@ from pyspark.sql import types as T
 from ..functions import text as TX
 
 
-# Fixed values of the kernel panel and thresholds.
+# Fixed values of the kernel panel and thresholds (names must match the original metric keys).
+HEAT_NAME = "{kind}_t={t:.2}"                        # kind: heat (plain L), heatn (normalised L)
+MATERN_NAME = "{kind}_kappa={kappa:.2}_nu={nu:.2}"   # kind: matern, maternn
+ENTROPY_SUFFIX = "_kernel_entropy"
+SCALED_SUFFIX = "_s"
+WEIGHTED_PREFIX = "weighted_"
 HEAT_T = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7]
 MATERN_KAPPA = [1.0, 2.0, 3.0]
 MATERN_NU = [1.0, 2.0, 3.0]
@@ -303,22 +308,22 @@ def _kernel_panel(adj: np.ndarray) -> list[tuple[str, float]]:
     for t in HEAT_T:
         for normed, name in ((False, "heat"), (True, "heatn")):
             lam, v = eig[normed]
-            names.append(f"{name}_t={t:.2}")
+            names.append(HEAT_NAME.format(kind=name, t=t))
             spectra.append(np.exp(-t * lam))
             bases.append(v)
     for kappa in MATERN_KAPPA:
         for nu in MATERN_NU:
             for normed, name in ((False, "matern"), (True, "maternn")):
                 lam, v = eig[normed]
-                names.append(f"{name}_kappa={kappa:.2}_nu={nu:.2}")
+                names.append(MATERN_NAME.format(kind=name, kappa=kappa, nu=nu))
                 spectra.append(np.power(2 * nu / kappa ** 2 + lam, -nu))
                 bases.append(v)
     v = np.stack(bases)
     kernels = np.einsum("kij,kj,klj->kil", v, np.stack(spectra), v)
     out = []
     for name, (scaled, plain_h) in zip(names, _vn_entropies(kernels)):
-        out.append((f"{name}_kernel_entropy_s", scaled))
-        out.append((f"{name}_kernel_entropy", plain_h))
+        out.append((name + ENTROPY_SUFFIX + SCALED_SUFFIX, scaled))
+        out.append((name + ENTROPY_SUFFIX, plain_h))
     return out
 
 
@@ -389,7 +394,7 @@ def spectral_panel(pairs: DataFrame, items: DataFrame, group_cols: list[str], pc
         unweighted = (wm >= EDGE_THRESHOLD).astype(float)
         if m > 0:
             rows += _kernel_panel(unweighted)
-            rows += [(f"weighted_{k}", v) for k, v in _kernel_panel(wm)]
+            rows += [(WEIGHTED_PREFIX + k, v) for k, v in _kernel_panel(wm)]
         out = pd.DataFrame(rows, columns=["metric", "value"])
         for g in group_cols:
             out[g] = pdf[g].iloc[0]

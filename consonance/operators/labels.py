@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# Fixed values.
 ENTROPY_FLOOR = 1e-10
+LENGTH_MISMATCH_REASON = "sampled_labels_mismatch"
 
 
 def factuality(statements: DataFrame, resp_cols: list[str], class_col: str = "class") -> DataFrame:
@@ -60,7 +62,7 @@ def split_by_group_flag(status: DataFrame, group_cols: list[str], flag_col: str
     w = Window.partitionBy(*group_cols)
     s = status.withColumn("_bad", F.max(F.col(flag_col).cast("int")).over(w) == 1)
     return s.filter(~F.col("_bad")).drop("_bad"), s.filter(F.col("_bad")).drop("_bad").withColumn(
-        "reason", F.lit("sampled_labels_mismatch"))
+        "reason", F.lit(LENGTH_MISMATCH_REASON))
 
 
 def statement_truth(kept: DataFrame, key_cols: list[str]) -> DataFrame:
