@@ -33,6 +33,10 @@ JOB_RESULT = T.StructType([
     T.StructField("_corrupt_record", T.StringType()),
 ])
 ERROR_KEYWORDS = "(?i)(error|exception|traceback|failed)"
+# Fixed values of the batch-inference request lines.
+CUSTOM_ID_PREFIX = "chat-completion-"
+REQUEST_METHOD = "POST"
+REQUEST_URL = "/v1/chat/completions"
 
 
 def read_groups(spark: SparkSession, path: str, schema: T.StructType = GROUP, multiline: bool = False) -> DataFrame:
@@ -114,10 +118,10 @@ def batch_requests(prompts: DataFrame, order_cols: list[str], model: str, system
                     F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content")),
                             F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content"))).alias("messages"),
                     *[F.lit(v).alias(k) for k, v in kept.items()])
-    return idx.select(*order_cols, F.concat(F.lit("chat-completion-"), F.col("_i").cast("string")).alias("custom_id"),
-                      F.to_json(F.struct(F.concat(F.lit("chat-completion-"), F.col("_i").cast("string")).alias("custom_id"),
-                                         F.lit("POST").alias("method"), F.lit("/v1/chat/completions").alias("url"),
-                                         body.alias("body"))).alias("value"))
+    cid = F.concat(F.lit(CUSTOM_ID_PREFIX), F.col("_i").cast("string"))
+    return idx.select(*order_cols, cid.alias("custom_id"),
+                      F.to_json(F.struct(cid.alias("custom_id"), F.lit(REQUEST_METHOD).alias("method"),
+                                         F.lit(REQUEST_URL).alias("url"), body.alias("body"))).alias("value"))
 
 
 BATCH_RESULT = T.StructType([
