@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, token_store
+from . import decontaminate, packing, quality, token_store
 from .common import read_table
 
+QUALITY_THRESHOLD = 0.3
 END_OF_DOCUMENT_STORE, END_OF_DOCUMENT_PACK = 0, 1
 
 
@@ -26,11 +28,51 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=END_OF_DOCUMENT_PACK, with_ids=False)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.scan(docs, read_table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("doc.doc_id").alias("doc_id"), "hits.n_words", "hits.n_hit", F.size("hits.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("hits.items", ","), 256).alias("items_sha256"),
+        decontaminate.contaminated(F.col("hits")).alias("contaminated"))
+
+
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bn AS (SELECT item_id, w, least(13, len(w)) AS n FROM b WHERE len(w) > 0),
+bi AS (SELECT item_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM bn),
+wins AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM bi),
+lens AS (SELECT DISTINCT n FROM wins),
+di AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, lens WHERE len(w) >= n),
+hits AS (SELECT x.doc_id, x.i, x.n, wins.item_id FROM (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM di) x JOIN wins ON wins.n = x.n AND wins.s = x.s),
+cov AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS digest
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(cov.n_hit, 0) AS n_hit, coalesce(named.n_items, 0) AS n_items,
+       coalesce(named.digest, sha256('')) AS items_sha256,
+       coalesce(cov.n_hit, 0) > 0 AND 20 * coalesce(cov.n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN cov ON cov.doc_id = d.doc_id LEFT JOIN named ON named.doc_id = d.doc_id
+"""
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, read_table(spark, sf_dir, "labels"))
+    return scored.select(
+        "key.doc_id", quality.held_out(F.col("key.doc_id")).alias("held_out"), "score",
+        F.when(F.col("score") >= QUALITY_THRESHOLD, 1).otherwise(0).alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_store": op2_token_store,
     "op4_packing": op4_packing,
+    "op7_decontamination": op7_decontamination,
+    "op8_quality_classifier": op8_quality_classifier,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_decontamination": OP7_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
