@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality, token_store
+from . import decontaminate, packing, pii, quality, token_store
 from .common import read_table
 
 QUALITY_THRESHOLD = 0.3
@@ -66,11 +66,20 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("score") >= QUALITY_THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    base, found = F.col("base"), pii.find(docs, pii.fit(docs))
+    return found.select(
+        F.col("doc.doc_id").alias("doc_id"), *[pii.count_of(base, k).alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_store": op2_token_store,
     "op4_packing": op4_packing,
     "op7_decontamination": op7_decontamination,
     "op8_quality_classifier": op8_quality_classifier,
+    "op10_personal_data": op10_personal_data,
 }
 ORACLES: dict[str, str] = {"op7_decontamination": OP7_SQL}
 
