@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, pii, quality, token_store
+from . import decontaminate, near_dup, packing, pii, quality, token_store
 from .common import read_table
 
 QUALITY_THRESHOLD = 0.3
@@ -24,6 +24,11 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(read_table(spark, sf_dir, "documents"), tokenizer_path(), END_OF_DOCUMENT_STORE)
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dup.join(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "n_links", "n_copies")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=END_OF_DOCUMENT_PACK, with_ids=False)
 
@@ -76,6 +81,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_store": op2_token_store,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_packing": op4_packing,
     "op7_decontamination": op7_decontamination,
     "op8_quality_classifier": op8_quality_classifier,
