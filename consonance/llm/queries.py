@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dup, packing, pii, quality, token_store
+from . import decontaminate, licences, near_dup, packing, pii, quality, token_store
 from .common import read_table
 
 QUALITY_THRESHOLD = 0.3
@@ -71,6 +72,34 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("score") >= QUALITY_THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(read_table(spark, sf_dir, "documents"), licences.known_licences(spark), ["doc_id"])
+    return found.select("doc_id", "licence", "n_lines", F.array_join("line_licences", ",").alias("line_licences"))
+
+
+def _sql_text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _op9_sql() -> str:
+    plain = f"trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), {_sql_text(licences.COPYRIGHT_LINE)}, '', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    spelt = "plain"
+    for pattern, kept in licences.SPELLINGS:
+        spelt = f"regexp_replace({spelt}, {_sql_text(pattern)}, {_sql_text(re.sub(r'[$]([0-9])', chr(92) + r'\1', kept))}, 'g')"
+    known = ", ".join(f"({_sql_text(k)}, {_sql_text(t)})" for k, t in licences.KNOWN)
+    return f"""
+WITH known AS (SELECT md5({spelt}) AS digest, min(licence) AS licence
+               FROM (SELECT licence, {plain} AS plain FROM (VALUES {known}) v(licence, text)) WHERE plain <> '' GROUP BY 1),
+units AS (SELECT doc_id, unnest(list_prepend(coalesce(text, ''), string_split(coalesce(text, ''), chr(10)))) AS text,
+          unnest(range(0, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS line FROM documents),
+hits AS (SELECT doc_id, line, licence FROM (SELECT doc_id, line, {plain} AS plain FROM units) u JOIN known ON known.digest = md5({spelt}) WHERE plain <> ''),
+found AS (SELECT doc_id, min(licence) FILTER (WHERE line = 0) AS licence, count(*) FILTER (WHERE line > 0) AS n_lines,
+          string_agg(DISTINCT licence, ',' ORDER BY licence) FILTER (WHERE line > 0) AS line_licences FROM hits GROUP BY doc_id)
+SELECT d.doc_id, f.licence, coalesce(f.n_lines, 0) AS n_lines, coalesce(f.line_licences, '') AS line_licences
+FROM documents d LEFT JOIN found f ON f.doc_id = d.doc_id
+"""
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     base, found = F.col("base"), pii.find(docs, pii.fit(docs))
@@ -85,9 +114,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op7_decontamination": op7_decontamination,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_licence_scan": op9_licence_scan,
     "op10_personal_data": op10_personal_data,
 }
-ORACLES: dict[str, str] = {"op7_decontamination": OP7_SQL}
+ORACLES: dict[str, str] = {"op7_decontamination": OP7_SQL, "op9_licence_scan": _op9_sql()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
