@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, cut_lineage
 
 # Fixed templates and values (must equal the original's for identical prompts).
 ENTITY_QUESTION = "Write a few paragraphs on '{a}'."
@@ -148,20 +148,25 @@ def keep_first(df: DataFrame, subset: list[str], order_cols: list[str]) -> DataF
     return g.select(*subset, *[F.col(f"_f._v_{c}").alias(c) for c in others]).select(*df.columns)
 
 
+def _ranged(df: DataFrame, order_cols: list[str], n_parts: int | None) -> DataFrame:
+    """``df`` in sorted ranges with ``_pid`` and the row number ``_local`` in it, evaluated once.
+
+    The ranges come from a sample, which differs from plan to plan, so both columns are fixed by a
+    checkpoint: row numbers and offsets must come from one evaluation.
+    """
+    n = n_parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    s = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols).withColumn("_pid", F.spark_partition_id())
+    return cut_lineage(s.withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("long"), 33)))
+
+
 def dense_index(df: DataFrame, order_cols: list[str], col: str = "row_idx", n_parts: int | None = None) -> DataFrame:
     """Dense 0-based index in ``order_cols`` order without a single-partition window.
 
     Range-partition and sort, number rows inside each partition, then add the
     partition's offset from a per-partition count table (one row per partition).
-    The in-partition number is the low 33 bits of ``monotonically_increasing_id``
-    (assigned in sorted order), so no window and no further shuffle is needed.
     ``order_cols`` must be unique (ties would make the numbering order-dependent).
     """
-    spark = df.sparkSession
-    n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    s = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols).withColumn(
-        "_pid", F.spark_partition_id())
-    s = s.withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("long"), 33))
+    s = _ranged(df, order_cols, n_parts)
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_c").over(
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -253,17 +258,17 @@ def number_within_groups(df: DataFrame, key_cols: list[str], order_cols: list[st
     """0-based row number per key in ``order_cols`` order, exact, without a per-key window.
 
     Range-partition and sort by (key, order): a hot key spans many partitions. Inside a
-    partition a key's rows are contiguous and numbered from ``monotonically_increasing_id``;
-    the key's offset in a partition is its row count in earlier partitions, from a count
-    table with one row per (partition, key). ``key_cols + order_cols`` must be unique.
+    partition a key's rows are contiguous; the key's offset in a partition is its row count in
+    earlier partitions, from a count table with one row per (partition, key). Null keys are keys
+    of their own. ``key_cols + order_cols`` must be unique.
     """
-    spark = df.sparkSession
-    n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    s = (df.repartitionByRange(n, *key_cols, *order_cols).sortWithinPartitions(*key_cols, *order_cols)
-         .withColumn("_pid", F.spark_partition_id())
-         .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("long"), 33)))
+    s = _ranged(df, [*key_cols, *order_cols], n_parts)
     per = s.groupBy(*key_cols, "_pid").agg(F.min("_local").alias("_first"), F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*key_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("_off", F.coalesce(F.sum("_c").over(w), F.lit(0)))
-    return s.join(per.select(*key_cols, "_pid", "_first", "_off"), key_cols + ["_pid"]).withColumn(
-        col, (F.col("_off") + F.col("_local") - F.col("_first")).cast("long")).drop("_pid", "_local", "_first", "_off")
+    per = per.select(*[F.col(c).alias(f"_k_{c}") for c in key_cols], F.col("_pid").alias("_p"), "_first", "_off")
+    same = F.col("_pid") == F.col("_p")
+    for c in key_cols:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    return s.join(per, same).withColumn(col, (F.col("_off") + F.col("_local") - F.col("_first")).cast("long")).drop(
+        "_pid", "_local", "_first", "_off", "_p", *[f"_k_{c}" for c in key_cols])
