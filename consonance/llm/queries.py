@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licences, near_dup, packing, pii, quality, sharding, token_store
+from . import ann, chat, decontaminate, licences, near_dup, packing, pii, quality, sharding, token_store
 from .common import read_table
 
 QUALITY_THRESHOLD = 0.3
@@ -21,6 +21,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(read_table(spark, sf_dir, "documents"), tokenizer_path(), END_OF_DOCUMENT_STORE)
 
@@ -124,6 +128,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_collision_counting": op1_collision_counting,
     "op2_token_store": op2_token_store,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_packing": op4_packing,
