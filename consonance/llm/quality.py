@@ -152,12 +152,34 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def score(docs: DataFrame, labels: DataFrame, key: Column | None = None) -> DataFrame:
-    """(key, score) of every row of ``docs(doc_id, text)``, learnt from the ``labels(doc_id, quality)`` not held out."""
-    key = F.struct("doc_id") if key is None else key
-    both = F.struct(F.col("doc_id"), key.alias("own"))
-    x = stored(document_statistics(docs, both), "document-statistics")
+def _train(x: DataFrame, labels: DataFrame) -> QuadraticDiscriminant:
+    """From ``x(key, x)``, whose key holds ``doc_id``, and the ``labels(doc_id, quality)`` that are not held out."""
     train = labels.filter(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
-    model = fit(x.join(train, F.col("key.doc_id") == F.col("id")).select("label", "x"))
-    scored = x.select(F.col("key.own").alias("key"), "x")
-    return scored.mapInArrow(_scores_of(model), f"key {scored.schema['key'].dataType.simpleString()}, score double")
+    return fit(x.join(train, F.col("key.doc_id") == F.col("id")).select("label", "x"))
+
+
+def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, score) of every row of ``docs(doc_id, text)``; ``key`` is a struct of its ``doc_id``."""
+    x = stored(document_statistics(docs, F.struct("doc_id")), "document-statistics")
+    model = _train(x, labels)
+    return x.mapInArrow(_scores_of(model), f"key {x.schema['key'].dataType.simpleString()}, score double")
+
+
+def _keep_of(model: QuadraticDiscriminant, text_at: int, threshold: float):
+    def run(batches):
+        for batch in batches:
+            x = statistics(*text_bytes(batch.column(0).field(text_at)))
+            yield batch.filter(pa.array(model.scores(x) >= threshold))
+
+    return run
+
+
+def keep(docs: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """``docs`` whose score reaches the threshold, with all their columns.
+
+    Statistics are computed once for the fit (kept without texts) and again in the pass that filters, so
+    that no text is shuffled or copied for the fit.
+    """
+    model = _train(stored(document_statistics(docs.select("doc_id", "text"), F.struct("doc_id")), "document-statistics"), labels)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    return rows.mapInArrow(_keep_of(model, docs.columns.index("text"), threshold), rows.schema).select("doc.*")
