@@ -70,13 +70,14 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 _POWERS: dict[str, np.ndarray] = {}
-_BASE, _BASE_INV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+_BASE = {"up": 0x9E3779B97F4A7C15, "down": pow(0x9E3779B97F4A7C15, -1, 1 << 64)}
 
 
-def _powers(name: str, base: int, n: int) -> np.ndarray:
+def powers(name: str, n: int) -> np.ndarray:
+    """The first ``n`` powers of an odd base ("up") or its inverse ("down") modulo 2^64."""
     have = _POWERS.get(name)
     if have is None or len(have) < n:
-        p = np.full(max(n, BLOCK + 1), base, np.uint64)
+        p = np.full(max(n, BLOCK + 1), _BASE[name], np.uint64)
         p[0] = 1
         have = _POWERS[name] = np.cumprod(p, dtype=np.uint64)
     return have[:n]
@@ -127,8 +128,8 @@ def words(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
         last[inner] = w[inner]
         s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
         sums = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum(b.astype(np.uint64) * _powers("up", _BASE, len(b)), out=sums[1:])
-        hs.append(mix((sums[e] - sums[s]) * _powers("down", _BASE_INV, len(b))[s]))
+        np.cumsum(b.astype(np.uint64) * powers("up", len(b)), out=sums[1:])
+        hs.append(mix((sums[e] - sums[s]) * powers("down", len(b))[s]))
         st.append(s + a)
         en.append(e + a)
     if not st:
@@ -143,7 +144,7 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     if m <= 0:
         return np.zeros(0, np.uint64)
     out = np.zeros(m, np.uint64)
-    for k, c in enumerate(_powers("up", _BASE, n + 1)[1:]):
+    for k, c in enumerate(powers("up", n + 1)[1:]):
         out += h[k: k + m] * c
     return mix(out ^ np.uint64(n))
 
