@@ -86,7 +86,7 @@ def kd_tree(points: DataFrame, dims: list[str], shards: int, bins: int = 4096, t
 
 
 def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, metadata: tuple[str, ...] = ("lang", "source"),
-          max_group: float = 0.25) -> DataFrame:
+          max_group: float = 0.5) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, text_crc32, text_key, shard, slot (gapless per shard, by doc_id)."""
     prepare(docs.sparkSession)
     names = [c for c in metadata if c in docs.columns]
