@@ -2,7 +2,7 @@
 
 All operators are column expressions, equi/semi/anti joins and aggregations.
 Per-key "keep first" and per-group subsets avoid one-task-per-key windows:
-"first" is a ``min(struct(order…, row))`` aggregation (map-side partial), and
+"first" is a ``min_by(row, order)`` aggregation (map-side partial), and
 per-group top-k is computed per (group, salt) before a final per-group cut.
 """
 
@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, cut_lineage
+from ..functions import text as TX
+from ..session import cut_lineage
 
 # Fixed templates and values (must equal the original's for identical prompts).
 ENTITY_QUESTION = "Write a few paragraphs on '{a}'."
@@ -101,7 +102,7 @@ def embed_header(entity: Column, text: Column, model_name: str = "") -> Column:
 def entity_from_question(question: Column) -> Column:
     """Text after the first single quote, quotes dropped, trailing dots stripped, trimmed."""
     after = F.substring(question, F.instr(question, "'") + 1, F.length(question))
-    return F.trim(F.regexp_replace(F.replace(after, F.lit("'"), F.lit("")), "\\.+$", ""))
+    return TX.strip(F.regexp_replace(F.replace(after, F.lit("'"), F.lit("")), "\\.+$", ""))
 
 
 # ---------------------------------------------------------------- B9–B14 filters
@@ -115,17 +116,16 @@ def long_date(ts: Column) -> Column:
     return F.date_format(ts, LONG_DATE)
 
 
-def ambiguity_flags(entities: DataFrame, entity_col: str, first_names: DataFrame, places: DataFrame,
-                    list_rows: int = 1_000_000) -> DataFrame:
+def ambiguity_flags(entities: DataFrame, entity_col: str, first_names: DataFrame, places: DataFrame) -> DataFrame:
     """B11 + B12: flag single-word entities that are a common first name, or an ambiguous
     place (in the list, or ending in 'burg' with length > 4). Lists are user tables with a
-    ``name`` column, broadcast only below a proven row count."""
+    ``name`` column; Spark chooses the join by their measured bytes."""
     norm = F.lower(F.trim(F.col(entity_col)))
     one_word = F.size(F.split(norm, "\\s+")) == 1
     e = entities.withColumn("_n", norm)
     fn = first_names.select(F.lower(F.trim("name")).alias("_n")).distinct().withColumn("_fn", F.lit(True))
     pl = places.select(F.lower(F.trim("name")).alias("_n")).distinct().withColumn("_pl", F.lit(True))
-    e = e.join(broadcast_if_small(fn, list_rows), "_n", "left").join(broadcast_if_small(pl, list_rows), "_n", "left")
+    e = e.join(fn, "_n", "left").join(pl, "_n", "left")
     first = one_word & F.coalesce("_fn", F.lit(False))
     place = one_word & (F.coalesce("_pl", F.lit(False)) | (F.col("_n").endswith("burg") & (F.length("_n") > 4)))
     return e.withColumn("is_first_name", first).withColumn("is_ambiguous_place", place).drop("_n", "_fn", "_pl")
@@ -143,8 +143,8 @@ def split_valid(df: DataFrame, ok: Column, reason: str) -> tuple[DataFrame, Data
 def keep_first(df: DataFrame, subset: list[str], order_cols: list[str]) -> DataFrame:
     """One row per ``subset`` key – the first in ``order_cols`` order (order-stable)."""
     others = [c for c in df.columns if c not in subset]
-    packed = F.struct(*[F.col(c) for c in order_cols], *[F.col(c).alias(f"_v_{c}") for c in others])
-    g = df.groupBy(*subset).agg(F.min(packed).alias("_f"))
+    # only the order columns are compared, so the row may hold maps and long texts
+    g = df.groupBy(*subset).agg(F.min_by(F.struct(*[F.col(c).alias(f"_v_{c}") for c in others]), F.struct(*order_cols)).alias("_f"))
     return g.select(*subset, *[F.col(f"_f._v_{c}").alias(c) for c in others]).select(*df.columns)
 
 
@@ -175,7 +175,8 @@ def dense_index(df: DataFrame, order_cols: list[str], col: str = "row_idx", n_pa
 
 
 def hash_order(cols: list[str], seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), *[F.col(c) for c in cols])
+    """Order by the MD5 digest of the seed and the key as text (the same in any SQL engine)."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))
 
 
 def sample_rows(df: DataFrame, key_cols: list[str], n: int, seed: int = 0) -> DataFrame:
@@ -247,9 +248,9 @@ def shortfall(expected: DataFrame, existing: DataFrame, key_cols: list[str], n:
     return replicate(j, F.col("missing"), "sample_idx")
 
 
-def remap_aliases(df: DataFrame, col: str, aliases: DataFrame, alias_rows: int = 1_000_000) -> DataFrame:
+def remap_aliases(df: DataFrame, col: str, aliases: DataFrame) -> DataFrame:
     """Replace keys found in an alias table ``(alias, canonical)``; others unchanged."""
-    a = broadcast_if_small(aliases.select(F.col("alias").alias("_a"), F.col("canonical").alias("_c")), alias_rows)
+    a = aliases.select(F.col("alias").alias("_a"), F.col("canonical").alias("_c"))
     return df.join(a, F.col(col) == F.col("_a"), "left").withColumn(col, F.coalesce("_c", col)).drop("_a", "_c")
 
 

@@ -56,3 +56,28 @@ def test_number_within_groups_with_a_hot_key(spark):
         for n, r in enumerate(sorted([r for r in rows if r[0] == k], key=lambda r: (r[2], r[1]))):
             want[(k, r[1])] = n
     assert got == want
+
+
+def test_numbering_with_payload_is_dense_at_any_partitioning(spark):
+    """120,000 rows with a payload column: numbers are dense and rows are neither lost nor repeated."""
+    from consonance.sources import io as IO
+
+    n = 120_000
+    rows = spark.range(n).select(F.col("id"), (F.xxhash64("id") % 1000).alias("d"), F.repeat(F.lit("x"), 40).alias("payload"))
+    for parts in (8, 50):
+        got = P.dense_index(rows, ["d", "id"], "i", n_parts=parts)
+        x = got.agg(F.countDistinct("i"), F.min("i"), F.max("i"), F.countDistinct("id"), F.count("payload")).first()
+        assert tuple(x) == (n, 0, n - 1, n, n)
+    keyed = rows.withColumn("k", F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id") % 7))
+    got = P.number_within_groups(keyed, ["k"], ["d", "id"], "rn", n_parts=16).groupBy("k").agg(
+        F.countDistinct("rn").alias("a"), F.max("rn").alias("b"), F.count("payload").alias("c"))
+    assert all(r["a"] == r["c"] == r["b"] + 1 for r in got.collect())
+    req = IO.batch_requests(rows.select("id", F.col("payload").alias("prompt")), ["id"], "m", "s")
+    assert req.select("custom_id").distinct().count() == n
+
+
+def test_keep_first_on_maps_and_white_space(spark):
+    df = spark.createDataFrame([(1, 2, {"a": "x"}), (1, 1, {"b": "y"}), (2, 5, None)], "k int, o int, m map<string,string>")
+    assert {r["k"]: r["m"] for r in P.keep_first(df, ["k"], ["o"]).collect()} == {1: {"b": "y"}, 2: None}
+    e = spark.createDataFrame([("Write on 'The Cat\t'.",)], "q string").select(P.entity_from_question(F.col("q")).alias("e")).first()
+    assert e["e"] == "The Cat"
