@@ -21,41 +21,64 @@ from ..session import cut_lineage
 from . import statements as ST
 
 GEN_SCHEMA = "text string, logprobs array<double>"
-MAX_CLOSING_PASSES = 4
+CLOSING_PASSES = 4   # default number of passes after the first
 
 
 def generate(prompts: DataFrame, generate_fn, params: dict | None = None) -> DataFrame:
-    """K1: apply a batch generator to a prompt table; adds ``text`` and ``logprobs``."""
+    """K1: apply a batch generator to a prompt table; adds ``text``, ``logprobs`` and ``error``.
+
+    A batch whose call raises is tried again prompt by prompt; a prompt that raises gets a null
+    text and the error's message, so one bad prompt costs neither its batch nor the job.
+    """
     params = params or {}
     in_cols = prompts.columns
     schema = T.StructType(prompts.schema.fields + [T.StructField("text", T.StringType()),
-                                                    T.StructField("logprobs", T.ArrayType(T.DoubleType()))])
+                                                    T.StructField("logprobs", T.ArrayType(T.DoubleType())),
+                                                    T.StructField("error", T.StringType())])
+
+    def call(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = generate_fn(pdf.assign(**params))
+        return pd.DataFrame({"text": out["text"].to_numpy(), "logprobs": list(out["logprobs"]), "error": None})
 
     def run(batches):
         for pdf in batches:
-            out = generate_fn(pdf.assign(**{k: v for k, v in params.items()}))
-            res = pdf[in_cols].copy()
-            res["text"] = out["text"].to_numpy()
-            res["logprobs"] = list(out["logprobs"])
-            yield res
+            rows = pdf[in_cols].reset_index(drop=True)
+            out = _call_by_row(call, pdf, lambda e: pd.DataFrame({"text": [None], "logprobs": [None], "error": [e]}))
+            yield pd.concat([rows, out], axis=1)
 
     return prompts.mapInPandas(run, schema=schema)
 
 
+def _call_by_row(call, pdf: pd.DataFrame, failed) -> pd.DataFrame:
+    """``call`` on the whole batch or, where that raises, on each row alone (``failed(message)`` for a row that raises)."""
+    try:
+        return call(pdf).reset_index(drop=True)
+    except Exception:  # noqa: BLE001 - user code may raise anything
+        parts = []
+        for i in range(len(pdf)):
+            try:
+                parts.append(call(pdf.iloc[i: i + 1].reset_index(drop=True)))
+            except Exception as e:  # noqa: BLE001
+                parts.append(failed(f"{type(e).__name__}: {e}"))
+        return pd.concat(parts, ignore_index=True)
+
+
 def generate_with_retries(prompts: DataFrame, key_cols: list[str], generate_fn, is_valid,
                           passes: list[dict] | None = None) -> tuple[DataFrame, DataFrame]:
     """K2 + K3: failed prompts are generated again (later passes may change parameters,
-    e.g. temperature 0); after at most four closing passes the rest is quarantined
-    (all failures are kept, not only the last pass's). ``is_valid(df) -> Column``.
+    e.g. temperature 0); after the last of ``passes`` the rest is quarantined
+    (all failures are kept, not only the last pass's). ``is_valid`` is a Column; a prompt
+    whose call raised is not valid.
 
     Each pass is checkpointed to the shared folder so the plan does not grow with passes.
     """
-    passes = passes or [{}] + [{"temperature": 0.0}] * MAX_CLOSING_PASSES
+    passes = passes or [{}] + [{"temperature": 0.0}] * CLOSING_PASSES
     done = None
     todo = prompts
-    for params in passes[:MAX_CLOSING_PASSES + 1]:
-        out = cut_lineage(generate(todo, generate_fn, params).withColumn("_ok", is_valid))
-        good = out.filter("_ok").drop("_ok")
+    for params in passes:
+        ok = F.coalesce(is_valid, F.lit(False)) & F.col("error").isNull()
+        out = cut_lineage(generate(todo, generate_fn, params).withColumn("_ok", ok))
+        good = out.filter("_ok").drop("_ok", "error")
         done = good if done is None else done.unionByName(good)
         todo = cut_lineage(todo.join(good.select(*key_cols), key_cols, "left_anti"))
         if todo.limit(1).count() == 0:
@@ -69,25 +92,33 @@ def label_samples(statements: DataFrame, key_cols: list[str], models: list[str],
     """K4: every response is labelled by every judge model ``n_samples`` times.
 
     ``statements``: ``key…, prompt, n_statements``. Fan-out is an ``explode`` of
-    the (models × samples) list per row; a failed call gives an empty sample.
-    Returns ``key…, model, sample_idx, labels array<boolean>`` (parsed by D5).
+    the (models × samples) list per row; a call that raises gives that one sample no labels.
+    Returns ``key…, model, sample_idx, labels array<boolean>, error`` (parsed by D5), a row for
+    every sample, also empty ones: ``sample_table`` turns it into E3's inputs.
     """
     fan = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(s).alias("sample_idx"))
                               for m in models for s in range(n_samples)]))
     tasks = statements.select(*key_cols, "prompt", fan.alias("t")).select(
         *key_cols, "prompt", F.col("t.model").alias("model"), F.col("t.sample_idx").alias("sample_idx"))
-    schema = T.StructType(tasks.schema.fields + [T.StructField("answer", T.StringType())])
+    schema = T.StructType(tasks.schema.fields + [T.StructField("answer", T.StringType()), T.StructField("error", T.StringType())])
+
+    def call(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"answer": np.asarray(judge_fn(pdf), dtype=object), "error": None})
 
     def run(batches):
         for pdf in batches:
-            try:
-                ans = judge_fn(pdf)
-            except Exception:  # noqa: BLE001 - a failed call yields an empty sample
-                ans = pd.Series([""] * len(pdf))
-            yield pdf.assign(answer=np.asarray(ans, dtype=object))
+            out = _call_by_row(call, pdf, lambda e: pd.DataFrame({"answer": [""], "error": [e]}))
+            yield pd.concat([pdf.reset_index(drop=True), out], axis=1)
 
     out = tasks.mapInPandas(run, schema=schema)
-    return out.select(*key_cols, "model", "sample_idx", ST.parse_label_list(F.col("answer")).alias("labels"))
+    return out.select(*key_cols, "model", "sample_idx", ST.parse_label_list(F.coalesce("answer", F.lit(""))).alias("labels"), "error")
+
+
+def sample_table(labelled: DataFrame, key_cols: list[str]) -> tuple[DataFrame, DataFrame]:
+    """K4's output as E3's inputs: (labels in long form, length of every sample, 0 for empty ones)."""
+    k = [*key_cols, "model", "sample_idx"]
+    long = labelled.select(*k, F.posexplode("labels").alias("statement_idx", "label"))
+    return long, labelled.select(*k, F.size("labels").cast("long").alias("len"))
 
 
 # ---------------------------------------------------------------- deterministic stand-ins (K7)

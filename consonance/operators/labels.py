@@ -31,18 +31,26 @@ def group_factuality(resp_fact: DataFrame, group_cols: list[str], order_col: str
         F.avg("factuality").alias("mean_factuality"))
 
 
-def length_consensus(samples: DataFrame, n_statements: DataFrame, key_cols: list[str]) -> tuple[DataFrame, DataFrame]:
+def sample_lengths(samples: DataFrame, key_cols: list[str]) -> DataFrame:
+    """Lengths of the samples that have labels; samples without any are not rows of ``samples``
+    and must come from a sample table (``inference.label_samples`` gives one with length 0)."""
+    return samples.groupBy(*key_cols, "model", "sample_idx").agg(F.count(F.lit(1)).alias("len"))
+
+
+def length_consensus(samples: DataFrame, n_statements: DataFrame, key_cols: list[str],
+                     lengths: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Sample-length consensus per (key…, model).
 
     ``samples``: ``key…, model, sample_idx, statement_idx, label``;
-    ``n_statements``: ``key…, n_statements``. When the samples' lengths differ,
+    ``n_statements``: ``key…, n_statements``; ``lengths``: ``key…, model, sample_idx, len`` of
+    every sample, empty and failed ones with 0 (default: the lengths found in ``samples``). When the samples' lengths differ,
     the modal length (ties → smallest) must equal the statement count: then
     only samples of that length are kept, otherwise the response is flagged.
     When all lengths agree they pass, with ``length_ok`` telling whether they
     match the statement count. Returns (kept sample rows, per-response status).
     """
     k = key_cols + ["model"]
-    lens = samples.groupBy(*k, "sample_idx").agg(F.count(F.lit(1)).alias("len"))
+    lens = (sample_lengths(samples, key_cols) if lengths is None else lengths).select(*k, "sample_idx", F.col("len").cast("long").alias("len"))
     per_len = lens.groupBy(*k, "len").agg(F.count(F.lit(1)).alias("n_samples"))
     w = Window.partitionBy(*k).orderBy(F.desc("n_samples"), F.asc("len"))
     wk = Window.partitionBy(*k)
@@ -59,9 +67,8 @@ def length_consensus(samples: DataFrame, n_statements: DataFrame, key_cols: list
 
 def split_by_group_flag(status: DataFrame, group_cols: list[str], flag_col: str = "flagged") -> tuple[DataFrame, DataFrame]:
     """A group fails when any of its rows is flagged; returns (ok rows, failed rows)."""
-    w = Window.partitionBy(*group_cols)
-    s = status.withColumn("_bad", F.max(F.col(flag_col).cast("int")).over(w) == 1)
-    return s.filter(~F.col("_bad")).drop("_bad"), s.filter(F.col("_bad")).drop("_bad").withColumn(
+    bad = status.filter(F.col(flag_col)).select(*group_cols).distinct()
+    return status.join(bad, group_cols, "left_anti"), status.join(bad, group_cols, "left_semi").withColumn(
         "reason", F.lit(LENGTH_MISMATCH_REASON))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as TX
 from ..operators import labels as E
+from ..operators import prep as P
 from ..operators import statements as ST
 from ..sources.tables import table
 from . import fixtures as FX
@@ -20,16 +21,19 @@ def _r6(*cols: str):
     return [F.round(c, 6).alias(c) for c in cols]
 
 
-def _samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """FX-LAB judge samples: 0 = quality, 1 = not toxic, 2 = quality over non-toxic docs only.
+def _samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """FX-LAB judge samples: 0 = quality, 1 = not toxic, 2 = quality over non-toxic docs only, 3 = the
+    same for sources with five-letter names, empty for the others (a failed call).
 
-    One join of documents and labels; the three samples come from one ``explode``."""
+    One join of documents and labels; the samples come from one ``explode``, their lengths (empty
+    ones included) from one aggregation."""
     ld = FX.labelled_documents(spark, sf_dir)
     q, nt = F.col("quality") == 1, F.col("toxic") == 0
     x = F.explode(F.array(
         F.struct(F.lit(0).alias("sample_idx"), q.alias("label"), F.lit(True).alias("keep")),
         F.struct(F.lit(1).alias("sample_idx"), nt.alias("label"), F.lit(True).alias("keep")),
-        F.struct(F.lit(2).alias("sample_idx"), q.alias("label"), nt.alias("keep"))))
+        F.struct(F.lit(2).alias("sample_idx"), q.alias("label"), nt.alias("keep")),
+        F.struct(F.lit(3).alias("sample_idx"), q.alias("label"), (nt & (F.length("source") == 5)).alias("keep"))))
     samples = (ld.select("source", "lang", F.lit("stand_in").alias("model"), F.col("doc_id").alias("statement_idx"),
                          x.alias("x"))
                .filter(F.col("x.keep"))
@@ -37,16 +41,23 @@ def _samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
                        F.col("x.label").alias("label")))
     # sample 0 labels every labelled document: its size per response is the statement count
     n = samples.filter(F.col("sample_idx") == 0).groupBy(*RESP).agg(F.count(F.lit(1)).alias("n_statements"))
-    return samples, n
+    size = ld.groupBy(*RESP).agg(F.count(F.lit(1)).alias("n"), F.count_if(nt).alias("m"),
+                                 F.count_if(nt & (F.length("source") == 5)).alias("f"))
+    lengths = size.select(*RESP, F.lit("stand_in").alias("model"),
+                          F.posexplode(F.array("n", "n", "m", "f")).alias("sample_idx", "len"))
+    return samples, n, lengths
 
 
 SQL_LD = """ld AS (SELECT d.doc_id, d.source, d.lang, l.quality, l.toxic FROM documents d JOIN labels l USING (doc_id))"""
 SQL_SAMPLES = SQL_LD + """,
 smp AS (SELECT source, lang, 'stand_in' AS model, 0 AS sample_idx, doc_id AS statement_idx, quality = 1 AS label FROM ld
         UNION ALL SELECT source, lang, 'stand_in', 1, doc_id, toxic = 0 FROM ld
-        UNION ALL SELECT source, lang, 'stand_in', 2, doc_id, quality = 1 FROM ld WHERE toxic = 0),
+        UNION ALL SELECT source, lang, 'stand_in', 2, doc_id, quality = 1 FROM ld WHERE toxic = 0
+        UNION ALL SELECT source, lang, 'stand_in', 3, doc_id, quality = 1 FROM ld WHERE toxic = 0 AND length(source) = 5),
 ns AS (SELECT source, lang, count(*) AS n_statements FROM ld GROUP BY ALL),
-lens AS (SELECT source, lang, model, sample_idx, count(*) AS len FROM smp GROUP BY ALL),
+every AS (SELECT DISTINCT source, lang, 'stand_in' AS model, s.s AS sample_idx FROM ld, (SELECT unnest([0, 1, 2, 3]) AS s) s),
+lens AS (SELECT e.source, e.lang, e.model, e.sample_idx, count(smp.statement_idx) AS len
+         FROM every e LEFT JOIN smp USING (source, lang, model, sample_idx) GROUP BY ALL),
 pl AS (SELECT source, lang, model, len, count(*) AS n_samples FROM lens GROUP BY ALL),
 md AS (SELECT source, lang, model, len AS mode_len,
               count(*) OVER (PARTITION BY source, lang, model) AS n_lengths,
@@ -85,8 +96,8 @@ def group_factuality(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT source, lang, model, mode_len, n_lengths, n_statements, flagged, length_ok FROM status""")
 def length_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Modal sample length vs statement count, per response and judge."""
-    samples, n = _samples(spark, sf_dir)
-    _kept, status = E.length_consensus(samples, n, RESP)
+    samples, n, lengths = _samples(spark, sf_dir)
+    _kept, status = E.length_consensus(samples, n, RESP, lengths)
     return status.select(*RESP, "model", "mode_len", "n_lengths", "n_statements", "flagged", "length_ok")
 
 
@@ -95,8 +106,8 @@ SELECT source, lang, model, 'sampled_labels_mismatch' AS reason FROM status
 WHERE source IN (SELECT source FROM status WHERE flagged)""")
 def failed_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every response of a group with any flagged response goes to the failure side."""
-    samples, n = _samples(spark, sf_dir)
-    _kept, status = E.length_consensus(samples, n, RESP)
+    samples, n, lengths = _samples(spark, sf_dir)
+    _kept, status = E.length_consensus(samples, n, RESP, lengths)
     _ok, bad = E.split_by_group_flag(status, ["source"])
     return bad.select(*RESP, "model", "reason")
 
@@ -106,8 +117,8 @@ SELECT source, lang, statement_idx, round(avg(CAST(label AS DOUBLE)), 6) AS p_tr
        avg(CAST(label AS DOUBLE)) >= 0.5 AS majority FROM kept GROUP BY ALL""")
 def statement_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p(True) per statement across the kept samples; majority vote."""
-    samples, n = _samples(spark, sf_dir)
-    kept, _ = E.length_consensus(samples, n, RESP)
+    samples, n, lengths = _samples(spark, sf_dir)
+    kept, _ = E.length_consensus(samples, n, RESP, lengths)
     t = E.statement_truth(kept, RESP)
     return t.select(*RESP, "statement_idx", *_r6("p_true"), "n_votes", "majority")
 
@@ -163,7 +174,7 @@ y AS (SELECT conv_id, response_idx,
              array_to_string(list_transform(ss, lambda s, i: i || '. ' ||
                  CASE WHEN {sql_containment(sql_tokens('s'), 'rt')} >= 0.5 THEN 'True' ELSE 'False' END), chr(10)) AS answer
       FROM x)
-SELECT conv_id, response_idx, CAST(length(prompt) AS INTEGER) AS prompt_chars,
+SELECT conv_id, response_idx, md5(prompt) AS prompt_md5,
        CAST(len(regexp_extract_all(answer, '\\d+\\.\\s*(True|False)', 1)) AS INTEGER) AS n_labels,
        CAST(len(list_filter(regexp_extract_all(answer, '\\d+\\.\\s*(True|False)', 1), lambda v: lower(v) = 'true')) AS INTEGER) AS n_true
 FROM y""")
@@ -172,11 +183,10 @@ def numbered_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = FX.conv_responses(spark, sf_dir).join(FX.reference_texts(spark, sf_dir), "conv_id", "left")
     rt = F.array_distinct(F.coalesce(TX.tokens(F.col("reference")), F.array().cast("array<string>")))
     ss = TX.statements(F.col("response"))
-    prompt = F.array_join(F.transform(ss, lambda s, i: F.concat((i + 1).cast("string"), F.lit(". <statement>"), s,
-                                                               F.lit("</statement>"))), "\n")
+    prompt = P.numbered_statements(ss)
     answer = F.array_join(F.transform(ss, lambda s, i: F.concat(
         (i + 1).cast("string"), F.lit(". "),
         F.when(TX.containment(TX.tokens(s), rt) >= 0.5, F.lit("True")).otherwise(F.lit("False")))), "\n")
     labels = ST.parse_label_list(answer)
-    return r.select(*FX.RESP, F.length(prompt).alias("prompt_chars"), F.size(labels).alias("n_labels"),
+    return r.select(*FX.RESP, F.md5(prompt).alias("prompt_md5"), F.size(labels).alias("n_labels"),
                     F.size(F.filter(labels, lambda v: v)).alias("n_true"))

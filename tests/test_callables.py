@@ -80,4 +80,30 @@ def test_multi_judge_fan_out(spark):
         raise RuntimeError("judge down")
 
     empty = K.label_samples(st, ["k"], ["m1"], 2, broken).collect()
-    assert [r["labels"] for r in empty] == [[], []]  # a failed call gives an empty sample
+    assert [r["labels"] for r in empty] == [[], []] and all("judge down" in r["error"] for r in empty)
+
+    def one_bad(pdf):
+        if (pdf["sample_idx"] == 1).any():
+            raise ValueError("no answer")
+        return K.dry_run_judge(pdf)
+
+    some = K.label_samples(st, ["k"], ["m1"], 4, one_bad)
+    assert sorted((r["sample_idx"], len(r["labels"]), r["error"] is None) for r in some.collect()) == [(0, 2, True), (1, 0, False), (2, 2, True), (3, 2, True)]
+    long, lengths = K.sample_table(some, ["k"])
+    assert sorted((r["sample_idx"], r["len"]) for r in lengths.collect()) == [(0, 2), (1, 0), (2, 2), (3, 2)] and long.count() == 6
+
+
+def test_one_bad_prompt_costs_only_itself(spark):
+    from consonance.operators import inference as K
+
+    prompts = spark.createDataFrame([(i, f"<question>q{i}</question>") for i in range(10)], "idx int, prompt string")
+
+    def gen(pdf):
+        if pdf["prompt"].str.contains("q3").any():
+            raise RuntimeError("bad prompt")
+        return K.dry_run_generator(pdf.assign(temperature=0.0))
+
+    out = {r["idx"]: r for r in K.generate(prompts, gen).collect()}
+    assert out[3]["text"] is None and "bad prompt" in out[3]["error"] and all(out[i]["text"] and out[i]["error"] is None for i in out if i != 3)
+    ok, failed = K.generate_with_retries(prompts, ["idx"], gen, F.col("text").contains("</response>"), passes=[{}] * 7)
+    assert ok.count() == 9 and [r["idx"] for r in failed.collect()] == [3]

@@ -20,6 +20,16 @@ def test_length_consensus_cases(spark):
     assert not r["flagged"] and not r["length_ok"] and kept.count() == 6
 
 
+def test_empty_samples_count(spark):
+    """Lengths 0, 0, 3 with three statements: the mode is 0, so the response is flagged; all empty passes without labels."""
+    samples, n = _samples(spark, [0, 0, 3], 3)
+    lens = lambda *x: spark.createDataFrame([("r", "m", s, v) for s, v in enumerate(x)], "key string, model string, sample_idx int, len long")
+    kept, st = E.length_consensus(samples, n, ["key"], lens(0, 0, 3))
+    assert st.first()["flagged"] and st.first()["mode_len"] == 0 and kept.count() == 0
+    _kept, st = E.length_consensus(samples.limit(0), n, ["key"], lens(0, 0, 0))
+    assert not st.first()["flagged"] and not st.first()["length_ok"]
+
+
 def test_mode_tie_takes_smallest(spark):
     kept, st = E.length_consensus(*_samples(spark, [3, 2], 2), ["key"])
     assert st.first()["mode_len"] == 2 and not st.first()["flagged"]
