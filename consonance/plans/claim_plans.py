@@ -1,5 +1,6 @@
-"""Registered queries for the claim graph (FX-BM: claims = ``benchmark`` items, responses =
-``documents``, group = document ``source``, support = verbatim containment)."""
+"""Registered queries for the claim graph. Corpus form (FX-BM): claims = ``benchmark`` items, responses =
+``documents``, group = document ``source``, support = verbatim containment. Question form: one graph per
+conversation, from its statements."""
 
 from __future__ import annotations
 
@@ -7,18 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import claims as H
-from ..session import cut_lineage
+from ..session import by_group, cut_lineage
 from ..sources.tables import table
+from . import fixtures as FX
 from .registry import register
+from .statement_plans import SQL_STATEMENTS_CTE
 
 GRP = ["source"]
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = by_group(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), ["doc_id"])
     items = table(spark, sf_dir, "benchmark")
     e = H.containment_edges(items, docs, "item_id", "text", "doc_id", "text")
-    return e.join(docs.select("doc_id", "source"), "doc_id")
+    return e.join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
 
 
 def _claims(spark: SparkSession, sf_dir: str, edges: DataFrame | None = None) -> DataFrame:
@@ -74,27 +77,68 @@ def degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.degrees(edges, claims.select("source", "claim_id"), resp, GRP)
 
 
-def centrality_table(spark: SparkSession, sf_dir: str, graph=None) -> DataFrame:
-    claims, edges, resp = graph or _graph(spark, sf_dir)
-    n = claims.groupBy("source").agg(F.count(F.lit(1)).alias("nc")).join(
-        resp.groupBy("source").agg(F.count(F.lit(1)).alias("nr")), "source").select(
-        "source", (F.col("nc") + F.col("nr")).alias("n_nodes"))
-    return H.graph_centralities(edges, n, GRP)
+# Per-question graphs: group = conversation, atoms = its statements (every fifth one reworded, so that
+# claims without support occur), responses = its turns.
+
+CONV = ["conv_id"]
+SQL_CONV_GRAPH = f"""{SQL_STATEMENTS_CTE},
+atoms AS (SELECT conv_id, response_idx, statement_idx,
+                 CASE WHEN statement_idx % 5 = 4 THEN 'Reportedly ' || text ELSE text END AS text FROM st),
+f AS (SELECT conv_id, regexp_replace(lower(trim(text)), '\\s+', ' ', 'g') AS norm, arg_min(text, (response_idx, statement_idx)) AS text,
+             min((response_idx, statement_idx)) AS first FROM atoms GROUP BY conv_id, norm),
+c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY first) - 1 AS claim_idx, text FROM f),
+e AS (SELECT c.conv_id, 'c' || claim_idx AS src, 'r' || r.turn AS dst FROM c JOIN conversations r ON r.conv_id = c.conv_id AND instr(r.text, c.text) > 0),
+nodes AS (SELECT conv_id, 'c' || claim_idx AS node FROM c UNION ALL SELECT conv_id, 'r' || turn FROM conversations),
+nn AS (SELECT conv_id, count(*) AS n FROM nodes GROUP BY conv_id),
+adj AS (SELECT conv_id, src AS v, dst AS u FROM e UNION ALL SELECT conv_id, dst, src FROM e)
+"""
+
+
+def _atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    st = FX.conv_statements(spark, sf_dir)
+    text = F.when(F.col("statement_idx") % 5 == 4, F.concat(F.lit("Reportedly "), F.col("text"))).otherwise(F.col("text"))
+    return st.select("conv_id", "response_idx", F.col("statement_idx").alias("atom_idx"), text.alias("text"))
+
 
+@register("h2_h4_conversation_claims", sql=f"""WITH {SQL_CONV_GRAPH},
+ends AS (SELECT conv_id, src AS node FROM e UNION ALL SELECT conv_id, dst FROM e),
+deg AS (SELECT conv_id, node, count(*) AS degree FROM ends GROUP BY ALL)
+SELECT nodes.conv_id, nodes.node, coalesce(deg.degree, 0) AS degree FROM nodes LEFT JOIN deg USING (conv_id, node)""")
+def conversation_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H1–H4 from atoms: claims of each conversation with their support in its own turns."""
+    _claims, _edges, nodes = H.claim_graph(_atoms(spark, sf_dir), FX.conv_responses(spark, sf_dir), CONV)
+    return nodes.select("conv_id", "node", "degree")
 
-@register("h5_h8_centralities")
-def centralities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """H5–H8: betweenness, eigenvector, PageRank and closeness per connected node (+ isolated row)."""
-    return centrality_table(spark, sf_dir)
+
+WALK_LENGTH = 24   # longer than any shortest path of the fixture's graphs (the oracle counts walks up to it)
+
+
+@register("h5_h8_centralities", sql=f"""WITH RECURSIVE {SQL_CONV_GRAPH},
+walks(conv_id, s, v, d, cnt) AS (
+  SELECT conv_id, v, v, 0, 1.0::DOUBLE FROM (SELECT DISTINCT conv_id, v FROM adj)
+  UNION ALL
+  SELECT w.conv_id, w.s, a.u, w.d + 1, sum(w.cnt) FROM walks w JOIN adj a ON a.conv_id = w.conv_id AND a.v = w.v
+  WHERE w.d < {WALK_LENGTH} GROUP BY w.conv_id, w.s, a.u, w.d),
+p AS (SELECT conv_id, s, v, min(d) AS d, arg_min(cnt, d) AS sigma FROM walks GROUP BY ALL),
+bet AS (SELECT x.conv_id, x.v, sum(x.sigma * y.sigma / z.sigma) AS b FROM p x JOIN p y ON y.conv_id = x.conv_id AND y.s = x.v
+        JOIN p z ON z.conv_id = x.conv_id AND z.s = x.s AND z.v = y.v AND z.d = x.d + y.d WHERE x.d > 0 AND y.d > 0 GROUP BY ALL),
+clo AS (SELECT conv_id, v, count(*) AS r, sum(d) AS total FROM p WHERE d > 0 GROUP BY ALL)
+SELECT nodes.conv_id, nodes.node, round(coalesce(bet.b / ((n - 1) * (n - 2)), 0), 6) AS betweenness,
+       round(coalesce((clo.r / clo.total) * (clo.r / (n - 1)), 0), 6) AS closeness
+FROM nodes JOIN nn USING (conv_id) LEFT JOIN bet ON bet.conv_id = nodes.conv_id AND bet.v = nodes.node
+LEFT JOIN clo ON clo.conv_id = nodes.conv_id AND clo.v = nodes.node""")
+def path_centralities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H5 + H8: betweenness and closeness of every node of every conversation's claim graph."""
+    _claims, edges, nodes = H.claim_graph(_atoms(spark, sf_dir), FX.conv_responses(spark, sf_dir), CONV)
+    n = nodes.groupBy(*CONV).agg(F.count(F.lit(1)).alias("n_nodes"))
+    out = nodes.select("conv_id", "node").join(H.path_centralities(edges, n, CONV), ["conv_id", "node"], "left")
+    return out.select("conv_id", "node", *[F.round(F.coalesce(m, F.lit(0.0)), 6).alias(m) for m in ("betweenness", "closeness")])
 
 
 @register("h9_h10_claim_metrics")
 def claim_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """H9 + H10: claim-side metric table (degree, betweenness, eigenvector, PageRank, closeness)."""
-    graph = _graph(spark, sf_dir)
-    claims, edges, resp = graph
-    deg = H.degrees(edges, claims.select("source", "claim_id"), resp, GRP)
-    return H.claim_metrics(deg, centrality_table(spark, sf_dir, graph), GRP)
+    """H9 + H10: from atoms to the claim-side metric table (degree, betweenness, eigenvector, PageRank, closeness)."""
+    return H.graph_uncertainty(_atoms(spark, sf_dir), FX.conv_responses(spark, sf_dir), CONV)
 
 
 COVER_TAU = 0.5
@@ -145,5 +189,5 @@ def pagerank_iterative(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.concat(F.lit("r"), F.col("response_id").cast("string")).alias("dst"))
     nodes = claims.select("source", F.concat(F.lit("c"), F.col("claim_id").cast("string")).alias("node")).unionByName(
         resp.select("source", F.concat(F.lit("r"), F.col("response_id").cast("string")).alias("node")))
-    pr = H.pagerank_iterative(e, nodes, GRP, iterations=PR_ITERATIONS)
+    pr = H.pagerank(e, nodes, GRP, iterations=PR_ITERATIONS)
     return pr.select("source", "node", F.round("rank", 6).alias("rank"))

@@ -1,30 +1,133 @@
+import math
+import random
+from collections import defaultdict, deque
+
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
-
 from consonance.operators import claims as H
 
 
-def test_bipartite_hand_values():
-    # MF-BIP: claims c0, c1, c2 (isolated); responses r0, r1; edges c0-r0, c1-r0, c1-r1
-    # connected nodes: c0=0, c1=1, r0=2, r1=3; n = 5 with the isolated claim
-    m = H.centralities(4, np.array([(0, 2), (1, 2), (1, 3)]), 5)
-    assert m["betweenness"] == pytest.approx([0, 1 / 3, 1 / 3, 0])
-    assert m["closeness"][0] == pytest.approx((3 / 6) * (3 / 4))
-    assert m["pagerank"].sum() + m["isolated"][2] == pytest.approx(1.0, abs=1e-6)
-    v = m["eigenvector"]
-    assert np.linalg.norm(v) == pytest.approx(1.0) and (v >= -1e-12).all()
+def _graph(spark, graphs):
+    """graphs: {g: (edges, nodes)} -> (edges, nodes) frames."""
+    e = [(g, a, b, float(w)) for g, (edges, _) in graphs.items() for a, b, w in edges]
+    n = [(g, v) for g, (_, nodes) in graphs.items() for v in nodes]
+    return spark.createDataFrame(e, "g string, src string, dst string, w double"), spark.createDataFrame(n, "g string, node string")
+
+
+def _random_graphs(seed, count=12):
+    rnd, out = random.Random(seed), {}
+    for i in range(count):
+        claims, resps = [f"c{k}" for k in range(rnd.randint(1, 8))], [f"r{k}" for k in range(rnd.randint(1, 4))]
+        edges = [(c, r, rnd.choice([1, 1, 2])) for c in claims for r in resps if rnd.random() < 0.4]
+        if edges:
+            out[f"g{i}"] = (edges, claims + resps)
+    return out
+
+
+def _brute_paths(edges, nodes):
+    """Betweenness by listing all shortest paths, closeness by breadth-first search."""
+    adj = defaultdict(set)
+    for a, b, _ in edges:
+        adj[a].add(b)
+        adj[b].add(a)
+    n, bet, clo = len(nodes), defaultdict(float), {}
+    for s in nodes:
+        dist, paths, queue = {s: 0}, {s: [[s]]}, deque([s])
+        while queue:
+            v = queue.popleft()
+            for u in adj[v]:
+                if u not in dist:
+                    dist[u], paths[u] = dist[v] + 1, []
+                    queue.append(u)
+                if dist[u] == dist[v] + 1:
+                    paths[u] += [p + [u] for p in paths[v]]
+        for t, ps in paths.items():
+            for p in ps:
+                for v in p[1:-1]:
+                    bet[v] += 1 / len(ps)
+        far = [d for d in dist.values() if d]
+        clo[s] = len(far) / sum(far) * len(far) / (n - 1) if far else 0.0
+    return {v: bet[v] / ((n - 1) * (n - 2)) if n > 2 else 0.0 for v in nodes}, clo
+
+
+def test_paths_equal_brute_force(spark):
+    graphs = {**_random_graphs(1), "hand": ([("c0", "r0", 1), ("c1", "r0", 1), ("c1", "r1", 1)], ["c0", "c1", "c2", "r0", "r1"])}
+    edges, nodes = _graph(spark, graphs)
+    counts = nodes.groupBy("g").count().withColumnRenamed("count", "n_nodes")
+    got = {(r["g"], r["node"]): (r["betweenness"], r["closeness"]) for r in H.path_centralities(edges, counts, ["g"]).collect()}
+    for g, (es, vs) in graphs.items():
+        bet, clo = _brute_paths(es, vs)
+        for v in vs:
+            assert got.get((g, v), (0.0, 0.0)) == pytest.approx((bet[v], clo[v]))
+    assert got[("hand", "c1")][0] == pytest.approx(1 / 3) and got[("hand", "c0")][1] == pytest.approx(3 / 6 * 3 / 4)
+
+
+def _power_limit(edges, nodes, weighted):
+    """Projection of the uniform vector on the eigenspace of the largest eigenvalue."""
+    pos = {v: i for i, v in enumerate(nodes)}
+    a = np.zeros((len(nodes),) * 2)
+    for s, t, w in edges:
+        a[pos[s], pos[t]] = a[pos[t], pos[s]] = w if weighted else 1
+    lam, vec = np.linalg.eigh(a)
+    top = vec[:, lam > lam[-1] - 1e-9]
+    x = top @ (top.T @ np.ones(len(nodes)))
+    return dict(zip(nodes, x / np.linalg.norm(x)))
+
+
+@pytest.mark.parametrize("weight", [None, "w"])
+def test_eigenvector_is_the_limit_of_power_iteration(spark, weight):
+    stars = [("c0", "r0", 1), ("c1", "r0", 1), ("c2", "r1", 1), ("c3", "r1", 1)]
+    graphs = {**_random_graphs(2), "twins": (stars, ["c0", "c1", "c2", "c3", "r0", "r1"])}
+    edges, _ = _graph(spark, graphs)
+    got = {(r["g"], r["node"]): r["eigenvector"] for r in H.eigenvector(edges, ["g"], weight).collect()}
+    for g, (es, vs) in graphs.items():
+        for v, x in _power_limit(es, vs, weight is not None).items():
+            assert got.get((g, v), 0.0) == pytest.approx(x, abs=1e-5), (g, v)
+    assert got[("twins", "r0")] == pytest.approx(got[("twins", "r1")])
+
+
+def _brute_pagerank(edges, nodes, weighted, d=0.85):
+    pos, n = {v: i for i, v in enumerate(nodes)}, len(nodes)
+    a = np.zeros((n, n))
+    for s, t, w in edges:
+        a[pos[s], pos[t]] += w if weighted else 1
+        a[pos[t], pos[s]] += w if weighted else 1
+    out = a.sum(1)
+    x = np.full(n, 1 / n)
+    for _ in range(400):
+        x = d * (a / np.where(out > 0, out, 1)[:, None]).T @ x + d * x[out == 0].sum() / n + (1 - d) / n
+    return dict(zip(nodes, x))
+
+
+@pytest.mark.parametrize("weight", [None, "w"])
+def test_pagerank_to_a_tolerance(spark, weight):
+    graphs = _random_graphs(3)
+    edges, nodes = _graph(spark, graphs)
+    got = {(r["g"], r["node"]): r["rank"] for r in H.pagerank(edges, nodes, ["g"], tol=1e-9, weight_col=weight).collect()}
+    for g, (es, vs) in graphs.items():
+        for v, x in _brute_pagerank(es, vs, weight is not None).items():
+            assert got[(g, v)] == pytest.approx(x, abs=1e-7)
+    with pytest.raises(RuntimeError):
+        H.pagerank(edges, nodes, ["g"], tol=1e-12, max_iter=10)
 
 
 def test_index_join_equals_brute_force(spark):
-    docs = spark.createDataFrame([(1, "xx alpha beta gamma delta eps zz"), (2, "alpha beta gamma"),
-                                  (3, "Zalpha beta gamma delta epsY"), (4, "nothing here at all")],
-                                 "doc_id long, text string")
-    items = spark.createDataFrame([(10, "alpha beta gamma delta eps"), (11, "beta gamma"), (12, "at all")],
-                                  "item_id long, text string")
+    docs = spark.createDataFrame([(1, "xx alpha beta gamma delta eps zz"), (2, "alpha beta gamma"), (3, "Zalpha beta gamma delta epsY"),
+                                  (4, "nothing here at all"), (5, "b"), (6, ""), (7, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(10, "alpha beta gamma delta eps"), (11, "beta gamma"), (12, "at all"), (13, "b"), (14, "ha beta gam"), (15, ""), (16, None),
+                                   (17, "a beta gamma d"), (18, "!!"), (19, "here at")], "item_id long, text string")
     got = {(r["item_id"], r["doc_id"]) for r in H.containment_edges(items, docs, "item_id", "text", "doc_id", "text").collect()}
-    brute = {(i, d) for i, it in items.collect() for d, dt in docs.collect() if it in dt}
-    assert got == brute
+    assert got == {(i, d) for i, it in items.collect() for d, dt in docs.collect() if it and dt and it in dt}
+
+
+def test_index_join_with_groups_equals_brute_force(spark):
+    rnd = random.Random(8)
+    words = ["a", "an", "bee", "sea", "deer", "eel", "fox"]
+    texts = [(g, i, " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 25)))) for g in ("x", "y") for i in range(8)]
+    claims = [(g, i, " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 6)))) for g in ("x", "y") for i in range(40)]
+    r, c = spark.createDataFrame(texts, "g string, rid int, t string"), spark.createDataFrame(claims, "g string, cid int, t string")
+    got = {tuple(x) for x in H.containment_edges(c, r, "cid", "t", "rid", "t", ["g"]).select("g", "cid", "rid").collect()}
+    assert got == {(g, i, j) for g, i, ct in claims for h, j, rt in texts if g == h and ct in rt}
 
 
 def test_claim_union_first_occurrence(spark):
@@ -34,10 +137,27 @@ def test_claim_union_first_occurrence(spark):
     assert u == [(0, 8), (1, 9)]
 
 
-def test_prefix_filtered_cover_equals_brute_force(spark):
-    import math
-    import random
+def test_from_atoms_to_metrics_with_composite_keys(spark):
+    atoms = [("a", 1, 0, 0, "red car"), ("a", 1, 0, 1, "fast"), ("a", 1, 1, 0, "Red  car"), ("a", 1, 1, 1, "never said"), ("a", 2, 0, 0, "red car")]
+    resp = [("a", 1, 0, "a red car is fast"), ("a", 1, 1, "the red car"), ("a", 2, 0, "red car"), ("b", 1, 0, "red car")]
+    at = spark.createDataFrame(atoms, "k string, q int, response_idx int, atom_idx int, text string")
+    re_ = spark.createDataFrame(resp, "k string, q int, response_idx int, response string")
+    got = {(r["k"], r["q"], r["node_id"]): r for r in H.graph_uncertainty(at, re_, ["k", "q"]).collect()}
+    assert set(got) == {("a", 1, 0), ("a", 1, 1), ("a", 1, 2), ("a", 2, 0)}
+    assert [got[("a", 1, i)]["degree"] for i in range(3)] == [2.0, 1.0, 0.0]
+    assert got[("a", 1, 2)]["pagerank"] > 0 and got[("a", 1, 2)]["closeness"] == 0 and got[("a", 1, 0)]["betweenness"] > 0
 
+
+def test_weighted_degrees_and_empty_side(spark):
+    e = spark.createDataFrame([("g", 1, 5, 0.5), ("g", 1, 6, 2.0)], "g string, claim_id int, response_id int, w double")
+    c, r = spark.createDataFrame([("g", 1), ("g", 2)], "g string, claim_id int"), spark.createDataFrame([("g", 5), ("g", 6)], "g string, response_id int")
+    got = {(x["side"], x["node_id"]): x["degree"] for x in H.degrees(e, c, r, ["g"], "w").collect()}
+    assert got == {("claim", 1): 2.5, ("claim", 2): 0.0, ("response", 5): 0.5, ("response", 6): 2.0}
+    with pytest.raises(ValueError):
+        H.claim_metrics(H.degrees(e, c, r, ["g"]).withColumn("node", H.F.lit("n")), c, ["g"], side="other")
+
+
+def test_prefix_filtered_cover_equals_brute_force(spark):
     rnd = random.Random(4)
     vocab = [f"w{i}" for i in range(12)]
     rows = [(g, j, " ".join(rnd.sample(vocab, rnd.randint(0, 6)))) for g in range(5) for j in range(12)]
@@ -52,31 +172,3 @@ def test_prefix_filtered_cover_equals_brute_force(spark):
             if not covered:
                 want.add((g, j))
         assert got == want, tau
-
-
-def test_iterative_pagerank_matches_kernel(spark):
-    edges = spark.createDataFrame([("g", "c0", "r0"), ("g", "c1", "r0"), ("g", "c1", "r1")], "g string, src string, dst string")
-    nodes = spark.createDataFrame([("g", n) for n in ["c0", "c1", "c2", "r0", "r1"]], "g string, node string")
-    got = {r["node"]: r["rank"] for r in H.pagerank_iterative(edges, nodes, ["g"], iterations=60).collect()}
-    m = H.centralities(4, np.array([(0, 2), (1, 2), (1, 3)]), 5)
-    want = dict(zip(["c0", "c1", "r0", "r1"], m["pagerank"]))
-    want["c2"] = m["isolated"][2]
-    for k, v in want.items():
-        assert got[k] == pytest.approx(v, abs=1e-5)
-
-
-def test_dense_level_bfs_equals_per_source_bfs():
-    rng = np.random.default_rng(5)
-    for _ in range(60):
-        nc, nr = int(rng.integers(1, 10)), int(rng.integers(1, 10))
-        e = [(c, nc + r) for c in range(nc) for r in range(nr) if rng.random() < 0.3]
-        if not e:
-            continue
-        used = sorted({x for ed in e for x in ed})
-        pos = {v: k for k, v in enumerate(used)}
-        ed = np.array([(pos[a], pos[b]) for a, b in e])
-        n_total = len(used) + int(rng.integers(0, 4))
-        a = H.centralities(len(used), ed, n_total)
-        b = H.centralities(len(used), ed, n_total, dense_max=0)
-        for k in ("betweenness", "closeness"):
-            assert np.allclose(a[k], b[k], atol=1e-12)
