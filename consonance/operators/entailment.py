@@ -134,11 +134,12 @@ def _unordered(pairs: DataFrame, group_cols: list[str]) -> DataFrame:
 
 
 def equivalence(pairs: DataFrame, group_cols: list[str], strict: bool = False) -> DataFrame:
-    """Two-way equivalence of each unordered pair (i < j)."""
+    """Two-way equivalence of each unordered pair (i < j), in both forms; ``strict`` says
+    which one ``equivalent`` holds."""
     u = _unordered(pairs, group_cols)
     l1, l2 = F.col("l_ij"), F.col("l_ji")
-    eq = (l1 == 2) & (l2 == 2) if strict else (l1 != 0) & (l2 != 0) & ~((l1 == 1) & (l2 == 1))
-    return u.withColumn("equivalent", eq)
+    both, default = (l1 == 2) & (l2 == 2), (l1 != 0) & (l2 != 0) & ~((l1 == 1) & (l2 == 1))
+    return u.withColumn("equivalent", both if strict else default).withColumn("equivalent_strict", both)
 
 
 # ---------------------------------------------------------------- G7 clusters
@@ -192,10 +193,11 @@ def logsumexp_by_cluster(df: DataFrame, group_cols: list[str], cid_col: str, ll_
     """
     if agg not in ("sum", "sum_normalized", "mean"):
         raise ValueError(f"unknown aggregation {agg!r}")
-    per = df.groupBy(*group_cols, cid_col).agg(F.max(ll_col).alias("_m"), F.count(F.lit(1)).alias("_n"),
-                                               F.collect_list(ll_col).alias("_ll"))
-    lse = F.log(F.aggregate("_ll", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("_m")))) + F.col("_m")
-    per = per.withColumn("_lse", lse)
+    k = [*group_cols, cid_col]
+    top = df.groupBy(*k).agg(F.max(ll_col).alias("_m"))
+    per = df.join(top, k).groupBy(*k).agg(F.first("_m").alias("_m"), F.count(F.lit(1)).alias("_n"),
+                                          F.sum(F.exp(F.col(ll_col) - F.col("_m"))).alias("_s"))
+    per = per.withColumn("_lse", F.log("_s") + F.col("_m"))
     if agg == "sum":
         out = per.withColumn("value", F.col("_lse") + F.lit(offset))
     elif agg == "mean":
@@ -238,7 +240,7 @@ def entailment_graph(pairs: DataFrame, group_cols: list[str], weighted: bool = F
     direction. Unweighted: an edge iff weight ≥ 1.5. Weighted: keep weight > 0 (``manual``) or
     use the sum of both max probabilities (``deberta``)."""
     if weight_strategy not in ("manual", "deberta"):
-        raise ValueError(f"Unknown weight strategy {weight_strategy}")
+        raise ValueError(f"weight_strategy must be manual or deberta, not {weight_strategy!r}")
     u = _unordered(pairs, group_cols)
     w = ((F.col("l_ij") == 2).cast("double") + (F.col("l_ji") == 2).cast("double")
          + 0.5 * (F.col("l_ij") == 1).cast("double") + 0.5 * (F.col("l_ji") == 1).cast("double"))
@@ -250,6 +252,18 @@ def entailment_graph(pairs: DataFrame, group_cols: list[str], weighted: bool = F
     return u.select(*group_cols, "i", "j", weight.alias("weight"))
 
 
+def entailment_graphs(pairs: DataFrame, group_cols: list[str]) -> DataFrame:
+    """G13 in all three forms (``kind``: unweighted, manual, deberta) from one reading of the pairs."""
+    u = _unordered(pairs, group_cols)
+    w = ((F.col("l_ij") == 2).cast("double") + (F.col("l_ji") == 2).cast("double")
+         + 0.5 * (F.col("l_ij") == 1).cast("double") + 0.5 * (F.col("l_ji") == 1).cast("double"))
+    u = u.select(*group_cols, "i", "j", w.alias("w"), (F.col("c_ij") + F.col("c_ji")).alias("c"))
+    form = lambda kind, weight, keep: F.struct(F.lit(kind).alias("kind"), weight.alias("weight"), keep.alias("keep"))
+    forms = F.explode(F.array(form("unweighted", F.lit(1.0), F.col("w") >= EDGE_THRESHOLD),
+                              form("manual", F.col("w"), F.col("w") > 0), form("deberta", F.col("c"), F.col("w") > 0)))
+    return u.select(*group_cols, "i", "j", forms.alias("f")).filter("f.keep").select(*group_cols, "i", "j", "f.weight", "f.kind")
+
+
 def cluster_graph(edges: DataFrame, ids: DataFrame, group_cols: list[str]) -> DataFrame:
     """Summed positive weights between clusters (self-loops kept, unordered cluster pair)."""
     ci = ids.select(*group_cols, F.col("i"), F.col("cluster_id").alias("ci"))
@@ -417,9 +431,9 @@ def luq(statements: DataFrame, responses: DataFrame, group_cols: list[str], idx_
     (Σ_j S(i, j) − 1)/(K − 1); uncertainty = mean(1 − confidence).
 
     With the default lexical scorer (containment) the sum over j decomposes
-    over tokens: Σ_{j≠i} c(s, r_j) = (1/|T(s)|) Σ_{t∈T(s)} (df_g(t) − 1), where
+    over tokens: Σ_{j≠i} c(s, r_j) = (1/|T(s)|) Σ_{t∈T(s)} (df_g(t) − [t in r_i]), where
     df_g(t) counts the group's responses containing t – so no pair table is
-    built at all. A model scorer ``scorer(statement_text, response_text)`` uses
+    built at all, and statements need not be verbatim parts of their response. A model scorer ``scorer(statement_text, response_text)`` uses
     the statement × other-response join (C12) instead.
     """
     keys = group_cols + [idx_col]
@@ -430,8 +444,9 @@ def luq(statements: DataFrame, responses: DataFrame, group_cols: list[str], idx_
         df = rt.groupBy(*group_cols, "tok").agg(F.count(F.lit(1)).alias("df"))
         st = statements.select(*keys, "statement_idx", F.array_distinct(TX.tokens(F.col("text"))).alias("_t"))
         st_tok = st.select(*keys, "statement_idx", F.size("_t").alias("_nt"), F.explode("_t").alias("tok"))
-        per_st = st_tok.join(df, group_cols + ["tok"]).groupBy(*keys, "statement_idx").agg(
-            (F.sum(F.col("df") - 1) / F.first("_nt")).alias("_sum_c"))
+        own = rt.withColumn("_own", F.lit(1))
+        per_st = st_tok.join(df, group_cols + ["tok"]).join(own, keys + ["tok"], "left").groupBy(*keys, "statement_idx").agg(
+            (F.sum(F.col("df") - F.coalesce("_own", F.lit(0))) / F.first("_nt")).alias("_sum_c"))
         s_sum = per_st.groupBy(*keys).agg(F.sum("_sum_c").alias("_sum"))
     else:
         r = responses.select(*group_cols, F.col(idx_col).alias("_j"), F.col(text_col).alias("_rt"))
@@ -444,3 +459,27 @@ def luq(statements: DataFrame, responses: DataFrame, group_cols: list[str], idx_
     unc = conf.groupBy(*group_cols).agg(
         F.when(F.count("confidence") == F.count(F.lit(1)), F.avg(1 - F.col("confidence"))).alias("uncertainty"))
     return conf, unc
+
+
+def luq_similarity(statements: DataFrame, responses: DataFrame, group_cols: list[str], idx_col: str = "response_idx",
+                   text_col: str = "response", scorer=None) -> DataFrame:
+    """G2 + G3: ``(group…, i, j, s)`` for i ≠ j, where s = mean over i's statements of the
+    entailment by response j. A response without statements has no rows.
+
+    The table has K(K − 1) rows per group by definition. With the lexical scorer only tokens that
+    a statement shares with a response are joined; the rest of the pairs are 0.
+    """
+    g = group_cols
+    st = statements.select(*g, F.col(idx_col).alias("i"), "statement_idx", "text")
+    n_st = st.groupBy(*g, "i").agg(F.count(F.lit(1)).alias("_n"))
+    if scorer is None:
+        tok = responses.select(*g, F.col(idx_col).alias("j"), F.explode(F.array_distinct(TX.tokens(F.col(text_col)))).alias("tok"))
+        own = st.select(*g, "i", F.array_distinct(TX.tokens(F.col("text"))).alias("_t")).select(
+            *g, "i", F.size("_t").alias("_nt"), F.explode("_t").alias("tok"))
+        part = own.join(tok, g + ["tok"]).filter("i <> j").withColumn("_c", 1 / F.col("_nt"))
+    else:
+        r = responses.select(*g, F.col(idx_col).alias("j"), F.col(text_col).alias("_rt"))
+        part = st.join(r, g).filter("i <> j").withColumn("_c", scorer(F.col("text"), F.col("_rt")))
+    total = part.groupBy(*g, "i", "j").agg(F.sum("_c").alias("_s"))
+    pairs = n_st.join(responses.select(*g, F.col(idx_col).alias("j")), g).filter("i <> j")
+    return pairs.join(total, g + ["i", "j"], "left").select(*g, "i", "j", (F.coalesce("_s", F.lit(0.0)) / F.col("_n")).alias("s"))

@@ -85,10 +85,7 @@ def implication(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT conv_id, i, j, (l_ij <> 0 AND l_ji <> 0 AND NOT (l_ij = 1 AND l_ji = 1)) AS equivalent,
        (l_ij = 2 AND l_ji = 2) AS equivalent_strict FROM un""")
 def equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _upairs(spark, sf_dir)
-    d = G.equivalence(p, GRP).select("conv_id", "i", "j", "equivalent")
-    s = G.equivalence(p, GRP, strict=True).select("conv_id", "i", "j", F.col("equivalent").alias("equivalent_strict"))
-    return d.join(s, ["conv_id", "i", "j"])
+    return G.equivalence(_upairs(spark, sf_dir), GRP).select("conv_id", "i", "j", "equivalent", "equivalent_strict")
 
 
 @register("g7_semantic_ids", sql=f"""WITH RECURSIVE {SQL_PAIRS}, {SQL_CLUSTERS}
@@ -149,11 +146,7 @@ UNION ALL
 SELECT conv_id, i, j, round(c_ij + c_ji, 6) AS weight, 'deberta' AS kind FROM un WHERE {SQL_WEIGHT} > 0""")
 def entailment_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unweighted (≥ 1.5) and weighted (manual / max-probability) entailment graphs."""
-    p = _upairs(spark, sf_dir)
-    u = G.entailment_graph(p, GRP).withColumn("kind", F.lit("unweighted"))
-    m = G.entailment_graph(p, GRP, weighted=True).withColumn("kind", F.lit("manual"))
-    d = G.entailment_graph(p, GRP, weighted=True, weight_strategy="deberta").withColumn("kind", F.lit("deberta"))
-    return u.unionByName(m).unionByName(d).select("conv_id", "i", "j", *_r6("weight"), "kind")
+    return G.entailment_graphs(_upairs(spark, sf_dir), GRP).select("conv_id", "i", "j", *_r6("weight"), "kind")
 
 
 @register("g14_cluster_graph", sql=f"""WITH RECURSIVE {SQL_PAIRS}, {SQL_CLUSTERS},
@@ -226,6 +219,13 @@ def luq_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conf.select("conv_id", "response_idx", "k", *_r6("confidence"))
 
 
+@register("g3_luq_similarity", sql=SQL_LUQ + "SELECT conv_id, i, j, round(s, 6) AS s FROM sij")
+def luq_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S(i, j), the mean entailment of response i's statements by response j."""
+    s = G.luq_similarity(FX.conv_statements(spark, sf_dir), _responses(spark, sf_dir), GRP)
+    return s.select("conv_id", "i", "j", *_r6("s"))
+
+
 @register("g4_luq_uncertainty", sql=SQL_LUQ + """SELECT conv_id,
   round(CASE WHEN count(confidence) = count(*) THEN avg(1 - confidence) END, 6) AS uncertainty FROM conf GROUP BY conv_id""")
 def luq_uncertainty(spark: SparkSession, sf_dir: str) -> DataFrame:

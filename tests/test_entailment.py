@@ -39,23 +39,22 @@ def test_equivalence_default_and_strict(spark):
     assert _ids(spark, m, strict=True) == [0, 1, 2]
 
 
-def sequential_ids(m, strict=False):
-    k = m.shape[0]
-    ids = [-1] * k
-    nxt = 0
-    for i in range(k):
-        if ids[i] == -1:
-            ids[i] = nxt
-            for j in range(i + 1, k):
-                a, b = int(np.argmax(m[i, j])), int(np.argmax(m[j, i]))
-                eq = (a == 2 and b == 2) if strict else (0 not in (a, b) and (a, b) != (1, 1))
-                if eq:
-                    ids[j] = nxt
-            nxt += 1
+def defined_ids(m):
+    """By definition: heads are items without an earlier equivalent head; an id is the rank of the
+    latest earlier equivalent head, or of the item itself if it is a head."""
+    label = m.argmax(axis=2)
+    clash = (label == 0) | (label.T == 0) | ((label == 1) & (label.T == 1))
+    heads: list[int] = []
+    ids = []
+    for item in range(len(m)):
+        near = [rank for rank, head in enumerate(heads) if not clash[item, head]]
+        if not near:
+            heads.append(item)
+        ids.append(near[-1] if near else len(heads) - 1)
     return ids
 
 
-def test_fold_matches_sequential_on_random_graphs(spark):
+def test_fold_matches_the_definition_on_random_graphs(spark):
     rng = np.random.default_rng(0)
     rows, items, expect = [], [], {}
     for g in range(60):
@@ -67,7 +66,7 @@ def test_fold_matches_sequential_on_random_graphs(spark):
             for j in range(k):
                 if i != j:
                     rows.append((g, i, j, *map(float, m[i, j])))
-        expect[g] = sequential_ids(m)
+        expect[g] = defined_ids(m)
     pairs = spark.createDataFrame(rows, "g int, i int, j int, p_contra double, p_neutral double, p_entail double")
     it = spark.createDataFrame(items, "g int, i int")
     got = {}
@@ -132,3 +131,24 @@ def test_luq_token_form_equals_pair_form(spark):
         else:
             assert a[k] == pytest.approx(b[k])
     assert a[(2, 0)] is None  # K = 1
+
+
+def test_luq_of_paraphrased_statements(spark):
+    """Statements that are no verbatim parts of their response: both forms agree, and S(i, j) gives the confidence."""
+    from consonance.functions import text as TX
+
+    resp = spark.createDataFrame([(1, 0, "red car"), (1, 1, "blue car"), (1, 2, "a red bus")], "g int, response_idx int, response string")
+    st = spark.createDataFrame([(1, 0, 0, "blue car"), (1, 0, 1, "red"), (1, 1, 0, "green bus"), (1, 2, 0, "nothing here")],
+                               "g int, response_idx int, statement_idx int, text string")
+
+    def scorer(stmt, response):
+        return TX.containment(TX.tokens(stmt), F.array_distinct(TX.tokens(response)))
+
+    for form in (None, scorer):
+        conf, _ = G.luq(st, resp, ["g"], scorer=form)
+        got = {r["response_idx"]: r["confidence"] for r in conf.collect()}
+        assert got == {0: pytest.approx(0.5), 1: pytest.approx(0.25), 2: pytest.approx(0.0)}
+        s = {(r["i"], r["j"]): r["s"] for r in G.luq_similarity(st, resp, ["g"], scorer=form).collect()}
+        assert s[(0, 1)] == pytest.approx(0.5) and s[(0, 2)] == pytest.approx(0.5) and s[(1, 2)] == pytest.approx(0.5) and len(s) == 6
+        for i in range(3):
+            assert sum(v for (a, _), v in s.items() if a == i) / 2 == pytest.approx(got[i])
