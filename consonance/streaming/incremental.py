@@ -1,19 +1,20 @@
-"""Incremental scoring of newly arrived vectors with Structured Streaming.
-
-Each micro-batch contributes partial d×d Gram cells per group (additive), which
-``foreachBatch`` folds into a versioned state table: version ``v = epoch``
-holds the sums of every epoch ≤ v, written with overwrite so a replayed epoch
-rewrites the same version (exactly-once with the stream checkpoint). Scores at
-any time are ``spectra_from_cells(latest state)`` and equal the batch result
-over the same rows – a group that grows across batches is never re-read.
-State lives under the session's shared checkpoint folder.
+"""Incremental scoring of newly arrived rows with Structured Streaming.
+
+Moments: each micro-batch's vectors become additive Gram cells, and a streaming aggregation sums
+them; Spark's own state store and checkpoint make that exactly-once. Only the cells that a
+micro-batch touched are written, under its epoch (overwritten if the epoch is replayed); the
+latest value of a cell is that of its highest epoch.
+
+LUQ needs a group's texts again when a response arrives, so each micro-batch appends its rows to a
+table partitioned by a hash bucket of the group, rescores only the groups it touched (reading
+only their buckets), and writes only those groups' scores.
+
+All folders lie under the session's shared checkpoint folder unless the caller names another.
 """
 
 from __future__ import annotations
 
-import os
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,109 +22,71 @@ from ..operators import vectors as V
 from ..session import checkpoint_dir
 
 
-def _versions(spark: SparkSession, state_dir: str) -> list[int]:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(state_dir)
-    fs = path.getFileSystem(conf)
-    if not fs.exists(path):
-        return []
-    out = []
-    for st in fs.listStatus(path):
-        name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            out.append(int(name[2:]))
-    return sorted(out)
+def _source(spark: SparkSession, path: str, schema: T.StructType, max_files_per_trigger: int) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(path)
 
 
-def run_incremental_spectra(spark: SparkSession, source: str, schema: T.StructType, group_cols: list[str],
-                            vec_col: str, work_dir: str | None = None, max_files_per_trigger: int = 1) -> str:
-    """Consume everything available under ``source`` (Trigger.AvailableNow) and return the
-    state directory; call ``latest_spectra`` to read scores."""
-    base = work_dir or os.path.join(checkpoint_dir(spark), "incremental-spectra")
-    state_dir = os.path.join(base, "state")
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
-              .parquet(source))
-
-    def fold(batch: DataFrame, epoch: int) -> None:
-        good, _rejected = V.normalize_rows(batch, vec_col)
-        part = V.gram_partials(good.select(*group_cols, F.col(vec_col).cast("array<double>").alias("_x")), group_cols)
-        prior = [v for v in _versions(batch.sparkSession, state_dir) if v < epoch]
-        cells = part
-        if prior:
-            prev = batch.sparkSession.read.parquet(os.path.join(state_dir, f"v={prior[-1]}"))
-            cells = prev.unionByName(part)
-        V.sum_cells(cells, group_cols).write.mode("overwrite").parquet(os.path.join(state_dir, f"v={epoch}"))
-
-    q = (stream.writeStream.foreachBatch(fold).trigger(availableNow=True)
-         .option("checkpointLocation", os.path.join(base, "checkpoint")).start())
+def _run(writer, base: str) -> None:
+    q = writer.trigger(availableNow=True).option("checkpointLocation", f"{base}/checkpoint").start()
     q.awaitTermination()
-    return state_dir
 
 
-def latest_spectra(spark: SparkSession, state_dir: str, group_cols: list[str]) -> DataFrame:
-    versions = _versions(spark, state_dir)
-    if not versions:
-        raise ValueError(f"no committed state under {state_dir}")
-    cells = spark.read.parquet(os.path.join(state_dir, f"v={versions[-1]}"))
-    return V.spectra_from_cells(cells, group_cols)
+def run_incremental_spectra(spark: SparkSession, source: str, schema: T.StructType, group_cols: list[str], key_col: str,
+                            vec_col: str, work_dir: str | None = None, max_files_per_trigger: int = 1) -> str:
+    """Consume everything available under ``source`` and return the folder of the written cells.
 
+    A vector is known by ``group_cols`` and ``key_col``: one that arrives again is not counted again.
+    Vectors without a finite, non-zero norm are left out, as in the batch form.
+    """
+    base = work_dir or f"{checkpoint_dir(spark)}/incremental-spectra"
+    new = _source(spark, source, schema, max_files_per_trigger).dropDuplicates([*group_cols, key_col])
+    good, _rejected = V.normalize_rows(new, vec_col)
+    cells = V.gram_partials(good.select(*group_cols, F.col(vec_col).cast("array<double>").alias("_x")), group_cols)
 
-STATE_BUCKETS = 64
+    def write(touched: DataFrame, epoch: int) -> None:
+        touched.write.mode("overwrite").parquet(f"{base}/cells/epoch={epoch}")
 
+    _run(V.sum_cells(cells, group_cols).writeStream.outputMode("update").foreachBatch(write), base)
+    return f"{base}/cells"
 
-def _latest(spark: SparkSession, base: str) -> str | None:
-    v = _versions(spark, base)
-    return os.path.join(base, f"v={v[-1]}") if v else None
 
+def latest_spectra(spark: SparkSession, cells_dir: str, group_cols: list[str]) -> DataFrame:
+    cells = spark.read.parquet(cells_dir).groupBy(*group_cols, "_cell").agg(F.max_by("_v", "epoch").alias("_v"))
+    return V.spectra_from_cells(cells, group_cols)
 
-def run_incremental_luq(spark: SparkSession, source: str, schema: T.StructType, group_cols: list[str],
-                        idx_col: str, text_col: str, work_dir: str | None = None,
-                        max_files_per_trigger: int = 1, buckets: int = STATE_BUCKETS) -> str:
-    """J1 for LUQ (G3/G4): responses arrive as a stream; each micro-batch
 
-    1. appends its responses to a state table partitioned by a hash bucket of the group,
-    2. recomputes LUQ only for the groups it touched, reading just their buckets, and
-    3. upserts (A12) those groups' rows into a versioned result table
-       (``v = epoch`` = previous version without the touched groups ∪ their new rows).
+def run_incremental_luq(spark: SparkSession, source: str, schema: T.StructType, group_cols: list[str],
+                        idx_col: str, text_col: str, buckets: int, work_dir: str | None = None,
+                        max_files_per_trigger: int = 1) -> str:
+    """J1 for LUQ (G3/G4); returns the folder of results, read with ``latest_luq``.
 
-    Writes use overwrite per epoch, so a replayed epoch rewrites the same version.
-    Returns the result directory; read it with ``latest_luq``.
+    A response is known by its group and index: of one that arrives again the last text counts (A12).
+    ``buckets`` sets how finely the arrived rows are partitioned: about the number of groups in
+    all over the number that one micro-batch may read again.
     """
     from ..operators import entailment as G
     from ..operators import statements as ST
 
-    base = work_dir or os.path.join(checkpoint_dir(spark), "incremental-luq")
-    state_dir = os.path.join(base, "responses")
-    result_dir = os.path.join(base, "results")
+    base = work_dir or f"{checkpoint_dir(spark)}/incremental-luq"
+    rows_dir, result_dir = f"{base}/responses", f"{base}/results"
     bucket = F.pmod(F.xxhash64(*[F.col(c) for c in group_cols]), F.lit(buckets)).alias("gbucket")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source)
 
     def fold(batch: DataFrame, epoch: int) -> None:
         s = batch.sparkSession
-        rows = batch.select(*group_cols, idx_col, text_col, bucket)
-        rows.write.mode("overwrite").partitionBy("gbucket").parquet(os.path.join(state_dir, f"epoch={epoch}"))
-        touched = rows.select(*group_cols, "gbucket").distinct()
-        hit = [r["gbucket"] for r in touched.select("gbucket").distinct().collect()]  # ≤ buckets values
-        # partition pruning: only the touched buckets of committed epochs are listed and read
-        state = s.read.parquet(state_dir).filter(F.col("epoch") <= epoch).filter(F.col("gbucket").isin(hit))
-        resp = state.join(touched, group_cols + ["gbucket"], "left_semi").select(*group_cols, idx_col, text_col)
-        conf, unc = G.luq(ST.split_statements(resp, group_cols + [idx_col], text_col), resp, group_cols, idx_col, text_col)
-        prior = [v for v in _versions(s, result_dir) if v < epoch]
-        new = unc
-        if prior:
-            old = s.read.parquet(os.path.join(result_dir, f"v={prior[-1]}"))
-            new = old.join(touched.select(*group_cols), group_cols, "left_anti").unionByName(unc)
-        new.write.mode("overwrite").parquet(os.path.join(result_dir, f"v={epoch}"))
-
-    q = (stream.writeStream.foreachBatch(fold).trigger(availableNow=True)
-         .option("checkpointLocation", os.path.join(base, "checkpoint")).start())
-    q.awaitTermination()
+        batch.select(*group_cols, idx_col, text_col, bucket).write.mode("overwrite").partitionBy("gbucket").parquet(f"{rows_dir}/epoch={epoch}")
+        rows = s.read.parquet(rows_dir).filter(F.col("epoch") <= epoch)
+        touched = rows.filter(F.col("epoch") == epoch).select(*group_cols, "gbucket").distinct()
+        hit = [r["gbucket"] for r in touched.select("gbucket").distinct().collect()]  # at most ``buckets`` numbers
+        again = rows.filter(F.col("gbucket").isin(hit)).join(touched, group_cols + ["gbucket"], "left_semi")
+        resp = again.groupBy(*group_cols, idx_col).agg(F.max_by(text_col, F.struct("epoch", text_col)).alias(text_col))
+        _conf, unc = G.luq(ST.split_statements(resp, group_cols + [idx_col], text_col), resp, group_cols, idx_col, text_col)
+        unc.write.mode("overwrite").parquet(f"{result_dir}/epoch={epoch}")
+
+    _run(_source(spark, source, schema, max_files_per_trigger).writeStream.foreachBatch(fold), base)
     return result_dir
 
 
-def latest_luq(spark: SparkSession, result_dir: str) -> DataFrame:
-    path = _latest(spark, result_dir)
-    if path is None:
-        raise ValueError(f"no committed results under {result_dir}")
-    return spark.read.parquet(path)
+def latest_luq(spark: SparkSession, result_dir: str, group_cols: list[str]) -> DataFrame:
+    """The scores of each group's highest epoch."""
+    last = Window.partitionBy(*group_cols).orderBy(F.desc("epoch"))
+    return spark.read.parquet(result_dir).withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n", "epoch")
