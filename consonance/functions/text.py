@@ -54,6 +54,11 @@ def nli_probs(c: Column) -> Column:
                     (c * c).alias("p_entail"))
 
 
+def strip(text: Column) -> Column:
+    """White space of any kind removed at both ends."""
+    return F.regexp_replace(text, "^\\s+|\\s+$", "")
+
+
 def strip_tags(text: Column, tags: list[str]) -> Column:
     """Remove tag literals."""
     out = text
@@ -63,6 +68,6 @@ def strip_tags(text: Column, tags: list[str]) -> Column:
 
 
 def between_tags(text: Column, tag: str) -> Column:
-    """Text between the first <tag> and the following </tag> (null when absent)."""
+    """Text between the first <tag> and the following <tag> or </tag> (null when absent)."""
     after = F.element_at(F.split(text, f"<{tag}>", 2), 2)
-    return F.when(F.instr(text, f"<{tag}>") > 0, F.element_at(F.split(after, f"</{tag}>", 2), 1))
+    return F.when(F.instr(text, f"<{tag}>") > 0, F.element_at(F.split(after, f"</?{tag}>", 2), 1))

@@ -17,6 +17,7 @@ PAIR_PATTERN = r"<statement>(.*?)</statement>\s*<class>(1|0)</class>"
 STATEMENT_TAG_PATTERN = r"<statement>(.*?)</statement>"
 LABEL_LIST_PATTERN = r"\d+\.\s*(True|False)"
 CLASS_WINDOW = 7   # tokens looked at before / after a class token
+UNIX_LINES = "(?d)"  # only a newline ends a line for "." (a carriage return does not)
 
 
 # ---------------------------------------------------------------- statements
@@ -33,9 +34,9 @@ def parse_tagged(df: DataFrame, key_cols: list[str], text_col: str) -> tuple[Dat
     complete statement/class pairs is rejected as a whole (reason column).
     """
     t = F.col(text_col)
-    stmts = F.regexp_extract_all(t, F.lit(PAIR_PATTERN), 1)
-    classes = F.regexp_extract_all(t, F.lit(PAIR_PATTERN), 2)
-    n_tags = F.size(F.regexp_extract_all(t, F.lit(STATEMENT_TAG_PATTERN), 1))
+    stmts = F.regexp_extract_all(t, F.lit(UNIX_LINES + PAIR_PATTERN), 1)
+    classes = F.regexp_extract_all(t, F.lit(UNIX_LINES + PAIR_PATTERN), 2)
+    n_tags = F.size(F.regexp_extract_all(t, F.lit(UNIX_LINES + STATEMENT_TAG_PATTERN), 1))
     # one-row inline (a Generate node): the ok / not-ok filters below are not pushed
     # down with the three regex extractions copied into them
     flagged = df.select(*key_cols, F.inline(F.array(F.struct(t.alias("_t"), stmts.alias("_s"), classes.alias("_c"),
@@ -43,7 +44,7 @@ def parse_tagged(df: DataFrame, key_cols: list[str], text_col: str) -> tuple[Dat
     ok = F.size("_s") == F.col("_n")
     good = flagged.filter(ok).select(
         *key_cols, F.posexplode(F.arrays_zip(F.col("_s").alias("s"), F.col("_c").alias("c"))).alias("statement_idx", "p"))
-    good = good.select(*key_cols, "statement_idx", F.trim(F.col("p.s")).alias("text"),
+    good = good.select(*key_cols, "statement_idx", TX.strip(F.col("p.s")).alias("text"),
                        (F.col("p.c") == "1").alias("class"))
     bad = flagged.filter(~ok).select(*key_cols, F.col("_t").alias(text_col),
                                      F.lit("statement/class tag mismatch").alias("reason"))
@@ -60,18 +61,20 @@ def class_token_probs(tokens: DataFrame, key_cols: list[str]) -> DataFrame:
     ``</class>``; the n-th such token belongs to the n-th statement.
     """
     w = CLASS_WINDOW
-    e = tokens.select(*key_cols, "tokens", "logprobs", "top",
-                      F.posexplode("tokens").alias("pos", "token"))
-    start = F.greatest(F.col("pos") - w, F.lit(0))
-    before = F.array_join(F.slice("tokens", start + 1, F.col("pos") - start), "")
-    after = F.array_join(F.slice("tokens", F.col("pos") + 2, F.lit(w)), "")
-    hits = e.filter(F.col("token").isin("0", "1") & F.lower(before).endswith("<class>")
-                    & F.lower(after).startswith("</class>"))
-    win = Window.partitionBy(*key_cols).orderBy("pos")
-    hits = hits.select(*key_cols, "pos", "token",
-                       F.element_at("logprobs", F.col("pos") + 1).alias("logprob_raw"),
-                       F.element_at("top", F.col("pos") + 1).alias("_top"),
-                       (F.row_number().over(win) - 1).alias("statement_idx"))
+    # Positions of '0'/'1' tokens are found inside the array and only the few tokens around
+    # them are looked at; hits alone are exploded, and the explode position is the ordinal.
+    places = F.filter(F.transform("tokens", lambda t, i: F.when(t.isin("0", "1"), i)), lambda i: i.isNotNull())
+
+    def around(toks: Column, i: Column) -> Column:
+        start = F.greatest(i - w, F.lit(0))
+        before = F.array_join(F.slice(toks, start + 1, i - start), "")
+        after = F.array_join(F.slice(toks, i + 2, F.lit(w)), "")
+        return F.lower(before).endswith("<class>") & F.lower(after).startswith("</class>")
+
+    at = tokens.select(*key_cols, "tokens", "logprobs", "top", F.filter(places, lambda i: around(F.col("tokens"), i)).alias("_at"))
+    found = F.transform("_at", lambda i: F.struct(
+        i.alias("pos"), F.get("tokens", i).alias("token"), F.get("logprobs", i).alias("logprob_raw"), F.get("top", i).alias("_top")))
+    hits = at.select(*key_cols, F.posexplode(found).alias("statement_idx", "h")).select(*key_cols, "statement_idx", "h.*")
     return two_way_probs(hits, "_top", "logprob_raw").drop("_top")
 
 
@@ -119,7 +122,7 @@ def top_logprob_rounded(top: Column) -> Column:
 
 def parse_claim_list(text: Column, tag: str = "new_claims") -> Column:
     """Lines between the tags, spaces stripped, leading '-' removed."""
-    inner = F.regexp_replace(TX.between_tags(text, tag), "^\\s+|\\s+$", "")
+    inner = TX.strip(TX.between_tags(text, tag))
     return F.transform(F.split(inner, "\n"), lambda s: F.regexp_replace(F.trim(s), "^-+", ""))
 
 
@@ -141,9 +144,13 @@ def truncate(stmts: DataFrame, key_cols: list[str], budget_words: Column | int,
 
 def truncate_words(stmts: DataFrame, key_cols: list[str], budget_col: str) -> DataFrame:
     """D12 for the default estimator in exact integer form: Σ words before < budget words."""
+    return words_before(stmts, key_cols).filter(F.col("_words_before") < F.col(budget_col)).drop("_words_before")
+
+
+def words_before(stmts: DataFrame, key_cols: list[str]) -> DataFrame:
+    """``_words_before``: the words of a response's statements before each statement."""
     w = Window.partitionBy(*key_cols).orderBy("statement_idx").rowsBetween(Window.unboundedPreceding, -1)
-    s = stmts.withColumn("_words_before", F.coalesce(F.sum(TX.word_count(F.col("text"))).over(w), F.lit(0)))
-    return s.filter(F.col("_words_before") < F.col(budget_col)).drop("_words_before")
+    return stmts.withColumn("_words_before", F.coalesce(F.sum(TX.word_count(F.col("text"))).over(w), F.lit(0)))
 
 
 def rebuild_text(kept: DataFrame, key_cols: list[str], all_keys: DataFrame | None = None) -> DataFrame:

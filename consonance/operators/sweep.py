@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import embed as EM
 from ..session import cut_lineage
@@ -16,21 +17,19 @@ from . import statements as ST
 from . import vectors as V
 
 
-def as_list(c: Column) -> Column:
-    """Scalars are treated as one-element lists."""
-    return F.when(c.isNull(), F.array()).otherwise(c)
-
-
 def parameter_grid(runs: DataFrame, list_cols: list[str]) -> DataFrame:
-    """Cartesian grid per run block – one ``explode`` per list column (no cross join)."""
+    """Cartesian grid per run block – one ``explode`` per list column (no cross join); a
+    scalar column counts as a list of one."""
     g = runs
     for c in list_cols:
-        g = g.withColumn(c, F.explode(g[c]))
+        one_of = isinstance(g.schema[c].dataType, T.ArrayType)
+        g = g.withColumn(c, F.explode(g[c] if one_of else F.array(g[c])))
     return g
 
 
 def model_spec(spec: Column) -> Column:
-    """Model spec ``array<string>`` of 3, 2 or 1 elements → struct(name, pooling, suffix).
+    """Model spec ``array<string>`` of 3, 2 or 1 elements → struct(name, pooling, suffix);
+    a string is a spec with the name only (``spec_list`` makes it one).
 
     Suffix = last path part of the name with '-' → '_' unless given; pooling
     defaults to 'mean'."""
@@ -41,14 +40,19 @@ def model_spec(spec: Column) -> Column:
     return F.struct(name.alias("name"), pooling.alias("pooling"), suffix.alias("suffix"))
 
 
+def spec_list(df: DataFrame, col: str) -> Column:
+    """The spec column as ``array<string>``, whether it holds strings or lists."""
+    return F.col(col) if isinstance(df.schema[col].dataType, T.ArrayType) else F.array(F.col(col))
+
+
 def truncation_sweep(stmts: DataFrame, key_cols: list[str], lengths: list[int]) -> DataFrame:
     """F12 + D12 + D13: every response truncated at every length in one pass.
 
     Returns ``key…, response_count, n_kept, truncated``.
     """
-    s = stmts.withColumn("response_count", F.explode(F.array(*[F.lit(n) for n in lengths])))
+    # the words before a statement do not depend on the length: one window, then the lengths
     keys = key_cols + ["response_count"]
-    kept = ST.truncate_words(s, keys, "response_count")
+    kept = _kept_at(ST.words_before(stmts, key_cols), lengths)
     all_keys = stmts.select(*key_cols).distinct().withColumn(
         "response_count", F.explode(F.array(*[F.lit(n) for n in lengths])))
     return ST.rebuild_text(kept, keys, all_keys=all_keys)
@@ -59,13 +63,16 @@ def additive_sweep_embeddings(stmts: DataFrame, key_cols: list[str], lengths: li
     """Embeddings of every truncated response for an embedder that is additive over
     statements (token counts): each statement is embedded once, and a truncated response's
     vector is the sum of its kept statements' vectors – no re-embedding per length."""
-    e = stmts.withColumn("_v", embed(F.col("text")))
-    s = e.withColumn("response_count", F.explode(F.array(*[F.lit(n) for n in lengths])))
     keys = key_cols + ["response_count"]
-    kept = ST.truncate_words(s, keys, "response_count")
-    zero = F.array_repeat(F.lit(0.0), dim)
-    return kept.groupBy(*keys).agg(F.aggregate(F.collect_list("_v"), zero,
-                                               lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b)).alias("vec"))
+    kept = _kept_at(ST.words_before(stmts, key_cols).withColumn("_v", embed(F.col("text"))), lengths)
+    # sums by element (map-side partial sums): no response's vectors are collected
+    return kept.groupBy(*keys).agg(F.array(*[F.sum(F.get("_v", F.lit(i))) for i in range(dim)]).alias("vec"))
+
+
+def _kept_at(stmts: DataFrame, lengths: list[int]) -> DataFrame:
+    """Statements kept at each length, one row per statement and length that keeps it."""
+    all_lengths = F.array(*[F.lit(n) for n in lengths])
+    return stmts.withColumn("response_count", F.explode(F.filter(all_lengths, lambda n: F.col("_words_before") < n))).drop("_words_before")
 
 
 def dispersion_sweep(stmts: DataFrame, group_cols: list[str], resp_col: str, lengths: list[int],
@@ -97,7 +104,7 @@ def score(metric: str, **inputs) -> DataFrame:
     * dispersion: ``vectors``, ``group_cols``, ``vec_col`` → dispersion table
     * luq: ``statements``, ``responses``, ``group_cols`` → uncertainty per group
     * entailment: ``responses``, ``group_cols`` → long (group, metric, value)
-    * graph_uncertainty: ``edges``, ``node_counts``, ``group_cols`` → centralities
+    * graph_uncertainty: ``atoms``, ``responses``, ``group_cols`` → claim metrics
     """
     from . import claims as H
     from . import entailment as G
@@ -110,13 +117,15 @@ def score(metric: str, **inputs) -> DataFrame:
         g = inputs["group_cols"]
         r = inputs["responses"]
         items = r.select(*g, F.col("response_idx").alias("i"))
-        pairs = G.nli_pairs(r, g)
-        ids = G.semantic_ids(pairs, items, g)
+        # four operators read the pairs: score each pair once
+        unordered = cut_lineage(G.nli_pairs_unordered(r, g))
+        pairs = G.ordered_pairs(unordered, g)
+        ids = G.semantic_ids(unordered, items, g)
         se = G.cluster_entropy(ids, g).select(*g, F.lit("semantic_entropy").alias("metric"), F.col("entropy").alias("value"))
         deg = G.degree_uncertainty(pairs, items, g).select(*g, F.lit("u_deg").alias("metric"), F.col("u_deg").alias("value"))
         sc = G.selfcheck(pairs, items, g)[1].select(*g, F.lit("u_nli").alias("metric"), F.col("u_nli").alias("value"))
         sp = G.spectral_panel(pairs, items, g).filter(F.col("metric").isin("u_eigv", "u_ecc"))
         return se.unionByName(deg).unionByName(sc).unionByName(sp)
     if metric == "graph_uncertainty":
-        return H.graph_centralities(inputs["edges"], inputs["node_counts"], inputs["group_cols"])
-    raise ValueError(f"Metric {metric} not supported")
+        return H.graph_uncertainty(inputs["atoms"], inputs["responses"], inputs["group_cols"])
+    raise ValueError(f"unknown metric {metric!r}: one of {', '.join(METRICS)}")

@@ -3,16 +3,15 @@
 A group is a set of K vectors (one per response). The cosine kernel Z = U Uᵀ
 of the unit rows is never materialised as a pair table here: every quantity
 below depends on Z only through its spectrum or its Frobenius norm, and those
-equal the spectrum / norm of the d×d Gram UᵀU. So
+equal the spectrum / norm of the d×d Gram UᵀU. Two operators give the same numbers:
 
-* groups with K <= ``direct_max_k`` are scored by a batched numpy kernel over
-  partitions sorted by group (many groups per Arrow batch, stacked eigen-solvers; a
-  group's K×d matrix is small by construction), and
-* larger ("hot") groups are never gathered: every input partition emits its
-  partial d×d Gram per group (``mapInPandas``), Spark sums the partials with a
-  native aggregation, and one d×d eigen-problem per group finishes the job.
+* ``group_spectra``, for groups whose K×d matrix is small by construction: a batched numpy
+  kernel over partitions sorted by group (many groups per Arrow batch, stacked eigen-solvers);
+* ``group_spectra_gram``, for groups of any size, which are never gathered: every input
+  partition emits its partial d×d Gram per group (``mapInPandas``), Spark sums the
+  partials with a native aggregation, and one d×d eigen-problem per group finishes the job.
 
-Both paths share ``_summary`` and give the same numbers (tests check it).
+The caller chooses by what bounds the groups; nothing switches by size.
 """
 
 from __future__ import annotations
@@ -23,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import broadcast_if_small, by_group
+from ..session import by_group
 
 # Fixed parameter defaults of the dispersion family.
 JITTER = 1e-3          # added to the kernel diagonal before the eigen-decomposition
@@ -81,7 +80,7 @@ def normalize_rows(df: DataFrame, vec_col: str, out_col: str = "u") -> tuple[Dat
     non-finite vectors cannot be normalised and go to the reject frame.
     """
     with_norm = df.withColumn("_norm", l2_norm(F.col(vec_col).cast("array<double>")))
-    ok = F.col("_norm").isNotNull() & (F.col("_norm") > 0) & ~F.isnan("_norm")
+    ok = F.col("_norm").isNotNull() & (F.col("_norm") > 0) & ~F.isnan("_norm") & (F.col("_norm") < float("inf"))
     good = with_norm.filter(ok).withColumn(
         out_col, F.zip_with(F.col(vec_col).cast("array<double>"),
                             F.array_repeat(F.col("_norm"), F.size(vec_col)), lambda x, m: x / m)
@@ -147,34 +146,25 @@ def _summary_schema(group_schema: list[T.StructField]) -> T.StructType:
 # ---------------------------------------------------------------- group spectra
 
 def group_spectra(vectors: DataFrame, group_cols: list[str], vec_col: str,
-                  jitter: float = JITTER, alpha: float = EIGENSCORE_ALPHA,
-                  direct_max_k: int = 2048, hot_broadcast_rows: int = 1_000_000,
-                  size_source: DataFrame | None = None) -> DataFrame:
+                  jitter: float = JITTER, alpha: float = EIGENSCORE_ALPHA) -> DataFrame:
     """F3/F4/F6/F7 per group: dispersion (von Neumann entropy of Z + jitter·I over K,
     eigenvalues not renormalised), dispersion / ln K, eigen-score of the raw rows,
     and kernel moments (trace, ‖Z‖²_F, mean off-diagonal cosine, purity, Rényi-2).
 
-    Rows must have non-zero vectors (use ``normalize_rows`` to quarantine).
-    ``size_source`` (optional) is a frame with the group columns whose per-group
-    row count bounds K from above, e.g. the unfiltered table: the routing count then
-    reads only the key columns. Routing on an upper bound stays exact – both paths
-    compute the same values.
+    For groups that fit in a task by construction (a question's K sampled responses). Groups
+    without such a bound are scored by ``group_spectra_gram``. Rows must have non-zero
+    vectors (use ``normalize_rows`` to quarantine).
     """
     data = vectors.select(*group_cols, F.col(vec_col).cast("array<double>").alias("_x"))
-    gfields = [data.schema[c] for c in group_cols]
-    out_schema = _summary_schema(gfields)
+    return _direct(data, group_cols, _summary_schema([data.schema[c] for c in group_cols]), jitter, alpha)
+
 
-    sizes = (size_source if size_source is not None else data).groupBy(*group_cols).agg(
-        F.count(F.lit(1)).alias("_k"))
-    hot = sizes.filter(F.col("_k") > direct_max_k).select(*group_cols)
-    n_hot = hot.count()
-    if n_hot == 0:
-        return _direct(data, group_cols, out_schema, jitter, alpha)
-    hot = broadcast_if_small(hot, hot_broadcast_rows, n_hot)
-    small = data.join(hot, group_cols, "left_anti")
-    large = data.join(hot, group_cols, "left_semi")
-    return _direct(small, group_cols, out_schema, jitter, alpha).unionByName(
-        _gram_path(large, group_cols, gfields, out_schema, jitter, alpha))
+def group_spectra_gram(vectors: DataFrame, group_cols: list[str], vec_col: str,
+                       jitter: float = JITTER, alpha: float = EIGENSCORE_ALPHA) -> DataFrame:
+    """the scores of ``group_spectra`` for groups of any size: partial d×d Gram per (input
+    partition, group), a native sum, and one d×d eigen-problem per group."""
+    data = vectors.select(*group_cols, F.col(vec_col).cast("array<double>").alias("_x"))
+    return spectra_from_cells(sum_cells(gram_partials(data, group_cols), group_cols), group_cols, jitter, alpha)
 
 
 def _direct(data: DataFrame, group_cols: list[str], out_schema: T.StructType,
@@ -315,12 +305,6 @@ def spectra_from_cells(cells: DataFrame, group_cols: list[str], jitter: float =
     return by_group(cells, group_cols).groupBy(*group_cols).applyInPandas(finish, schema=out_schema)
 
 
-def _gram_path(data: DataFrame, group_cols: list[str], gfields: list[T.StructField],
-               out_schema: T.StructType, jitter: float, alpha: float) -> DataFrame:
-    """Partial Gram per (input partition, group) → native sum → d×d finish per group."""
-    return spectra_from_cells(sum_cells(gram_partials(data, group_cols), group_cols), group_cols, jitter, alpha)
-
-
 # ---------------------------------------------------------------- F2 (inspection only)
 
 def cosine_kernel(vectors: DataFrame, group_cols: list[str], item_col: str, vec_col: str) -> DataFrame:
@@ -355,7 +339,9 @@ def pool_tokens(tokens: DataFrame, key_cols: list[str], pos_col: str, vec_col: s
     if method == "last":
         return t.groupBy(*key_cols).agg(F.max_by(vec_col, pos_col).alias("pooled"))
     if method not in ("mean", "max"):
-        raise ValueError(f"Invalid pooling method: {method}")
+        raise ValueError(f"pooling must be mean, max, cls, first or last, not {method!r}")
+    # one row per key and dimension after the map-side partial aggregation; the dimensions of a
+    # key (fixed by the model, not by the data) are then put in order
     e = t.select(*key_cols, F.posexplode(F.col(vec_col).cast("array<double>")).alias("dim", "x"))
     agg = F.avg("x") if method == "mean" else F.max("x")
     per_dim = e.groupBy(*key_cols, "dim").agg(agg.alias("x"))

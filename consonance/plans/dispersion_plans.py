@@ -14,11 +14,20 @@ def _rounded(df: DataFrame, cols: list[str], digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
-def label_spectra(spark: SparkSession, sf_dir: str, direct_max_k: int = 2048) -> DataFrame:
+def label_spectra(spark: SparkSession, sf_dir: str, operator=V.group_spectra_gram) -> DataFrame:
+    """Scores per label. A label's rows grow with the table, so the default is the form for any size."""
     emb = table(spark, sf_dir, "embeddings")
     good, _rejected = V.normalize_rows(emb, "embedding")
-    return V.group_spectra(good.select("label", "embedding"), ["label"], "embedding",
-                           direct_max_k=direct_max_k, size_source=emb.select("label"))
+    return operator(good.select("label", "embedding"), ["label"], "embedding")
+
+
+@register("f1_rejected_vectors", sql="""
+SELECT vec_id, label, 'zero or non-finite vector norm' AS reason FROM embeddings
+WHERE NOT coalesce(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x)) > 0, false)""")
+def rejected_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """what the dispersion queries leave out, with the reason."""
+    _good, bad = V.normalize_rows(table(spark, sf_dir, "embeddings"), "embedding")
+    return bad.select("vec_id", "label", "reason")
 
 
 @register("f3_dispersion_by_label")
@@ -56,42 +65,47 @@ FROM p GROUP BY label
 
 @register("f7_kernel_moments", sql=_F7_SQL)
 def kernel_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """kernel moments that pin the dispersion spectrum (Σλ = trace, Σλ² = ‖Z‖²_F)."""
-    s = label_spectra(spark, sf_dir)
+    """kernel moments that pin the dispersion spectrum (Σλ = trace, Σλ² = ‖Z‖²_F), by the form
+    for groups that fit in a task."""
+    s = label_spectra(spark, sf_dir, V.group_spectra)
     cols = ["trace", "fro2", "mean_cos", "purity", "renyi2"]
     return _rounded(s.select("label", "k", *cols), cols)
 
 
 @register("f7_kernel_moments_gram_path", sql=_F7_SQL)
 def kernel_moments_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """the same moments forced through the partial-Gram path (every label treated as hot)."""
-    s = label_spectra(spark, sf_dir, direct_max_k=1)
+    """the same moments through the partial-Gram form."""
+    s = label_spectra(spark, sf_dir)
     cols = ["trace", "fro2", "mean_cos", "purity", "renyi2"]
     return _rounded(s.select("label", "k", *cols), cols)
 
 
 @register("f5_dispersion_gram_path")
 def dispersion_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = label_spectra(spark, sf_dir, direct_max_k=1)
+    s = label_spectra(spark, sf_dir)
     return _rounded(s.select("label", "k", "dispersion", "dispersion_norm"), ["dispersion", "dispersion_norm"], 9)
 
 
 @register("f1_unit_norm_check", sql="""
 SELECT label, CAST(count(*) AS BIGINT) AS n_vectors,
-       round(avg(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 6) AS mean_sq_norm_raw
+       round(avg(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 6) AS mean_sq_norm_raw,
+       round(avg(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))))), 6) AS mean_unit_sum,
+       CAST(1 AS DOUBLE) AS min_sq_norm_unit, CAST(1 AS DOUBLE) AS max_sq_norm_unit
 FROM embeddings
 WHERE list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x)) > 0
 GROUP BY label
 """)
 def unit_norm_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """rows normalised (zero vectors quarantined) – counts and raw norms per label."""
+    """rows normalised (zero and non-finite vectors quarantined) – counts, raw norms, sums and norms of the unit rows per label."""
     emb = table(spark, sf_dir, "embeddings")
     good, _ = V.normalize_rows(emb, "embedding")
-    e = F.col("embedding").cast("array<double>")
+    square = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)
+    total = F.aggregate("u", F.lit(0.0), lambda a, x: a + x)
     return good.groupBy("label").agg(
         F.count(F.lit(1)).alias("n_vectors"),
-        F.round(F.avg(F.aggregate(e, F.lit(0.0), lambda a, x: a + x * x)), 6).alias("mean_sq_norm_raw"),
-    )
+        F.round(F.avg(square(F.col("embedding").cast("array<double>"))), 6).alias("mean_sq_norm_raw"),
+        F.round(F.avg(total), 6).alias("mean_unit_sum"), F.round(F.min(square(F.col("u"))), 6).alias("min_sq_norm_unit"),
+        F.round(F.max(square(F.col("u"))), 6).alias("max_sq_norm_unit"))
 
 
 @register("f10_cosine_to_label_centroid", sql="""

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import embed as EM
 from ..operators import prep as P
 from ..operators import vectors as V
+from ..session import by_group
 from ..sources.tables import table
 from . import fixtures as FX
 from .registry import register
-from .statement_plans import sql_tokens
+from .statement_plans import SQL_STATEMENTS_CTE, sql_tokens
 
 JUDGE_TEMPLATE = "Entity: {entity}\nReference document:\n{reference_doc}\nResponse:\n{response}\nLabel every statement."
 DATE_FORMATS = ["yyyy-MM-dd", "MM/dd/yyyy", "d MMMM yyyy"]
@@ -174,20 +175,24 @@ def first_per_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("b18_dense_order_index", sql="""
-SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS BIGINT) AS row_idx FROM orders""")
+SELECT o_orderkey, o_orderpriority, CAST(row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS BIGINT) AS row_idx FROM orders""")
 def dense_order_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dense re-index in (date, key) order via range partitions + offsets."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    return P.dense_index(o, ["o_orderdate", "o_orderkey"]).select("o_orderkey", "row_idx")
+    """Dense re-index in (date, key) order via range partitions + offsets, with a payload column."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
+    return P.dense_index(o, ["o_orderdate", "o_orderkey"]).select("o_orderkey", "o_orderpriority", "row_idx")
 
 
-@register("b19_document_sample")
+@register("b19_document_sample", sql="SELECT doc_id, source FROM documents ORDER BY md5('7|' || doc_id), doc_id LIMIT 100")
 def document_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deterministic 100-document subset (the sampling operator itself)."""
     return P.sample_rows(table(spark, sf_dir, "documents").select("doc_id", "source"), ["doc_id"], 100, seed=7)
 
 
-@register("b20_group_subset")
+SQL_SUBSET = """sub AS (SELECT conv_id, CAST(turn AS INTEGER) AS response_idx FROM conversations
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY md5('11|' || conv_id || '|' || turn), turn) <= 3)"""
+
+
+@register("b20_group_subset", sql=f"WITH {SQL_SUBSET} SELECT conv_id, response_idx FROM sub")
 def group_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """3 of K turns per conversation by seeded hash, chosen indices kept."""
     r = FX.conv_responses(spark, sf_dir).select("conv_id", "response_idx")
@@ -195,22 +200,22 @@ def group_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("c1_reference_join", sql="""
-SELECT 'matched' AS side, count(*) AS n FROM (SELECT DISTINCT conv_id FROM conversations) g JOIN documents d ON d.doc_id = g.conv_id
+SELECT 'matched' AS side, doc_id, md5(text) AS text_md5 FROM documents WHERE doc_id IN (SELECT conv_id FROM conversations)
 UNION ALL
-SELECT 'rejected', count(*) FROM (SELECT DISTINCT conv_id FROM conversations) g WHERE conv_id NOT IN (SELECT doc_id FROM documents)""")
+SELECT DISTINCT 'rejected', conv_id, NULL FROM conversations WHERE conv_id NOT IN (SELECT doc_id FROM documents)""")
 def reference_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group → reference document by key; groups without one are rejected."""
     g = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id")).distinct()
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     m, rej = P.attach_reference(g, d, ["doc_id"])
-    return m.agg(F.count(F.lit(1)).alias("n")).withColumn("side", F.lit("matched")).unionByName(
-        rej.agg(F.count(F.lit(1)).alias("n")).withColumn("side", F.lit("rejected"))).select("side", "n")
+    return m.select(F.lit("matched").alias("side"), "doc_id", F.md5("text").alias("text_md5")).unionByName(
+        rej.select(F.lit("rejected").alias("side"), "doc_id", F.lit(None).cast("string").alias("text_md5")))
 
 
 def _qa_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FX-PAGE as QA entries: titles = nav link texts then the page title; contexts = '' for
     links and the article paragraphs for the title; answer = <h1>; aliases = {title, h1}."""
-    p = table(spark, sf_dir, "pages")
+    p = by_group(table(spark, sf_dir, "pages").select("page_id", "html"), ["page_id"])
     title = F.regexp_extract("html", "<title>(.*?)</title>", 1)
     h1 = F.regexp_extract("html", "<h1>(.*?)</h1>", 1)
     links = F.regexp_extract_all("html", F.lit('<a href="[^"]*">([^<]*)</a>'), 1)
@@ -243,16 +248,16 @@ def sql_cosine(a: str, b: str) -> str:
 
 @register("c2_c4_page_lookup", sql=f"""WITH {SQL_QA},
 x AS (SELECT *, CAST(coalesce(list_position(list_transform(titles, lambda t: lower(trim(t))), lower(trim(entity))), 0) - 1 AS INTEGER) AS idx FROM qa)
-SELECT page_id, idx AS entity_page_idx, CAST(length(CASE WHEN idx >= 0 THEN contexts[idx + 1] END) AS INTEGER) AS page_chars,
-       CAST(len(list_intersect(list_transform(titles, lambda t: lower(t)), list_transform(aliases, lambda t: lower(t)))) AS INTEGER) AS n_overlap
+SELECT page_id, idx AS entity_page_idx, md5(CASE WHEN idx >= 0 THEN contexts[idx + 1] END) AS page_md5,
+       array_to_string(list_sort(list_intersect(list_transform(titles, lambda t: lower(t)), list_transform(aliases, lambda t: lower(t)))), '|') AS overlap
 FROM x""")
 def page_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C2 (first case-insensitive title match, −1 if none) + C3 (page text) + C4 (titles ∩ aliases)."""
     q = _qa_entries(spark, sf_dir)
     idx = P.title_position(F.col("titles"), F.col("entity"))
     return q.select("page_id", idx.alias("entity_page_idx"),
-                    F.length(P.page_text(F.col("contexts"), idx)).alias("page_chars"),
-                    F.size(P.title_alias_overlap(F.col("titles"), F.col("aliases"))).alias("n_overlap"))
+                    F.md5(P.page_text(F.col("contexts"), idx)).alias("page_md5"),
+                    F.array_join(F.array_sort(P.title_alias_overlap(F.col("titles"), F.col("aliases"))), "|").alias("overlap"))
 
 
 @register("c5_c6_semantic_match", sql=f"""WITH {SQL_QA},
@@ -309,17 +314,17 @@ def resume_shortfall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("a7_reference_fetch", sql="""
-WITH d AS (SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title, length(html) AS n FROM pages),
+WITH d AS (SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title, md5(html) AS n FROM pages),
 e AS (SELECT DISTINCT regexp_extract(html, '<h1>(.*?)</h1>', 1) AS title FROM pages)
-SELECT title, CAST(arg_max(n, page_id) AS INTEGER) AS n_chars FROM d WHERE title IN (SELECT title FROM e) GROUP BY title""")
+SELECT title, arg_max(n, page_id) AS text_md5 FROM d WHERE title IN (SELECT title FROM e) GROUP BY title""")
 def reference_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose title is in the entity set (semi-join), one text per title (last wins)."""
     p = table(spark, sf_dir, "pages")
     docs = p.select("page_id", F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"),
-                    F.length("html").alias("n"))
+                    F.md5("html").alias("n"))
     ents = p.select(F.regexp_extract("html", "<h1>(.*?)</h1>", 1).alias("title")).distinct()
     m = docs.join(ents, "title", "left_semi")
-    return m.groupBy("title").agg(F.max_by("n", "page_id").alias("n_chars"))
+    return m.groupBy("title").agg(F.max_by("n", "page_id").alias("text_md5"))
 
 
 @register("a9_book_plot_lookup", sql="""
@@ -359,7 +364,8 @@ def hashed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(*FX.RESP, EM.hashed_embedding(F.col("response")).alias("embedding"))
 
 
-@register("c14_subset_claims")
+@register("c14_subset_claims", sql=f"""WITH {SQL_STATEMENTS_CTE}, {SQL_SUBSET}
+SELECT conv_id, response_idx, count(*) AS n_claims FROM st JOIN sub USING (conv_id, response_idx) GROUP BY ALL""")
 def subset_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C14 + B20: the claim (statement) lists of a seeded 3-of-K response subset, joined by key."""
     r = FX.conv_responses(spark, sf_dir).select("conv_id", "response_idx")

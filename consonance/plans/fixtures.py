@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as TX
 from ..operators import statements as ST
+from ..session import by_group
 from ..sources.tables import table
 
 GROUP = ["conv_id"]
@@ -21,9 +22,10 @@ RESP = ["conv_id", "response_idx"]
 
 
 def conv_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns, hash-partitioned by response: windows, joins and groupings by response reuse it."""
     c = table(spark, sf_dir, "conversations")
-    return c.select("conv_id", F.col("turn").cast("int").alias("response_idx"), "role",
-                    F.col("text").alias("response"))
+    return by_group(c.select("conv_id", F.col("turn").cast("int").alias("response_idx"), "role",
+                             F.col("text").alias("response")), RESP)
 
 
 def conv_statements(spark: SparkSession, sf_dir: str) -> DataFrame:

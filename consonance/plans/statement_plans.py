@@ -48,7 +48,7 @@ jr AS (
 judge AS (SELECT conv_id, response_idx, response, array_to_string(parts, chr(10)) AS judge_output FROM jr)
 """
 
-PAIR_RE = r"<statement>(.*?)</statement>\s*<class>(1|0)</class>"
+PAIR_RE = ST.PAIR_PATTERN
 
 
 @register("d_statement_split", sql=f"WITH {SQL_STATEMENTS_CTE} SELECT conv_id, response_idx, statement_idx, text FROM st")
@@ -173,10 +173,8 @@ WITH b AS (
 x AS (SELECT *, split_part(split_part(generated, '<response>', 2), '</response>', 1) AS inner_text FROM b)
 SELECT conv_id, response_idx, regexp_replace(inner_text, '^\\s+|\\s+$', '', 'g') AS body,
        CAST(length(inner_text) - length(regexp_replace(inner_text, '^\\s+', '')) AS INTEGER) AS left_trim_len,
-       CAST(len(list_transform(string_split(regexp_replace(split_part(split_part(claims_out, '<new_claims>', 2), '</new_claims>', 1), '^\\s+|\\s+$', '', 'g'), chr(10)),
-            lambda s: regexp_replace(trim(s), '^-+', ''))) AS INTEGER) AS n_claims,
        list_transform(string_split(regexp_replace(split_part(split_part(claims_out, '<new_claims>', 2), '</new_claims>', 1), '^\\s+|\\s+$', '', 'g'), chr(10)),
-            lambda s: regexp_replace(trim(s), '^-+', ''))[1] AS first_claim
+            lambda s: regexp_replace(trim(s), '^-+', '')) AS claims
 FROM x""")
 def tagged_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D6 (body between <response> tags with its left trim) and D9 (new-claim list)."""
@@ -188,7 +186,7 @@ def tagged_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = ST.response_body(gen)
     claims = ST.parse_claim_list(claims_out)
     return r.select(*FX.RESP, b["body"].alias("body"), F.length(b["left_trim"]).alias("left_trim_len"),
-                    F.size(claims).alias("n_claims"), F.element_at(claims, 1).alias("first_claim"))
+                    claims.alias("claims"))
 
 
 @register("d11_request_cost", sql=f"""
@@ -218,9 +216,7 @@ WITH x AS (SELECT conv_id, CAST(turn AS INTEGER) AS response_idx, {sql_tokens('t
 y AS (SELECT *, list_transform(toks, lambda t: -length(t) / 10.0) AS lp,
              list_transform(toks, lambda t: round(greatest(-length(t) / 10.0, -(length(t) + 1) / 10.0), 8)) AS top_max FROM x)
 SELECT conv_id, response_idx, CAST(len(toks) - n_p AS INTEGER) AS n_body,
-       CAST(len(list_slice(lp, n_p + 1, len(toks))) AS INTEGER) AS n_body_lp,
-       round(coalesce(list_sum(list_slice(lp, n_p + 1, len(toks))), 0), 6) AS body_lp_sum,
-       round(coalesce(list_sum(top_max), 0), 6) AS top_max_sum
+       list_transform(list_slice(lp, n_p + 1, len(toks)), lambda x: round(x, 6)) AS body_lp, list_transform(top_max, lambda x: round(x, 6)) AS top_max
 FROM y""")
 def logprob_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D7 (body slice of the logprobs after a prefix, with its length check) and D8 (best
@@ -235,6 +231,5 @@ def logprob_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                             -(F.length(t) + 1) / 10.0)).alias("top"))
     n_b = F.size("toks") - F.col("n_p")
     body = ST.slice_body_logprobs(F.col("lp"), F.col("n_p") + 1, n_b)
-    return d.select(*FX.RESP, n_b.alias("n_body"), F.size(body).alias("n_body_lp"),
-                    F.round(F.aggregate(body, F.lit(0.0), lambda a, x: a + x), 6).alias("body_lp_sum"),
-                    F.round(F.aggregate(ST.top_logprob_rounded(F.col("top")), F.lit(0.0), lambda a, x: a + x), 6).alias("top_max_sum"))
+    return d.select(*FX.RESP, n_b.alias("n_body"), F.transform(body, lambda x: F.round(x, 6)).alias("body_lp"),
+                    F.transform(ST.top_logprob_rounded(F.col("top")), lambda x: F.round(x, 6)).alias("top_max"))

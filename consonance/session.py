@@ -73,33 +73,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int, count: int | None = None) -> DataFrame:
-    """Broadcast-hint ``df`` only when its row count is proven to be below ``max_rows``.
-
-    The caller may pass an already-known count; otherwise one cheap count runs.
-    Above the bound the frame is returned unhinted and Spark shuffles instead.
-    """
-    from pyspark.sql import functions as F
-
-    n = df.count() if count is None else count
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def by_group(df: DataFrame, cols: list[str]) -> DataFrame:
     """Hash-partition by the group key into ``spark.sql.shuffle.partitions`` parts before a
     CPU-heavy grouped pandas kernel.
 
     An explicit partition count is not coalesced by AQE, so the groups of a small
     input still spread over all cores; the following ``groupBy(cols)`` reuses this
-    partitioning (no second shuffle). The count is the configured shuffle parallelism,
-    capped at four partitions per core.
+    partitioning (no second shuffle). The count is the configured shuffle parallelism, so it
+    follows the data as the rest of the job does.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    try:
-        n = min(n, 4 * df.sparkSession.sparkContext.defaultParallelism)
-    except Exception:  # noqa: BLE001 - no SparkContext access: keep the configured count
-        pass
-    return df.repartition(n, *cols)
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
 
 
 _SHIPPED: set[str] = set()

@@ -76,10 +76,12 @@ def write_metrics(df: DataFrame, path: str, partition_cols: list[str] = ("metric
 
 
 def upsert_latest(existing: DataFrame, new: DataFrame, key_cols: list[str], order_col: str) -> DataFrame:
-    """Union and keep the last write per key (highest ``order_col``)."""
-    u = existing.unionByName(new)
-    others = [c for c in u.columns if c not in key_cols]
-    g = u.groupBy(*key_cols).agg(F.max_by(F.struct(*others), F.col(order_col)).alias("_v"))
+    """Union and keep the last write per key (highest ``order_col``; a null is lowest, and
+    of equal ones a row of ``new`` wins, then the row whose content hashes higher)."""
+    u = existing.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    others = [c for c in existing.columns if c not in key_cols]
+    rank = F.struct(F.col(order_col).isNotNull(), F.col(order_col), "_new", F.xxhash64(F.to_json(F.struct(*others))))
+    g = u.groupBy(*key_cols).agg(F.max_by(F.struct(*others), rank).alias("_v"))
     return g.select(*key_cols, *[F.col(f"_v.{c}").alias(c) for c in others])
 
 
@@ -161,14 +163,18 @@ def read_job_results(spark: SparkSession, path: str) -> DataFrame:
             .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
 
 
-def scan_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Per log file: size, type (extension) and whether any line has an error keyword."""
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), "value")
-    per = lines.groupBy("file").agg(
-        F.sum(F.length("value") + 1).alias("chars"), F.count(F.lit(1)).alias("lines"),
-        F.max(F.col("value").rlike(ERROR_KEYWORDS).cast("int")).alias("_err"))
-    return per.select("file", F.regexp_extract("file", "\\.([A-Za-z0-9]+)$", 1).alias("type"), "chars", "lines",
-                      (F.col("_err") == 1).alias("has_error"))
+def scan_logs(spark: SparkSession, path: str, by: list[str] | None = None) -> DataFrame:
+    """Per log file: size in bytes, stream (stdout or stderr by the file's name), the job it
+    belongs to (the name without stream and extension) and whether any line has an error keyword.
+    ``by`` names partition columns of the folder to keep."""
+    by = by or []
+    lines = spark.read.text(path).select(*by, "_metadata.file_path", "_metadata.file_name", "_metadata.file_size", "value")
+    per = lines.groupBy(*by, "file_path", F.col("file_name").alias("file"), F.col("file_size").alias("bytes")).agg(
+        F.count(F.lit(1)).alias("lines"), F.max(F.col("value").rlike(ERROR_KEYWORDS).cast("int")).alias("_err"))
+    stem = F.regexp_replace("file", "\\.[A-Za-z0-9]+$", "")
+    stream = F.regexp_extract(stem, "(stdout|stderr)", 1)
+    return per.select(*by, "file", F.when(stream != "", stream).alias("stream"), F.regexp_replace(stem, "[._-]*(stdout|stderr)", "").alias("job"),
+                      F.regexp_extract("file", "\\.([A-Za-z0-9]+)$", 1).alias("type"), "bytes", "lines", (F.col("_err") == 1).alias("has_error"))
 
 
 def lookup_last(df: DataFrame, key_cols: list[str], value_col: str, order_col: str) -> DataFrame:

@@ -22,12 +22,12 @@ def test_multiline_json_groups(spark):
     assert [x["response"] for x in rows[0]["responses"]] == ["a", "b"]
 
 
-def test_hot_group_routing_matches_direct(spark):
+def test_gram_form_matches_direct_on_a_hot_group(spark):
     rng = np.random.default_rng(9)
     rows = [("hot", i, rng.normal(size=6).tolist()) for i in range(300)]
     rows += [(f"g{j}", i, rng.normal(size=6).tolist()) for j in range(5) for i in range(4)]
     df = spark.createDataFrame(rows, "g string, i int, v array<double>")
-    routed = {r["g"]: r for r in V.group_spectra(df, ["g"], "v", direct_max_k=50).collect()}
+    routed = {r["g"]: r for r in V.group_spectra_gram(df, ["g"], "v").collect()}
     direct = {r["g"]: r for r in V.group_spectra(df, ["g"], "v").collect()}
     assert routed.keys() == direct.keys()
     for g in direct:
@@ -41,6 +41,9 @@ def test_upsert_and_merge(spark):
     new = spark.createDataFrame([(1, "c", 2)], "k int, v string, t int")
     up = {r["k"]: r["v"] for r in IO.upsert_latest(old, new, ["k"], "t").collect()}
     assert up == {1: "c", 2: "b"}
+    tied = spark.createDataFrame([(1, "d", 1), (2, "e", None), (3, "f", None)], "k int, v string, t int")
+    up = {r["k"]: r["v"] for r in IO.upsert_latest(old, tied, ["k"], "t").collect()}
+    assert up == {1: "d", 2: "b", 3: "f"}  # of equal ones the new row, a null order is lowest
 
 
 def test_additive_sweep_equals_embedding_truncated_text(spark):

@@ -59,3 +59,11 @@ def test_response_body(spark):
     df = spark.createDataFrame([("pre <response>  body text \n</response> post",)], "t string")
     b = df.select(ST.response_body(F.col("t")).alias("b")).first()["b"]
     assert b["body"] == "body text" and b["left_trim"] == "  " and b["right_trim"] == " \n"
+
+
+def test_carriage_return_and_second_tag(spark):
+    df = spark.createDataFrame([(1, "<statement>two\r x</statement> <class>1</class>")], "k int, t string")
+    good, bad = ST.parse_tagged(df, ["k"], "t")
+    assert [(r["text"], r["class"]) for r in good.collect()] == [("two\r x", True)] and bad.count() == 0
+    b = spark.createDataFrame([("a <response> one <response> two </response>",)], "t string").select(ST.response_body(F.col("t"))["body"].alias("b")).first()
+    assert b["b"] == "one"

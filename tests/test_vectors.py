@@ -10,8 +10,8 @@ def _df(spark, groups):
     return spark.createDataFrame(rows, "g string, i int, v array<double>")
 
 
-def _spectra(spark, groups, direct_max_k=2048):
-    out = V.group_spectra(_df(spark, groups), ["g"], "v", direct_max_k=direct_max_k).collect()
+def _spectra(spark, groups, operator=V.group_spectra):
+    out = operator(_df(spark, groups), ["g"], "v").collect()
     return {r["g"]: r for r in out}
 
 
@@ -35,7 +35,7 @@ def test_direct_equals_gram_path_and_reference_formula(spark):
     rng = np.random.default_rng(3)
     groups = {"small": rng.normal(size=(5, 8)).tolist(), "big": rng.normal(size=(30, 8)).tolist()}
     a = _spectra(spark, groups)
-    b = _spectra(spark, groups, direct_max_k=1)
+    b = _spectra(spark, groups, V.group_spectra_gram)
     for g, x in groups.items():
         x = np.array(x)
         u = x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -86,7 +86,7 @@ def test_groups_straddling_arrow_batches(spark):
         a = _spectra(spark, groups)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
-    b = _spectra(spark, groups, direct_max_k=0)
+    b = _spectra(spark, groups, V.group_spectra_gram)
     assert a.keys() == b.keys() == groups.keys()
     for g in groups:
         assert a[g]["k"] == len(groups[g])
@@ -107,3 +107,9 @@ def test_flagship_direct_equals_gram_path_on_table(spark):
         # 0 ≤ normalised dispersion ≲ 1 (jitter makes it slightly larger than ln K at most)
         assert 0 <= a[k]["dispersion_norm"] <= 1.01
     assert all(r["eigenscore"] is not None for r in eigenscore_by_label(spark, SF_SMALL).collect())
+
+
+def test_infinite_vectors_are_rejected(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [float("inf"), 1.0]), (3, [float("nan"), 1.0]), (4, [0.0, 0.0]), (5, None)], "k int, v array<double>")
+    good, bad = V.normalize_rows(df, "v")
+    assert [r["k"] for r in good.collect()] == [1] and sorted(r["k"] for r in bad.collect()) == [2, 3, 4, 5]
