@@ -3,9 +3,9 @@
 Largest inner product is turned into least distance: with M the largest norm, an item x becomes
 (x, sqrt(M^2 - |x|^2)) and a query q becomes M q / |q|, so distances fall as inner products rise.
 ``projections`` random projections give as many sorted arrays per block of items. A query's windows,
-centred at its own projections, grow level by level (virtual rehashing: only the added ends of a
-window are read); an item that lies in the windows of ``threshold`` arrays is verified with its exact
-inner product in double precision. A query stops when an item as far as its k-th best so far would
+centred at its own projections, grow level by level (virtual rehashing: no array is built again);
+an item that lies in the windows of ``threshold`` arrays is verified with its exact inner product
+in double precision. A query stops when an item as far as its k-th best so far would
 have reached the threshold with probability ``recall``; the last window holds everything, so a
 query finds ``k`` items wherever there are as many.
 
@@ -20,6 +20,7 @@ the smaller id. An empty table or query set gives no rows. Other columns are not
 from __future__ import annotations
 
 import math
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import prepare, stored
 
 FOUND = "query_id long, vec_id long, score double"
-LEVEL_RATIO, FIRST_LEVEL = 1.2, 0.1
+LEVEL_RATIO, FIRST_LEVEL, FIRST_CHUNK, QUERY_CHUNK = 1.2, 0.1, 16, 128
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -62,7 +63,7 @@ def _half_width(p: float) -> float:
 
 
 class Block:
-    """Sorted projections of one block of items."""
+    """Sorted projections of one block of items (fewer than 2^16), and each item's place in each sorted array."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, norm: float, projections: int):
         self.ids, self.x, self.norm = ids, x, norm
@@ -71,30 +72,66 @@ class Block:
         tail = np.sqrt(np.maximum(norm**2 - (x * x).sum(1), 0))
         p = x @ self.axes[:-1] + tail[:, None] * self.axes[-1]
         order = np.argsort(p, axis=0, kind="stable")
-        self.order = np.ascontiguousarray(order.T).astype(np.int32)
+        self.places = np.empty((projections, len(ids)), np.uint16)
+        np.put_along_axis(self.places, order.T, np.arange(len(ids), dtype=np.uint16)[None, :], 1)
         self.sorted = np.ascontiguousarray(np.take_along_axis(p, order, 0).T)
-
-    def search(self, query_id: int, q: np.ndarray, k: int, threshold: int, stop_width: float) -> list[tuple[int, float]]:
-        n, m = len(self.ids), len(self.sorted)
-        length = math.sqrt(float((q * q).sum()))
-        centre = (q * (self.norm / length)) @ self.axes[:-1]
-        lo = np.array([np.searchsorted(s, c) for s, c in zip(self.sorted, centre)])
-        hi, counts, scores = lo.copy(), np.zeros(n, np.int64), np.full(n, np.nan)
-        own, width = self.ids == query_id, FIRST_LEVEL * self.norm
+        self.first_width = FIRST_LEVEL * norm
+
+    def _ends(self, centres: np.ndarray, width: float) -> np.ndarray:
+        """Windows around the queries' projections as (query, projection, first place and length)."""
+        sides = centres[:, :, None] + np.array([-width, width])
+        if width > self.widest:
+            sides = np.broadcast_to(np.array([-np.inf, np.inf]), sides.shape)
+        ends = np.stack([s.searchsorted(sides[:, i]) for i, s in enumerate(self.sorted)], 1)
+        return np.stack([ends[:, :, 0], ends[:, :, 1] - ends[:, :, 0]], 2).astype(np.uint16)
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, threshold: int, stop_width: float) -> list[tuple[int, int, float]]:
+        """(query, item, score) of the best ``k`` found for each query.
+
+        Windows of later queries begin near the width at which earlier ones stopped.
+        """
+        self.widest = 2 * self.norm * stop_width
+        out = []
+        for at, end in pairwise([0, *range(FIRST_CHUNK, len(query_ids), QUERY_CHUNK), len(query_ids)]):
+            qs = queries[at:end]
+            lengths = np.sqrt((qs * qs).sum(1))
+            centres = (qs * (self.norm / lengths)[:, None]) @ self.axes[:-1]
+            width, levels = self.first_width, {}
+            stops = []
+            for j, (qid, q) in enumerate(zip(query_ids[at:end], qs)):
+                found, scores, level = self._one(int(qid), q, float(lengths[j]), centres, j, levels, width, k, threshold, stop_width)
+                stops.append(width * LEVEL_RATIO**level)
+                out += self._best(int(qid), q, found, scores, k)
+            self.first_width = min(self.widest, float(np.quantile(stops, 0.25)))
+        return out
+
+    def _one(self, qid: int, q: np.ndarray, length: float, centres, j: int, levels: dict, width: float, k: int, threshold: int, stop_width: float):
+        fresh_of, scores, own = np.zeros(len(self.ids), bool), np.zeros(0), self.ids == qid
+        level, found = 0, np.zeros(0, np.int64)
         while True:
-            everything = width > 2 * self.norm * stop_width
-            ends = [(0, n) if everything else s.searchsorted((c - width, c + width)) for s, c in zip(self.sorted, centre)]
-            new = [o[a:b] for o, (a, _), b in zip(self.order, ends, lo)] + [o[a:b] for o, (_, b), a in zip(self.order, ends, hi)]
-            lo, hi = np.array([e[0] for e in ends]), np.array([e[1] for e in ends])
-            counts += np.bincount(np.concatenate(new), minlength=n)
-            fresh = np.flatnonzero((counts >= threshold) & np.isnan(scores) & ~own)
-            scores[fresh] = (self.x[fresh] * q).sum(1)
-            found = np.flatnonzero(~np.isnan(scores))
-            if everything or len(found) >= k and self._far(scores[found], k, length) * stop_width <= width:
-                break
-            width *= LEVEL_RATIO
-        best = found[np.lexsort((self.ids[found], -scores[found]))[:k]]
-        return [(int(self.ids[i]), float(scores[i])) for i in best]
+            w = width * LEVEL_RATIO**level
+            if level not in levels:
+                levels[level] = self._ends(centres, w)
+            first, span = levels[level][j].T[:, :, None]
+            # an item collides in an array if its place lies in the window there
+            counts = ((self.places - first) < span).sum(0, dtype=np.uint16)
+            fresh = np.flatnonzero((counts >= threshold) & ~fresh_of & ~own)
+            fresh_of[fresh] = True
+            found = np.concatenate([found, fresh])
+            scores = np.concatenate([scores, self.x[fresh] @ q])
+            if w > self.widest or len(found) >= k and self._far(scores, k, length) * stop_width <= w:
+                return found, scores, level
+            level += 1
+
+    def _best(self, qid: int, q: np.ndarray, found: np.ndarray, scores: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+        """The k best by exact scores: all that come near the k-th are computed again row by row, so equal vectors tie."""
+        if len(found) > k:
+            kth = np.partition(scores, len(scores) - k)[len(scores) - k]
+            near = scores >= kth - 1e-9 * max(1.0, self.norm * float(np.abs(q).sum()))
+            found = found[near]
+        exact = (self.x[found] * q).sum(1)
+        best = np.lexsort((self.ids[found], -exact))[:k]
+        return [(qid, int(self.ids[found[i]]), float(exact[i])) for i in best]
 
     def _far(self, scores: np.ndarray, k: int, length: float) -> float:
         kth = np.partition(scores, len(scores) - k)[len(scores) - k]
@@ -113,15 +150,14 @@ def _search(norm: float, k: int, projections: int, threshold: int, stop_width: f
         out = []
         if items.num_rows and queries.num_rows:
             block = Block(*_matrix(items), norm, projections)
-            for qid, q in zip(*_matrix(queries)):
-                out += [(int(qid), v, s) for v, s in block.search(int(qid), q, k, threshold, stop_width)]
+            out = block.search(*_matrix(queries), k, threshold, stop_width)
         ids, vecs, scores = zip(*out) if out else ((), (), ())
         return pa.table({"query_id": pa.array(ids, pa.int64()), "vec_id": pa.array(vecs, pa.int64()), "score": pa.array(scores, pa.float64())})
 
     return run
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 20, projections: int = 96, collisions: float = 0.5, recall: float = 0.95,
+def nearest(vectors: DataFrame, is_query, k: int = 20, projections: int = 64, collisions: float = 0.5, recall: float = 0.9,
             block: int = 8192, query_block: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` best found for each vector with ``is_query``, best first."""
     prepare(vectors.sparkSession)

@@ -224,7 +224,7 @@ def test_clustered_search_stops_early():
     verified = []
     keep = block._far
     block._far = lambda scores, k, length: verified.append(len(scores)) or keep(scores, k, length)
-    block.search(0, x[0], 20, 32, ann._half_width(ann.stop_probability(64, 32, 0.95)))
+    block.search(np.arange(1), x[:1], 20, 32, ann._half_width(ann.stop_probability(64, 32, 0.95)))
     assert verified[-1] < 2000
 
 
