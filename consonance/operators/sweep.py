@@ -1,4 +1,4 @@
-"""Parameter grids, model specs, metric dispatch and the truncation-length sweep (I, F11, F12).
+"""Parameter grids, model specs and the truncation-length sweep.
 
 A sweep is one Spark job: statements are exploded against the grid's lengths,
 truncated per (response, length), embedded, and scored per (group, length) –
@@ -93,39 +93,3 @@ def dispersion_sweep(stmts: DataFrame, group_cols: list[str], resp_col: str, len
     # The embedded sweep feeds two passes (group sizes, then scores): write it once.
     good = cut_lineage(good.select(*group_cols, "response_count", "vec"))
     return V.group_spectra(good, group_cols + ["response_count"], "vec")
-
-
-METRICS = ("dispersion", "luq", "entailment", "graph_uncertainty")
-
-
-def score(metric: str, **inputs) -> DataFrame:
-    """Dispatch a metric by name over group tables; unknown names raise.
-
-    * dispersion: ``vectors``, ``group_cols``, ``vec_col`` → dispersion table
-    * luq: ``statements``, ``responses``, ``group_cols`` → uncertainty per group
-    * entailment: ``responses``, ``group_cols`` → long (group, metric, value)
-    * graph_uncertainty: ``atoms``, ``responses``, ``group_cols`` → claim metrics
-    """
-    from . import claims as H
-    from . import entailment as G
-
-    if metric == "dispersion":
-        return V.group_spectra(inputs["vectors"], inputs["group_cols"], inputs["vec_col"])
-    if metric == "luq":
-        return G.luq(inputs["statements"], inputs["responses"], inputs["group_cols"])[1]
-    if metric == "entailment":
-        g = inputs["group_cols"]
-        r = inputs["responses"]
-        items = r.select(*g, F.col("response_idx").alias("i"))
-        # four operators read the pairs: score each pair once
-        unordered = cut_lineage(G.nli_pairs_unordered(r, g))
-        pairs = G.ordered_pairs(unordered, g)
-        ids = G.semantic_ids(unordered, items, g)
-        se = G.cluster_entropy(ids, g).select(*g, F.lit("semantic_entropy").alias("metric"), F.col("entropy").alias("value"))
-        deg = G.degree_uncertainty(pairs, items, g).select(*g, F.lit("u_deg").alias("metric"), F.col("u_deg").alias("value"))
-        sc = G.selfcheck(pairs, items, g)[1].select(*g, F.lit("u_nli").alias("metric"), F.col("u_nli").alias("value"))
-        sp = G.spectral_panel(pairs, items, g).filter(F.col("metric").isin("u_eigv", "u_ecc"))
-        return se.unionByName(deg).unionByName(sc).unionByName(sp)
-    if metric == "graph_uncertainty":
-        return H.graph_uncertainty(inputs["atoms"], inputs["responses"], inputs["group_cols"])
-    raise ValueError(f"unknown metric {metric!r}: one of {', '.join(METRICS)}")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as TX
 from ..operators import inference as K
 from ..operators import prep as P
+from ..operators import scoring as SC
 from ..operators import statements as ST
 from ..operators import sweep as S
 from ..session import checkpoint_dir, cut_lineage
@@ -22,8 +23,8 @@ from ..streaming import incremental as J
 from . import fixtures as FX
 from .dispersion_plans import _F7_SQL
 from .registry import register
-from .nli_plans import SQL_LUQ
-from .statement_plans import SQL_STATEMENTS_CTE
+from .nli_plans import SQL_CLUSTERS, SQL_LUQ, SQL_PAIRS
+from .statement_plans import SQL_STATEMENTS_CTE, sql_containment, sql_tokens
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -322,10 +323,94 @@ def dispersion_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("conv_id", "response_count", "k", *_r6("dispersion", "dispersion_norm"))
 
 
+SQL_SUBSET_2 = """sub AS (SELECT conv_id, turn, text FROM conversations
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY md5('5|' || conv_id || '|' || turn), turn) <= 4)"""
+SQL_SUBSET_METRICS = (f"WITH RECURSIVE {SQL_SUBSET_2}, " + f"{SQL_STATEMENTS_CTE}, {SQL_PAIRS}, {SQL_CLUSTERS}".replace("FROM conversations", "FROM sub") + f""",
+rr AS (SELECT conv_id, CAST(turn AS INTEGER) AS j, list_distinct({sql_tokens('text')}) AS rt FROM sub),
+k AS (SELECT conv_id, count(*) AS k FROM sub GROUP BY conv_id),
+sij AS (SELECT st.conv_id, st.response_idx AS i, rr.j, avg({sql_containment(sql_tokens('st.text'), 'rr.rt')}) AS s
+        FROM st JOIN rr ON st.conv_id = rr.conv_id AND st.response_idx <> rr.j GROUP BY ALL),
+ssum AS (SELECT conv_id, i, sum(s) AS s FROM sij GROUP BY ALL),
+conf AS (SELECT c.conv_id, c.turn, CASE WHEN k.k > 1 THEN ssum.s / (k.k - 1) END AS confidence
+         FROM sub c JOIN k USING (conv_id) LEFT JOIN ssum ON ssum.conv_id = c.conv_id AND ssum.i = c.turn),
+cnt AS (SELECT conv_id, cluster_id, count(*) AS n FROM ids GROUP BY ALL),
+pc AS (SELECT conv_id, n * 1.0 / sum(n) OVER (PARTITION BY conv_id) AS p FROM cnt),
+rs AS (SELECT conv_id, i, sum(exp(p_contra) / (exp(p_contra) + exp(p_entail))) AS s FROM pr GROUP BY ALL),
+sn AS (SELECT c.conv_id, (coalesce(rs.s, 0) + 1 / (1 + exp(1))) / k.k AS s FROM sub c JOIN k USING (conv_id) LEFT JOIN rs ON rs.conv_id = c.conv_id AND rs.i = c.turn),
+es AS (SELECT conv_id, sum(p_entail) AS s FROM pr GROUP BY conv_id),
+v AS (
+  SELECT conv_id, 'luq' AS metric, 'uncertainty' AS name, CAST(NULL AS BIGINT) AS item,
+         CASE WHEN count(confidence) = count(*) THEN avg(1 - confidence) END AS value FROM conf GROUP BY conv_id
+  UNION ALL SELECT conv_id, 'luq', 'confidence', CAST(turn AS BIGINT), confidence FROM conf
+  UNION ALL SELECT conv_id, 'entailment', 'semantic_entropy', NULL, -sum(p * ln(p)) FROM pc GROUP BY conv_id
+  UNION ALL SELECT conv_id, 'entailment', 'n_clusters', NULL, count(*) FROM pc GROUP BY conv_id
+  UNION ALL SELECT conv_id, 'entailment', 'u_nli', NULL, avg(1 - s) FROM sn GROUP BY conv_id
+  UNION ALL SELECT k.conv_id, 'entailment', 'u_deg', NULL, 1 - (k.k + coalesce(es.s, 0)) / (k.k * k.k) FROM k LEFT JOIN es USING (conv_id))
+SELECT v.conv_id, metric, name, item, round(CAST(value AS DOUBLE), 6) + 0.0 AS value, x.subset_idx
+FROM v JOIN (SELECT conv_id, list(CAST(turn AS INTEGER) ORDER BY turn) AS subset_idx FROM sub GROUP BY conv_id) x USING (conv_id)""")
+
+
+@register("i6_metric_values", sql=SQL_SUBSET_METRICS)
+def metric_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LUQ and the entailment values by name, over a seeded four of each conversation's turns."""
+    r = FX.conv_responses(spark, sf_dir).select(*FX.RESP, "response")
+    out = SC.score("luq", r, ["conv_id"], subset=4, seed=5).unionByName(
+        SC.score("entailment", r, ["conv_id"], subset=4, seed=5).filter(F.col("name").isin("semantic_entropy", "n_clusters", "u_nli", "u_deg")))
+    return out.select("conv_id", "metric", "name", "item", (F.round("value", 6) + 0.0).alias("value"), "subset_idx")
+
+
 @register("i6_metric_dispatch")
 def metric_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metric dispatch by name (entailment family over conversations)."""
-    return S.score("entailment", responses=FX.conv_responses(spark, sf_dir), group_cols=["conv_id"])
+    """All four metrics by name, from texts cut to 50 words, in the long metrics form."""
+    r = FX.conv_responses(spark, sf_dir).select(
+        *FX.RESP, "response", F.concat(F.lit("conversation "), F.col("conv_id").cast("string")).alias("entity"))
+    out = None
+    for metric in SC.METRICS:
+        part = SC.score(metric, r, ["conv_id"], response_count=50, subset=4, seed=5)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("e5_a13_scored_group_roundtrip", sql=f"""WITH {SQL_STATEMENTS_CTE},
+pos AS (SELECT conv_id, CAST(turn AS INTEGER) AS turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS response_idx FROM conversations),
+s AS (SELECT st.conv_id, pos.response_idx, st.statement_idx, st.text, length(st.text) % 2 = 0 AS even, length(st.text) AS n FROM st JOIN pos ON pos.conv_id = st.conv_id AND pos.turn = st.response_idx)
+SELECT 'statement' AS kind, conv_id AS "index", response_idx, statement_idx AS i, text AS a, CASE WHEN even THEN 'True' ELSE 'False' END AS b,
+       round(-n / 100.0, 6) AS x, round(1.0 / (1 + n), 6) AS y FROM s
+UNION ALL SELECT 'label', conv_id, response_idx, m.s, m.model, string_agg(CAST(even = (m.s = 0) AS VARCHAR), ',' ORDER BY statement_idx), NULL, NULL
+FROM s, (SELECT unnest(['judge_a', 'judge_b']) AS model, unnest([[0, 1], [0, 1]]) AS ss) mm, LATERAL (SELECT mm.model, unnest(mm.ss) AS s) m GROUP BY ALL
+UNION ALL SELECT 'response', conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER), NULL, md5(text), role, NULL, NULL FROM conversations""")
+def scored_group_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E5 (groups → responses → statements, sampled labels) appended in two writes (A13), read with the
+    published schema and flattened again."""
+    r = FX.conv_responses(spark, sf_dir)
+    key = F.col("conv_id").alias("index")
+    responses = r.select(key, F.lit("conv").alias("idx_cat"), "response_idx", "response",
+                         F.transform(TX.tokens(F.col("response")), lambda t: -F.length(t) / 10.0).alias("logprobs"))
+    st = FX.conv_statements(spark, sf_dir)
+    n = F.length("text")
+    even = n % 2 == 0
+    statements = st.select(key, F.lit("conv").alias("idx_cat"), "response_idx", "statement_idx", "text", F.when(even, "True").otherwise("False").alias("class"),
+                           (-n / 100.0).alias("logprob_raw"), (1.0 / (1 + n)).alias("prob_norm"), F.create_map(F.lit("1"), 1.0 / (1 + n)).alias("top_probs"))
+    tall = st.groupBy("conv_id", "response_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("statement_idx", even.alias("e")))), lambda x: x["e"]).alias("e"))
+    fan = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(s).alias("sample_idx")) for m in ("judge_a", "judge_b") for s in (0, 1)]))
+    labels = tall.select(key, F.lit("conv").alias("idx_cat"), "response_idx", "e", fan.alias("t")).select(
+        "index", "idx_cat", "response_idx", "t.model", "t.sample_idx", F.when(F.col("t.sample_idx") == 0, F.col("e")).otherwise(F.transform("e", lambda v: ~v)).alias("labels"))
+    groups = r.select(key, F.lit("conv").alias("idx_cat")).distinct().select("index", "idx_cat", F.concat(F.lit("conversation "), F.col("index").cast("string")).alias("entity"),
+                                                                            F.lit(0).cast("long").alias("entity_page_idx"))
+    nested = IO.assemble_scored_groups(groups, responses, statements, labels).withColumn("extra", F.lit("dropped by the projection"))
+    path = _scratch(spark, "scored")
+    IO.write_scored_groups(nested.filter("index % 2 = 0"), path)
+    IO.write_scored_groups(nested.filter("index % 2 = 1"), path)
+    back, stm, lab = IO.flatten_scored_groups(IO.read_groups(spark, path, IO.SCORED_GROUP))
+    none = F.lit(None).cast("double")
+    roles = r.select(F.col("conv_id").alias("index"), "role", F.md5("response").alias("a"))
+    out = stm.select(F.lit("statement").alias("kind"), "index", "response_idx", F.col("statement_idx").alias("i"), F.col("text").alias("a"), F.col("class").alias("b"),
+                     F.round("logprob_raw", 6).alias("x"), F.round(F.col("top_probs")["1"], 6).alias("y"))
+    out = out.unionByName(lab.select(F.lit("label").alias("kind"), "index", "response_idx", F.col("sample_idx").alias("i"), F.col("model").alias("a"),
+                                     F.array_join(F.transform("labels", lambda v: v.cast("string")), ",").alias("b"), none.alias("x"), none.alias("y")))
+    known = back.select("index", "response_idx", F.md5("response").alias("a"))
+    return out.unionByName(known.join(roles.distinct(), ["index", "a"]).select(F.lit("response").alias("kind"), "index", "response_idx", F.lit(None).cast("int").alias("i"), "a",
+                                                                              F.col("role").alias("b"), none.alias("x"), none.alias("y")))
 
 
 ARRIVALS = 3   # files, and so micro-batches, that the streamed tables are split into

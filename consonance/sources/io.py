@@ -14,6 +14,15 @@ GROUP = T.StructType([
     T.StructField("index", T.LongType()), T.StructField("idx_cat", T.StringType()),
     T.StructField("entity", T.StringType()), T.StructField("responses", T.ArrayType(RESPONSE)),
 ])
+# Scored groups (fixed field names): what the labelling and sampled-scoring steps publish.
+STATEMENT = T.StructType([T.StructField("text", T.StringType()), T.StructField("class", T.StringType()),
+                          T.StructField("logprob_raw", T.DoubleType()), T.StructField("prob_norm", T.DoubleType()),
+                          T.StructField("top_probs", T.MapType(T.StringType(), T.DoubleType()))])
+SCORED_RESPONSE = T.StructType([*RESPONSE.fields, T.StructField("statements", T.ArrayType(STATEMENT)),
+                                T.StructField("sampled_labels", T.MapType(T.StringType(), T.ArrayType(T.ArrayType(T.BooleanType()))))])
+SCORED_GROUP = T.StructType([*GROUP.fields[:3], T.StructField("entity_page_idx", T.LongType()),
+                             T.StructField("responses", T.ArrayType(SCORED_RESPONSE))])
+GROUP_KEY = ["index", "idx_cat"]
 PROMPTS = T.StructType([T.StructField("index", T.LongType()), T.StructField("idx_cat", T.StringType()),
                         T.StructField("answer", T.StringType()), T.StructField("open_ended_question", T.StringType())])
 # Positional names of the headerless book-summary TSV (fixed values).
@@ -44,6 +53,53 @@ def read_groups(spark: SparkSession, path: str, schema: T.StructType = GROUP, mu
     return spark.read.schema(schema).option("multiLine", multiline).json(path)
 
 
+def assemble_scored_groups(groups: DataFrame, responses: DataFrame, statements: DataFrame, labels: DataFrame) -> DataFrame:
+    """E5: groups → responses → statements and sampled labels as SCORED_GROUP rows.
+
+    ``groups``: index, idx_cat, entity, entity_page_idx; ``responses``: key…, response_idx, response, logprobs;
+    ``statements``: key…, response_idx, statement_idx and STATEMENT's fields; ``labels``: key…, response_idx,
+    model, sample_idx, labels. A row holds one question's responses, as the published form does;
+    missing statements and labels are empty, and a group without responses keeps an empty list.
+    """
+    k, r = GROUP_KEY, [*GROUP_KEY, "response_idx"]
+    in_order = lambda col, by, value: F.transform(F.array_sort(F.collect_list(F.struct(by, value.alias("v")))), lambda x: x["v"]).alias(col)
+    st = statements.groupBy(*r).agg(in_order("statements", "statement_idx", F.struct(*[F.to_json(f).alias(f) if f == "top_probs" else F.col(f) for f in STATEMENT.names])))
+    per_model = labels.groupBy(*r, "model").agg(in_order("samples", "sample_idx", F.col("labels")))
+    lb = per_model.groupBy(*r).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("model", "samples")))).alias("sampled_labels"))
+    full = responses.join(st, r, "left").join(lb, r, "left")
+    # maps cannot be compared, so they travel through the sorts as JSON
+    packed = F.struct("response", "logprobs", F.coalesce("statements", F.array()).alias("statements"), F.to_json(
+        F.coalesce("sampled_labels", F.create_map().cast(SCORED_RESPONSE["sampled_labels"].dataType))).alias("sampled_labels"))
+    nested = full.groupBy(*k).agg(in_order("rs", "response_idx", packed))
+    tops, samples = STATEMENT["top_probs"].dataType.simpleString(), SCORED_RESPONSE["sampled_labels"].dataType.simpleString()
+    statement = lambda s: F.struct(*[F.from_json(s[f], tops).alias(f) if f == "top_probs" else s[f].alias(f) for f in STATEMENT.names])
+    response = lambda x: F.struct(x["response"].alias("response"), x["logprobs"].alias("logprobs"),
+                                  F.transform(x["statements"], statement).alias("statements"), F.from_json(x["sampled_labels"], samples).alias("sampled_labels"))
+    out = groups.join(nested, k, "left").select(*k, "entity", "entity_page_idx", F.transform("rs", response).alias("responses"))
+    return out.select("index", "idx_cat", "entity", "entity_page_idx", F.coalesce("responses", F.array()).alias("responses"))
+
+
+def write_scored_groups(groups: DataFrame, path: str) -> None:
+    """Append, projected to SCORED_GROUP's fields."""
+    append_projected(groups, SCORED_GROUP.names).write.mode("append").json(path)
+
+
+def flatten_scored_groups(groups: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """SCORED_GROUP rows as long tables: responses, statements, sampled labels (one row per sample)."""
+    r = groups.select(*GROUP_KEY, "entity", F.posexplode("responses").alias("response_idx", "r"))
+    key = [*GROUP_KEY, "response_idx"]
+    statements = r.select(*key, F.posexplode("r.statements").alias("statement_idx", "s")).select(*key, "statement_idx", "s.*")
+    labels = r.select(*key, F.explode("r.sampled_labels").alias("model", "samples")).select(*key, "model", F.posexplode("samples").alias("sample_idx", "labels"))
+    return r.select(*key, "entity", "r.response", "r.logprobs"), statements, labels
+
+
+def write_with_rejects(df: DataFrame, ok, reason: str, path: str) -> None:
+    """Valid rows under ``path``/side=data, the others with their reason under ``path``/side=failed,
+    both from one evaluation of ``df``."""
+    flagged = df.withColumn("reason", F.when(F.coalesce(ok, F.lit(False)), F.lit(None)).otherwise(F.lit(reason)))
+    flagged.withColumn("side", F.when(F.col("reason").isNull(), "data").otherwise("failed")).write.mode("append").partitionBy("side").json(path)
+
+
 def read_prompts(spark: SparkSession, path: str, schema: T.StructType = PROMPTS) -> DataFrame:
     """A4: prompt CSV with a header."""
     return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)

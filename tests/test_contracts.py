@@ -3,6 +3,7 @@
 import pytest
 
 from consonance.operators import entailment as G
+from consonance.operators import scoring as SC
 from consonance.operators import sweep as S
 from consonance.operators import vectors as V
 
@@ -10,7 +11,7 @@ from consonance.operators import vectors as V
 def test_unknown_names_raise(spark):
     df = spark.createDataFrame([("g", 0, 0, -1.0)], "g string, cluster_id int, i int, ll double")
     with pytest.raises(ValueError):
-        S.score("no_such_metric")
+        SC.score("no_such_metric", None, [])
     with pytest.raises(ValueError):
         G.logsumexp_by_cluster(df, ["g"], "cluster_id", "ll", agg="median")
     pairs = spark.createDataFrame([("g", 0, 1, 0.1, 0.2, 0.7), ("g", 1, 0, 0.1, 0.2, 0.7)],
@@ -32,3 +33,38 @@ def test_logsumexp_modes(spark):
     assert got["sum"][0] == pytest.approx(math.log(0.5) - 5.0)
     assert got["mean"][0] == pytest.approx(math.log(0.25))
     assert got["sum_normalized"][1] == pytest.approx(math.log(0.5))
+
+
+def test_metrics_by_name_from_texts(spark):
+    rows = [("q", i, "a topic", t) for i, t in enumerate(["Cats sleep. Cats eat fish.", "Cats sleep a lot.", "Dogs bark.", "Cats eat fish. Dogs bark."])]
+    df = spark.createDataFrame(rows, "g string, response_idx int, entity string, response string")
+    for metric in SC.METRICS:
+        out = SC.score(metric, df, ["g"], response_count=20, subset=3, seed=1)
+        assert out.columns == ["g", "metric", "name", "item", "value", "subset_idx"]
+        got = out.collect()
+        assert got and {r["metric"] for r in got} == {metric} and all(len(r["subset_idx"]) == 3 for r in got)
+    tables = SC.entailment_tables(df, ["g"])
+    assert tables["pairs"].count() == 12 and tables["ids"].count() == 4 and tables["laplacian"].count() >= 4
+    assert tables["metrics"].count() == 2 + 1 + 1 + 130
+    vec = SC.embedded(df, ["g"]).first()["vec"]
+    plain = SC.embedded(df.drop("entity"), ["g"]).first()["vec"]
+    assert sum(vec) > sum(plain)  # the header's words are embedded too
+
+
+def test_grids_take_scalars_and_specs_take_strings(spark):
+    runs = spark.createDataFrame([("b", "luq", [1, 2], "org/a-b")], "block string, metric string, n array<int>, model string")
+    g = S.parameter_grid(runs, ["metric", "n"])
+    assert sorted((r["metric"], r["n"]) for r in g.collect()) == [("luq", 1), ("luq", 2)]
+    spec = runs.select(S.model_spec(S.spec_list(runs, "model")).alias("s")).first()["s"]
+    assert (spec["name"], spec["pooling"], spec["suffix"]) == ("org/a-b", "mean", "a_b")
+
+
+def test_rejects_are_written_beside_the_data(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from consonance.sources import io as IO
+
+    df = spark.createDataFrame([(1, "ok"), (2, None), (3, "")], "k int, t string")
+    IO.write_with_rejects(df, F.length("t") > 0, "empty text", str(tmp_path / "out"))
+    back = spark.read.json(str(tmp_path / "out"))
+    assert {(r["k"], r["side"], r["reason"]) for r in back.select("k", "side", "reason").collect()} == {(1, "data", None), (2, "failed", "empty text"), (3, "failed", "empty text")}
