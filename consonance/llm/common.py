@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, ship_library
 
-ARROW_ROWS = 1000
+ARROW_ROWS = 250
 BLOCK = 1 << 20
 
 WORD_BYTES = np.zeros(256, np.uint8)

@@ -19,7 +19,7 @@ import numpy as np
 from .common import mix, powers
 
 CUT = re.compile(r"(?<=\S) (?=\S)")
-CHUNK = 1 << 21
+CHUNK = 3 << 19
 SPACE, LETTER, NUMBER, OTHER, END, UNKNOWN = range(6)
 #: The contractions that the split pattern takes as pieces.
 CONTRACTIONS = ("s", "t", "m", "d", "re", "ve", "ll")
@@ -93,7 +93,7 @@ class TwoAges:
 
 
 class PieceEncoder:
-    def __init__(self, path: str, max_pieces: int = 400_000, max_chars: int = 64):
+    def __init__(self, path: str, max_pieces: int = 150_000, max_chars: int = 64):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -116,9 +116,13 @@ class PieceEncoder:
         stop = np.append(start[1:], len(chars))
         real = cls[start] != END
         start, stop = start[real], stop[real]
-        sums = np.zeros(len(chars) + 1, np.uint64)
-        np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * powers("up", len(chars)), out=sums[1:])
+        sums = np.empty(len(chars) + 1, np.uint64)
+        sums[0], sums[1:] = 0, chars
+        sums[1:] += np.uint64(1)
+        sums[1:] *= powers("up", len(chars))
+        np.cumsum(sums, out=sums)
         codes, kinds = pd.factorize(mix((sums[stop] - sums[start]) * powers("down", len(chars))[start]))
+        del sums, chars
         where = np.empty(len(kinds), np.int64)
         where[codes[::-1]] = np.arange(len(codes))[::-1]
         ids = self.pieces.get_all([whole[a:z] for a, z in zip(start[where].tolist(), stop[where].tolist())], self._library)
@@ -127,7 +131,9 @@ class PieceEncoder:
         begin = np.cumsum(size) - size
         each = size[codes]
         upto = np.cumsum(each)
-        got = flat[np.repeat(begin[codes] - (upto - each), each) + np.arange(upto[-1] if len(upto) else 0)]
+        at = np.repeat(begin[codes] - (upto - each), each)
+        at += np.arange(len(at))
+        got = flat[at]
         upto = np.concatenate([[0], upto])
         bound = upto[np.searchsorted(start, np.concatenate([[0], ends]), "left")]
         out = [got[a:z].tobytes() for a, z in zip(bound, bound[1:])]
@@ -164,14 +170,18 @@ def encoder(path: str) -> PieceEncoder:
 
 
 def encoded(batches, path: str, end_id: int, chunk_chars: int = CHUNK):
-    """(doc_id, ids) of all rows of Arrow batches ``(doc_id, text)``; null text counts as empty; ``end_id`` closes each."""
+    """(doc_id, ids) of all rows of Arrow batches ``(doc_id, text)``; null text counts as empty; ``end_id`` closes each.
+
+    Texts are gathered over batches until a chunk is full: distinct pieces are looked up once a chunk.
+    """
     enc, end = encoder(path), end_id.to_bytes(4, "little")
+    keys, texts, size = [], [], 0
     for batch in batches:
-        keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-        a, size = 0, 0
-        for i, t in enumerate(texts):
-            size += len(t)
-            if size >= chunk_chars or i + 1 == len(texts):
-                for key, ids in zip(keys[a: i + 1], enc.encode(texts[a: i + 1])):
-                    yield key, ids + end
-                a, size = i + 1, 0
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            keys.append(key)
+            texts.append(text or "")
+            size += len(texts[-1])
+            if size >= chunk_chars:
+                yield from ((k, ids + end) for k, ids in zip(keys, enc.encode(texts)))
+                keys, texts, size = [], [], 0
+    yield from ((k, ids + end) for k, ids in zip(keys, enc.encode(texts)))
