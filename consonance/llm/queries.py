@@ -34,6 +34,22 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "n_links", "n_copies")
 
 
+OP3_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT c.x, c.y, c.c = nx.n AND c.c = ny.n AS same FROM c JOIN n nx ON nx.doc_id = c.x JOIN n ny ON ny.doc_id = c.y
+      WHERE c.c >= 0.8 * (nx.n + ny.n - c.c) - 1e-9),
+reach(x, y) AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM reach r JOIN l ON l.x = r.y),
+root AS (SELECT x, min(y) AS y FROM reach GROUP BY x),
+cnt AS (SELECT x, count(*) AS n_links, count(*) FILTER (WHERE same) AS n_same FROM l GROUP BY x)
+SELECT d.doc_id, least(d.doc_id, coalesce(root.y, d.doc_id)) AS class_id, coalesce(cnt.n_links, 0) AS n_links, coalesce(cnt.n_same, 0) + 1 AS n_copies
+FROM d LEFT JOIN root ON root.x = d.doc_id LEFT JOIN cnt ON cnt.x = d.doc_id
+"""
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=END_OF_DOCUMENT_PACK, with_ids=False)
 
@@ -53,6 +69,31 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.windows(turns.unionByName(planted)))
 
 
+OP6_SQL = r"""
+WITH c AS (SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+m AS (SELECT *, len(regexp_extract_all(text, '\p{L}+|\p{N}+|[^\s\p{L}\p{N}]')) + 4 AS tokens,
+             23 + length(role) + length(text) + len(regexp_extract_all(role || ' ' || text, '\\|<\||</?s>|<</?SYS>>|\[/?INST\]')) AS chars FROM c),
+t AS (SELECT *, CAST(sum(tokens) OVER w AS BIGINT) AS upto, row_number() OVER w AS place FROM m
+      WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)),
+sys AS (SELECT conv_id, min(place) AS place, arg_min(tokens, place) AS tokens, arg_min(chars, place) AS chars FROM t WHERE role = 'system' GROUP BY conv_id
+        HAVING arg_min(tokens, place) <= 1024),
+x AS (SELECT t.*, coalesce(sys.tokens, 0) AS extra, sys.place AS sys_place, greatest((2048 - coalesce(sys.tokens, 0)) // 2, 1) AS stride
+      FROM t LEFT JOIN sys ON sys.conv_id IS NOT DISTINCT FROM t.conv_id),
+y AS (SELECT *, 2 * ((upto - 1) // stride) + CASE WHEN tokens > stride THEN 0 ELSE 1 END AS win FROM x),
+sp AS (SELECT conv_id, win, min(upto - tokens) AS begin_at, min(place) AS first_place, greatest(0, least(256, 2048 - sum(tokens) - any_value(extra))) AS room,
+              any_value(sys_place) AS sys_place FROM y GROUP BY ALL),
+again AS (SELECT sp.conv_id, sum(t.chars) AS chars FROM sp JOIN t ON t.conv_id IS NOT DISTINCT FROM sp.conv_id AND t.place < sp.first_place
+          AND sp.begin_at - (t.upto - t.tokens) <= sp.room AND t.place IS DISTINCT FROM sp.sys_place WHERE sp.room > 0 GROUP BY sp.conv_id),
+kept AS (SELECT sp.conv_id, sum(sys.chars) AS chars FROM sp JOIN sys ON sys.conv_id IS NOT DISTINCT FROM sp.conv_id AND sp.first_place > sys.place GROUP BY sp.conv_id),
+own AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, sum(chars) AS chars FROM t GROUP BY conv_id)
+SELECT own.conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, CAST(own.chars + coalesce(again.chars, 0) + coalesce(kept.chars, 0) AS BIGINT) AS formatted_chars
+FROM own LEFT JOIN again ON again.conv_id IS NOT DISTINCT FROM own.conv_id LEFT JOIN kept ON kept.conv_id IS NOT DISTINCT FROM own.conv_id
+"""
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.scan(docs, read_table(spark, sf_dir, "benchmark"))
@@ -139,7 +180,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_licence_scan": op9_licence_scan,
     "op10_personal_data": op10_personal_data,
 }
-ORACLES: dict[str, str] = {"op7_decontamination": OP7_SQL, "op9_licence_scan": _op9_sql()}
+ORACLES: dict[str, str] = {"op3_jaccard_join": OP3_SQL, "op6_chat_formatting": OP6_SQL, "op7_decontamination": OP7_SQL, "op9_licence_scan": _op9_sql()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
