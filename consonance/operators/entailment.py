@@ -48,6 +48,11 @@ def default_scorer(p_tok: Column, h_tok: Column, p_txt: Column | None = None, h_
     return TX.nli_probs(TX.containment(p_tok, h_tok))
 
 
+def two_class_probs(p_entail: Column, p_not: Column) -> Column:
+    """G1 for models with two classes: what the two leave of 1 counts as neutral."""
+    return F.struct(p_not.alias("p_contra"), (1.0 - (p_entail + p_not)).alias("p_neutral"), p_entail.alias("p_entail"))
+
+
 # ---------------------------------------------------------------- G1 pair table
 
 def _tokenised(responses: DataFrame, group_cols: list[str], idx_col: str, text_col: str) -> DataFrame:
@@ -461,6 +466,16 @@ def luq(statements: DataFrame, responses: DataFrame, group_cols: list[str], idx_
     return conf, unc
 
 
+def statement_entailment(statements: DataFrame, responses: DataFrame, group_cols: list[str], scorer, idx_col: str = "response_idx",
+                         text_col: str = "response") -> DataFrame:
+    """C12 + G2: ``(group…, i, statement_idx, j, p)``: each statement against every other response of
+    its group, an equi-join on the group key. The pair table of a model scorer; its size is
+    statements × responses per group by definition."""
+    st = statements.select(*group_cols, F.col(idx_col).alias("i"), "statement_idx", "text")
+    r = responses.select(*group_cols, F.col(idx_col).alias("j"), F.col(text_col).alias("_rt"))
+    return st.join(r, group_cols).filter("i <> j").select(*group_cols, "i", "statement_idx", "j", scorer(F.col("text"), F.col("_rt")).alias("p"))
+
+
 def luq_similarity(statements: DataFrame, responses: DataFrame, group_cols: list[str], idx_col: str = "response_idx",
                    text_col: str = "response", scorer=None) -> DataFrame:
     """G2 + G3: ``(group…, i, j, s)`` for i ≠ j, where s = mean over i's statements of the
@@ -478,8 +493,7 @@ def luq_similarity(statements: DataFrame, responses: DataFrame, group_cols: list
             *g, "i", F.size("_t").alias("_nt"), F.explode("_t").alias("tok"))
         part = own.join(tok, g + ["tok"]).filter("i <> j").withColumn("_c", 1 / F.col("_nt"))
     else:
-        r = responses.select(*g, F.col(idx_col).alias("j"), F.col(text_col).alias("_rt"))
-        part = st.join(r, g).filter("i <> j").withColumn("_c", scorer(F.col("text"), F.col("_rt")))
+        part = statement_entailment(statements, responses, g, scorer, idx_col, text_col).withColumnRenamed("p", "_c")
     total = part.groupBy(*g, "i", "j").agg(F.sum("_c").alias("_s"))
     pairs = n_st.join(responses.select(*g, F.col(idx_col).alias("j")), g).filter("i <> j")
     return pairs.join(total, g + ["i", "j"], "left").select(*g, "i", "j", (F.coalesce("_s", F.lit(0.0)) / F.col("_n")).alias("s"))

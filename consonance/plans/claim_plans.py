@@ -135,6 +135,22 @@ def path_centralities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "node", *[F.round(F.coalesce(m, F.lit(0.0)), 6).alias(m) for m in ("betweenness", "closeness")])
 
 
+@register("h6_eigenvector_invariants", sql=f"""WITH {SQL_CONV_GRAPH}
+SELECT DISTINCT conv_id, CAST(1 AS DOUBLE) AS norm, true AS not_negative, true AS eigen FROM e""")
+def eigenvector_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H6, checked by what defines it: unit norm, no negative entry, A x = λ x with λ = xᵀ A x on every
+    graph (which eigenvector it is, pytest compares with an eigen-solver)."""
+    _claims, edges, _nodes = H.claim_graph(_atoms(spark, sf_dir), FX.conv_responses(spark, sf_dir), CONV)
+    x = cut_lineage(H.eigenvector(edges, CONV))
+    both = edges.unionByName(edges.select("conv_id", F.col("dst").alias("src"), F.col("src").alias("dst")))
+    ax = both.join(x.withColumnRenamed("node", "src"), ["conv_id", "src"]).groupBy("conv_id", F.col("dst").alias("node")).agg(F.sum("eigenvector").alias("ax"))
+    j = x.join(ax, ["conv_id", "node"])
+    lam = j.groupBy("conv_id").agg(F.sum(F.col("eigenvector") * F.col("ax")).alias("lam"))
+    return j.join(lam, "conv_id").groupBy("conv_id").agg(
+        F.round(F.sum(F.col("eigenvector") * F.col("eigenvector")), 6).alias("norm"), (F.min("eigenvector") > -1e-9).alias("not_negative"),
+        (F.max(F.abs(F.col("ax") - F.col("lam") * F.col("eigenvector"))) < 1e-4).alias("eigen"))
+
+
 @register("h9_h10_claim_metrics")
 def claim_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H9 + H10: from atoms to the claim-side metric table (degree, betweenness, eigenvector, PageRank, closeness)."""

@@ -364,6 +364,18 @@ def hashed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(*FX.RESP, EM.hashed_embedding(F.col("response")).alias("embedding"))
 
 
+@register("f2_cosine_kernel", sql=f"""
+WITH e AS (SELECT conv_id, CAST(turn AS INTEGER) AS i, {sql_embedding('text')} AS v FROM conversations)
+SELECT a.conv_id, a.i, b.i AS j, round({sql_cosine('a.v', 'b.v')}, 6) AS cos FROM e a JOIN e b ON a.conv_id = b.conv_id AND a.i <= b.i
+WHERE list_dot_product(a.v, a.v) > 0 AND list_dot_product(b.v, b.v) > 0""")
+def cosine_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the cosine kernel of each conversation's turns (upper triangle), a table of K² entries by definition."""
+    r = FX.conv_responses(spark, sf_dir)
+    good, _rejected = V.normalize_rows(r.select(*FX.RESP, EM.hashed_embedding(F.col("response")).alias("vec")), "vec")
+    k = V.cosine_kernel(good, ["conv_id"], "response_idx", "vec")
+    return k.select("conv_id", "i", "j", F.round("cos", 6).alias("cos"))
+
+
 @register("c14_subset_claims", sql=f"""WITH {SQL_STATEMENTS_CTE}, {SQL_SUBSET}
 SELECT conv_id, response_idx, count(*) AS n_claims FROM st JOIN sub USING (conv_id, response_idx) GROUP BY ALL""")
 def subset_claims(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -219,6 +219,17 @@ def luq_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conf.select("conv_id", "response_idx", "k", *_r6("confidence"))
 
 
+@register("c12_g2_statement_entailment", sql=f"""WITH {SQL_STATEMENTS_CTE},
+r AS (SELECT conv_id, CAST(turn AS INTEGER) AS j, list_distinct({sql_tokens('text')}) AS rt FROM conversations)
+SELECT st.conv_id, st.response_idx AS i, st.statement_idx, r.j, round({sql_containment(sql_tokens('st.text'), 'r.rt')}, 6) AS p
+FROM st JOIN r ON st.conv_id = r.conv_id AND st.response_idx <> r.j""")
+def statement_entailment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C12 + G2: every statement against every other response of its conversation, by the pair scorer."""
+    score = lambda stmt, response: TX.containment(TX.tokens(stmt), F.array_distinct(TX.tokens(response)))
+    p = G.statement_entailment(FX.conv_statements(spark, sf_dir), _responses(spark, sf_dir), GRP, score)
+    return p.select("conv_id", "i", "statement_idx", "j", *_r6("p"))
+
+
 @register("g3_luq_similarity", sql=SQL_LUQ + "SELECT conv_id, i, j, round(s, 6) AS s FROM sij")
 def luq_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S(i, j), the mean entailment of response i's statements by response j."""

@@ -152,3 +152,8 @@ def test_luq_of_paraphrased_statements(spark):
         assert s[(0, 1)] == pytest.approx(0.5) and s[(0, 2)] == pytest.approx(0.5) and s[(1, 2)] == pytest.approx(0.5) and len(s) == 6
         for i in range(3):
             assert sum(v for (a, _), v in s.items() if a == i) / 2 == pytest.approx(got[i])
+
+
+def test_two_class_models_leave_the_rest_to_neutral(spark):
+    r = spark.range(1).select(G.two_class_probs(F.lit(0.7), F.lit(0.2)).alias("p")).first()["p"]
+    assert (r["p_contra"], r["p_entail"]) == (0.2, 0.7) and r["p_neutral"] == pytest.approx(0.1)
