@@ -40,6 +40,7 @@ SPELLINGS = (
     (r"\bcopyright owner", "copyright holder"),
 )
 ANY_SPELLING = "|".join(p for p, _ in SPELLINGS)
+SPELLING_RATIO = 1.5
 
 #: Public licence texts and notices.
 KNOWN = (
@@ -90,24 +91,32 @@ def one_spelling(t: Column) -> Column:
     return F.when(t.rlike(ANY_SPELLING), out).otherwise(t)
 
 
-def digests(units: DataFrame, text: str) -> DataFrame:
-    """``units`` with the MD5 ``digest`` of the canonical form of ``text`` in its place; empty forms are left out.
+def canonical(units: DataFrame, text: str) -> DataFrame:
+    """``units`` with ``plain`` (words only, not empty) in place of ``text``.
 
-    The explode of one element keeps the canonical form from being computed for each use.
+    The explode of one element keeps the form from being computed for each use.
     """
     others = [c for c in units.columns if c != text]
-    plain = units.select(*others, F.explode(F.array(words_only(F.col(text)))).alias("_plain")).filter(F.col("_plain") != "")
-    return plain.select(*others, F.md5(one_spelling(F.col("_plain")).cast("binary")).alias("digest"))
+    return units.select(*others, F.explode(F.array(words_only(F.col(text)))).alias("plain")).filter(F.col("plain") != "")
+
+
+def digest() -> Column:
+    return F.md5(one_spelling(F.col("plain")).cast("binary"))
 
 
 def scan(docs: DataFrame, known: DataFrame, key: list[str]) -> DataFrame:
     """Per row: ``key`` columns, text_key, licence of the whole text, licences of its lines and their number."""
     prepare(docs.sparkSession)
-    table = digests(known.select("licence", "text"), "text").groupBy("digest").agg(F.min("licence").alias("licence"))
+    # Spellings change a length by less than SPELLING_RATIO either way: a text far shorter or longer than
+    # all known ones cannot match and needs no digest.
+    forms = canonical(known.select("licence", "text"), "text")
+    table = forms.groupBy(digest().alias("digest")).agg(F.min("licence").alias("licence"))
+    shortest, longest = forms.agg(F.min(F.length("plain")), F.max(F.length("plain"))).first()
+    fits = F.length("plain").between((shortest or 0) / SPELLING_RATIO**2, (longest or 0) * SPELLING_RATIO**2)
     rows = docs.select(*key, text_key(F.col("text")).alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
     units = rows.select(*key, "text_key", F.posexplode(F.concat(F.array("text"), F.split("text", "\n"))).alias("line", "unit"))
     # repeated rows share a key: each line counts once
-    hits = digests(units, "unit").join(table, "digest").select(*key, "text_key", "line", "licence").distinct().groupBy(*key, "text_key").agg(
+    hits = canonical(units, "unit").filter(fits).withColumn("digest", digest()).join(table, "digest").select(*key, "text_key", "line", "licence").distinct().groupBy(*key, "text_key").agg(
         F.min(F.when(F.col("line") == 0, F.col("licence"))).alias("licence"),
         F.count_if(F.col("line") > 0).alias("n_lines"),
         F.array_sort(F.collect_set(F.when(F.col("line") > 0, F.col("licence")))).alias("line_licences"))
