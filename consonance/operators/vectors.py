@@ -27,6 +27,7 @@ from ..session import by_group
 # Fixed parameter defaults of the dispersion family.
 JITTER = 1e-3          # added to the kernel diagonal before the eigen-decomposition
 EIGENSCORE_ALPHA = 1e-3  # ridge in the eigen-score log-determinant
+HELD_GROUPS = 500      # groups whose partial Grams a task holds before it hands them on
 ENTROPY_FLOOR = 1e-10  # zero probabilities are replaced by this in discrete entropy
 
 SUMMARY_FIELDS = [
@@ -249,9 +250,19 @@ def gram_partials(data: DataFrame, group_cols: list[str]) -> DataFrame:
     part_schema = T.StructType(list(gfields) + [
         T.StructField("_cell", T.IntegerType()), T.StructField("_v", T.DoubleType())])
 
+    def rows(acc: dict):
+        for key, vals in acc.items():
+            out = pd.DataFrame({"_cell": np.arange(len(vals), dtype=np.int32), "_v": vals})
+            for g, kv in zip(group_cols, key):
+                out[g] = kv
+            yield out[group_cols + ["_cell", "_v"]]
+
     def partial(batches):
         acc: dict = {}
         for pdf in batches:
+            if len(acc) > HELD_GROUPS:  # sums so far go out: partials of any split add up
+                yield from rows(acc)
+                acc = {}
             for key, sub in pdf.groupby(group_cols, sort=False, dropna=False):
                 x = np.stack(sub["_x"].to_numpy()).astype(np.float64)
                 u, c = _unit_and_centred(x)
@@ -263,11 +274,7 @@ def gram_partials(data: DataFrame, group_cols: list[str]) -> DataFrame:
                     acc[key] += vals
                 else:
                     acc[key] = vals
-        for key, vals in acc.items():
-            out = pd.DataFrame({"_cell": np.arange(len(vals), dtype=np.int32), "_v": vals})
-            for g, kv in zip(group_cols, key):
-                out[g] = kv
-            yield out[group_cols + ["_cell", "_v"]]
+        yield from rows(acc)
 
     return data.mapInPandas(partial, schema=part_schema)
 
