@@ -49,7 +49,7 @@ def _xxh32(raw: bytes) -> int:
 class StoreWriter:
     """Appends documents to an open binary stream; ``close`` adds the index and the seek table."""
 
-    def __init__(self, out, level: int = 3):
+    def __init__(self, out, level: int = 1):
         import zstandard
 
         self.out, self.entries, self.ids, self.n_tokens, self.n_bytes = out, [], [], 0, 0
