@@ -14,20 +14,18 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 
-def _least(sym: DataFrame, name: str) -> DataFrame:
-    return sym.groupBy("u").agg(F.min("v").alias(name))
-
-
 def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(id, root) for every vertex of ``edges(u, v)``; ``root`` is the least id of its component."""
-    e = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e, before = cut_lineage(e), None
+    e = cut_lineage(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    before = None
     for _ in range(max_rounds):
+        # large star: a vertex's larger neighbours go to its least one. The table of least neighbours is
+        # cut off, so that both sides of the join are shuffled for it and a hub's edges can be split.
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = _least(both, "m").select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        # every edge of ``large`` has u > v
-        least = _least(large, "m")
+        least = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m")))
+        large = cut_lineage(e.join(least, "v").select("u", F.col("m").alias("v")).distinct())
+        # small star: its smaller neighbours, and the vertex itself, go to the least of them
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         e = cut_lineage(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct())
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
