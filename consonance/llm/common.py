@@ -49,6 +49,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(run):
+    """``run`` over Arrow batches, giving freed memory back to the system when a task ends: workers are
+    kept for later stages, which need the executor's memory for other things."""
+    def task(batches):
+        yield from run(batches)
+        import ctypes
+        import gc
+
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return task
+
+
 def text_key(text: Column) -> Column:
     """16 bytes that stand for a text; with ``doc_id`` they identify a row up to repeated rows."""
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_BYTES, grams, prepare, stored, text_bytes, words
+from .common import WORD_BYTES, grams, prepare, released, stored, text_bytes, words
 
 HITS = T.StructType([
     T.StructField("n_words", T.LongType()),
@@ -56,7 +56,7 @@ def _item_windows(window: int):
 def item_windows(benchmark: DataFrame, window: int = 13) -> DataFrame:
     """Distinct windows (n, h, words) with the ids of the items that hold them."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text"))
-    return rows.mapInArrow(_item_windows(window), "n int, h long, words binary, item string").groupBy(
+    return rows.mapInArrow(released(_item_windows(window)), "n int, h long, words binary, item string").groupBy(
         "n", "h", "words").agg(F.collect_set("item").alias("items"))
 
 
@@ -129,7 +129,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 13, max_slice: int
     for k in range(slices):
         part = wins.filter(F.pmod(F.xxhash64("n", "h", "words"), F.lit(slices)) == k).collect() if slices > 1 else wins.collect()
         found = spark.sparkContext.broadcast(_lookup(part))
-        out = out.mapInArrow(_scan(found, docs.columns.index("text")), schema)
+        out = out.mapInArrow(released(_scan(found, docs.columns.index("text"))), schema)
         if k + 1 < slices:
             out = stored(out, "benchmark-hits")
     return out

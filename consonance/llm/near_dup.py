@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, shingle_sets, stored, text_bytes, text_key
+from .common import prepare, released, shingle_sets, stored, text_bytes, text_key
 from .components import components
 
 TILE_COLUMNS = 4096
@@ -188,7 +188,7 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 32, r
     prepare(spark)
     depth = prefix_depth(threshold, trees, recall, max_depth)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), F.col("text"))
-    sketch = stored(rows.mapInArrow(_sketch(n, trees, depth), "doc_id long, text_key binary, set_key binary, labels array<long>"), "sketch")
+    sketch = stored(rows.mapInArrow(released(_sketch(n, trees, depth)), "doc_id long, text_key binary, set_key binary, labels array<long>"), "sketch")
 
     # classes of equal sets, numbered; the first row (null ids last) stands for the class
     first = F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "text_key"))
@@ -209,14 +209,14 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 32, r
     chosen = placed.join(classes.select("id", "doc_id", "text_key", "copies"), "id")
     texts = rows.join(chosen.select("id", F.col("doc_id").alias("d"), F.col("text_key").alias("k")),
                       F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")))
-    sets = texts.select("id", "text").mapInArrow(_sets(n), "id long, shingles binary").dropDuplicates(["id"])
+    sets = texts.select("id", "text").mapInArrow(released(_sets(n)), "id long, shingles binary").dropDuplicates(["id"])
     sets = stored(sets, "shingles")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     units = chosen.select("root", "id", "block", "copies", other).select(
         F.col("root").alias("grp"), F.least("block", "other").alias("l"), F.greatest("block", "other").alias("r"), "id", "block", "copies")
     units = units.join(sets, "id").select("grp", "l", "r", "id", "block", "copies", "shingles")
     units = units.repartition("grp", "l", "r").sortWithinPartitions("grp", "l", "r", "id")
-    found = stored(units.mapInArrow(_verify(threshold), "id long, links long, root long"), "links")
+    found = stored(units.mapInArrow(released(_verify(threshold)), "id long, links long, root long"), "links")
 
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     linked_groups = components(found.select(F.col("id").alias("u"), F.col("root").alias("v")))

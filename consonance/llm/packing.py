@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, released
 from .token_ids import encoded
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
@@ -141,5 +141,5 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
     """Pieces of all documents and their places; ``sequence_id`` is unique, ``offset`` gapless from 0."""
     prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    out = rows.mapInArrow(_pack(tokenizer, end_id, capacity, block, max_piece, slack, with_ids), PIECES)
+    out = rows.mapInArrow(released(_pack(tokenizer, end_id, capacity, block, max_piece, slack, with_ids)), PIECES)
     return out if with_ids else out.drop("ids")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import grams, prepare, stored, text_bytes, words
+from .common import grams, prepare, released, stored, text_bytes, words
 
 STATISTICS = ("log_bytes", "upper", "digit", "blank", "lines", "stops", "symbols", "rare_symbols", "beyond_ascii",
               "word_length", "word_spread", "distinct_words", "distinct_grams", "distinct_lines")
@@ -75,7 +75,7 @@ def document_statistics(docs: DataFrame, key: Column) -> DataFrame:
     """(key, x) per row; ``key`` may be a struct of any columns."""
     prepare(docs.sparkSession)
     rows = docs.select(key.alias("key"), F.col("text"))
-    return rows.mapInArrow(_statistics_of, f"key {rows.schema['key'].dataType.simpleString()}, x array<double>")
+    return rows.mapInArrow(released(_statistics_of), f"key {rows.schema['key'].dataType.simpleString()}, x array<double>")
 
 
 def _moments(batches):
@@ -162,7 +162,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, score) of every row of ``docs(doc_id, text)``; ``key`` is a struct of its ``doc_id``."""
     x = stored(document_statistics(docs, F.struct("doc_id")), "document-statistics")
     model = _train(x, labels)
-    return x.mapInArrow(_scores_of(model), f"key {x.schema['key'].dataType.simpleString()}, score double")
+    return x.mapInArrow(released(_scores_of(model)), f"key {x.schema['key'].dataType.simpleString()}, score double")
 
 
 def _keep_of(model: QuadraticDiscriminant, text_at: int, threshold: float):
@@ -182,4 +182,4 @@ def keep(docs: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
     """
     model = _train(stored(document_statistics(docs.select("doc_id", "text"), F.struct("doc_id")), "document-statistics"), labels)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    return rows.mapInArrow(_keep_of(model, docs.columns.index("text"), threshold), rows.schema).select("doc.*")
+    return rows.mapInArrow(released(_keep_of(model, docs.columns.index("text"), threshold)), rows.schema).select("doc.*")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, shared_path
+from .common import prepare, released, shared_path
 from .token_ids import encoded
 
 #: Fixed values of the public seekable zstandard format.
@@ -161,7 +161,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str |
     text = F.coalesce(F.col("text"), F.lit("")).alias("text")
     sorted_docs = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), text)
                    .repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text"))
-    sorted_docs.mapInArrow(_writer(f"{folder}/files", tokenizer, end_id), MANIFEST).write.parquet(f"{folder}/manifest")
+    sorted_docs.mapInArrow(released(_writer(f"{folder}/files", tokenizer, end_id)), MANIFEST).write.parquet(f"{folder}/manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").withColumn(
         "file_start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
@@ -196,7 +196,7 @@ def read_store(manifest: DataFrame, with_ids: bool = True, wanted: list | None =
     """Rows of all documents (or those of ``wanted`` doc_ids), a task per file."""
     n = max(1, manifest.count())
     files = manifest.select("part", "path").repartitionByRange(n, "part")
-    return files.mapInArrow(_reader(with_ids, wanted), ROWS)
+    return files.mapInArrow(released(_reader(with_ids, wanted)), ROWS)
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
