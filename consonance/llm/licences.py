@@ -12,6 +12,10 @@ Repeated rows get the same result; an empty table gives no rows; other columns a
 
 from __future__ import annotations
 
+import json
+import pkgutil
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,9 +45,22 @@ SPELLINGS = (
 )
 ANY_SPELLING = "|".join(p for p, _ in SPELLINGS)
 SPELLING_RATIO = 1.5
+#: Characters at a form's start that no spelling changes (each keeps the first three of what it matches).
+START = 3
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """(licence, text) of the table: each text alone and below each of its titles, with either form of links."""
+    out = []
+    for row in map(json.loads, pkgutil.get_data(__package__, "known_licences.jsonl").decode().splitlines()):
+        links = {row["text"], row["text"].replace("http://", "https://"), row["text"].replace("https://", "http://")}
+        out += [(row["licence"], f"{title}\n\n{text}".lstrip()) for title in ("", *row["titles"]) for text in sorted(links)]
+    return out
+
 
-#: Public licence texts and notices.
+#: Public licence texts, and one-line forms and notices as fixed values.
 KNOWN = (
+    *full_texts(),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
             "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the "
             "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
@@ -107,12 +124,13 @@ def digest() -> Column:
 def scan(docs: DataFrame, known: DataFrame, key: list[str]) -> DataFrame:
     """Per row: ``key`` columns, text_key, licence of the whole text, licences of its lines and their number."""
     prepare(docs.sparkSession)
-    # Spellings change a length by less than SPELLING_RATIO either way: a text far shorter or longer than
-    # all known ones cannot match and needs no digest.
+    # Spellings change a length by less than SPELLING_RATIO either way and no form's start: a text that
+    # starts as no known one of about its length cannot match and needs no digest.
     forms = canonical(known.select("licence", "text"), "text")
     table = forms.groupBy(digest().alias("digest")).agg(F.min("licence").alias("licence"))
-    shortest, longest = forms.agg(F.min(F.length("plain")), F.max(F.length("plain"))).first()
-    fits = F.length("plain").between((shortest or 0) / SPELLING_RATIO**2, (longest or 0) * SPELLING_RATIO**2)
+    start, size = F.substring("plain", 1, START), F.length("plain")
+    bounds = forms.groupBy(start.alias("start")).agg(F.min(size).alias("low"), F.max(size).alias("high")).collect()
+    fits = reduce(Column.__or__, [(start == r.start) & size.between(r.low / SPELLING_RATIO**2, r.high * SPELLING_RATIO**2) for r in bounds], F.lit(False))
     rows = docs.select(*key, text_key(F.col("text")).alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
     units = rows.select(*key, "text_key", F.posexplode(F.concat(F.array("text"), F.split("text", "\n"))).alias("line", "unit"))
     # repeated rows share a key: each line counts once

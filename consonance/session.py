@@ -110,7 +110,7 @@ def ship_library(spark: SparkSession) -> None:
     with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
         for here, _dirs, files in os.walk(pkg_dir):
             for f in files:
-                if f.endswith(".py"):
+                if f.endswith((".py", ".jsonl")):
                     full = os.path.join(here, f)
                     z.write(full, os.path.relpath(full, root))
     if sc is not None:
