@@ -3,16 +3,17 @@
 Everything on the main path is Spark SQL: patterns are matched by the JVM's regex functions, positions
 come from the lengths of the pieces between matches, and the boosted trees are trained by Spark ML
 and then written as one SQL expression that scores candidate spans inside each row. No text is
-shuffled; a row's result is computed in the row.
+shuffled but the trees' sample; a row's result is computed in the row.
 
 * Base spans (always kept): email, ip, card, phone by the patterns of ``BASE``, leftmost and not
   overlapping per kind, then validated (octets, digit counts, Luhn).
 * Candidates: looser patterns (``LOOSE``) propose overlapping spans, e.g. each of two card numbers in a row.
-* Trees: format and context features; a training candidate is positive if a base span covers it.
-  They are fitted on documents whose text hash falls into a share that is expected to hold
-  ``train_docs`` documents (all of them, if fewer); other documents of that sample calibrate the
-  threshold: the least at which selected candidates reach ``precision``. No candidates of both classes,
-  or no such threshold: nothing is added.
+* Trees: format and context features; a candidate is positive if a base span covers it or
+  base would keep it standing alone (a longer match that failed may have swallowed it).
+  They are fitted on distinct texts that may hold candidates, those whose hash falls into a share that is
+  expected to hold ``train_docs`` of them (all, if fewer), one row each; a quarter of them is left out.
+* Threshold: the least margin at which selected candidates reach ``precision``, counted over the candidates of
+  all documents, copies included. No candidates of both classes to fit on, or no such threshold: nothing is added.
 
 Repeated groups in the patterns are written as plain character runs: separators that join two digits
 (or labels) are first replaced, one for one, by a control character, so the JVM's matcher needs no
@@ -25,6 +26,7 @@ result; an empty table gives no rows; columns of the input are carried in a stru
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -136,6 +138,20 @@ def _covered(c: Column, base: Column) -> Column:
     return F.exists(base, lambda b: (b["start"] <= c["start"]) & (b["end"] >= c["end"]))
 
 
+def _valid_alone(c: Column) -> Column:
+    """Whether base would keep the candidate if nothing stood beside it (a longer match may have swallowed it)."""
+    kind = lambda k: c["sort"] == KINDS.index(k)
+    return (kind("ip") & (c["octets"] == 1) | kind("card") & (c["luhn"] == 1) & c["digits"].between(12, 19)
+            | kind("phone") & (c["plus"] == 1) & c["digits"].between(9, 15))
+
+
+def _labelled(docs: DataFrame, *others: Column) -> DataFrame:
+    """A row per loose candidate: ``others``, label and the candidate ``c``."""
+    rows = _columns(docs).select(*others, "base", F.explode("loose").alias("c"))
+    good = _covered(F.col("c"), F.col("base")) | _valid_alone(F.col("c"))
+    return rows.select(*rows.columns[:-2], good.cast("double").alias("label"), "c")
+
+
 LINE = re.compile(r"^( *)(If|Else) \(feature (\d+) (<=|>|in|not in) (\S+?)\)$|^( *)Predict: (\S+)$")
 
 
@@ -165,19 +181,20 @@ def fit(docs: DataFrame, train_docs: int = 20_000, trees: int = 12, depth: int =
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    n = docs.count()
     buckets = 1 << 20
+    texts = docs.select("text").filter(reduce(Column.__or__, [F.col("text").rlike(test) for test, _ in LOOSE.values()]))
+    n = texts.select(F.count_distinct(F.xxhash64("text"))).first()[0]
     share = buckets if n <= train_docs else int(buckets * train_docs / n) + 1
-    part = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(buckets)) < share)
-    rows = _columns(part).select(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(4)).alias("fold"), "base", F.explode("loose").alias("c"))
-    rows = stored(rows.select("fold", _covered(F.col("c"), F.col("base")).cast("double").alias("label"), "c"), "pii-candidates")
+    part = texts.filter(F.pmod(F.xxhash64("text"), F.lit(buckets)) < share).distinct()
+    rows = _labelled(part, F.pmod(F.xxhash64("text", F.lit(1)), F.lit(4)).alias("fold"))
+    rows = stored(rows, "pii-candidates")
     train = rows.filter("fold > 0")
     if train.select("label").distinct().count() < 2:
         return None
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(train.select("label", *[F.col(f"c.{f}") for f in FEATURES]))
     model = GBTClassifier(featuresCol="x", labelCol="label", maxIter=trees, maxDepth=depth, seed=7).fit(vectors.coalesce(4))
     margin = margin_sql(model)
-    bins = rows.filter("fold = 0").select(F.round(F.expr(margin), 2).alias("m"), "label").groupBy("m").agg(
+    bins = _labelled(docs.select("text")).select(F.round(F.expr(margin), 2).alias("m"), "label").groupBy("m").agg(
         F.sum("label").alias("good"), F.count(F.lit(1)).alias("n"))
     threshold, good, seen = None, 0.0, 0
     for r in sorted(bins.collect(), key=lambda r: -r.m):  # at most a bin per hundredth of the margin
