@@ -14,11 +14,11 @@ def _rounded(df: DataFrame, cols: list[str], digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
-def label_spectra(spark: SparkSession, sf_dir: str, operator=V.group_spectra_gram) -> DataFrame:
-    """Scores per label. A label's rows grow with the table, so the default is the form for any size."""
+def label_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores per label, by the form for groups of any size: a label's rows grow with the table."""
     emb = table(spark, sf_dir, "embeddings")
     good, _rejected = V.normalize_rows(emb, "embedding")
-    return operator(good.select("label", "embedding"), ["label"], "embedding")
+    return V.group_spectra_gram(good.select("label", "embedding"), ["label"], "embedding")
 
 
 @register("f1_rejected_vectors", sql="""
@@ -66,10 +66,8 @@ FROM p GROUP BY label
 @register("f7_kernel_moments", sql=_F7_SQL)
 def kernel_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """kernel moments that pin the dispersion spectrum (Σλ = trace, Σλ² = ‖Z‖²_F), by the form
-    for groups that fit in a task."""
-    s = label_spectra(spark, sf_dir, V.group_spectra)
-    cols = ["trace", "fro2", "mean_cos", "purity", "renyi2"]
-    return _rounded(s.select("label", "k", *cols), cols)
+    for groups of any size: labels grow with the table."""
+    return kernel_moments_gram(spark, sf_dir)
 
 
 @register("f7_kernel_moments_gram_path", sql=_F7_SQL)

@@ -376,6 +376,20 @@ def cosine_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.select("conv_id", "i", "j", F.round("cos", 6).alias("cos"))
 
 
+@register("f7_kernel_moments_by_conversation", sql=f"""
+WITH e AS (SELECT conv_id, CAST(turn AS INTEGER) AS i, {sql_embedding('text')} AS v FROM conversations),
+p AS (SELECT a.conv_id, a.i, b.i AS j, {sql_cosine('a.v', 'b.v')} AS c FROM e a JOIN e b ON a.conv_id = b.conv_id
+      WHERE list_dot_product(a.v, a.v) > 0 AND list_dot_product(b.v, b.v) > 0)
+SELECT conv_id, CAST(count(*) FILTER (WHERE i = j) AS BIGINT) AS k, round(sum(c) FILTER (WHERE i = j), 6) AS trace,
+       round(sum(c * c), 6) AS fro2, round(sum(c * c) / pow(count(*) FILTER (WHERE i = j), 2), 6) AS purity
+FROM p GROUP BY conv_id""")
+def kernel_moments_by_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """kernel moments of each conversation's turns, by the direct form: its groups are small by construction."""
+    r = FX.conv_responses(spark, sf_dir)
+    good, _rejected = V.normalize_rows(r.select(*FX.RESP, EM.hashed_embedding(F.col("response")).alias("vec")), "vec")
+    return V.group_spectra(good, ["conv_id"], "vec").select("conv_id", "k", *_r6("trace", "fro2", "purity"))
+
+
 @register("c14_subset_claims", sql=f"""WITH {SQL_STATEMENTS_CTE}, {SQL_SUBSET}
 SELECT conv_id, response_idx, count(*) AS n_claims FROM st JOIN sub USING (conv_id, response_idx) GROUP BY ALL""")
 def subset_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
