@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, licences, near_dup, packing, pii, quality, sharding, token_store
+from . import ann, chat, decontaminate, hard_negatives, lexical, licences, near_dup, oph_dedup, packing, pii, quality, sharding, token_store
 from .common import read_table
 
 QUALITY_THRESHOLD = 0.3
@@ -168,6 +168,67 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
 
 
+def op11_oph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oph_dedup.dedup(read_table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 1], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT c.x, c.y FROM c JOIN n nx ON nx.doc_id = c.x JOIN n ny ON ny.doc_id = c.y WHERE 100 * c.c >= 80 * (nx.n + ny.n - c.c)),
+reach(x, y) AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM reach r JOIN l ON l.x = r.y),
+root AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(root.y, d.doc_id)) AS component_id,
+       least(d.doc_id, coalesce(root.y, d.doc_id)) = d.doc_id AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN root ON root.x = d.doc_id
+"""
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""
+WITH t AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')),
+                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM documents),
+q AS (SELECT DISTINCT item_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM benchmark),
+n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM n),
+f AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, s GROUP BY term, docs),
+v AS (SELECT f.doc_id, f.term, w.w * ((1000000000 * f.tf) // (1000 * f.tf + 20 * (100 - 50 + (50 * n.n * s.docs) // s.words))) AS v
+      FROM f JOIN w ON w.term = f.term JOIN n ON n.doc_id = f.doc_id, s),
+x AS (SELECT q.item_id, v.doc_id, CAST(sum(v.v) AS BIGINT) AS score FROM q JOIN v ON v.term = q.term GROUP BY ALL HAVING sum(v.v) > 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM x)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
+"""
+
+
+def op13_segment_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(read_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label)
+
+
+OP13_SQL = r"""
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda v: CAST(floor(256 * CAST(v AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+a AS (SELECT * FROM e WHERE vec_id % 100 = 0),
+s AS (SELECT a.vec_id AS anchor_id, e.vec_id, a.label = e.label AS same,
+             CAST(list_sum(list_transform(list_zip(a.x, e.x), lambda p: p[1] * p[2])) AS BIGINT) AS score FROM a JOIN e ON a.vec_id <> e.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+r AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+             CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same WHERE 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM r WHERE rank <= 10
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_collision_counting": op1_collision_counting,
     "op2_token_store": op2_token_store,
@@ -179,8 +240,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_licence_scan": op9_licence_scan,
     "op10_personal_data": op10_personal_data,
+    "op11_oph_dedup": op11_oph_dedup,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_segment_negatives": op13_segment_negatives,
 }
-ORACLES: dict[str, str] = {"op3_jaccard_join": OP3_SQL, "op6_chat_formatting": OP6_SQL, "op7_decontamination": OP7_SQL, "op9_licence_scan": _op9_sql()}
+ORACLES: dict[str, str] = {"op3_jaccard_join": OP3_SQL, "op6_chat_formatting": OP6_SQL, "op7_decontamination": OP7_SQL, "op9_licence_scan": _op9_sql(),
+                           "op11_oph_dedup": OP11_SQL, "op12_lexical_search": OP12_SQL, "op13_segment_negatives": OP13_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
