@@ -9,9 +9,7 @@ without pairing every claim with every response: a response that contains a clai
 the claim's interior words, so an equi-join on an interior word n-gram (for claims without
 interior words: on a character n-gram) yields candidates that ``instr`` then verifies.
 
-Shortest paths (betweenness, closeness) grow from every node at once, a frontier join per
-level; PageRank is iterated to a tolerance; the principal eigenvector is the limit of power
-iteration from the uniform vector, reached by repeated squaring.
+Betweenness and closeness come from ``paths``, the principal eigenvector and PageRank from ``graphs``.
 """
 
 from __future__ import annotations
@@ -20,15 +18,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import by_group, cut_lineage
+from .graphs import eigenvector, pagerank
+from .paths import path_centralities
 
 WORD_SPLIT = "[^\\p{L}\\p{N}]+"
 NGRAM = 3
 CHARS = 6
-PAGERANK_D = 0.85
-MAX_ITER = 1000
-TOL = 1e-6
-STEPS_PER_JOB = 10
-SQUARINGS = 28   # rounding errors of equal singular values stay below TOL until then
 
 
 def _words(col):
@@ -135,171 +130,17 @@ def degrees(edges: DataFrame, claim_nodes: DataFrame, resp_nodes: DataFrame, gro
 
 # ---------------------------------------------------------------- graphs: (group…, src, dst[, weight])
 
-def _both(edges: DataFrame, g: list[str], weight_col: str | None) -> DataFrame:
-    w = F.lit(1.0) if weight_col is None else F.col(weight_col).cast("double")
-    e = edges.select(*g, "src", "dst", w.alias("w"))
-    return e.unionByName(e.select(*g, F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
-
-
-def shortest_paths(edges: DataFrame, group_cols: list[str]) -> DataFrame:
-    """All-source breadth-first search: ``(group…, s, v, d, sigma)`` for every pair of connected
-    nodes, with the distance and the number of shortest paths; a join per level for all graphs at
-    once. The table has n² rows per component by definition, so it is for per-question graphs."""
-    g = group_cols
-    adj = cut_lineage(_both(edges, g, None).select(*g, F.col("src").alias("v"), F.col("dst").alias("u")).distinct())
-    start = adj.select(*g, "v").distinct()
-    frontier = cut_lineage(start.select(*g, F.col("v").alias("s"), "v", F.lit(0).alias("d"), F.lit(1.0).alias("sigma")))
-    seen, level = frontier, 0
-    while True:
-        level += 1
-        step = frontier.select(*g, "s", "v", "sigma").join(adj, [*g, "v"]).groupBy(*g, "s", F.col("u").alias("v")).agg(F.sum("sigma").alias("sigma"))
-        frontier = cut_lineage(step.join(seen.select(*g, "s", "v"), [*g, "s", "v"], "left_anti").select(*g, "s", "v", F.lit(level).alias("d"), "sigma"))
-        if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier)
-
-
-def path_centralities(edges: DataFrame, node_counts: DataFrame, group_cols: list[str]) -> DataFrame:
-    """H5 + H8: ``(group…, node, betweenness, closeness)`` of connected nodes, normalised by
-    ``node_counts(group…, n_nodes)``; isolated nodes have 0 in both.
-
-    Betweenness adds up pair dependencies from the farthest level inwards (one join per level).
-    """
-    g = group_cols
-    paths = cut_lineage(shortest_paths(edges, g))
-    adj = _both(edges, g, None).select(*g, F.col("src").alias("v"), F.col("dst").alias("u")).distinct()
-    depth = paths.agg(F.max("d")).first()[0] or 0
-    outer, parts = None, []
-    for level in range(depth, 0, -1):
-        here = paths.filter(F.col("d") == level)
-        if outer is None:
-            here = here.withColumn("delta", F.lit(0.0))
-        else:
-            share = outer.select(*g, "s", F.col("v").alias("u"), ((1 + F.col("delta")) / F.col("sigma")).alias("x"))
-            gain = share.join(adj, [*g, "u"]).groupBy(*g, "s", "v").agg(F.sum("x").alias("x"))
-            here = here.join(gain, [*g, "s", "v"], "left").withColumn("delta", F.col("sigma") * F.coalesce("x", F.lit(0.0))).drop("x")
-        outer = cut_lineage(here)
-        parts.append(outer.select(*g, "v", "delta"))
-    near = paths.filter("d > 0").groupBy(*g, "v").agg(F.count(F.lit(1)).alias("r"), F.sum("d").alias("total"))
-    out = near
-    if parts:
-        deltas = parts[0]
-        for p in parts[1:]:
-            deltas = deltas.unionByName(p)
-        out = near.join(deltas.groupBy(*g, "v").agg(F.sum("delta").alias("b")), [*g, "v"], "left")
-    else:
-        out = near.withColumn("b", F.lit(0.0))
-    n = F.col("n_nodes")
-    return out.join(node_counts, g).select(
-        *g, F.col("v").alias("node"),
-        F.when(n > 2, F.coalesce("b", F.lit(0.0)) / ((n - 1) * (n - 2))).otherwise(0.0).alias("betweenness"),
-        F.when(n > 1, (F.col("r") / F.col("total")) * (F.col("r") / (n - 1))).otherwise(0.0).alias("closeness"))
-
-
-def eigenvector(edges: DataFrame, group_cols: list[str], weight_col: str | None = None, tol: float = TOL) -> DataFrame:
-    """H6: ``(group…, node, eigenvector)`` of connected nodes of bipartite graphs whose ``src`` are
-    claims and ``dst`` responses: the limit of power iteration from the uniform vector, of unit norm.
-
-    With B the claim × response matrix, powers of the response matrix BᵀB (K² entries for K
-    responses) are squared until they stop changing: k squarings are 2^k steps of power
-    iteration, so near-equal components are told apart. The limit P is the projection on the
-    largest singular value σ; responses get P(1 + Bᵀ1 / σ), claims B times that over σ, which is
-    unique also where several components share σ.
-    """
-    g = group_cols
-    w = F.lit(1.0) if weight_col is None else F.col(weight_col).cast("double")
-    b = cut_lineage(edges.groupBy(*g, "src", "dst").agg(F.sum(w).alias("w")))
-    left = b.select(*g, "src", F.col("dst").alias("i"), "w")
-    right = b.select(*g, "src", F.col("dst").alias("j"), F.col("w").alias("w2"))
-    gram = cut_lineage(left.join(right, [*g, "src"]).groupBy(*g, "i", "j").agg(F.sum(F.col("w") * F.col("w2")).alias("m")))
-
-    # P of trace 1; the trace of P² is the sum of P's squares, so a squaring and its scaling are one
-    # join and one aggregation, partitioned by the group
-    trace = gram.filter(F.col("i") == F.col("j")).groupBy(*g).agg(F.sum("m").alias("t"))
-    power = cut_lineage(gram.join(trace, g).select(*g, "i", "j", (F.col("m") / F.col("t")).alias("m")))
-    for k in range(1, SQUARINGS + 1):
-        own = by_group(power, g)
-        norm = own.groupBy(*g).agg(F.sum(F.col("m") * F.col("m")).alias("t"))
-        half = own.join(norm, g).select(*g, "i", F.col("j").alias("x"), (F.col("m") / F.col("t")).alias("m"))
-        other = own.select(*g, F.col("i").alias("x"), "j", F.col("m").alias("m2"))
-        squared = cut_lineage(half.join(other, [*g, "x"]).groupBy(*g, "i", "j").agg(F.sum(F.col("m") * F.col("m2")).alias("m")))
-        if k % 4:  # the limit is looked for after every fourth squaring
-            power = squared
-            continue
-        change = squared.alias("a").join(power.alias("b"), [*g, "i", "j"], "left").agg(F.max(F.abs(F.col("a.m") - F.coalesce("b.m", F.lit(0.0))))).first()[0]
-        power = squared
-        if change is None or change < tol:
-            break
-    else:
-        raise RuntimeError(f"eigenvector: not within {tol} after {SQUARINGS} squarings")
-    # σ² = trace(BᵀB P) for the projection of trace 1
-    sigma2 = gram.join(power.withColumnRenamed("m", "p"), [*g, "i", "j"]).groupBy(*g).agg(F.sum(F.col("m") * F.col("p")).alias("s2"))
-    start = b.groupBy(*g, F.col("dst").alias("j")).agg(F.sum("w").alias("deg")).join(sigma2, g).withColumn("y", 1 + F.col("deg") / F.sqrt("s2"))
-    resp = power.join(start.select(*g, "j", "y", "s2"), [*g, "j"]).groupBy(*g, F.col("i").alias("node")).agg(
-        F.sum(F.col("m") * F.col("y")).alias("x"), F.first("s2").alias("s2"))
-    claim = b.join(resp.withColumnRenamed("node", "dst"), [*g, "dst"]).groupBy(*g, F.col("src").alias("node")).agg(
-        (F.sum(F.col("w") * F.col("x")) / F.sqrt(F.first("s2"))).alias("x"))
-    both = cut_lineage(resp.select(*g, "node", "x").unionByName(claim))
-    norm = both.groupBy(*g).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return both.join(norm, g).select(*g, "node", (F.col("x") / F.col("norm")).alias("eigenvector"))
-
-
-def pagerank(edges: DataFrame, nodes: DataFrame, group_cols: list[str], d: float = PAGERANK_D, tol: float = TOL,
-             max_iter: int = MAX_ITER, weight_col: str | None = None, iterations: int | None = None) -> DataFrame:
-    """H7: ``(group…, node, rank)`` by repeated join and aggregation, for graphs of any size.
-
-    ``edges``: ``group…, src, dst[, weight]`` (undirected); ``nodes``: ``group…, node``
-    (every node, isolated ones included). Uniform teleport and uniform redistribution of dangling
-    mass. Stops when no group's ranks change by ``n · tol`` in sum, and raises if that takes more
-    than ``max_iter`` rounds; ``iterations`` asks for that many rounds instead. All tables are
-    partitioned by the group, so rounds run without a shuffle between them; lineage is cut every
-    ``STEPS_PER_JOB`` rounds.
-    """
-    g = group_cols
-    both = _both(edges, g, weight_col)
-    out_w = both.groupBy(*g, "src").agg(F.sum("w").alias("total"))
-    share = both.join(out_w, [*g, "src"]).select(*g, "src", "dst", (F.col("w") / F.col("total")).alias("w"))
-    # a loop of weight 0 carries each node's own rank along, so a round reads the ranks only once
-    loops = nodes.select(*g, F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0.0).alias("w"), F.lit(1).alias("own"))
-    share = by_group(cut_lineage(share.withColumn("own", F.lit(0)).unionByName(loops)), g)
-    n = nodes.groupBy(*g).agg(F.count(F.lit(1)).alias("n"))
-    rank = cut_lineage(nodes.join(n, g).select(*g, "node", "n", (F.lit(1.0) / F.col("n")).alias("rank"), F.lit(0.0).alias("before")))
-    every = Window.partitionBy(*g)
-
-    def step(r: DataFrame) -> DataFrame:
-        given = share.join(r.select(*g, F.col("node").alias("src"), "rank", "n"), [*g, "src"])
-        x = given.groupBy(*g, F.col("dst").alias("node")).agg(
-            F.sum(F.col("rank") * F.col("w")).alias("c"), F.max("n").alias("n"), F.sum(F.col("rank") * F.col("own")).alias("before"))
-        # ranks sum to 1: what no edge carries (teleport and dangling mass) is spread evenly
-        return x.select(*g, "node", "n", (d * F.col("c") + (1 - d * F.sum("c").over(every)) / F.col("n")).alias("rank"), "before")
-
-    done, limit = 0, iterations or max_iter
-    while done < limit:
-        r = by_group(rank, g)
-        for _ in range(min(STEPS_PER_JOB, limit - done)):
-            r, done = step(r), done + 1
-        rank = cut_lineage(r)
-        if iterations is None:
-            moved = rank.groupBy(*g).agg(F.sum(F.abs(F.col("rank") - F.col("before"))).alias("e"), F.first("n").alias("n"))
-            if moved.filter(F.col("e") >= F.col("n") * tol).isEmpty():
-                break
-    else:
-        if iterations is None:
-            raise RuntimeError(f"pagerank: not within {tol} per node after {max_iter} rounds")
-    return rank.select(*g, "node", "rank")
-
-
 # ---------------------------------------------------------------- H9, H10
 
 def centralities(edges: DataFrame, nodes: DataFrame, group_cols: list[str], weight_col: str | None = None) -> DataFrame:
     """H5–H8 of every node: ``(group…, node, betweenness, eigenvector, pagerank, closeness)``.
 
     ``edges``: ``group…, src`` (claim), ``dst`` (response) ``[, weight]``; ``nodes``: ``group…, node``. Weights
-    count for the eigenvector and PageRank; paths are counted in edges.
+    count for all four; for paths they are lengths.
     """
     g = group_cols
     n = nodes.groupBy(*g).agg(F.count(F.lit(1)).alias("n_nodes"))
-    out = nodes.select(*g, "node").join(path_centralities(edges, n, g), [*g, "node"], "left")
+    out = nodes.select(*g, "node").join(path_centralities(edges, n, g, weight_col), [*g, "node"], "left")
     out = out.join(eigenvector(edges, g, weight_col), [*g, "node"], "left")
     out = out.join(pagerank(edges, nodes, g, weight_col=weight_col).withColumnRenamed("rank", "pagerank"), [*g, "node"], "left")
     return out.select(*g, "node", *[F.coalesce(m, F.lit(0.0)).alias(m) for m in ("betweenness", "eigenvector", "pagerank", "closeness")])

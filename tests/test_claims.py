@@ -1,10 +1,11 @@
 import math
 import random
-from collections import defaultdict, deque
+from collections import defaultdict
 
 import numpy as np
 import pytest
 from consonance.operators import claims as H
+from consonance.operators import paths as P
 
 
 def _graph(spark, graphs):
@@ -24,44 +25,95 @@ def _random_graphs(seed, count=12):
     return out
 
 
-def _brute_paths(edges, nodes):
-    """Betweenness by listing all shortest paths, closeness by breadth-first search."""
-    adj = defaultdict(set)
-    for a, b, _ in edges:
-        adj[a].add(b)
-        adj[b].add(a)
+def _brute_paths(edges, nodes, weighted=False):
+    """Betweenness by listing all shortest paths, closeness by relaxing all edges until nothing changes."""
+    w = {}
+    for a, b, x in edges:
+        if a != b:
+            w[a, b] = w[b, a] = min(x if weighted else 1, w.get((a, b), math.inf))
     n, bet, clo = len(nodes), defaultdict(float), {}
     for s in nodes:
-        dist, paths, queue = {s: 0}, {s: [[s]]}, deque([s])
-        while queue:
-            v = queue.popleft()
-            for u in adj[v]:
-                if u not in dist:
-                    dist[u], paths[u] = dist[v] + 1, []
-                    queue.append(u)
-                if dist[u] == dist[v] + 1:
-                    paths[u] += [p + [u] for p in paths[v]]
-        for t, ps in paths.items():
-            for p in ps:
+        dist = {s: 0}
+        while True:
+            better = {v: dist[u] + x for (u, v), x in w.items() if u in dist and dist[u] + x < dist.get(v, math.inf)}
+            if not better:
+                break
+            for v, x in better.items():
+                dist[v] = min(dist[u] + y for (u, t), y in w.items() if t == v and u in dist)
+        def paths(t):
+            return [[s]] if t == s else [p + [t] for (u, v), x in w.items() if v == t and u in dist and dist[u] + x == dist[t] for p in paths(u)]
+        for t in dist:
+            found = paths(t)
+            for p in found:
                 for v in p[1:-1]:
-                    bet[v] += 1 / len(ps)
+                    bet[v] += 1 / len(found)
         far = [d for d in dist.values() if d]
         clo[s] = len(far) / sum(far) * len(far) / (n - 1) if far else 0.0
     return {v: bet[v] / ((n - 1) * (n - 2)) if n > 2 else 0.0 for v in nodes}, clo
 
 
-def test_paths_equal_brute_force(spark):
-    graphs = {**_random_graphs(1), "hand": ([("c0", "r0", 1), ("c1", "r0", 1), ("c1", "r1", 1)], ["c0", "c1", "c2", "r0", "r1"])}
+@pytest.mark.parametrize("form", [P.path_centralities, P.path_centralities_joined])
+@pytest.mark.parametrize("weight", [None, "w"])
+def test_paths_equal_brute_force(spark, form, weight):
+    graphs = {**_random_graphs(1), "hand": ([("c0", "r0", 1), ("c1", "r0", 1), ("c1", "r1", 1)], ["c0", "c1", "c2", "r0", "r1"]),
+              "weights": ([("c0", "r0", 1), ("r0", "c1", 1), ("c0", "c1", 2), ("c0", "r1", 5), ("c1", "r1", 3), ("r1", "r1", 1), ("c0", "r0", 4)], ["c0", "c1", "r0", "r1"])}
     edges, nodes = _graph(spark, graphs)
     counts = nodes.groupBy("g").count().withColumnRenamed("count", "n_nodes")
-    got = {(r["g"], r["node"]): (r["betweenness"], r["closeness"]) for r in H.path_centralities(edges, counts, ["g"]).collect()}
+    got = {(r["g"], r["node"]): (r["betweenness"], r["closeness"]) for r in form(edges, counts, ["g"], weight).collect()}
     for g, (es, vs) in graphs.items():
-        bet, clo = _brute_paths(es, vs)
+        bet, clo = _brute_paths(es, vs, weight is not None)
         for v in vs:
-            assert got.get((g, v), (0.0, 0.0)) == pytest.approx((bet[v], clo[v]))
+            assert got.get((g, v), (0.0, 0.0)) == pytest.approx((bet[v], clo[v])), (g, v)
     assert got[("hand", "c1")][0] == pytest.approx(1 / 3) and got[("hand", "c0")][1] == pytest.approx(3 / 6 * 3 / 4)
 
 
+def test_paths_of_no_edges(spark):
+    edges, nodes = _graph(spark, {"a": ([("x", "y", 1)], ["x", "y"])})
+    counts = nodes.groupBy("g").count().withColumnRenamed("count", "n_nodes")
+    for form in (P.path_centralities, P.path_centralities_joined, P.closeness_sketched, P.betweenness_sampled):
+        assert form(edges.limit(0), counts, ["g"]).count() == 0
+
+
+def _one_large_graph(spark, n=400, m=900, seed=5):
+    rnd = random.Random(seed)
+    edges = [("one", f"v{i}", f"v{rnd.randrange(i)}", 1.0) for i in range(1, n)] + [("one", f"v{rnd.randrange(n)}", f"v{rnd.randrange(n)}", 1.0) for _ in range(m - n)]
+    e = spark.createDataFrame(edges, "g string, src string, dst string, w double")
+    nodes = spark.createDataFrame([("one", f"v{i}") for i in range(n)], "g string, node string")
+    return e, nodes, nodes.groupBy("g").count().withColumnRenamed("count", "n_nodes")
+
+
+def test_sketched_closeness_is_within_its_error(spark):
+    edges, _, counts = _one_large_graph(spark)
+    want = {r["node"]: r["closeness"] for r in P.path_centralities(edges, counts, ["g"]).collect()}
+    got = {r["node"]: r["closeness"] for r in P.closeness_sketched(edges, counts, ["g"], lg_registers=12).collect()}
+    assert got.keys() == want.keys()
+    errors = [abs(got[v] / want[v] - 1) for v in want]
+    assert max(errors) < 6 * 1.04 / 2**6 and np.mean(errors) < 0.03
+
+
+def test_sampled_betweenness_is_within_its_error(spark):
+    edges, _, counts = _one_large_graph(spark, 250, 500)
+    want = {r["node"]: r["betweenness"] for r in P.path_centralities(edges, counts, ["g"]).collect()}
+    got = {r["node"]: r["betweenness"] for r in P.betweenness_sampled(edges, counts, ["g"], error=0.2, failure=0.05).collect()}
+    assert P.sample_size(0.2, 0.05, 250) < 250
+    assert max(abs(got.get(v, 0.0) - want[v]) for v in want) <= 0.2
+    assert np.mean([abs(got.get(v, 0.0) - want[v]) for v in want]) < 0.01
+    exact = {r["node"]: r["betweenness"] for r in P.betweenness_sampled(edges, counts, ["g"], error=0.01).collect()}  # more sources than nodes
+    for v in want:
+        assert exact.get(v, 0.0) == pytest.approx(want[v], abs=1e-9)
+
+
+def test_stacks_are_cut_to_their_bound(spark, monkeypatch):
+    r = np.random.default_rng(0)
+    w = np.where(r.random((30, 6, 6)) < 0.4, r.integers(1, 4, (30, 6, 6)), np.inf)
+    w = np.minimum(w, w.transpose(0, 2, 1))
+    w[:, np.arange(6), np.arange(6)] = np.inf
+    whole = P.all_pairs(w)
+    for i in range(30):
+        for a, b in zip(whole, P.all_pairs(w[i: i + 1])):
+            assert (a[i] == b[0]).all()
+
+
 def _power_limit(edges, nodes, weighted):
     """Projection of the uniform vector on the eigenspace of the largest eigenvalue."""
     pos = {v: i for i, v in enumerate(nodes)}
@@ -86,7 +138,7 @@ def test_eigenvector_is_the_limit_of_power_iteration(spark, weight):
     assert got[("twins", "r0")] == pytest.approx(got[("twins", "r1")])
 
 
-def _brute_pagerank(edges, nodes, weighted, d=0.85):
+def _brute_pagerank(edges, nodes, weighted, d=0.85, rounds=400):
     pos, n = {v: i for i, v in enumerate(nodes)}, len(nodes)
     a = np.zeros((n, n))
     for s, t, w in edges:
@@ -94,7 +146,7 @@ def _brute_pagerank(edges, nodes, weighted, d=0.85):
         a[pos[t], pos[s]] += w if weighted else 1
     out = a.sum(1)
     x = np.full(n, 1 / n)
-    for _ in range(400):
+    for _ in range(rounds):
         x = d * (a / np.where(out > 0, out, 1)[:, None]).T @ x + d * x[out == 0].sum() / n + (1 - d) / n
     return dict(zip(nodes, x))
 
@@ -111,6 +163,41 @@ def test_pagerank_to_a_tolerance(spark, weight):
         H.pagerank(edges, nodes, ["g"], tol=1e-12, max_iter=10)
 
 
+@pytest.mark.parametrize("weight", [None, "w"])
+@pytest.mark.parametrize("rounds", [0, 1, 7, 23])
+def test_pagerank_rounds_from_the_uniform_vector(spark, weight, rounds):
+    graphs = _random_graphs(4, 5)
+    edges, nodes = _graph(spark, graphs)
+    got = {(r["g"], r["node"]): r["rank"] for r in H.pagerank(edges, nodes, ["g"], weight_col=weight, iterations=rounds).collect()}
+    assert len(got) == nodes.count()
+    for g, (es, vs) in graphs.items():
+        for v, x in _brute_pagerank(es, vs, weight is not None, rounds=rounds).items():
+            assert got[(g, v)] == pytest.approx(x, abs=1e-12)
+
+
+def test_pagerank_of_one_group_of_all_rows(spark):
+    """A hub of most edges: its edges are dealt to salts, no exchange of a round is keyed by the group alone, and each
+    partition gets its part of the hub's edges."""
+    import re
+
+    from consonance.operators import graphs as GR
+
+    edges, nodes, _ = _one_large_graph(spark, 300, 600)
+    star = spark.range(300).selectExpr("'one' AS g", "'v0' AS src", "concat('v', id) AS dst", "1.0D AS w").filter("dst <> 'v0'")
+    edges = edges.unionByName(star)
+    got = {r["node"]: r["rank"] for r in H.pagerank(edges, nodes, ["g"], tol=1e-10, hub_edges=20).collect()}
+    want = _brute_pagerank([(r.src, r.dst, 1) for r in edges.collect()], [r.node for r in nodes.collect()], False)
+    for v, x in want.items():
+        assert got[v] == pytest.approx(x, abs=1e-8)
+    share = GR._shares(edges, nodes, ["g"], None, hub_edges=20)
+    held = [r["count"] for r in share.filter("src = 'v0'").groupBy("salt").count().collect()]
+    assert len(held) >= 15 and max(held) < 60
+    start = nodes.join(share.filter("own = 1").selectExpr("g", "src AS node", "salts"), ["g", "node"]).selectExpr("*", "1.0D AS y")
+    plan = GR._step(share, start, ["g"], "y", ["y"])._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
+    assert keys and all(k.count("#") >= 2 for k in keys), keys
+
+
 def test_index_join_equals_brute_force(spark):
     docs = spark.createDataFrame([(1, "xx alpha beta gamma delta eps zz"), (2, "alpha beta gamma"), (3, "Zalpha beta gamma delta epsY"),
                                   (4, "nothing here at all"), (5, "b"), (6, ""), (7, None)], "doc_id long, text string")
