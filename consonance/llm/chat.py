@@ -2,9 +2,9 @@
 
 Turns of a conversation are measured in tokens (words, numbers and marks, plus ``OVERHEAD`` for the
 template). Prefix sums of the turn tokens choose spans that begin and end at turns: with a stride of half the
-budget (less the system turn), the turns whose prefix sum ends in the same stride form a span, and
-a turn longer than a stride is a span of its own. So a window stays in its budget unless one turn alone
-exceeds it. A window repeats the system turn and as much of the turns before it as ``history``
+budget (less the system turn; an eighth of the budget at least), the turns whose prefix sum ends in the same
+stride form a span, and a turn longer than a stride is a span of its own. So a window stays in its budget unless one
+turn alone, or the system turn with what it leaves, exceeds it. A window repeats the system turn and as much of the turns before it as ``history``
 tokens and its own budget allow; then come its own turns. The mask covers the texts of
 its own assistant turns only, so repeated targets are masked out and each is learnt once.
 
@@ -13,14 +13,14 @@ and a backslash is put after the first character of every control string (``<|``
 ``[INST]``, ``[/INST]``, ``<<SYS>>``, ``<</SYS>>``), so no control string of a text survives and the text can
 be restored exactly.
 
-Everything is Spark SQL. Prefix sums are two-level (blocks of turn numbers, then blocks of a
-conversation), and history is an equi-join on ranges of prefix sums, so a very long conversation is
+Everything is Spark SQL. Turns are numbered over range partitions and prefix sums are made in three levels (blocks of
+numbers, blocks of blocks, a conversation), and history is an equi-join on ranges of prefix sums, so a very long conversation is
 spread over tasks; rows that hold text are windows, whose size the budget bounds.
 
 Null text counts as empty, a null role as an empty role, a null turn as -1; rows without a conversation id
 form a conversation; turns with equal numbers are ordered by role and text; repeated rows are
-turns of their own; an empty table gives no windows. A system turn longer than half the budget is
-not repeated. Other columns are not read.
+turns of their own; an empty table gives no windows. A conversation's first system turn is repeated in every
+later window, however long it is. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.prep import number_within_groups
 from .common import prepare, stored
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
@@ -58,28 +59,32 @@ def _measured(turns: DataFrame) -> DataFrame:
     t = turns.select(
         F.col("conv_id"), F.coalesce(F.col("turn"), F.lit(-1)).cast("long").alias("turn"),
         F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    t = t.withColumn("block", F.floor(F.col("turn") / BLOCK)).withColumn(
-        "tokens", F.regexp_count("text", F.lit(TOKENS)).cast("long") + OVERHEAD)
-    inside = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("upto", F.sum("tokens").over(inside)).withColumn("place", F.count(F.lit(1)).over(inside))
-    earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = t.groupBy("conv_id", "block").agg(F.sum("tokens").alias("s"), F.count(F.lit(1)).alias("n"))
-    blocks = blocks.select("conv_id", "block", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("s0"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n0"))
+    t = t.withColumn("tokens", F.regexp_count("text", F.lit(TOKENS)).cast("long") + OVERHEAD)
+    t = t.withColumn("row", F.monotonically_increasing_id())  # equal rows can be split, too
+    t = number_within_groups(t, ["conv_id"], ["turn", "role", "text", "row"], "place").withColumn("place", F.col("place") + 1)
+    t = t.withColumn("block", F.floor(F.col("place") / BLOCK))
+    inside = Window.partitionBy("conv_id", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumn("upto", F.sum("tokens").over(inside))
+    blocks = t.groupBy("conv_id", "block").agg(F.sum("tokens").alias("s")).withColumn("large", F.floor(F.col("block") / BLOCK))
+    larges = blocks.groupBy("conv_id", "large").agg(F.sum("s").alias("s"))
+    before = lambda keys, order: F.coalesce(F.sum("s").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("conv_id", "large", "block", before(["conv_id", "large"], "block").alias("s0"))
+    larges = larges.select("conv_id", "large", before(["conv_id"], "large").alias("s1"))
+    blocks = blocks.alias("a").join(larges.alias("b"), _same("a", "b", "conv_id", "large")).select("a.conv_id", "block", (F.col("s0") + F.col("s1")).alias("s0"))
     return t.alias("a").join(blocks.alias("b"), _same("a", "b", "conv_id", "block")).select(
-        "a.conv_id", "role", "text", "tokens", (F.col("upto") + F.col("s0")).alias("upto"), (F.col("place") + F.col("n0")).alias("place"))
+        "a.conv_id", "role", "text", "tokens", (F.col("upto") + F.col("s0")).alias("upto"), "place")
 
 
 def windows(turns: DataFrame, budget: int = 2048, history: int = 256) -> DataFrame:
     """(conv_id, window, n_repeated, n_tokens, formatted, mask); ``mask`` lists [start, end) in code points."""
     prepare(turns.sparkSession)
     t = stored(_measured(turns), "turns")
-    system = t.filter("role = 'system'").groupBy("conv_id").agg(F.min(F.struct("place", "tokens", "role", "text")).alias("sys")).filter(
-        F.col("sys.tokens") <= budget // 2)
+    system = t.filter("role = 'system'").groupBy("conv_id").agg(F.min(F.struct("place", "tokens", "role", "text")).alias("sys"))
     # a system turn may be repeated in every window of its conversation: only its size is joined to the turns
     sizes = system.select("conv_id", F.col("sys.tokens").alias("extra"), F.col("sys.place").alias("sys_place"))
     extra = F.coalesce(F.col("extra"), F.lit(0)).cast("long")
     t = t.alias("a").join(sizes.alias("b"), _same("a", "b", "conv_id"), "left").select("a.conv_id", "role", "text", "tokens", "upto", "place", extra.alias("extra"), "sys_place")
-    stride = F.greatest(F.floor((F.lit(budget) - F.col("extra")) / 2), F.lit(1))
+    stride = F.greatest(F.floor((F.lit(budget) - F.col("extra")) / 2), F.lit(max(budget // 8, 1)))
     t = t.withColumn("window", 2 * F.floor((F.col("upto") - 1) / stride) + F.when(F.col("tokens") > stride, 0).otherwise(1))
     spans = t.groupBy("conv_id", "window").agg(
         F.min(F.col("upto") - F.col("tokens")).alias("begin"), F.min("place").alias("first"), F.sum("tokens").alias("own"),

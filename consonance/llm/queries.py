@@ -76,9 +76,8 @@ m AS (SELECT *, len(regexp_extract_all(text, '\p{L}+|\p{N}+|[^\s\p{L}\p{N}]')) +
              23 + length(role) + length(text) + len(regexp_extract_all(role || ' ' || text, '\\|<\||</?s>|<</?SYS>>|\[/?INST\]')) AS chars FROM c),
 t AS (SELECT *, CAST(sum(tokens) OVER w AS BIGINT) AS upto, row_number() OVER w AS place FROM m
       WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)),
-sys AS (SELECT conv_id, min(place) AS place, arg_min(tokens, place) AS tokens, arg_min(chars, place) AS chars FROM t WHERE role = 'system' GROUP BY conv_id
-        HAVING arg_min(tokens, place) <= 1024),
-x AS (SELECT t.*, coalesce(sys.tokens, 0) AS extra, sys.place AS sys_place, greatest((2048 - coalesce(sys.tokens, 0)) // 2, 1) AS stride
+sys AS (SELECT conv_id, min(place) AS place, arg_min(tokens, place) AS tokens, arg_min(chars, place) AS chars FROM t WHERE role = 'system' GROUP BY conv_id),
+x AS (SELECT t.*, coalesce(sys.tokens, 0) AS extra, sys.place AS sys_place, greatest((2048 - coalesce(sys.tokens, 0)) // 2, 256) AS stride
       FROM t LEFT JOIN sys ON sys.conv_id IS NOT DISTINCT FROM t.conv_id),
 y AS (SELECT *, 2 * ((upto - 1) // stride) + CASE WHEN tokens > stride THEN 0 ELSE 1 END AS win FROM x),
 sp AS (SELECT conv_id, win, min(upto - tokens) AS begin_at, min(place) AS first_place, greatest(0, least(256, 2048 - sum(tokens) - any_value(extra))) AS room,

@@ -188,6 +188,27 @@ def test_history_is_the_turns_just_before(spark):
     assert done == 40 and sum(r.n_repeated > 1 for r in w) > 3
 
 
+def test_a_long_system_turn_is_in_every_window(spark):
+    for words, budget in ((1100, 2048), (3000, 2048), (40, 60)):
+        head = prose(2, words)
+        rows = [(1, 0, "user", "first"), (1, 1, "system", head), *[(1, i, ("user", "assistant")[i % 2], prose(i, 60)) for i in range(2, 60)]]
+        w = chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), budget).orderBy("window").collect()
+        shown = [[x.split("<|text|>") for x in r.formatted.split("<|end|>")[:-1]] for r in w]
+        at = next(i for i, x in enumerate(shown) if any(t == head for _, t in x))
+        assert len(w) > 3 and all(sum(t == head for _, t in x) == 1 for x in shown[at:])
+        assert all(x[0] == ["<|turn|>system", head] for x in shown[at + 1:])
+        assert sum(len(x) - r.n_repeated for x, r in zip(shown, w)) == len(rows)
+
+
+def test_a_conversation_without_turn_numbers(spark):
+    rows = [(None, None, "assistant", f"t{i % 900:04d}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6)
+    assert chat._measured(df).groupBy("place").count().filter("count > 1").count() == 0
+    got = chat.digests(chat.windows(df, 100, 20)).collect()
+    loss = "".join(sorted(r[3] for r in rows))
+    assert [(r.conv_id, r.n_turns, r.loss_sha256) for r in got] == [(None, 3000, hashlib.sha256(loss.encode()).hexdigest())]
+
+
 def test_search_recall_and_scores(spark):
     df = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
     rows = {r.vec_id: np.array(r.embedding, float) for r in df.collect()}
