@@ -7,10 +7,11 @@
    first non-empty bin in an order of its own that is the same for all texts (``_probe_order``). Rows of equal
    sets form a class, of which one goes on.
 2. Bands of ``rows`` bins are buckets. A pair at similarity s shares none of ``bands`` buckets with probability
-   (1 - s^rows)^bands: 4e-9 at 0.8 with 64 bands of 6.
+   (1 - s^rows)^bands: 1.3e-7 at 0.8 with 40 bands of 5.
 3. Stars. Each bucket's least class is its centre; the candidates are the (member, centre) edges, at most one per
    class and bucket, so their number grows with the buckets' members and not with their squares. Edges that sizes
-   rule out are dropped and the others are confirmed on full sets, the members of a large star in chunks.
+   rule out are dropped and the others are confirmed on full sets, the members of a large star in chunks. Only
+   classes that share a bucket have their texts read again, one row each.
 4. Rest. A link between two members that are not both linked to their centre would be lost, so buckets whose
    members (but the centre) still lie in several components are verified as well: the rows outside the
    bucket's largest component against all its rows, in blocks bounded by rows and by shingles. A task holds one
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK, grams, mix, powers, prepare, released, stored, text_bytes
+from .common import BLOCK, grams, mix, powers, prepare, released, stored, text_bytes, text_key
 from .components import components
 from .near_dup import linked
 
@@ -108,18 +109,25 @@ def _sketch(n: int, bands: int, rows: int):
     def run(batches):
         for batch in batches:
             off, data = text_bytes(batch.column(2))
-            sizes, keys, buckets, sets = [], [], [], []
+            sizes, keys, buckets = [], [], []
             for a, z in zip(off, off[1:]):
                 s = shingles(data[a:z].tobytes(), n)
                 sizes.append(len(s))
-                raw = s.tobytes()
-                keys.append(hashlib.blake2b(raw, digest_size=16).digest() if len(s) else None)
+                keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 buckets.append(band_keys(signature(s, bands * rows), bands, rows) if len(s) else None)
-                sets.append(raw)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
-                 pa.array(buckets, pa.list_(pa.int64())), pa.array(sets, pa.binary())],
-                ["row_id", "doc_id", "n", "set_key", "buckets", "shingles"])
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))],
+                ["doc_id", "text_key", "n", "set_key", "buckets"])
+
+    return run
+
+
+def _sets(n: int):
+    def run(batches):
+        for batch in batches:
+            off, data = text_bytes(batch.column(1))
+            sets = [shingles(data[a:z].tobytes(), n).tobytes() for a, z in zip(off, off[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "shingles"])
 
     return run
 
@@ -189,26 +197,24 @@ def _verify_blocks(percent: int):
     return run
 
 
-def _star_links(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(buckets of several classes with their centre, confirmed edges (u, v) of the stars)."""
-    stars = members.groupBy("bucket").agg(F.min("id").alias("centre"), F.min_by("n", "id").alias("centre_n"), F.count(F.lit(1)).alias("held"))
-    stars = stored(stars.filter("held > 1"), "stars")
+def _star_links(held: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed edges (u, v) of the stars."""
     near = 100 * F.least("n", "centre_n") >= percent * F.greatest("n", "centre_n")
-    edges = stored(members.join(stars, "bucket").filter((F.col("id") != F.col("centre")) & near).select("id", "centre").distinct(), "star-edges")
+    edges = stored(held.filter((F.col("id") != F.col("centre")) & near).select("id", "centre").distinct(), "star-edges")
     chunks = edges.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / STAR_CHUNK).cast("int").alias("chunks"))
     dealt = edges.join(chunks, "centre").select("centre", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("side"), "id")
     centres = chunks.select("centre", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("side"), F.col("centre").alias("id"))
     rows = dealt.unionByName(centres).join(sets, "id").select("centre", "chunk", "side", "id", "shingles")
     rows = rows.repartition("centre", "chunk").sortWithinPartitions("centre", "chunk", "side")
-    return stars, stored(rows.mapInArrow(released(_verify_stars(percent)), "u long, v long"), "star-links")
+    return stored(rows.mapInArrow(released(_verify_stars(percent)), "u long, v long"), "star-links")
 
 
-def _rest(members: DataFrame, stars: DataFrame, linked_by_stars: DataFrame, sets: DataFrame, percent: int, block: int, block_shingles: int) -> DataFrame:
+def _rest(held: DataFrame, linked_by_stars: DataFrame, sets: DataFrame, percent: int, block: int, block_shingles: int) -> DataFrame:
     """Links inside buckets that the stars leave in several components, as edges (u, v)."""
     root = linked_by_stars.select("id", "root")
-    held = members.join(stars.filter("held > 2").select("bucket", "centre"), "bucket").filter(F.col("id") != F.col("centre"))
+    held = held.filter((F.col("held") > 2) & (F.col("id") != F.col("centre")))
     held = held.join(root, "id", "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("root"))
-    held = stored(held, "bucket-members")
+    held = stored(held, "open-members")
     parts = held.groupBy("bucket", "root").agg(
         F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("h"))
     buckets = parts.groupBy("bucket").agg(
@@ -230,7 +236,7 @@ def _rest(members: DataFrame, stars: DataFrame, linked_by_stars: DataFrame, sets
     return stored(units.mapInArrow(released(_verify_blocks(percent)), "u long, v long"), "rest-links")
 
 
-def dedup(docs: DataFrame, n: int = 2, percent: int = 80, bands: int = 64, rows: int = 6, block: int = 512, block_shingles: int = 500_000) -> DataFrame:
+def dedup(docs: DataFrame, n: int = 2, percent: int = 80, bands: int = 40, rows: int = 5, block: int = 512, block_shingles: int = 500_000) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, kept.
 
     ``component_id`` is the least doc_id of the documents that links reach; ``kept`` marks the rows that have it
@@ -238,16 +244,21 @@ def dedup(docs: DataFrame, n: int = 2, percent: int = 80, bands: int = 64, rows:
     """
     spark = docs.sparkSession
     prepare(spark)
-    numbered = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = stored(numbered.mapInArrow(released(_sketch(n, bands, rows)),
-                                        "row_id long, doc_id long, n long, set_key binary, buckets array<long>, shingles binary"), "oph-sketch")
-    classes = stored(sketch.filter("set_key is not null").groupBy("set_key").agg(
-        F.min("row_id").alias("id"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("buckets").alias("buckets")), "oph-classes")
-    sets = sketch.select(F.col("row_id").alias("id"), "shingles")
+    rows_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), "text")
+    sketch = stored(rows_.mapInArrow(released(_sketch(n, bands, rows)), "doc_id long, text_key binary, n long, set_key binary, buckets array<long>"), "oph-sketch")
+    # the first row (null ids last) stands for its class
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "text_key")).alias("f")
+    classes = sketch.filter("set_key is not null").groupBy("set_key").agg(first, F.first("n").alias("n"), F.first("buckets").alias("buckets"))
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("id"), "set_key", F.col("f.doc_id").alias("doc_id"), F.col("f.text_key").alias("text_key"), "n", "buckets"), "oph-classes")
     members = classes.select(F.explode("buckets").alias("bucket"), "id", "n")
-    stars, star_links = _star_links(members, sets, percent)
+    stars = members.groupBy("bucket").agg(F.min("id").alias("centre"), F.min_by("n", "id").alias("centre_n"), F.count(F.lit(1)).alias("held")).filter("held > 1")
+    held = stored(members.join(stars, "bucket"), "bucket-members")
+    chosen = classes.select("id", F.col("doc_id").alias("d"), F.col("text_key").alias("k")).join(held.select("id").distinct(), "id", "left_semi")
+    texts = rows_.join(chosen, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k"))).select("id", "text").dropDuplicates(["id"])
+    sets = stored(texts.mapInArrow(released(_sets(n)), "id long, shingles binary"), "oph-sets")
+    star_links = _star_links(held, sets, percent)
     by_stars = stored(components(star_links), "oph-components")
-    rest = _rest(members, stars, by_stars, sets, percent, block, block_shingles)
+    rest = _rest(held, by_stars, sets, percent, block, block_shingles)
     whole = components(by_stars.select(F.col("id").alias("u"), F.col("root").alias("v")).unionByName(rest))
     named = whole.join(classes.select("id", "doc_id"), "id").groupBy("root").agg(F.min("doc_id").alias("least"))
     of_class = classes.select("set_key", "id", "doc_id").join(whole.join(named, "root").select("id", "least"), "id", "left").select(
