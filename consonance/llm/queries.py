@@ -160,8 +160,8 @@ FROM documents d LEFT JOIN found f ON f.doc_id = d.doc_id
 
 
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    base, found = F.col("base"), pii.find(docs, pii.fit(docs))
+    rows = pii.matched(read_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    base, found = F.col("base"), pii.find(rows, pii.fit(rows))
     return found.select(
         F.col("doc.doc_id").alias("doc_id"), *[pii.count_of(base, k).alias(f"n_{k}") for k in pii.KINDS],
         F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
