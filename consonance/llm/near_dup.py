@@ -1,12 +1,11 @@
-"""N-gram Jaccard join: MinHash LSH forest, then exact verification.
+"""N-gram Jaccard join: prefixes of MinHash trees, then exact verification.
 
 1. Each text becomes the set of its distinct ``n``-word shingles (64-bit hashes; words as in ``common``).
    Texts of one set form a class, of which one row goes on: copies cost one aggregation, no pairs.
-2. A forest of ``trees`` prefix tries over MinHash signatures: a class's label in a tree is a sequence
-   of MinHash values, and classes under one prefix are candidates of each other. Prefixes start at
-   ``max_depth`` and are shortened until a pair at the threshold shares one in some tree with the target
-   recall: 1 - (1 - threshold^depth)^trees. Longer prefixes are contained in shorter ones, so the trie is
-   read once, at the depth where the shortening stops.
+2. ``trees`` lists of MinHash values per class, read up to one depth: the longest, from ``max_depth`` down, at which a
+   pair at the threshold shares the prefix of some tree with probability ``recall`` (7 values of each of 64
+   trees for 0.999999). The depth follows from the parameters alone, it is not chosen class by class. Classes
+   under one prefix are candidates of each other; a pair that shares none is lost (1 in 3.6 million at 0.8 exactly).
 3. Classes that share prefixes, directly or over others, form candidate groups (stars to each
    prefix's least member, then connected components). Groups are cut into blocks of ``block`` classes by
    hash, and each pair of blocks is a task's unit: exact intersections of all its set pairs come
@@ -177,12 +176,13 @@ def _links_batch(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["id", "links", "root"])
 
 
-def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 32, recall: float = 0.999,
+def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 64, recall: float = 0.999999,
          max_depth: int = 16, block: int = 512) -> DataFrame:
-    """One row per row of ``docs(doc_id, text)``: doc_id, text_key, class_id, n_links, n_copies.
+    """One row per row of ``docs(doc_id, text)``: doc_id, text_key, class_id, n_links, n_copies, grp.
 
     ``n_links``: other documents whose set is linked to, or equal to, the document's; ``n_copies``: documents of the
-    same set, itself included; ``text_key`` identifies the text.
+    same set, itself included; ``text_key`` identifies the text; ``grp`` numbers the linked groups, with or
+    without ids (null: no words).
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -209,7 +209,7 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 32, r
     chosen = placed.join(classes.select("id", "doc_id", "text_key", "copies"), "id")
     texts = rows.join(chosen.select("id", F.col("doc_id").alias("d"), F.col("text_key").alias("k")),
                       F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")))
-    sets = texts.select("id", "text").mapInArrow(released(_sets(n)), "id long, shingles binary").dropDuplicates(["id"])
+    sets = texts.select("id", "text").dropDuplicates(["id"]).mapInArrow(released(_sets(n)), "id long, shingles binary")
     sets = stored(sets, "shingles")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     units = chosen.select("root", "id", "block", "copies", other).select(
@@ -222,23 +222,29 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 32, r
     linked_groups = components(found.select(F.col("id").alias("u"), F.col("root").alias("v")))
     named = linked_groups.join(classes.select("id", "doc_id"), "id").groupBy("root").agg(F.min("doc_id").alias("class_id"))
     of_class = (classes.select("id", "set_key", "doc_id", "copies").join(links, "id", "left")
-                .join(linked_groups.join(named, "root").select("id", "class_id"), "id", "left"))
-    of_class = of_class.select(F.col("set_key").alias("s"), F.coalesce("class_id", "doc_id").alias("class_id"),
+                .join(linked_groups.join(named, "root").select("id", "root", "class_id"), "id", "left"))
+    of_class = of_class.select(F.col("set_key").alias("s"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("root", "id").alias("grp"),
                                (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
     own = F.col("set_key").isNull()
     return sketch.select("doc_id", "text_key", "set_key").join(of_class, F.col("set_key") == F.col("s"), "left").select(
         "doc_id", "text_key", F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(own, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"),
-        F.when(own, 1).otherwise(F.col("n_copies")).cast("long").alias("n_copies"))
+        F.when(own, 1).otherwise(F.col("n_copies")).cast("long").alias("n_copies"), "grp")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each linked group: the row of the class id (any one of rows repeated in full;
-    of groups without any doc_id, one row per text). Word-less texts stay, one per doc_id and text."""
-    found = join(docs, **options).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(
-        F.col("doc_id").alias("_keep_id"), F.col("text_key").alias("_keep_text")).distinct()
+    """``docs`` with one row of each linked group: of least doc_id (rows without one last), then of least text key,
+    whether or not ids are given or repeat. Texts without words are a group with their equals; null and empty texts are
+    no groups: one row per doc_id stays."""
+    found = join(docs, **options)
+    ident = F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
+    empty = F.col("text_key") == text_key(F.lit(""))
+    group = F.when(F.col("grp").isNotNull(), F.concat(F.lit("g"), F.col("grp").cast("string"))).when(
+        empty, F.concat(F.lit("e"), ident)).otherwise(F.concat(F.lit("t"), F.hex("text_key")))
+    first = found.groupBy(group.alias("group")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "text_key")).alias("f"))
+    first = first.select(F.col("f.doc_id").alias("_keep_id"), F.col("f.text_key").alias("_keep_text"))
     struct = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     keyed = struct.withColumn("_text", text_key(F.col("doc.text")))
-    kept = keyed.join(found, F.col("doc.doc_id").eqNullSafe(F.col("_keep_id")) & (F.col("_text") == F.col("_keep_text")))
+    kept = keyed.join(first, F.col("doc.doc_id").eqNullSafe(F.col("_keep_id")) & (F.col("_text") == F.col("_keep_text")))
     one = kept.groupBy("_keep_id", "_keep_text").agg(F.first("doc").alias("doc"))
     return one.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

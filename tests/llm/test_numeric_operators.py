@@ -2,8 +2,10 @@
 
 import hashlib
 import io
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -11,7 +13,7 @@ import pytest
 from consonance.llm import ann, chat, packing, quality, sharding, token_ids, token_store
 from pyspark.sql import functions as F
 
-from conftest_llm import CLASHING, EDGE_ROWS, prose
+from conftest_llm import CLASHING, EDGE_ROWS, prose, words_of
 
 SF = "/root/testdata/sf0.001"
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -245,7 +247,7 @@ def test_clustered_search_stops_early():
     verified = []
     keep = block._far
     block._far = lambda scores, k, length: verified.append(len(scores)) or keep(scores, k, length)
-    block.search(np.arange(1), x[:1], 20, 32, ann._half_width(ann.stop_probability(64, 32, 0.95)))
+    block.search(np.arange(1), x[:1], np.full(1, np.nan), 20, 32, ann._half_width(ann.stop_probability(64, 32, 0.95)))
     assert verified[-1] < 2000
 
 
@@ -280,3 +282,72 @@ def test_discriminant_is_the_formula():
         cov, diff = np.cov(x[c].T, bias=True), p - x[c].mean(0)
         want = want + sign * -0.5 * ((diff @ np.linalg.inv(cov) * diff).sum(1) + np.log(np.linalg.det(cov)))
     assert np.allclose(q.log_odds(p), want)
+
+
+def plain_statistics(text):
+    """The statistics of one text, one by one."""
+    raw = (text or "").encode()
+    share = lambda keep: math.sqrt(sum(b in keep for b in raw) / max(len(raw), 1))
+    w = [x.encode() for x in words_of(text)]
+    size = [len(x) for x in w]
+    mean = sum(size) / max(len(w), 1)
+    spread = math.sqrt(max(sum(x * x for x in size) / max(len(w), 1) - mean**2, 0))
+    five = [tuple(w[i: i + 5]) for i in range(len(w) - 4)]
+    lines = raw.split(b"\n")
+    ratio = lambda x: len(set(x)) / len(x) if x else 1.0
+    return [math.log1p(len(raw)), share(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), share(b"0123456789"), share(b" \t"), share(b"\n"), share(b".,;:?'\"-()"), share(b"!#$%&*"),
+            share(b"|<>{}[]=+/\\^~_@`"), share(range(128, 256)), math.log1p(mean), math.log1p(spread), ratio(w), ratio(five), ratio(lines)]
+
+
+def test_statistics_are_the_plain_ones(spark, edge_docs):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(edge_docs.select("doc_id", "text")).withColumn("n", F.monotonically_increasing_id())
+    for r in quality.document_statistics(docs, F.struct("n", "text")).collect():
+        assert r.x == pytest.approx(plain_statistics(r.key.text), abs=1e-9), r.key.text
+
+
+def plain_tree(points, shards, bins, tolerance):
+    """Shard of each point (w, *place) by splitting lists, one node after the other."""
+    place = [0] * len(points)
+
+    def cut(v, lo, hi):
+        return min(math.floor((v - lo) / (hi - lo) * bins), bins - 1)
+
+    def split(own, first, k):
+        if k == 1:
+            for i in own:
+                place[i] = first
+            return
+        total, share, found = sum(points[i][0] for i in own), (k // 2) / k, []
+        for d in range(1, len(points[0])):
+            lo, hi = min(points[i][d] for i in own), max(points[i][d] for i in own)
+            if hi > lo:
+                weight = Counter()
+                for i in own:
+                    weight[cut(points[i][d], lo, hi)] += points[i][0]
+                below, options = 0, []
+                for b in sorted(weight)[:-1]:
+                    below += weight[b]
+                    options.append((abs(below / total - share), b))
+                found.append((-round(hi - lo, 6), d, min(options), lo, hi))
+        found.sort()
+        if not found:
+            for i in own:
+                place[i] = first
+            return
+        _, d, (_, at), lo, hi = next((c for c in found if c[2][0] <= tolerance), min(found, key=lambda c: c[2][0]))
+        left = [i for i in own if cut(points[i][d], lo, hi) <= at]
+        split(left, first, k // 2)
+        split([i for i in own if i not in set(left)], first + k // 2, k - k // 2)
+
+    split(range(len(points)), 0, shards)
+    return place
+
+
+@pytest.mark.parametrize("shards", [2, 5, 8])
+def test_kd_tree_is_the_plain_one(spark, shards):
+    r = np.random.default_rng(shards)
+    points = [(int(w), round(float(a), 6), round(float(b), 6), round(float(c), 6)) for w, a, b, c in zip(
+        r.integers(1, 50, 300), r.random(300), r.choice([0.0, 0.4, 1.0], 300), r.random(300) * 0.6)] + [(5, 0.5, 0.4, 0.3)] * 20
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "i int, w long, a double, b double, c double")
+    got = {x.i: x.node for x in sharding.kd_tree(df, ["a", "b", "c"], shards, bins=64, tolerance=0.02).collect()}
+    assert [got[i] for i in range(len(points))] == plain_tree(points, shards, 64, 0.02)

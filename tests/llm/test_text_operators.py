@@ -71,6 +71,15 @@ def test_jaccard_join_edges(edge_docs, no_docs):
     assert near_dup.keep_one(no_docs).count() == 0
 
 
+def test_one_row_of_a_group_stays_with_or_without_ids(spark):
+    t = prose(3, 80)
+    near = [t, t + " and one", "one more " + t]
+    rows = [*[(None, x) for x in near], *[(i, prose(4, 60) + tail) for i, tail in ((7, ""), (7, " x"), (8, " y"))], (20, "***"), (21, "***"), (None, "***"), (22, "* *"), (23, ""), (24, ""), (25, None), (None, ""), (None, None)]
+    kept = near_dup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0) for r in kept) == [0, 0, 7, 20, 22, 23, 24, 25]
+    assert sum(r.text in near for r in kept) == 1 and [r.doc_id for r in kept if r.text == "***"] == [20]
+
+
 def test_prefix_is_shortened_until_the_recall_is_reached():
     for s, trees, recall in ((0.8, 32, 0.999), (0.5, 16, 0.9), (0.95, 4, 0.99)):
         d = near_dup.prefix_depth(s, trees, recall, 16)
@@ -160,7 +169,7 @@ TRICKY = ["a@b.c_d@e.f", "x@y.z%foo@bar.com", "a@b..c", "a@b.c.d.", "@x.y", "1.2
 def test_personal_data_base_spans(spark, edge_docs):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(TRICKY)], "doc_id long, text string").unionByName(edge_docs.select("doc_id", "text")).unionByName(
         documents(spark).select("doc_id", "text"))
-    for r in pii.find(docs, None).collect():
+    for r in pii.find(pii.matched(docs), None).collect():
         assert [(s.start, s.kind, s.end) for s in r.base] == brute_base(r.doc.text), r.doc.text
         assert r.spans == r.base
 
@@ -169,9 +178,10 @@ def test_personal_data_learns_what_the_patterns_miss(spark, edge_docs, no_docs):
     docs = documents(spark).select("doc_id", "text")
     cards = spark.createDataFrame([(10_000 + i, f"paid with {4000001234567000 + i} and more") for i in range(400)] + [(9_999, "both 4465758382889437 4465758382889437 here")], "doc_id long, text string")
     docs = docs.unionByName(cards)
-    model = pii.fit(docs)
+    found = pii.matched(docs)
+    model = pii.fit(found)
     assert model is not None
-    rows = {r.doc.doc_id: r for r in pii.find(docs, model).collect()}
+    rows = {r.doc.doc_id: r for r in pii.find(found, model).collect()}
     for r in rows.values():
         assert {tuple(s) for s in r.base} <= {tuple(s) for s in r.spans}
     assert not rows[9_999].base and [s.kind for s in rows[9_999].spans] == [2, 2]
