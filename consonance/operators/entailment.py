@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as TX
+from ..session import cut_lineage
 
 
 # Fixed values of the kernel panel and thresholds (names must match the original metric keys).
@@ -180,6 +181,33 @@ def semantic_ids(pairs: DataFrame, items: DataFrame, group_cols: list[str], idx_
         *group_cols, F.col("o.i").alias("i"), F.col("o.cid").alias("cluster_id"))
 
 
+def semantic_ids_rounds(pairs: DataFrame, items: DataFrame, group_cols: list[str], idx_col: str = "i", strict: bool = False) -> DataFrame:
+    """G7 for groups of any size: the clusters of ``semantic_ids`` by rounds of joins on the equivalent pairs.
+
+    Heads are the lexicographically first independent set. In a round, every undecided item with no undecided
+    earlier equivalent becomes a head, and the later equivalents of heads are decided with it; pairs of decided
+    items leave the table. Random orders take about log² n rounds (a chain of equivalents in index order takes half its length).
+    No row holds more than one pair.
+    """
+    from .prep import number_within_groups
+
+    g = group_cols
+    eq = cut_lineage(equivalence(pairs, g, strict).filter("equivalent").select(*g, F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")))
+    open_ = cut_lineage(items.select(*g, F.col(idx_col).cast("long").alias("i")))
+    edges, heads = eq, None
+    while not open_.isEmpty():
+        new = cut_lineage(open_.join(edges.select(*g, F.col("j").alias("i")).distinct(), [*g, "i"], "left_anti"))
+        heads = new if heads is None else heads.unionByName(new)
+        taken = edges.join(new, [*g, "i"], "left_semi").select(*g, F.col("j").alias("i")).distinct()
+        open_ = cut_lineage(open_.join(new.unionByName(taken), [*g, "i"], "left_anti"))
+        edges = cut_lineage(edges.join(open_, [*g, "i"], "left_semi").join(open_.withColumnRenamed("i", "j"), [*g, "j"], "left_semi"))
+    if heads is None:
+        return items.select(*g, F.col(idx_col).cast("long").alias("i"), F.lit(0).alias("cluster_id"))
+    named = cut_lineage(number_within_groups(heads, g, ["i"], "cluster_id").select(*g, "i", F.col("cluster_id").cast("int").alias("cluster_id")))
+    own = eq.join(named, [*g, "i"]).groupBy(*g, F.col("j").alias("i")).agg(F.max_by("cluster_id", "i").alias("cluster_id"))
+    return named.unionByName(own.select(*g, "i", "cluster_id"))
+
+
 def cluster_entropy(ids: DataFrame, group_cols: list[str], cid_col: str = "cluster_id") -> DataFrame:
     """−Σ p ln p over cluster frequencies."""
     counts = ids.groupBy(*group_cols, cid_col).agg(F.count(F.lit(1)).alias("_n"))

@@ -32,8 +32,13 @@ def both_ways(edges: DataFrame, g: list[str], weight_col: str | None) -> DataFra
 def with_group_row(nodes: DataFrame, per_group: DataFrame, g: list[str], spread: int = SPREAD) -> DataFrame:
     """``nodes`` (with a ``node`` column) with the columns of its group's row of ``per_group``. The rows are copied
     to ``spread`` parts of a group, so that a group's nodes meet them in as many partitions."""
-    parts = per_group.select("*", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("_part"))
-    return nodes.withColumn("_part", F.pmod(F.xxhash64("node"), F.lit(spread)).cast("int")).join(parts, [*g, "_part"]).drop("_part")
+    names = {c: f"_of_{c}" for c in g}
+    parts = per_group.select("*", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("_p")).withColumnsRenamed(names)
+    dealt = nodes.withColumn("_part", F.pmod(F.xxhash64("node"), F.lit(spread)).cast("int"))
+    same = F.col("_part") == F.col("_p")
+    for c, other in names.items():
+        same = same & F.col(c).eqNullSafe(F.col(other))
+    return dealt.join(parts, same).drop("_part", "_p", *names.values())
 
 
 def _shares(edges: DataFrame, nodes: DataFrame, g: list[str], weight_col: str | None, hub_edges: int, shared: bool = True) -> DataFrame:

@@ -13,10 +13,11 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import text as TX
 from ..session import cut_lineage
 from . import statements as ST
 
@@ -63,21 +64,103 @@ def _call_by_row(call, pdf: pd.DataFrame, failed) -> pd.DataFrame:
         return pd.concat(parts, ignore_index=True)
 
 
+def _answers_file(folder: str, batch: pd.DataFrame, key_cols: list[str], params: dict):
+    """The file system and path of a batch's answers, named by its keys, prompts and parameters."""
+    from pyarrow import fs
+
+    store, inner = fs.FileSystem.from_uri(folder) if ":" in folder.split("/")[0] else (fs.LocalFileSystem(), folder)
+    said = repr([tuple(map(str, r)) for r in batch[[*key_cols, "prompt"]].itertuples(index=False)]) + repr(sorted(params.items()))
+    return store, inner, f"{inner}/{hashlib.sha256(said.encode('utf-8')).hexdigest()}.parquet"
+
+
+def generate_durable(prompts: DataFrame, key_cols: list[str], generate_fn, folder: str, batch_tokens: int,
+                     params: dict | None = None, cost: Column | None = None) -> DataFrame:
+    """K1 with answers that outlive the task: every batch's answers are written to ``folder`` (shared) as soon as the call
+    returns, and a batch whose answers are there is not called again, whether a task is retried, an executor
+    lost, or the whole job started anew.
+
+    Batches hold prompts whose estimated tokens (``cost``, D10 by default) come to about ``batch_tokens``; which prompts
+    share a batch follows from their keys alone, so a rerun makes the same batches. ``key_cols`` must be unique. A
+    file appears under its name only when it is whole; of two attempts at one batch the first stays. A call that fails as a whole is tried prompt by
+    prompt (as ``generate``); prompts that raise are answered with their error, and are called again by the next run.
+    """
+    params = params or {}
+    schema = T.StructType(prompts.schema.fields + [T.StructField("text", T.StringType()), T.StructField("logprobs", T.ArrayType(T.DoubleType())),
+                                                    T.StructField("error", T.StringType())])
+    in_cols = prompts.columns
+    tokens = cost if cost is not None else TX.token_estimate(F.col("prompt"))
+    total = prompts.agg(F.coalesce(F.sum(tokens), F.lit(0.0)).cast("double")).first()[0]
+    batches = max(1, round(total / batch_tokens))
+    numbered = prompts.withColumn("_batch", F.pmod(F.xxhash64(*key_cols), F.lit(batches)))
+    parts = min(batches, int(prompts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = numbered.repartition(parts, "_batch").sortWithinPartitions("_batch", *key_cols)
+
+    def call(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = generate_fn(pdf.assign(**params))
+        return pd.DataFrame({"text": out["text"].to_numpy(), "logprobs": list(out["logprobs"]), "error": None})
+
+    def answered(batch: pd.DataFrame) -> pd.DataFrame:
+        import uuid
+
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        store, inner, path = _answers_file(folder, batch, key_cols, params)
+        rows = batch[in_cols].reset_index(drop=True)
+        if store.get_file_info(path).is_file:
+            with store.open_input_file(path) as f:
+                old = pq.read_table(f).to_pandas()
+        else:
+            old = pd.DataFrame({"text": [None] * len(rows), "logprobs": [None] * len(rows), "error": ["not called"] * len(rows)})
+        todo = old["error"].notna().to_numpy()
+        if todo.any():
+            new = _call_by_row(call, rows[todo].reset_index(drop=True), lambda e: pd.DataFrame({"text": [None], "logprobs": [None], "error": [e]}))
+            old = old.astype(object)
+            old.loc[todo] = new.astype(object).to_numpy()
+            answers = pa.schema([("text", pa.string()), ("logprobs", pa.list_(pa.float64())), ("error", pa.string())])
+            store.create_dir(inner, recursive=True)
+            own = f"{inner}/.{uuid.uuid4().hex}"
+            with store.open_output_stream(own) as f:
+                pq.write_table(pa.Table.from_pandas(old, schema=answers, preserve_index=False), f)
+            if store.get_file_info(path).is_file:
+                store.delete_file(path)
+            store.move(own, path)
+        return pd.concat([rows, old.reset_index(drop=True)], axis=1)
+
+    def run(frames):
+        carry = None
+        for pdf in frames:
+            pdf = pdf if carry is None else pd.concat([carry, pdf], ignore_index=True)
+            if pdf.empty:
+                continue
+            last = pdf["_batch"] == pdf["_batch"].iloc[-1]
+            carry = pdf[last]
+            for _, batch in pdf[~last].groupby("_batch", sort=False):
+                yield answered(batch)
+        if carry is not None and len(carry):
+            yield answered(carry)
+
+    return dealt.mapInPandas(run, schema=schema)
+
+
 def generate_with_retries(prompts: DataFrame, key_cols: list[str], generate_fn, is_valid,
-                          passes: list[dict] | None = None) -> tuple[DataFrame, DataFrame]:
+                          passes: list[dict] | None = None, folder: str | None = None, batch_tokens: int = 20_000) -> tuple[DataFrame, DataFrame]:
     """K2 + K3: failed prompts are generated again (later passes may change parameters,
     e.g. temperature 0); after the last of ``passes`` the rest is quarantined
     (all failures are kept, not only the last pass's). ``is_valid`` is a Column; a prompt
     whose call raised is not valid.
 
-    Each pass is checkpointed to the shared folder so the plan does not grow with passes.
+    Each pass is checkpointed to the shared folder so the plan does not grow with passes. With ``folder``, answers
+    outlive tasks and runs (``generate_durable``): only prompts without a kept answer are called.
     """
     passes = passes or [{}] + [{"temperature": 0.0}] * CLOSING_PASSES
     done = None
     todo = prompts
-    for params in passes:
+    for n, params in enumerate(passes):
         ok = F.coalesce(is_valid, F.lit(False)) & F.col("error").isNull()
-        out = cut_lineage(generate(todo, generate_fn, params).withColumn("_ok", ok))
+        called = generate(todo, generate_fn, params) if folder is None else generate_durable(
+            todo, key_cols, generate_fn, f"{folder}/pass={n}", batch_tokens, params)
+        out = cut_lineage(called.withColumn("_ok", ok))
         good = out.filter("_ok").drop("_ok", "error")
         done = good if done is None else done.unionByName(good)
         todo = cut_lineage(todo.join(good.select(*key_cols), key_cols, "left_anti"))

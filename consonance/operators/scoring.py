@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import embed as EM
 from ..session import cut_lineage
+from ..sources.snapshots import SnapshotTable
 from . import claims as H
 from . import entailment as G
 from . import prep as P
@@ -94,3 +95,23 @@ def score(metric: str, responses: DataFrame, group_cols: list[str], response_cou
         out = _long(m, g, metric, {n: F.col(n) for n in ("degree", "betweenness", "eigenvector", "pagerank", "closeness")}, F.col("node_id"))
     chosen = r.groupBy(*g).agg(F.array_sort(F.collect_list(F.col("response_idx").cast("int"))).alias("subset_idx"))
     return out.join(chosen, g, "left")
+
+
+def score_missing(groups: DataFrame, group_cols: list[str], scorer, store: SnapshotTable, flush_groups: int) -> int:
+    """C8 + J1: score the groups that ``store`` (keyed by ``group_cols``) lacks, and add them in flushes of about
+    ``flush_groups`` groups. ``scorer(rows of some groups)`` gives rows with the group columns; a group it gives
+    none for is tried again by the next call. Each flush is one version of the store: a call that stops half way leaves
+    whole flushes behind, and the next one goes on with the rest. Only keys of the store are read. Returns the number of flushes.
+    """
+    keys = groups.select(*group_cols).distinct()
+    done = store.read()
+    if done is not None:
+        keys = P.drop_done(keys, done.select(*group_cols).distinct(), group_cols)
+    part = F.pmod(F.xxhash64(*[F.col(c) for c in group_cols]), F.lit(1 << 20))
+    missing = cut_lineage(keys.withColumn("_part", part))
+    flushes = -(-missing.count() // flush_groups)
+    for i in range(flushes):
+        own = missing.filter(F.pmod("_part", F.lit(flushes)) == i).drop("_part")
+        if not own.isEmpty():
+            store.append(scorer(groups.join(own, group_cols, "left_semi")))
+    return flushes

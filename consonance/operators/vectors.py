@@ -27,7 +27,7 @@ from ..session import by_group
 # Fixed parameter defaults of the dispersion family.
 JITTER = 1e-3          # added to the kernel diagonal before the eigen-decomposition
 EIGENSCORE_ALPHA = 1e-3  # ridge in the eigen-score log-determinant
-HELD_GROUPS = 500      # groups whose partial Grams a task holds before it hands them on
+HELD_BYTES = 128 << 20  # of partial Grams that a task holds before it hands them on
 ENTROPY_FLOOR = 1e-10  # zero probabilities are replaced by this in discrete entropy
 
 SUMMARY_FIELDS = [
@@ -168,6 +168,80 @@ def group_spectra_gram(vectors: DataFrame, group_cols: list[str], vec_col: str,
     return spectra_from_cells(sum_cells(gram_partials(data, group_cols), group_cols), group_cols, jitter, alpha)
 
 
+def group_spectra_wide(vectors: DataFrame, group_cols: list[str], vec_col: str, jitter: float = JITTER,
+                       alpha: float = EIGENSCORE_ALPHA, chunk_rows: int | None = None) -> DataFrame:
+    """F3–F7 for vectors of model width (d in the thousands) and groups of any size.
+
+    Groups of up to ``chunk_rows`` rows (4 d by default) are scored by the direct kernel, from whichever Gram is smaller. The rows
+    of larger groups are dealt into chunks of that size; a chunk's d×d Grams leave its task as tiles of ``TILE`` numbers, so what
+    is shuffled is at most about a quarter of the vectors, a task holds one pair of Grams at a time, and tiles are added up in steps
+    (``_merged``). Both kinds give the same scores; one group's d² numbers meet in one task for its eigenvalues.
+    """
+    from .graphs import with_group_row
+
+    data = vectors.select(*group_cols, F.col(vec_col).cast("array<double>").alias("_x"))
+    width = data.select(F.size("_x").alias("d")).first()
+    schema = _summary_schema([data.schema[c] for c in group_cols])
+    if width is None:
+        return data.sparkSession.createDataFrame([], schema)
+    chunk = chunk_rows or 4 * width.d
+    chunks = data.groupBy(*group_cols).agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).cast("int").alias("_chunks"))
+    rows = with_group_row(data.withColumn("node", F.xxhash64("_x", F.monotonically_increasing_id())), chunks, group_cols)
+    small = _direct(rows.filter("_chunks = 1").select(*group_cols, "_x"), group_cols, schema, jitter, alpha)
+    dealt = rows.filter("_chunks > 1").select(*group_cols, F.pmod("node", F.col("_chunks")).cast("int").alias("salt"), "_x")
+    keys = [*group_cols, "salt"]
+    tiles = _chunk_tiles(dealt.repartition(*keys).sortWithinPartitions(*keys), group_cols)
+    cells = _merged(tiles, [*group_cols, "tile"], "mean")
+    names, n_cells = [f.name for f in schema.fields], width.d**2 + 2 * width.d + 2
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        row = {g: pdf[g].iloc[0] for g in group_cols}
+        row.update(_summary_of_cells(np.concatenate(pdf.sort_values("tile")["x"].to_numpy())[:n_cells], jitter, alpha))
+        return pd.DataFrame([row], columns=names)
+
+    large = cells.select(*group_cols, "tile", "x").groupBy(*group_cols).applyInPandas(finish, schema=schema)
+    return small.unionByName(large)
+
+
+TILE = 1024
+
+
+def _chunk_tiles(rows: DataFrame, group_cols: list[str]) -> DataFrame:
+    """(group…, salt, tile, x, n): the cells of ``gram_partials`` of each chunk, cut into tiles."""
+    keys = [*group_cols, "salt"]
+
+    def tiles(key: tuple, gu: np.ndarray, gc: np.ndarray, s: np.ndarray, tr: float, k: int):
+        iu = np.triu_indices(len(gu))
+        flat = np.concatenate([gu[iu], gc[iu], s, [tr, float(k)]])
+        flat = np.pad(flat, (0, -len(flat) % TILE))
+        cut = [flat[i: i + TILE] for i in range(0, len(flat), TILE)]
+        for at in range(0, len(cut), 256):
+            out = pd.DataFrame({"tile": np.arange(at, min(at + 256, len(cut)), dtype=np.int32), "x": cut[at: at + 256], "n": 1})
+            for c, v in zip(keys, key):
+                out[c] = v
+            yield out[[*keys, "tile", "x", "n"]]
+
+    def run(batches):
+        now, sums = None, None
+        for pdf in batches:
+            for key, sub in pdf.groupby(keys, sort=False, dropna=False):
+                key = tuple(None if pd.isna(v) else v for v in key)
+                if key != now:
+                    if sums is not None:
+                        yield from tiles(now, *sums)
+                    now, sums = key, None
+                x = np.stack(sub["_x"].to_numpy()).astype(np.float64)
+                u, c = _unit_and_centred(x)
+                new = (u.T @ u, c.T @ c, u.sum(axis=0), float(np.sum(u * u)), len(x))
+                sums = new if sums is None else tuple(a + b for a, b in zip(sums, new))
+        if sums is not None:
+            yield from tiles(now, *sums)
+
+    schema = T.StructType([rows.schema[c] for c in keys] + [
+        T.StructField("tile", T.IntegerType()), T.StructField("x", T.ArrayType(T.DoubleType())), T.StructField("n", T.LongType())])
+    return rows.mapInPandas(run, schema)
+
+
 def _direct(data: DataFrame, group_cols: list[str], out_schema: T.StructType,
             jitter: float, alpha: float) -> DataFrame:
     """Small groups: hash-partition by group, sort within partitions, and score many
@@ -260,7 +334,7 @@ def gram_partials(data: DataFrame, group_cols: list[str]) -> DataFrame:
     def partial(batches):
         acc: dict = {}
         for pdf in batches:
-            if len(acc) > HELD_GROUPS:  # sums so far go out: partials of any split add up
+            if acc and len(acc) * next(iter(acc.values())).nbytes > HELD_BYTES:  # sums so far go out: partials of any split add up
                 yield from rows(acc)
                 acc = {}
             for key, sub in pdf.groupby(group_cols, sort=False, dropna=False):
@@ -284,6 +358,21 @@ def sum_cells(cells: DataFrame, group_cols: list[str]) -> DataFrame:
     return cells.groupBy(*group_cols, "_cell").agg(F.sum("_v").alias("_v"))
 
 
+def _summary_of_cells(vals: np.ndarray, jitter: float, alpha: float) -> dict:
+    """A group's scores from its summed cells in ``gram_partials``' order."""
+    d = int(round(np.sqrt(len(vals) - 1))) - 1      # len = d² + 2d + 2
+    t = d * (d + 1) // 2
+    iu = np.triu_indices(d)
+
+    def sym(flat):
+        m = np.zeros((d, d))
+        m[iu] = flat
+        return m + np.triu(m, 1).T
+
+    s = vals[2 * t:2 * t + d]
+    return _summary(int(round(vals[2 * t + d + 1])), sym(vals[:t]), sym(vals[t:2 * t]), s, vals[2 * t + d], jitter, alpha)
+
+
 def spectra_from_cells(cells: DataFrame, group_cols: list[str], jitter: float = JITTER,
                        alpha: float = EIGENSCORE_ALPHA) -> DataFrame:
     """Finish per group from summed cells: one d×d eigen-problem per Gram (d² rows per group)."""
@@ -292,21 +381,8 @@ def spectra_from_cells(cells: DataFrame, group_cols: list[str], jitter: float =
     names = [f.name for f in out_schema.fields]
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        vals = pdf.sort_values("_cell")["_v"].to_numpy()
-        d = int(round(np.sqrt(len(vals) - 1))) - 1      # len = d² + 2d + 2
-        t = d * (d + 1) // 2
-        iu = np.triu_indices(d)
-
-        def sym(flat):
-            m = np.zeros((d, d))
-            m[iu] = flat
-            return m + np.triu(m, 1).T
-
-        gu, gc = sym(vals[:t]), sym(vals[t:2 * t])
-        s = vals[2 * t:2 * t + d]
-        tr, k = vals[2 * t + d], int(round(vals[2 * t + d + 1]))
         row = {g: pdf[g].iloc[0] for g in group_cols}
-        row.update(_summary(k, gu, gc, s, tr, jitter, alpha))
+        row.update(_summary_of_cells(pdf.sort_values("_cell")["_v"].to_numpy(), jitter, alpha))
         return pd.DataFrame([row], columns=names)
 
     return by_group(cells, group_cols).groupBy(*group_cols).applyInPandas(finish, schema=out_schema)
@@ -336,7 +412,9 @@ def pool_tokens(tokens: DataFrame, key_cols: list[str], pos_col: str, vec_col: s
 
     mean is mask-aware (padding excluded); max is element-wise; cls takes the
     first real token, last the last real token (padding side does not matter
-    because positions are explicit).
+    because positions are explicit). Vectors of one table are equally long and without null components; null
+    vectors are left out. mean and max add vectors up in Arrow batches: a row per task and key is shuffled,
+    never one per dimension.
     """
     t = tokens
     if mask_col is not None:
@@ -347,10 +425,64 @@ def pool_tokens(tokens: DataFrame, key_cols: list[str], pos_col: str, vec_col: s
         return t.groupBy(*key_cols).agg(F.max_by(vec_col, pos_col).alias("pooled"))
     if method not in ("mean", "max"):
         raise ValueError(f"pooling must be mean, max, cls, first or last, not {method!r}")
-    # one row per key and dimension after the map-side partial aggregation; the dimensions of a
-    # key (fixed by the model, not by the data) are then put in order
-    e = t.select(*key_cols, F.posexplode(F.col(vec_col).cast("array<double>")).alias("dim", "x"))
-    agg = F.avg("x") if method == "mean" else F.max("x")
-    per_dim = e.groupBy(*key_cols, "dim").agg(agg.alias("x"))
-    return per_dim.groupBy(*key_cols).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("pooled"))
+    # partial vectors per key: one per input partition and key, then one per key and salt, then one per key
+    x = F.col(vec_col).cast("array<double>")
+    t = t.filter(F.col(vec_col).isNotNull()).select(*key_cols, x.alias("x"), F.lit(1).cast("long").alias("n"), F.lit(0).alias("salt"))
+    part = _merged(_combined(t, key_cols, method, sort=False), key_cols, method)
+    mean = F.transform("x", lambda v: v / F.col("n")) if method == "mean" else F.col("x")
+    return part.select(*key_cols, mean.alias("pooled"))
+
+
+POOL_SALTS = 32
+POOL_BYTES = 64 << 20   # partial vectors that a task holds before it hands them on
+
+
+def _merged(partial: DataFrame, key_cols: list[str], method: str) -> DataFrame:
+    """One row per key of partial vectors, however many a key has: merged per key and salt, then per key."""
+    part = partial.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(POOL_SALTS)))
+    for salt in (F.col("salt"), F.lit(0)):
+        keys = [*key_cols, "salt"]
+        part = _combined(part.withColumn("salt", salt).repartition(*keys).sortWithinPartitions(*keys), key_cols, method, sort=True)
+    return part
+
+
+def _combined(rows: DataFrame, key_cols: list[str], method: str, sort: bool) -> DataFrame:
+    """(key…, x, n, salt) with the vectors of one key added up (or their maxima) within a task: for sorted rows one row per key
+    and salt, else one whenever the task holds too many."""
+    keys = [*key_cols, "salt"]
+    add = np.add if method == "mean" else np.fmax
+
+    def run(batches):
+        held: dict = {}
+        width = 1
+
+        def out(which: list) -> pd.DataFrame:
+            frame = pd.DataFrame([k for k in which], columns=keys).astype(object)
+            frame["x"], frame["n"] = [held[k][0] for k in which], [held[k][1] for k in which]
+            for k in which:
+                del held[k]
+            return frame[[*keys, "x", "n"]]
+
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            x = np.stack(pdf["x"].to_numpy()).astype(np.float64)
+            width = x.shape[1]
+            codes, first = pd.factorize(pd.MultiIndex.from_frame(pdf[keys].astype(object).where(pdf[keys].notna(), None)), sort=False)
+            order = np.argsort(codes, kind="stable")
+            begin = np.searchsorted(codes[order], np.arange(len(first)))
+            sums, counts = add.reduceat(x[order], begin, axis=0), np.add.reduceat(pdf["n"].to_numpy()[order], begin)
+            for key, s, n in zip(first.tolist(), sums, counts.tolist()):
+                key = tuple(None if pd.isna(v) else v for v in key)
+                old = held.get(key)
+                held[key] = (s, n) if old is None else (add(old[0], s), old[1] + n)
+            last = key
+            if sort and len(held) > 1:
+                yield out([k for k in held if k != last])
+            elif len(held) * width * 8 > POOL_BYTES:
+                yield out(list(held))
+        if held:
+            yield out(list(held))
+
+    schema = T.StructType([rows.schema[c] for c in keys] + [rows.schema["x"], rows.schema["n"]])
+    return rows.select(*keys, "x", "n").mapInPandas(run, schema)

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import claims as H
-from ..session import by_group, cut_lineage
+from ..operators import paths as PA
+from ..session import cut_lineage, spread_scan
 from ..sources.tables import table
 from . import fixtures as FX
 from .registry import register
@@ -18,7 +19,7 @@ GRP = ["source"]
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = by_group(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), ["doc_id"])
+    docs = spread_scan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     items = table(spark, sf_dir, "benchmark")
     e = H.containment_edges(items, docs, "item_id", "text", "doc_id", "text")
     return e.join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
@@ -135,6 +136,92 @@ def path_centralities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "node", *[F.round(F.coalesce(m, F.lit(0.0)), 6).alias(m) for m in ("betweenness", "closeness")])
 
 
+#: Lengths of edges: 2 where the claim's number and the turn's add up to an even one, else 1.
+SQL_LENGTH = "CASE WHEN (CAST(substring(src, 2) AS BIGINT) + CAST(substring(dst, 2) AS BIGINT)) % 2 = 0 THEN 2 ELSE 1 END"
+
+
+def _with_length(edges: DataFrame) -> DataFrame:
+    total = F.substring("src", 2, 20).cast("long") + F.substring("dst", 2, 20).cast("long")
+    return edges.withColumn("length", F.when(total % 2 == 0, 2).otherwise(1))
+
+
+def _centralities(nodes: DataFrame, found: DataFrame, *names: str) -> DataFrame:
+    out = nodes.select("conv_id", "node").join(found, ["conv_id", "node"], "left")
+    return out.select("conv_id", "node", *[F.round(F.coalesce(m, F.lit(0.0)), 6).alias(m) for m in names])
+
+
+#: Shortest paths of the graph ``step`` (unit edges) between the nodes of ``adj``, from walks up to a length.
+def sql_centralities(step: str, length: int) -> str:
+    return f"""walks(conv_id, s, v, d, cnt) AS (
+  SELECT conv_id, v, v, 0, 1.0::DOUBLE FROM (SELECT DISTINCT conv_id, v FROM adj)
+  UNION ALL
+  SELECT w.conv_id, w.s, a.u, w.d + 1, sum(w.cnt) FROM walks w JOIN {step} a ON a.conv_id = w.conv_id AND a.v = w.v
+  WHERE w.d < {length} GROUP BY w.conv_id, w.s, a.u, w.d),
+p AS (SELECT conv_id, s, v, min(d) AS d, arg_min(cnt, d) AS sigma FROM walks WHERE v NOT LIKE '%-%' GROUP BY ALL),
+bet AS (SELECT x.conv_id, x.v, sum(x.sigma * y.sigma / z.sigma) AS b FROM p x JOIN p y ON y.conv_id = x.conv_id AND y.s = x.v
+        JOIN p z ON z.conv_id = x.conv_id AND z.s = x.s AND z.v = y.v AND z.d = x.d + y.d WHERE x.d > 0 AND y.d > 0 GROUP BY ALL),
+clo AS (SELECT conv_id, v, count(*) AS r, sum(d) AS total FROM p WHERE d > 0 GROUP BY ALL)"""
+
+
+@register("h5_h8_weighted", sql=f"""WITH RECURSIVE {SQL_CONV_GRAPH},
+le AS (SELECT *, {SQL_LENGTH} AS len FROM e),
+unit AS (SELECT conv_id, src AS v, dst AS u FROM le WHERE len = 1
+         UNION ALL SELECT conv_id, src, src || '-' || dst FROM le WHERE len = 2 UNION ALL SELECT conv_id, src || '-' || dst, dst FROM le WHERE len = 2),
+step AS (SELECT conv_id, v, u FROM unit UNION ALL SELECT conv_id, u, v FROM unit),
+{sql_centralities("step", 2 * WALK_LENGTH)}
+SELECT nodes.conv_id, nodes.node, round(coalesce(bet.b / ((n - 1) * (n - 2)), 0), 6) AS betweenness,
+       round(coalesce((clo.r / clo.total) * (clo.r / (n - 1)), 0), 6) AS closeness
+FROM nodes JOIN nn USING (conv_id) LEFT JOIN bet ON bet.conv_id = nodes.conv_id AND bet.v = nodes.node
+LEFT JOIN clo ON clo.conv_id = nodes.conv_id AND clo.v = nodes.node""")
+def path_centralities_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H5 + H8 with lengths of edges (some 1, some 2)."""
+    _claims, edges, nodes = H.claim_graph(_atoms(spark, sf_dir), FX.conv_responses(spark, sf_dir), CONV)
+    n = nodes.groupBy(*CONV).agg(F.count(F.lit(1)).alias("n_nodes"))
+    return _centralities(nodes, PA.path_centralities(_with_length(edges), n, CONV, "length"), "betweenness", "closeness")
+
+
+@register("h5_betweenness_sampled", sql=f"""WITH RECURSIVE {SQL_CONV_GRAPH},
+{sql_centralities("adj", WALK_LENGTH)}
+SELECT nodes.conv_id, nodes.node, round(coalesce(bet.b / ((n - 1) * (n - 2)), 0), 6) AS betweenness
+FROM nodes JOIN nn USING (conv_id) LEFT JOIN bet ON bet.conv_id = nodes.conv_id AND bet.v = nodes.node""")
+def betweenness_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H5 from sampled sources, by joins; these graphs have fewer nodes than the asked-for error needs sources, so it is
+    exact here."""
+    _claims, edges, nodes = H.claim_graph(_atoms(spark, sf_dir), FX.conv_responses(spark, sf_dir), CONV)
+    n = nodes.groupBy(*CONV).agg(F.count(F.lit(1)).alias("n_nodes"))
+    return _centralities(nodes, PA.betweenness_sampled(edges, n, CONV, error=0.05), "betweenness")
+
+
+@register("h8_closeness_sketched")
+def closeness_sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H8 from HyperLogLog sketches on the graph of each document source: benchmark claims and the documents that hold them."""
+    claims, edges, resp = _graph(spark, sf_dir)
+    name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    e = cut_lineage(edges.select("source", name("c", "claim_id").alias("src"), name("r", "response_id").alias("dst")))
+    n = claims.select("source").unionByName(resp.select("source")).groupBy("source").agg(F.count(F.lit(1)).alias("n_nodes"))
+    return PA.closeness_sketched(e, n, GRP).select("source", "node", F.round("closeness", 6).alias("closeness"))
+
+
+EIGEN_SQUARINGS = 24
+
+
+@register("h6_eigenvector", sql=f"""WITH RECURSIVE {SQL_CONV_GRAPH},
+own AS (SELECT DISTINCT conv_id, v FROM adj),
+a1 AS (SELECT conv_id, v AS i, u AS j, count(*)::DOUBLE AS m FROM adj GROUP BY ALL UNION ALL SELECT conv_id, v, v, 1.0 FROM own),
+pw(it, conv_id, i, j, m) AS (
+  SELECT 0, conv_id, i, j, m / sqrt(sum(m * m) OVER (PARTITION BY conv_id)) FROM a1
+  UNION ALL
+  SELECT it + 1, conv_id, i, j, m / sqrt(sum(m * m) OVER (PARTITION BY conv_id)) FROM (
+    SELECT x.it, x.conv_id, x.i, y.j, sum(x.m * y.m) AS m FROM pw x JOIN pw y ON y.conv_id = x.conv_id AND y.i = x.j
+    WHERE x.it < {EIGEN_SQUARINGS} GROUP BY ALL)),
+x AS (SELECT conv_id, i AS node, sum(m) AS x FROM pw WHERE it = {EIGEN_SQUARINGS} GROUP BY ALL)
+SELECT conv_id, node, round(x / sqrt(sum(x * x) OVER (PARTITION BY conv_id)), 5) AS eigenvector FROM x""")
+def eigenvector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H6: the entries of the principal eigenvector of every conversation's claim graph."""
+    _claims, edges, _nodes = H.claim_graph(_atoms(spark, sf_dir), FX.conv_responses(spark, sf_dir), CONV)
+    return H.eigenvector(edges, CONV, tol=1e-7).select("conv_id", "node", F.round("eigenvector", 5).alias("eigenvector"))
+
+
 @register("h6_eigenvector_invariants", sql=f"""WITH {SQL_CONV_GRAPH}
 SELECT DISTINCT conv_id, CAST(1 AS DOUBLE) AS norm, true AS not_negative, true AS eigen FROM e""")
 def eigenvector_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import vectors as V
+from ..session import cut_lineage
 from ..sources.tables import table
 from .registry import register
 
@@ -78,12 +79,49 @@ def kernel_moments_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(s.select("label", "k", *cols), cols)
 
 
+def _wide(emb: DataFrame, times: int) -> DataFrame:
+    """Vectors ``times`` as wide with the same cosines: the components turned about by one more place in each part."""
+    turned = lambda i: F.concat(F.slice("embedding", i + 1, F.size("embedding")), F.slice("embedding", 1, i))
+    return emb.select("label", "vec_id", F.concat(*[turned(i) for i in range(times)]).alias("embedding"))
+
+
+@register("f5_wide_vectors", sql=_F7_SQL)
+def wide_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F5 at a model's width (24 × 64 = 1,536): the moments are those of the narrow vectors."""
+    good, _rejected = V.normalize_rows(_wide(table(spark, sf_dir, "embeddings"), 24), "embedding")
+    cols = ["trace", "fro2", "mean_cos", "purity", "renyi2"]
+    return _rounded(V.group_spectra_wide(good, ["label"], "embedding").select("label", "k", *cols), cols)
+
+
 @register("f5_dispersion_gram_path")
 def dispersion_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = label_spectra(spark, sf_dir)
+    """F3 + F4 by chunks of rows whose Grams are added up as tiles: a third form of the same scores."""
+    good, _rejected = V.normalize_rows(table(spark, sf_dir, "embeddings"), "embedding")
+    s = V.group_spectra_wide(good, ["label"], "embedding", chunk_rows=32)
     return _rounded(s.select("label", "k", "dispersion", "dispersion_norm"), ["dispersion", "dispersion_norm"], 9)
 
 
+@register("f5_forms_agree", sql="""
+SELECT conv_id, count(*) AS k, true AS same FROM conversations
+WHERE len(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) > 0 GROUP BY conv_id""")
+def forms_agree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """whether the direct, the Gram and the chunked form give the same scores, on groups that are small by construction."""
+    from ..operators.scoring import embedded
+    from . import fixtures as FX
+
+    r = embedded(FX.conv_responses(spark, sf_dir).drop("entity"), ["conv_id"])
+    good = cut_lineage(V.normalize_rows(r, "vec")[0].select("conv_id", "vec"))
+    names = ["dispersion", "eigenscore", "fro2", "mean_cos"]
+    # one row per form: the scores agree if their range is nothing (null only where all are: a single response)
+    forms = [V.group_spectra(good, ["conv_id"], "vec"), V.group_spectra_gram(good, ["conv_id"], "vec"),
+             V.group_spectra_wide(good, ["conv_id"], "vec", chunk_rows=2)]
+    rows = forms[0].unionByName(forms[1]).unionByName(forms[2])
+    same = F.count(F.lit(1)) == 3
+    for n in names:
+        same = same & (F.coalesce(F.max(n) - F.min(n), F.lit(0.0)) < 1e-6) & F.count(n).isin(0, 3)
+    return rows.groupBy("conv_id", "k").agg(same.alias("same"))
+
+
 @register("f1_unit_norm_check", sql="""
 SELECT label, CAST(count(*) AS BIGINT) AS n_vectors,
        round(avg(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 6) AS mean_sq_norm_raw,

@@ -95,6 +95,13 @@ def semantic_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.semantic_ids(_upairs(spark, sf_dir), _items(spark, sf_dir), GRP)
 
 
+@register("g7_semantic_ids_rounds", sql=f"""WITH RECURSIVE {SQL_PAIRS}, {SQL_CLUSTERS}
+SELECT conv_id, i, cluster_id FROM ids""")
+def semantic_ids_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G7 by rounds of joins, the form for groups of any size."""
+    return G.semantic_ids_rounds(_upairs(spark, sf_dir), _items(spark, sf_dir), GRP)
+
+
 @register("g8_semantic_entropy", sql=f"""WITH RECURSIVE {SQL_PAIRS}, {SQL_CLUSTERS},
 cnt AS (SELECT conv_id, cluster_id, count(*) AS n FROM ids GROUP BY ALL),
 p AS (SELECT conv_id, n * 1.0 / sum(n) OVER (PARTITION BY conv_id) AS p FROM cnt)

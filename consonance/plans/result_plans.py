@@ -19,6 +19,7 @@ from ..operators import sweep as S
 from ..session import checkpoint_dir, cut_lineage
 from ..sources import io as IO
 from ..sources.tables import table
+from ..sources.snapshots import SnapshotTable
 from ..streaming import incremental as J
 from . import fixtures as FX
 from .dispersion_plans import _F7_SQL
@@ -155,6 +156,20 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return IO.upsert_latest(old, new, ["user_id"], "ts").select("user_id", "event_id", "event_type", "ts")
 
 
+@register("a12_snapshot_upsert", sql="""
+SELECT user_id, arg_max(event_id, ts) AS event_id, arg_max(event_type, ts) AS event_type, max(ts) AS ts
+FROM events GROUP BY user_id""")
+def snapshot_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A12 on a bucketed table: purchases are written into the buckets of their users only, in two writes."""
+    ev = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts")
+    store = SnapshotTable(spark, _scratch(spark, "users"), ["user_id"], buckets=16)
+    store.replace(IO.upsert_latest(ev.filter(F.col("event_type") != "purchase"), ev.limit(0), ["user_id"], "ts"))
+    bought = ev.filter(F.col("event_type") == "purchase")
+    for part in (0, 1):
+        store.upsert(bought.filter(F.col("event_id") % 2 == part), "ts")
+    return store.read().select("user_id", "event_id", "event_type", "ts")
+
+
 @register("a13_append_projection", sql="SELECT conv_id, CAST(turn AS INTEGER) AS response_idx, text AS response FROM conversations")
 def append_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two appends projected to the fixed field list, read back."""
@@ -177,6 +192,43 @@ def merge_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return IO.merge_extend(old, new, ["conv_id"]).select("conv_id", "response_idx", "turn", F.md5("response").alias("text_md5"))
 
 
+@register("a14_snapshot_extend", sql="""
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN role = 'user' THEN 0 ELSE 1 END, turn) - 1 AS INTEGER) AS response_idx,
+       CAST(turn AS INTEGER) AS turn, md5(text) AS text_md5 FROM conversations""")
+def snapshot_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A14 on a bucketed table: other turns extend the lists of user turns in the buckets that hold them."""
+    r = FX.conv_responses(spark, sf_dir).withColumn("turn", F.col("response_idx"))
+    store = SnapshotTable(spark, _scratch(spark, "lists"), ["conv_id"], buckets=16)
+    store.replace(r.filter(F.col("role") == "user").withColumn("batch", F.lit(0)))
+    store.extend(r.filter(F.col("role") != "user").withColumn("batch", F.lit(1)), ["conv_id"])
+    return store.read().select("conv_id", "response_idx", "turn", F.md5("response").alias("text_md5"))
+
+
+@register("c8_resumed_scoring", sql=SQL_LUQ + """SELECT conv_id,
+  round(CASE WHEN count(confidence) = count(*) THEN avg(1 - confidence) END, 6) AS uncertainty FROM conf GROUP BY conv_id""")
+def resumed_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C8 + J1: groups scored in flushes; the first call breaks off in its second flush, the next one scores the rest."""
+    from ..operators import entailment as G
+
+    r = FX.conv_responses(spark, sf_dir)
+    store = SnapshotTable(spark, _scratch(spark, "luq-scores"), ["conv_id"], buckets=16)
+    flush = max(1, -(-r.select("conv_id").distinct().count() // 3))
+    calls = []
+
+    def scorer(rows: DataFrame) -> DataFrame:
+        calls.append(1)
+        if len(calls) == 2:
+            raise InterruptedError("between two flushes")
+        return G.luq(ST.split_statements(rows, ["conv_id", "response_idx"]), rows, ["conv_id"])[1]
+
+    try:
+        SC.score_missing(r, ["conv_id"], scorer, store, flush)
+    except InterruptedError:
+        pass
+    SC.score_missing(r, ["conv_id"], scorer, store, flush)
+    return store.read().select("conv_id", F.round("uncertainty", 6).alias("uncertainty"))
+
+
 @register("a18_a19_batch_roundtrip", sql="""
 WITH e AS (SELECT p_name, min(p_partkey) AS "index" FROM part GROUP BY p_name),
 r AS (SELECT "index", 'chat-completion-' || CAST(row_number() OVER (ORDER BY "index") - 1 AS VARCHAR) AS custom_id,
@@ -454,6 +506,20 @@ def generation_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ok.select("index", F.lit("ok").alias("status")).unionByName(failed.select("index", F.col("reason").alias("status")))
 
 
+@register("k1_durable_calls", sql="""
+WITH e AS (SELECT p_name, min(p_partkey) AS "index" FROM part GROUP BY p_name)
+SELECT "index", 'Dry run answer: Write a few paragraphs on ''' || p_name || '''.' AS body FROM e""")
+def durable_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1 with answers that are kept per batch: the second run calls nothing (its model would raise), it reads the answers."""
+    def no_model(pdf):
+        raise RuntimeError("called again")
+
+    prompts, folder = _prompts(spark, sf_dir), _scratch(spark, "answers")
+    cut_lineage(K.generate_durable(prompts, ["index"], K.dry_run_generator, folder, 20_000, {"temperature": 0.0}))
+    g = K.generate_durable(prompts, ["index"], no_model, folder, 20_000, {"temperature": 0.0})
+    return g.select("index", ST.response_body(F.col("text"))["body"].alias("body"))
+
+
 def _flaky_judge(pdf):
     """The stand-in judge; a call holding a second sample of judge_b on every seventh prompt raises."""
     if any(m == "judge_b" and s == 2 and K._digest(p) % 7 == 0 for p, m, s in zip(pdf["prompt"], pdf["model"], pdf["sample_idx"])):

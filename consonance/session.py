@@ -85,6 +85,13 @@ def by_group(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
 
 
+def spread_scan(df: DataFrame) -> DataFrame:
+    """A scan as it is; one of fewer splits than cores (a small file) is dealt out to them, for what each row costs
+    afterwards."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 _SHIPPED: set[str] = set()
 
 

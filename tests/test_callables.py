@@ -1,6 +1,7 @@
 """K5/K6: user-supplied batch callables plug into the operators (Arrow batches, no per-row UDF)."""
 
 import hashlib
+import os
 
 import numpy as np
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from consonance.functions import embed as EM
 from consonance.operators import entailment as G
+from consonance.operators import inference as K
 
 RESP = [(1, 0, "the cat sat on the mat"), (1, 1, "a cat sat"), (1, 2, "dogs bark loudly"), (2, 0, "one"), (2, 1, "one two")]
 
@@ -107,3 +109,55 @@ def test_one_bad_prompt_costs_only_itself(spark):
     assert out[3]["text"] is None and "bad prompt" in out[3]["error"] and all(out[i]["text"] and out[i]["error"] is None for i in out if i != 3)
     ok, failed = K.generate_with_retries(prompts, ["idx"], gen, F.col("text").contains("</response>"), passes=[{}] * 7)
     assert ok.count() == 9 and [r["idx"] for r in failed.collect()] == [3]
+
+
+def _counting(folder, kill_at=None):
+    """A generator that notes each prompt it is called with, and ends its worker at one of them, once."""
+    def call(pdf):
+        import os
+
+        for p in pdf["prompt"]:
+            if p == kill_at and not os.path.exists(f"{folder}/killed"):
+                open(f"{folder}/killed", "w").close()
+                os._exit(1)
+        with open(f"{folder}/calls", "a") as f:
+            f.write("".join(p + "\n" for p in pdf["prompt"]))
+        if (pdf["prompt"] == "prompt 13").any():
+            raise ValueError("no answer to this one")
+        return pd.DataFrame({"text": "answer to " + pdf["prompt"], "logprobs": [[-0.5]] * len(pdf)})
+
+    return call
+
+
+def test_a_killed_task_calls_each_answered_batch_once(spark, tmp_path):
+    from collections import Counter
+
+    prompts = spark.range(200).selectExpr("id", "concat('prompt ', id) AS prompt").repartition(3)
+    notes, folder = str(tmp_path), str(tmp_path / "answers")
+    run = lambda fn: K.generate_durable(prompts, ["id"], fn, folder, batch_tokens=30).collect()
+    call = _counting(notes, kill_at="prompt 77")
+    with pytest.raises(Exception):
+        run(call)   # local mode does not retry: the job is lost with the worker
+    before = Counter(open(f"{notes}/calls").read().split("\n")) if os.path.exists(f"{notes}/calls") else Counter()
+    rows = run(call)
+    calls = Counter(open(f"{notes}/calls").read().strip().split("\n"))
+    answered = {r.id: r.text for r in rows if r.error is None}
+    assert len(rows) == 200 and answered == {i: f"answer to prompt {i}" for i in range(200) if i != 13}
+    assert sum(n > 1 for p, n in calls.items() if p != "prompt 13" and before[p]) <= sum(before.values()) / 2
+    again = run(call)
+    later = Counter(open(f"{notes}/calls").read().strip().split("\n"))
+    # only the prompt without an answer is called by a run after a whole one
+    assert {p: n for p, n in (later - calls).items()}.keys() == {"prompt 13"} and len(again) == 200
+
+
+def test_retries_with_kept_answers(spark, tmp_path):
+    prompts = spark.range(40).selectExpr("id", "concat('<question>q', id, '</question>') AS prompt")
+    valid = F.col("text").contains("</response>")
+    folder = str(tmp_path / "answers")
+    ok, failed = K.generate_with_retries(prompts, ["id"], K.dry_run_generator, valid, folder=folder)
+
+    def no_model(pdf):
+        raise RuntimeError("called again")
+
+    again, _ = K.generate_with_retries(prompts, ["id"], no_model, valid, folder=folder)
+    assert ok.count() == again.count() == 40 and failed.count() == 0

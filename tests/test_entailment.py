@@ -69,11 +69,25 @@ def test_fold_matches_the_definition_on_random_graphs(spark):
         expect[g] = defined_ids(m)
     pairs = spark.createDataFrame(rows, "g int, i int, j int, p_contra double, p_neutral double, p_entail double")
     it = spark.createDataFrame(items, "g int, i int")
-    got = {}
-    for r in G.semantic_ids(pairs, it, ["g"]).collect():
-        got.setdefault(r["g"], {})[r["i"]] = r["cluster_id"]
-    for g, ids in expect.items():
-        assert [got[g][i] for i in range(len(ids))] == ids
+    for form in (G.semantic_ids, G.semantic_ids_rounds):
+        got = {}
+        for r in form(pairs, it, ["g"]).collect():
+            got.setdefault(r["g"], {})[r["i"]] = r["cluster_id"]
+        for g, ids in expect.items():
+            assert [got[g][i] for i in range(len(ids))] == ids
+
+
+def test_rounds_equal_the_fold_on_one_large_group(spark):
+    rng = np.random.default_rng(1)
+    n = 250
+    both = [("g", i, j, *((2, 1.0, 2, 1.0) if rng.random() < 0.02 else (0, 1.0, 0, 1.0))) for i in range(n) for j in range(i + 1, n)]
+    probs = lambda label: tuple(float(label == k) for k in range(3))
+    rows = [(g, i, j, *probs(a), *probs(b)) for g, i, j, a, _, b, _ in both]
+    pairs = spark.createDataFrame(rows, "g string, i int, j int, p_contra_ij double, p_neutral_ij double, p_entail_ij double, p_contra_ji double, p_neutral_ji double, p_entail_ji double")
+    items = spark.createDataFrame([("g", i) for i in range(n)] + [("alone", 3)], "g string, i int")
+    fold = {tuple(r) for r in G.semantic_ids(pairs, items, ["g"]).collect()}
+    assert {tuple(r) for r in G.semantic_ids_rounds(pairs, items, ["g"]).collect()} == fold and len(fold) == n + 1
+    assert G.semantic_ids_rounds(pairs, items.limit(0), ["g"]).count() == 0
 
 
 def test_mf_nli3_degree_and_selfcheck(spark):

@@ -113,3 +113,55 @@ def test_infinite_vectors_are_rejected(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [float("inf"), 1.0]), (3, [float("nan"), 1.0]), (4, [0.0, 0.0]), (5, None)], "k int, v array<double>")
     good, bad = V.normalize_rows(df, "v")
     assert [r["k"] for r in good.collect()] == [1] and sorted(r["k"] for r in bad.collect()) == [2, 3, 4, 5]
+
+
+def test_wide_form_equals_the_others(spark):
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    rows = [(g, (r.normal(size=40) + 2 * r.normal(size=1)).tolist()) for g, n in (("one", 1), ("few", 7), ("many", 333), (None, 60)) for _ in range(n)]
+    rows += [("copies", rows[20][1])] * 150
+    df = spark.createDataFrame(rows, "g string, v array<double>").repartition(5)
+    names = ["k", "dispersion", "eigenscore", "trace", "fro2", "mean_cos", "purity", "renyi2"]
+    want = {x["g"]: x for x in V.group_spectra(df, ["g"], "v").collect()}
+    for chunk in (None, 50, 16):
+        got = {x["g"]: x for x in V.group_spectra_wide(df, ["g"], "v", chunk_rows=chunk).collect()}
+        assert got.keys() == want.keys()
+        for g, x in got.items():
+            for n in names:
+                assert x[n] == (None if want[g][n] is None else pytest.approx(want[g][n], abs=1e-8, rel=1e-8)), (g, n)
+    assert V.group_spectra_wide(df.limit(0), ["g"], "v").count() == 0
+
+
+def test_model_width_in_tiles(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    base = r.normal(size=(2, 1536))
+    rows = [(g, (base[g] + 0.5 * r.normal(size=1536)).tolist()) for g in (0, 1) for _ in range(120)]
+    df = spark.createDataFrame(rows, "g int, v array<double>").repartition(4)
+    want = {x["g"]: x["dispersion"] for x in V.group_spectra(df, ["g"], "v").collect()}
+    got = {x["g"]: x["dispersion"] for x in V.group_spectra_wide(df, ["g"], "v", chunk_rows=60).collect()}
+    assert got == pytest.approx(want, abs=1e-8)
+
+
+@pytest.mark.parametrize("method", ["mean", "max"])
+def test_pooling_in_batches(spark, method, monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    rows = [(k, i, r.normal(size=6).tolist(), int(r.random() < 0.8)) for k, n in ((1, 700), (2, 3), (None, 5), (3, 1)) for i in range(n)]
+    rows += [(3, 9, None, 1)]
+    df = spark.createDataFrame(rows, "k long, pos int, v array<double>, mask int").repartition(7)
+    monkeypatch.setattr(V, "POOL_BYTES", 64)
+    got = {x["k"]: x["pooled"] for x in V.pool_tokens(df, ["k"], "pos", "v", "mask", method).collect()}
+    want = {}
+    for k in (1, 2, None, 3):
+        x = [v for kk, _, v, m in rows if kk == k and m and v is not None]
+        if x:
+            want[k] = (np.mean if method == "mean" else np.max)(x, axis=0)
+    assert got.keys() == want.keys()
+    for k in want:
+        assert got[k] == pytest.approx(want[k].tolist(), abs=1e-12)
+    plan = V.pool_tokens(df, ["k"], "pos", "v", "mask", method)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
