@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import by_group, cut_lineage
-from .graphs import eigenvector, pagerank
+from .graphs import eigenvector, eigenvector_exact, pagerank  # noqa: F401
 from .paths import path_centralities
 
 WORD_SPLIT = "[^\\p{L}\\p{N}]+"
@@ -141,7 +141,7 @@ def centralities(edges: DataFrame, nodes: DataFrame, group_cols: list[str], weig
     g = group_cols
     n = nodes.groupBy(*g).agg(F.count(F.lit(1)).alias("n_nodes"))
     out = nodes.select(*g, "node").join(path_centralities(edges, n, g, weight_col), [*g, "node"], "left")
-    out = out.join(eigenvector(edges, g, weight_col), [*g, "node"], "left")
+    out = out.join(eigenvector_exact(edges, g, weight_col), [*g, "node"], "left")
     out = out.join(pagerank(edges, nodes, g, weight_col=weight_col).withColumnRenamed("rank", "pagerank"), [*g, "node"], "left")
     return out.select(*g, "node", *[F.coalesce(m, F.lit(0.0)).alias(m) for m in ("betweenness", "eigenvector", "pagerank", "closeness")])
 

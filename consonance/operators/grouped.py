@@ -51,3 +51,37 @@ def per_group(fn, group_cols: list[str], names: list[str]):
         return pd.concat(outs, ignore_index=True)[names] if outs else pd.DataFrame({n: [] for n in names})
 
     return batch_fn
+
+
+def graph_stacks(edges: pd.DataFrame, group_cols: list[str], empty: float, combine, cells: int):
+    """The graphs of a frame of edges (group…, src, dst, w; groups complete) as stacks of symmetric n × n matrices, graphs of
+    equal size together, at most ``cells`` numbers in a stack: (matrices, group columns and ``node`` as a frame of graphs × n rows).
+
+    ``combine`` is a numpy function of parallel edges, ``empty`` the value where there are none; loops are left out.
+    """
+    keys = edges.groupby(group_cols, sort=False, dropna=False).ngroup().to_numpy()
+    order = np.argsort(keys, kind="stable")
+    edges, keys = edges.iloc[order], keys[order]
+    first = np.searchsorted(keys, np.arange(keys[-1] + 2))
+    src, dst, w = edges["src"].to_numpy(), edges["dst"].to_numpy(), edges["w"].to_numpy(np.float64)
+    graphs = []
+    for i in range(keys[-1] + 1):
+        part = slice(first[i], first[i + 1])
+        names, at = np.unique(np.concatenate([src[part], dst[part]]), return_inverse=True)
+        half = len(at) // 2
+        graphs.append((len(names), i, names, at[:half], at[half:], w[part]))
+    graphs.sort(key=lambda x: x[0])
+    at = 0
+    while at < len(graphs):
+        n, end = graphs[at][0], at + 1
+        while end < len(graphs) and graphs[end][0] == n and (end - at + 1) * n * n <= cells:
+            end += 1
+        stack = np.full((end - at, n, n), empty)
+        for k, (_, _, _, a, b, x) in enumerate(graphs[at:end]):
+            combine.at(stack[k], (a, b), x)
+            combine.at(stack[k], (b, a), x)
+        stack[:, np.arange(n), np.arange(n)] = empty
+        rows = edges[group_cols].iloc[np.repeat([first[i] for _, i, *_ in graphs[at:end]], n)].reset_index(drop=True)
+        rows["node"] = np.concatenate([names for _, _, names, *_ in graphs[at:end]])
+        yield stack, rows
+        at = end

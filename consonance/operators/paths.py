@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from ..session import cut_lineage
 from .graphs import both_ways, with_group_row
-from .grouped import map_sorted_groups
+from .grouped import graph_stacks, map_sorted_groups
 
 CELLS = 2_000_000     # of a stack of n × n matrices
 CLOSE = 1e-9          # lengths that differ by less, relatively, are equal
@@ -83,35 +83,11 @@ def _scores(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _kernel(g: list[str]):
     def batch_fn(edges: pd.DataFrame) -> pd.DataFrame:
-        keys = edges.groupby(g, sort=False, dropna=False).ngroup().to_numpy()
-        order = np.argsort(keys, kind="stable")
-        edges, keys = edges.iloc[order], keys[order]
-        first = np.searchsorted(keys, np.arange(keys[-1] + 2))
-        src, dst, w = edges["src"].to_numpy(), edges["dst"].to_numpy(), edges["w"].to_numpy(np.float64)
-        graphs = []
-        for i in range(keys[-1] + 1):
-            part = slice(first[i], first[i + 1])
-            names, at = np.unique(np.concatenate([src[part], dst[part]]), return_inverse=True)
-            half = len(at) // 2
-            graphs.append((len(names), i, names, at[:half], at[half:], w[part]))
-        graphs.sort(key=lambda x: x[0])
-        outs, at = [], 0
-        while at < len(graphs):  # graphs of one size at a time, as many as a stack may hold
-            n, end = graphs[at][0], at + 1
-            while end < len(graphs) and graphs[end][0] == n and (end - at + 1) * n * n <= CELLS:
-                end += 1
-            stack = np.full((end - at, n, n), np.inf)
-            for k, (_, _, _, a, b, x) in enumerate(graphs[at:end]):
-                np.minimum.at(stack[k], (a, b), x)
-                np.minimum.at(stack[k], (b, a), x)
-            stack[:, np.arange(n), np.arange(n)] = np.inf
+        outs = []
+        for stack, rows in graph_stacks(edges, g, np.inf, np.minimum, CELLS):
             between, reached, total = _scores(stack)
-            rows = np.repeat([first[i] for _, i, *_ in graphs[at:end]], n)
-            out = edges[g].iloc[rows].reset_index(drop=True)
-            out["node"] = np.concatenate([names for _, _, names, *_ in graphs[at:end]])
-            out["b"], out["r"], out["total"] = between.ravel(), reached.ravel(), total.ravel()
-            outs.append(out)
-            at = end
+            rows["b"], rows["r"], rows["total"] = between.ravel(), reached.ravel(), total.ravel()
+            outs.append(rows)
         return pd.concat(outs, ignore_index=True)
 
     return batch_fn

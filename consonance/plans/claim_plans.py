@@ -219,7 +219,7 @@ SELECT conv_id, node, round(x / sqrt(sum(x * x) OVER (PARTITION BY conv_id)), 5)
 def eigenvector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H6: the entries of the principal eigenvector of every conversation's claim graph."""
     _claims, edges, _nodes = H.claim_graph(_atoms(spark, sf_dir), FX.conv_responses(spark, sf_dir), CONV)
-    return H.eigenvector(edges, CONV, tol=1e-7).select("conv_id", "node", F.round("eigenvector", 5).alias("eigenvector"))
+    return H.eigenvector_exact(edges, CONV).select("conv_id", "node", F.round("eigenvector", 5).alias("eigenvector"))
 
 
 @register("h6_eigenvector_invariants", sql=f"""WITH {SQL_CONV_GRAPH}

@@ -3,6 +3,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from consonance.operators import claims as H
 from consonance.operators import paths as P
@@ -131,11 +132,32 @@ def test_eigenvector_is_the_limit_of_power_iteration(spark, weight):
     stars = [("c0", "r0", 1), ("c1", "r0", 1), ("c2", "r1", 1), ("c3", "r1", 1)]
     graphs = {**_random_graphs(2), "twins": (stars, ["c0", "c1", "c2", "c3", "r0", "r1"])}
     edges, _ = _graph(spark, graphs)
-    got = {(r["g"], r["node"]): r["eigenvector"] for r in H.eigenvector(edges, ["g"], weight).collect()}
-    for g, (es, vs) in graphs.items():
-        for v, x in _power_limit(es, vs, weight is not None).items():
-            assert got.get((g, v), 0.0) == pytest.approx(x, abs=1e-5), (g, v)
-    assert got[("twins", "r0")] == pytest.approx(got[("twins", "r1")])
+    for form in (H.eigenvector, H.eigenvector_exact):
+        got = {(r["g"], r["node"]): r["eigenvector"] for r in form(edges, ["g"], weight).collect()}
+        for g, (es, vs) in graphs.items():
+            for v, x in _power_limit(es, vs, weight is not None).items():
+                assert got.get((g, v), 0.0) == pytest.approx(x, abs=1e-5), (g, v)
+        assert got[("twins", "r0")] == pytest.approx(got[("twins", "r1")])
+
+
+def test_eigenvector_of_one_large_graph(spark):
+    """Tens of thousands of edges, a hub whose edges are salted: the vector is that of power iteration on the edges."""
+    r = np.random.default_rng(8)
+    n, m = 4000, 30_000
+    a, b = r.integers(0, n, m), r.integers(0, n, m)
+    hub = np.arange(1, 600)
+    pairs = np.unique(np.sort(np.stack([np.concatenate([a, np.zeros(len(hub), int)]), np.concatenate([b, hub])], 1)[:, :], axis=1), axis=0)
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    edges = spark.createDataFrame(pd.DataFrame({"g": "one", "src": pairs[:, 0], "dst": pairs[:, 1]}))
+    got = {x["node"]: x["eigenvector"] for x in H.eigenvector(edges, ["g"], hub_edges=200).collect()}
+    x = np.ones(n)
+    for _ in range(3000):
+        y = x + np.bincount(pairs[:, 0], x[pairs[:, 1]], n) + np.bincount(pairs[:, 1], x[pairs[:, 0]], n)
+        y /= np.linalg.norm(y)
+        if np.abs(y - x).max() < 1e-13:
+            break
+        x = y
+    assert max(abs(got.get(i, 0.0) - x[i]) for i in range(n)) < 1e-5
 
 
 def _brute_pagerank(edges, nodes, weighted, d=0.85, rounds=400):
