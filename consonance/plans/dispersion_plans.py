@@ -68,15 +68,16 @@ FROM p GROUP BY label
 def kernel_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """kernel moments that pin the dispersion spectrum (Σλ = trace, Σλ² = ‖Z‖²_F), by the form
     for groups of any size: labels grow with the table."""
-    return kernel_moments_gram(spark, sf_dir)
+    cols = ["trace", "fro2", "mean_cos", "purity", "renyi2"]
+    return _rounded(label_spectra(spark, sf_dir).select("label", "k", *cols), cols)
 
 
 @register("f7_kernel_moments_gram_path", sql=_F7_SQL)
 def kernel_moments_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """the same moments through the partial-Gram form."""
-    s = label_spectra(spark, sf_dir)
+    """the same moments through chunks of rows whose Grams are added up as tiles."""
+    good, _rejected = V.normalize_rows(table(spark, sf_dir, "embeddings"), "embedding")
     cols = ["trace", "fro2", "mean_cos", "purity", "renyi2"]
-    return _rounded(s.select("label", "k", *cols), cols)
+    return _rounded(V.group_spectra_wide(good, ["label"], "embedding", chunk_rows=32).select("label", "k", *cols), cols)
 
 
 def _wide(emb: DataFrame, times: int) -> DataFrame:

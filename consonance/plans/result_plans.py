@@ -77,26 +77,43 @@ def flatten_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return IO.flatten_export(_groups(spark, sf_dir), "entity")
 
 
-@register("a3_a11_metrics_store", sql=f"""WITH m AS ({_F7_SQL})
+_METRICS_SQL = f"""WITH m AS ({_F7_SQL})
 SELECT 'dispersion' AS metric, 'stand_in' AS model, 0 AS response_count, label, name, value FROM m
-UNPIVOT (value FOR name IN (trace, fro2, mean_cos, purity, renyi2))""")
-def metrics_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A3 + A11: long metrics table written twice as partitioned Parquet (dynamic partition
-    overwrite makes the rerun replace, not duplicate), then read back."""
+UNPIVOT (value FOR name IN (trace, fro2, mean_cos, purity, renyi2))"""
+
+
+def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .dispersion_plans import label_spectra
 
     s = label_spectra(spark, sf_dir)
     names = ["trace", "fro2", "mean_cos", "purity", "renyi2"]
-    long = s.select("label", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.round(n, 6).alias("value"))
+    return s.select("label", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.round(n, 6).alias("value"))
                                                  for n in names])).alias("m")).select(
         F.lit("dispersion").alias("metric"), F.lit("stand_in").alias("model"), F.lit(0).alias("response_count"),
         "label", "m.name", "m.value")
+
+
+@register("a3_a11_metrics_store", sql=_METRICS_SQL)
+def metrics_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3 + A11: long metrics table written twice as partitioned Parquet (dynamic partition
+    overwrite makes the rerun replace, not duplicate), then read back."""
+    long = _metrics(spark, sf_dir)
     path = _scratch(spark, "metrics")
     IO.write_metrics(long, path)
     IO.write_metrics(long, path)
     return spark.read.parquet(path).select("metric", "model", F.col("response_count").cast("int"), "label", "name", "value")
 
 
+@register("a11_atomic_replace", sql=_METRICS_SQL)
+def atomic_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole table replaced in one step; readers of the first version (half of the rows) keep it until then."""
+    long = _metrics(spark, sf_dir)
+    store = SnapshotTable(spark, _scratch(spark, "metrics-table"), ["metric", "model", "label"], buckets=4)
+    store.replace(long.filter(F.col("label") % 2 == 0))
+    store.replace(long)
+    return store.read()
+
+
 @register("a4_a21_prompt_csv_roundtrip", sql="""
 SELECT min(p_partkey) AS "index", arg_min(p_brand, p_partkey) AS idx_cat, p_name AS answer,
        'Write a few paragraphs on ''' || p_name || '''.' AS open_ended_question FROM part GROUP BY p_name""")
