@@ -11,11 +11,11 @@ bits of the content's XXH64, then a 9-byte footer, so a reader finds and decompr
 documents it is asked for. A standard zstandard reader can read the file from start to end.
 
 Files lie in the shared folder and are reached through ``pyarrow.fs`` (local, HDFS and object
-stores). A task writes under a name of its own attempt and renames the finished file, so a retried
-task replaces the file by an equal one.
+stores). A task writes a file named by its attempt, and the manifest names the files that count: a retried task
+writes another one, and what a lost attempt left is never read.
 
 Edge cases: null text is an empty document (its one id is the end id); null doc_ids come first; rows
-that repeat a doc_id are kept, ordered by text; an empty table gives no files and no rows; further
+that repeat a doc_id are kept (one with very many spans files; inside a file they are ordered by text); an empty table gives no files and no rows; further
 columns are ignored.
 """
 
@@ -134,16 +134,16 @@ def _writer(folder: str, tokenizer: str, end_id: int):
         part = task.partitionId()
         store, inner = _filesystem(folder)
         store.create_dir(inner, recursive=True)
-        name, own = f"{inner}/part-{part:06d}.zst", f"{inner}/.part-{part:06d}-{task.taskAttemptId()}"
-        with store.open_output_stream(own) as out:
+        # each attempt has a name of its own, so nothing is renamed or replaced; the manifest names the one that counts
+        name = f"part-{part:06d}-{task.taskAttemptId()}.zst"
+        with store.open_output_stream(f"{inner}/{name}") as out:
             w = StoreWriter(out)
             w.add(*first)
             for row in rows:
                 w.add(*row)
             w.close()
-        store.move(own, name)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([part], pa.int32()), pa.array([f"{folder}/part-{part:06d}.zst"]), pa.array([len(w.ids)]),
+            [pa.array([part], pa.int32()), pa.array([f"{folder}/{name}"]), pa.array([len(w.ids)]),
              pa.array([w.n_tokens]), pa.array([w.n_bytes])], ["part", "path", "n_docs", "n_tokens", "n_bytes"])
 
     return write
