@@ -136,7 +136,7 @@ def _writer(folder: str, tokenizer: str, end_id: int):
         store.create_dir(inner, recursive=True)
         # each attempt has a name of its own, so nothing is renamed or replaced; the manifest names the one that counts
         name = f"part-{part:06d}-{task.taskAttemptId()}.zst"
-        with store.open_output_stream(f"{inner}/{name}") as out:
+        with store.open_output_stream(f"{inner}/{name}", compression=None) as out:  # frames are packed one by one, not by the name's ending
             w = StoreWriter(out)
             w.add(*first)
             for row in rows:
