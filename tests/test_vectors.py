@@ -165,3 +165,24 @@ def test_pooling_in_batches(spark, method, monkeypatch):
         assert got[k] == pytest.approx(want[k].tolist(), abs=1e-12)
     plan = V.pool_tokens(df, ["k"], "pos", "v", "mask", method)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan
+
+
+def test_small_groups_leave_no_cells_and_no_tiles(spark, monkeypatch):
+    """A group whose Grams are whole in one task is finished there; only larger groups hand cells or tiles on."""
+    rng = np.random.default_rng(5)
+    rows = [(g, [float(v) for v in rng.normal(size=4)]) for g, k in (("a", 5), (None, 3), ("b", 1), ("big", 90)) for _ in range(k)]
+    df = spark.createDataFrame(rows, "g string, v array<double>")
+    handed = {}
+    for name in ("sum_cells", "_merged"):
+        def spy(partial, cols, *rest, name=name, fn=getattr(V, name)):
+            handed[name] = {x["g"] for x in partial.select("g").distinct().collect()}
+            return fn(partial, cols, *rest)
+        monkeypatch.setattr(V, name, spy)
+    want = {x["g"]: x for x in V.group_spectra(df, ["g"], "v").collect()}
+    for form in (V.group_spectra_gram(df, ["g"], "v"), V.group_spectra_wide(df, ["g"], "v", chunk_rows=2)):
+        got = {x["g"]: x for x in form.collect()}
+        assert got.keys() == want.keys()
+        for g, x in got.items():
+            for n in ("k", "dispersion", "eigenscore", "trace", "fro2", "mean_cos", "renyi2"):
+                assert (x[n] is None and want[g][n] is None) or abs(x[n] - want[g][n]) < 1e-8, (g, n)
+    assert handed == {"sum_cells": {"big"}, "_merged": {"big"}}
