@@ -495,12 +495,14 @@ def luq(statements: DataFrame, responses: DataFrame, group_cols: list[str], idx_
 
 
 def statement_entailment(statements: DataFrame, responses: DataFrame, group_cols: list[str], scorer, idx_col: str = "response_idx",
-                         text_col: str = "response") -> DataFrame:
+                         text_col: str = "response", features=None) -> DataFrame:
     """C12 + G2: ``(group…, i, statement_idx, j, p)``: each statement against every other response of
     its group, an equi-join on the group key. The pair table of a model scorer; its size is
-    statements × responses per group by definition."""
-    st = statements.select(*group_cols, F.col(idx_col).alias("i"), "statement_idx", "text")
-    r = responses.select(*group_cols, F.col(idx_col).alias("j"), F.col(text_col).alias("_rt"))
+    statements × responses per group by definition. ``features(text)``: what the scorer gets instead of the texts, made
+    once for each statement and response, not for each pair."""
+    features = features or (lambda text: text)
+    st = statements.select(*group_cols, F.col(idx_col).alias("i"), "statement_idx", features(F.col("text")).alias("text"))
+    r = responses.select(*group_cols, F.col(idx_col).alias("j"), features(F.col(text_col)).alias("_rt"))
     return st.join(r, group_cols).filter("i <> j").select(*group_cols, "i", "statement_idx", "j", scorer(F.col("text"), F.col("_rt")).alias("p"))
 
 

@@ -232,8 +232,7 @@ SELECT st.conv_id, st.response_idx AS i, st.statement_idx, r.j, round({sql_conta
 FROM st JOIN r ON st.conv_id = r.conv_id AND st.response_idx <> r.j""")
 def statement_entailment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C12 + G2: every statement against every other response of its conversation, by the pair scorer."""
-    score = lambda stmt, response: TX.containment(TX.tokens(stmt), F.array_distinct(TX.tokens(response)))
-    p = G.statement_entailment(FX.conv_statements(spark, sf_dir), _responses(spark, sf_dir), GRP, score)
+    p = G.statement_entailment(FX.conv_statements(spark, sf_dir), _responses(spark, sf_dir), GRP, TX.containment, features=TX.token_set)
     return p.select("conv_id", "i", "statement_idx", "j", *_r6("p"))
 
 

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from consonance.functions import text as TX
 from consonance.operators import entailment as G
 
 
@@ -171,3 +172,13 @@ def test_luq_of_paraphrased_statements(spark):
 def test_two_class_models_leave_the_rest_to_neutral(spark):
     r = spark.range(1).select(G.two_class_probs(F.lit(0.7), F.lit(0.2)).alias("p")).first()["p"]
     assert (r["p_contra"], r["p_entail"]) == (0.2, 0.7) and r["p_neutral"] == pytest.approx(0.1)
+
+
+def test_features_of_statements_and_responses_are_made_before_they_are_paired(spark):
+    st = spark.createDataFrame([("a", 0, 0, "Red car"), ("a", 1, 0, "")], "g string, response_idx int, statement_idx int, text string")
+    r = spark.createDataFrame([("a", 0, "red"), ("a", 1, "the red red car"), ("a", 2, None)], "g string, response_idx int, response string")
+    p = G.statement_entailment(st, r, ["g"], TX.containment, features=TX.token_set)
+    plan = p._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "split" not in plan.split("Join")[0]
+    score = lambda s, t: TX.containment(TX.tokens(s), F.array_distinct(TX.tokens(t)))
+    assert sorted(p.collect(), key=str) == sorted(G.statement_entailment(st, r, ["g"], score).collect(), key=str) and p.count() == 4
