@@ -76,7 +76,8 @@ def score(metric: str, responses: DataFrame, group_cols: list[str], response_cou
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}: one of {', '.join(METRICS)}")
     g = group_cols
-    r = prepared(responses, g, response_count, subset, seed)
+    # every metric reads the responses several times: choose and cut them once
+    r = cut_lineage(prepared(responses, g, response_count, subset, seed))
     if metric == "dispersion":
         good, _rejected = V.normalize_rows(embedded(r, g, embed, model_name), "vec")
         s = V.group_spectra(good, g, "vec")

@@ -68,3 +68,11 @@ def test_rejects_are_written_beside_the_data(spark, tmp_path):
     IO.write_with_rejects(df, F.length("t") > 0, "empty text", str(tmp_path / "out"))
     back = spark.read.json(str(tmp_path / "out"))
     assert {(r["k"], r["side"], r["reason"]) for r in back.select("k", "side", "reason").collect()} == {(1, "data", None), (2, "failed", "empty text"), (3, "failed", "empty text")}
+
+
+def test_responses_are_chosen_and_cut_once_per_metric(spark):
+    r = spark.createDataFrame([(1, i, f"one red car. number {i}") for i in range(4)], "conv_id long, response_idx int, response string")
+    for metric in SC.METRICS:
+        out = SC.score(metric, r, ["conv_id"], response_count=3, subset=2, seed=5)
+        assert "_salt#" not in out._jdf.queryExecution().optimizedPlan().toString(), metric
+        assert {tuple(x["subset_idx"]) for x in out.collect()} and out.filter("size(subset_idx) <> 2").isEmpty()
