@@ -1,7 +1,8 @@
 """Graph operators on edge tables ``(group…, src, dst[, weight])``: principal eigenvector (H6) and PageRank (H7).
 
-A table holds one graph per group. Graphs may have any size and any number: rounds are joins and
-aggregations keyed by (group, node), so one group that holds all rows is spread like many small ones, and
+A table holds one graph per group. Graphs may have any size and any number. Those of at most ``TASK_EDGES`` rows go
+through their rounds in a task, many at once as one graph without links between them. For larger ones rounds are joins and
+aggregations keyed by (group, node), so one group that holds all rows is spread like many, and
 nodes of very many edges are salted.
 """
 
@@ -14,12 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .grouped import graph_stacks, map_sorted_groups
+from .grouped import graph_stacks, large_groups, map_sorted_groups, numbered_graphs
 
 PAGERANK_D = 0.85
 MAX_ITER = 1000
 TOL = 1e-6
 STEPS_PER_JOB = 10
+TASK_EDGES = 100_000  # edges (and nodes) of a graph that goes through its rounds in one task
 HUB_EDGES = 100_000   # edges of one node that a task may hold
 SPREAD = 32           # parts of a group when one row per group is joined back to its nodes
 
@@ -151,42 +153,89 @@ KRYLOV = 10      # products with the adjacency matrix per restart
 RESTARTS = 200
 
 
-def _ritz(sums: pd.DataFrame, g: list[str], m: int) -> pd.DataFrame:
-    """Per group, from the products <p_i, p_j> of the basis p_0 … p_m: coefficients of the top Ritz vector of
+def _ritz_stack(gram: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per graph, from the products <p_i, p_j> of the basis p_0 … p_m (graph, m + 1, m + 1): coefficients of the top Ritz vector of
     p_0 … p_(m-1), its Ritz value, and the greater of two distances: from p_0, and a tenth of that of A x from its multiple of x.
 
     With A p_0 = s p_1 and A p_j = s (p_(j+1) + p_(j-1)) / 2 the products with A follow from those of the basis.
     """
-    out = []
-    for row in sums.itertuples(index=False):
-        r = row._asdict()
-        gram = np.zeros((m + 1, m + 1))
-        for i in range(m + 1):
-            for j in range(i, m + 1):
-                gram[i, j] = gram[j, i] = r[f"x{i}_{j}"]
-        scale, base = r["scale"], gram[:m, :m]
-        ahead, behind = gram[:m, 1:], np.concatenate([gram[:m, 1:2], gram[:m, : m - 1]], axis=1)
-        h = scale * (ahead + behind) / 2
-        lam, u = np.linalg.eigh(base)
-        keep = lam > 1e-12 * lam[-1]
-        q = u[:, keep] / np.sqrt(lam[keep])
-        theta, y = np.linalg.eigh(q.T @ (h + h.T) / 2 @ q)
-        c = q @ y[:, -1]
-        # A x in the basis; what it has besides theta x is the residual
-        ax = np.zeros(m + 1)
-        ax[1:] += scale * c / 2
-        ax[:m - 1] += scale * c[1:] / 2
-        ax[1] += scale * c[0] / 2
-        size = max(theta[-1], 1e-300)
-        residual = np.sqrt(max(0.0, ax @ gram @ ax / size**2 - 1))
-        c = c if c @ base[:, 0] >= 0 else -c
-        apart = np.sqrt(max(0.0, 1 - (c @ base[:, 0]) ** 2 / base[0, 0]))
-        out.append([*[r[k] for k in g], c.tolist(), float(max(theta[-1], 0.0)), float(max(apart, residual / 10))])
-    return pd.DataFrame(out, columns=[*g, "c", "theta", "apart"])
+    m = gram.shape[1] - 1
+    base = gram[:, :m, :m]
+    ahead, behind = gram[:, :m, 1:], np.concatenate([gram[:, :m, 1:2], gram[:, :m, : m - 1]], axis=2)
+    h = scale[:, None, None] * (ahead + behind) / 2
+    lam, u = np.linalg.eigh(base)
+    keep = lam > 1e-12 * lam[:, -1:]
+    q = np.where(keep, 1 / np.sqrt(np.where(keep, lam, 1)), 0)[:, None, :] * u
+    projected = q.transpose(0, 2, 1) @ (h + h.transpose(0, 2, 1)) @ q / 2
+    # what is not kept comes below all else
+    low = -1 - 2 * np.abs(projected).sum((1, 2))
+    projected[:, np.arange(m), np.arange(m)] += np.where(keep, 0, low[:, None])
+    theta, y = np.linalg.eigh(projected)
+    theta, c = theta[:, -1], np.einsum("gij,gj->gi", q, y[:, :, -1])
+    # A x in the basis; what it has besides theta x is the residual
+    half = scale[:, None] * c / 2
+    ax = np.zeros((len(c), m + 1))
+    ax[:, 1:] += half
+    ax[:, :m - 1] += half[:, 1:]
+    ax[:, 1] += half[:, 0]
+    size = np.maximum(theta, 1e-300)
+    residual = np.sqrt(np.maximum(0.0, np.einsum("gi,gij,gj->g", ax, gram, ax) / size**2 - 1))
+    along = np.einsum("gi,gi->g", c, base[:, :, 0])
+    c = np.where(along >= 0, 1, -1)[:, None] * c
+    apart = np.sqrt(np.maximum(0.0, 1 - along**2 / base[:, 0, 0]))
+    return c, np.maximum(theta, 0.0), np.maximum(apart, residual / 10)
+
+
+def _ritz(sums: pd.DataFrame, g: list[str], m: int) -> pd.DataFrame:
+    """``_ritz_stack`` of the sums x{i}_{j} (i ≤ j) of a frame with a row per group."""
+    gram = np.zeros((len(sums), m + 1, m + 1))
+    for i in range(m + 1):
+        for j in range(i, m + 1):
+            gram[:, i, j] = gram[:, j, i] = sums[f"x{i}_{j}"]
+    c, theta, apart = _ritz_stack(gram, sums["scale"].to_numpy(np.float64))
+    return sums[g].assign(c=list(c), theta=theta, apart=apart)
+
+
+def _restarts_in_task(g: list[str], tol: float, max_restarts: int):
+    """The restarts of ``eigenvector`` for the graphs of a frame of edges, each until its own vector stays; ``late``: it did not."""
+
+    def batch_fn(edges: pd.DataFrame) -> pd.DataFrame:
+        src, dst, w, first, nodes = numbered_graphs(edges, g)
+        sizes = np.diff(np.append(first, len(nodes)))
+        found, late = np.zeros(len(nodes)), np.zeros(len(nodes), bool)
+        at = np.arange(len(nodes))        # which nodes the rows of p are
+        p = np.repeat(1 / np.sqrt(sizes), sizes)
+        scale = np.maximum(np.maximum.reduceat(np.bincount(src, w, len(nodes)), first), 1e-300)
+        for done in range(max_restarts):
+            basis = np.empty((KRYLOV + 1, len(at)))
+            basis[0], each = p, np.repeat(scale, sizes)
+            for j in range(KRYLOV):
+                product = np.bincount(dst, w * basis[j][src], len(at)) / each
+                basis[j + 1] = product if j == 0 else 2 * product - basis[j - 1]
+            gram = np.empty((len(sizes), KRYLOV + 1, KRYLOV + 1))
+            for i in range(KRYLOV + 1):
+                gram[:, i, i:] = np.add.reduceat(basis[i] * basis[i:], first, axis=1).T
+                gram[:, i:, i] = gram[:, i, i:]
+            c, theta, apart = _ritz_stack(gram, scale)
+            p = sum(np.repeat(c[:, j], sizes) * basis[j] for j in range(KRYLOV))
+            scale = np.maximum(theta, 1e-300)
+            going = (apart >= tol) & (done + 1 < max_restarts)
+            stay = np.repeat(going, sizes)
+            found[at[~stay]], late[at[~stay]] = p[~stay], np.repeat(apart >= tol, sizes)[~stay]
+            if not going.any():
+                break
+            place = np.cumsum(stay) - 1
+            kept = stay[src]
+            src, dst, w, p, at = place[src[kept]], place[dst[kept]], w[kept], p[stay], at[stay]
+            sizes, scale = sizes[going], scale[going]
+            first = np.cumsum(sizes) - sizes
+        return nodes.assign(eigenvector=np.maximum(found, 0.0), late=late)
+
+    return batch_fn
 
 
 def eigenvector(edges: DataFrame, group_cols: list[str], weight_col: str | None = None, tol: float = TOL,
-                hub_edges: int = HUB_EDGES, max_restarts: int = RESTARTS) -> DataFrame:
+                hub_edges: int = HUB_EDGES, max_restarts: int = RESTARTS, task_edges: int = TASK_EDGES) -> DataFrame:
     """H6: ``(group…, node, eigenvector)`` of connected nodes: the projection of the uniform vector on the eigenspace of
     each graph's largest eigenvalue, of unit norm (the limit of shifted power iteration).
 
@@ -195,12 +244,27 @@ def eigenvector(edges: DataFrame, group_cols: list[str], weight_col: str | None
     columns per group (one row). The vectors stay in the span that A makes of the uniform vector, so components that
     share the largest eigenvalue keep their shares. Ends when no graph's vector turns by ``tol`` in a restart, and none is
     further than ten times ``tol`` from its own product (raises after ``max_restarts``): nearly equal largest eigenvalues take more
-    restarts. Graphs of any size; for many small ones ``eigenvector_exact`` takes one pass.
+    restarts. Graphs of any size: those of at most ``task_edges`` edges go through their restarts in a task, the others
+    by joins. ``eigenvector_exact`` is the form by an eigen-solver.
     """
     g = group_cols
+    w = F.lit(1.0) if weight_col is None else F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0))
+    rows = edges.select(*g, "src", "dst", w.alias("w")).dropna()
+    large = large_groups(rows.groupBy(*g).agg(F.count(F.lit(1)).alias("_n")), g, F.col("_n") <= task_edges)
+    schema = T.StructType([rows.schema[c] for c in g] + [T.StructField("node", rows.schema["src"].dataType),
+                          T.StructField("eigenvector", T.DoubleType()), T.StructField("late", T.BooleanType())])
+    small = rows if large is None else rows.join(large, g, "left_anti")
+    found = cut_lineage(map_sorted_groups(small, g, _restarts_in_task(g, tol, max_restarts), schema))
+    if not found.filter("late").isEmpty():
+        raise RuntimeError(f"eigenvector: not within {tol} after {max_restarts} restarts")
+    found = found.drop("late")
+    return found if large is None else found.unionByName(_eigenvector_by_joins(rows.join(large, g, "left_semi"), g, tol, hub_edges, max_restarts))
+
+
+def _eigenvector_by_joins(edges: DataFrame, g: list[str], tol: float, hub_edges: int, max_restarts: int) -> DataFrame:
     ends = edges.select(*g, F.col("src").alias("node")).union(edges.select(*g, F.col("dst").alias("node"))).distinct()
     nodes = cut_lineage(ends)
-    share = _shares(edges, nodes, g, weight_col, hub_edges, shared=False)
+    share = _shares(edges, nodes, g, "w", hub_edges, shared=False)
     # a first scale for each graph: no eigenvalue is above the largest sum of a node's weights
     bound = share.filter("own = 0").groupBy(*g, "src").agg(F.sum("w").alias("w")).groupBy(*g).agg(F.max("w").alias("scale"))
     sizes = nodes.groupBy(*g).agg((1 / F.sqrt(F.count(F.lit(1)))).alias("p0"))

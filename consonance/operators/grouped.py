@@ -12,10 +12,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
-from ..session import by_group
+from ..session import by_group, cut_lineage
 
 
 def map_sorted_groups(df: DataFrame, group_cols: list[str], batch_fn, schema: T.StructType) -> DataFrame:
@@ -42,6 +42,12 @@ def map_sorted_groups(df: DataFrame, group_cols: list[str], batch_fn, schema: T.
     return ordered.mapInPandas(run, schema=schema)
 
 
+def large_groups(sizes: DataFrame, group_cols: list[str], small: Column) -> DataFrame | None:
+    """The groups of ``sizes`` (a row per group) that are not ``small`` and so no task should hold; None if there are none."""
+    large = cut_lineage(sizes.filter(~small).select(*group_cols))
+    return None if large.isEmpty() else large
+
+
 def per_group(fn, group_cols: list[str], names: list[str]):
     """Adapt a one-group kernel ``fn(pdf) -> pdf`` to ``map_sorted_groups``."""
 
@@ -85,3 +91,18 @@ def graph_stacks(edges: pd.DataFrame, group_cols: list[str], empty: float, combi
         rows["node"] = np.concatenate([names for _, _, names, *_ in graphs[at:end]])
         yield stack, rows
         at = end
+
+
+def numbered_graphs(edges: pd.DataFrame, group_cols: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pd.DataFrame]:
+    """The graphs of a frame of edges (group…, src, dst, w; groups complete) as one graph without links between them: (src, dst
+    and w of every edge in both directions, the first node of each graph, group columns and ``node`` as a frame).
+    Nodes are numbered through, those of a graph together."""
+    group = edges.groupby(group_cols, sort=False, dropna=False).ngroup().to_numpy()
+    codes, labels = pd.factorize(pd.concat([edges["src"], edges["dst"]], ignore_index=True))
+    keys, at = np.unique(np.concatenate([group, group]) * len(labels) + codes, return_inverse=True)
+    of, first_row = keys // len(labels), np.unique(group, return_index=True)[1]
+    nodes = edges[group_cols].iloc[first_row[of]].reset_index(drop=True)
+    nodes["node"] = np.asarray(labels)[keys % len(labels)]
+    a, b, w = at[: len(edges)], at[len(edges):], edges["w"].to_numpy(np.float64)
+    first = np.searchsorted(of, np.arange(len(first_row)))
+    return np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([w, w]), first, nodes

@@ -161,6 +161,39 @@ def test_eigenvector_of_one_large_graph(spark):
     assert max(abs(got.get(i, 0.0) - x[i]) for i in range(n)) < 1e-5
 
 
+def test_eigenvectors_in_a_task_equal_those_by_joins(spark):
+    graphs = _random_graphs(12, 6)
+    large = [(f"c{i}", f"r{i // 2}", 1) for i in range(12)] + [(f"c{i}", f"r{(i * 5 + 3) % 6}", 2) for i in range(12)]
+    edges, _ = _graph(spark, {**graphs, "large": (large, sorted({v for a, b, _ in large for v in (a, b)}))})
+    odd = spark.createDataFrame([(None, "c0", "r0", 1.0), ("loop", "c0", "c0", 2.0), ("loop", "c0", "r0", 1.0), ("twice", "c0", "r0", 1.0), ("twice", "c0", "r0", 1.0)], edges.schema)
+    both = [{(r["g"], r["node"]): r["eigenvector"] for r in H.eigenvector(edges.unionByName(odd), ["g"], "w", task_edges=n).collect()} for n in (100_000, 8)]
+    assert both[0].keys() == both[1].keys() and None not in {g for g, _ in both[0]}
+    for k, x in both[0].items():
+        assert x == pytest.approx(both[1][k], abs=2e-5), k
+
+
+def _jobs(spark, group, run):
+    """The result of ``run`` and how many jobs it took."""
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_restarts_of_small_graphs_are_no_jobs(spark):
+    """A path of 60 nodes has nearly equal eigenvalues: it takes many restarts, and as many jobs as a graph of two nodes."""
+    path = [(f"n{i}", f"n{i + 1}", 1) for i in range(59)]
+    edges, _ = _graph(spark, {"path": (path, []), "pair": ([("a", "b", 1)], [])})
+    got, jobs = _jobs(spark, "eigen", lambda: {(r["g"], r["node"]): r["eigenvector"] for r in H.eigenvector(edges, ["g"]).collect()})
+    for v, x in _power_limit(path, [f"n{i}" for i in range(60)], False).items():
+        assert got["path", v] == pytest.approx(x, abs=1e-3)
+    assert got["pair", "a"] == pytest.approx(0.5**0.5) and jobs < 15
+    with pytest.raises(RuntimeError):
+        H.eigenvector(edges, ["g"], max_restarts=1)
+
+
 def _brute_pagerank(edges, nodes, weighted, d=0.85, rounds=400):
     pos, n = {v: i for i, v in enumerate(nodes)}, len(nodes)
     a = np.zeros((n, n))
