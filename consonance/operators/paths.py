@@ -8,7 +8,8 @@ Three forms, chosen by the caller:
   all graphs and sources at once. Its tables have a row per connected pair of nodes.
 * ``closeness_sketched`` and ``betweenness_sampled``: estimates with stated errors for graphs of any size:
   HyperLogLog counters passed along edges, and exact dependencies of a hashed sample of sources. Rows per
-  round are in proportion to the edges (and to the sample).
+  round are in proportion to the edges (and to the sample). Dependencies in graphs of few edges times sources are found in
+  tasks, by the rounds of the joins on arrays.
 
 Weights are lengths, greater than 0; of several edges between two nodes the shortest counts; loops are no
 paths. Both measures follow the usual normalisation for undirected graphs: betweenness by
@@ -26,10 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .graphs import both_ways, with_group_row
-from .grouped import graph_stacks, map_sorted_groups
+from .graphs import SPREAD, both_ways, with_group_row
+from .grouped import graph_stacks, large_groups, map_sorted_groups, numbered_graphs
 
-CELLS = 2_000_000     # of a stack of n × n matrices
+CELLS = 2_000_000     # of a stack of n × n matrices, of edges × sources
+TASK_CELLS = 50_000_000    # edges (both ways) × sources of a graph whose dependencies are found in one task
 CLOSE = 1e-9          # lengths that differ by less, relatively, are equal
 
 
@@ -93,10 +95,10 @@ def _kernel(g: list[str]):
     return batch_fn
 
 
-def _normalised(found: DataFrame, node_counts: DataFrame, g: list[str]) -> DataFrame:
+def _normalised(found: DataFrame, node_counts: DataFrame, g: list[str], spread: int = SPREAD) -> DataFrame:
     """``found``: (group…, node, b, r, total), joined to the number of nodes of its group."""
     n = F.col("n_nodes")
-    return with_group_row(found, node_counts.select(*g, "n_nodes"), g).select(
+    return with_group_row(found, node_counts.select(*g, "n_nodes"), g, spread).select(
         *g, "node", F.when(n > 2, F.coalesce("b", F.lit(0.0)) / ((n - 1) * (n - 2))).otherwise(0.0).alias("betweenness"),
         F.when((n > 1) & (F.col("total") > 0), (F.col("r") / F.col("total")) * (F.col("r") / (n - 1))).otherwise(0.0).alias("closeness"))
 
@@ -211,24 +213,149 @@ def sample_size(error: float, failure: float, n: int) -> int:
 
 
 def betweenness_sampled(edges: DataFrame, node_counts: DataFrame, group_cols: list[str], error: float = 0.05, failure: float = 0.01,
-                        weight_col: str | None = None, seed: int = 0) -> DataFrame:
+                        weight_col: str | None = None, seed: int = 0, task_cells: int = TASK_CELLS) -> DataFrame:
     """H5, estimated: ``(group…, node, betweenness)`` of the nodes that lie on a path from a sampled source.
 
     Per graph, ``sample_size`` of its connected nodes (all, if fewer; then the result is exact) with the least seeded hashes are
     sources, and dependencies on them are exact. The mean over sources, times the connected nodes over all nodes, estimates
     the betweenness within ``error`` of a node's value for all nodes of a graph with probability 1 - ``failure``.
+    Graphs of at most ``task_cells`` edges times sources are each in one task, the others go by joins.
     """
     from .prep import group_subset
 
     g = group_cols
-    adj = _adjacent(edges, g, weight_col)
-    nodes = adj.select(*g, F.col("u").alias("s")).distinct()
-    held = nodes.groupBy(*g).agg(F.count(F.lit(1)).alias("connected"))
-    largest = held.agg(F.max("connected")).first()[0] or 1
-    k = sample_size(error, failure, largest)
-    starts = group_subset(nodes, g, "s", k, seed)
+    e = both_ways(edges, g, weight_col).filter("src <> dst").dropna()
+    sizes = cut_lineage(e.groupBy(*g, "src").agg(F.count(F.lit(1)).alias("_n")).groupBy(*g).agg(
+        F.count(F.lit(1)).alias("connected"), F.sum("_n").alias("links")))
+    k = sample_size(error, failure, sizes.agg(F.max("connected")).first()[0] or 1)
+    large = large_groups(sizes, g, F.least("connected", F.lit(k)) * F.col("links") <= task_cells)
+    small = edges.select(*g, "src", "dst", (F.lit(1.0) if weight_col is None else F.col(weight_col).cast("double")).alias("w")).filter("src <> dst").dropna()
+    sampled = cut_lineage(sizes.filter(F.col("connected") > k).select(*g))
+    starts = None if sampled.isEmpty() else cut_lineage(group_subset(
+        e.join(sampled, g, "left_semi").select(*g, F.col("src").alias("s")).distinct(), g, "s", k, seed))
+    by_joins = None
+    if large is not None:
+        held, some = small.join(large, g, "left_semi"), sizes.join(large, g, "left_semi").select(*g, "connected")
+        small, adj = small.join(large, g, "left_anti"), _adjacent(held, g, "w")
+        every = adj.select(*g, F.col("u").alias("s")).distinct()
+        if starts is not None:
+            every = every.join(sampled, g, "left_anti").unionByName(starts.join(large, g, "left_semi"))
+            starts = starts.join(large, g, "left_anti")
+        by_joins = _sampled_by_joins(adj, every, g, some, k)
+    if starts is not None:      # as loops, which are no paths
+        small = small.unionByName(starts.select(*g, F.col("s").alias("src"), F.col("s").alias("dst"), F.lit(0.0).alias("w")))
+    schema = T.StructType([small.schema[c] for c in g] + [T.StructField("node", small.schema["src"].dataType), T.StructField("b", T.DoubleType())])
+    none = [F.lit(0).cast("long").alias("r"), F.lit(0.0).alias("total")]
+    found = map_sorted_groups(small, g, _dependency_sums(g, k), schema).select(*g, "node", "b", *none)
+    out = _normalised(found, node_counts, g, spread=1)
+    if by_joins is not None:
+        out = out.unionByName(_normalised(by_joins.select(*g, "node", "b", *none), node_counts, g))
+    return out.select(*g, "node", "betweenness")
+
+
+def _sampled_by_joins(adj: DataFrame, starts: DataFrame, g: list[str], held: DataFrame, k: int) -> DataFrame:
+    """(group…, node, b): sums of the dependencies on ``starts``, ``k`` per graph at most, scaled to all ``held`` connected nodes."""
     _, delta = dependencies(adj, starts, g)
     sums = delta.groupBy(*g, F.col("v").alias("node")).agg(F.sum("delta").alias("b"))
     scale: Column = F.greatest(F.col("connected") / F.lit(k), F.lit(1.0))
-    found = with_group_row(sums, held, g).select(*g, "node", (F.col("b") * scale).alias("b"), F.lit(0).alias("r"), F.lit(0.0).alias("total"))
-    return _normalised(found, node_counts, g).select(*g, "node", "betweenness")
+    return with_group_row(sums, held, g).select(*g, "node", (F.col("b") * scale).alias("b"))
+
+
+def _dependency_sums(g: list[str], k: int):
+    """Dependencies of every node on the sources of its graph, summed and scaled, for the graphs of a frame of edges. Loops name the
+    sources of their graph, ``k``; in a graph without loops every node is one. There are no dependencies between components, so
+    those of all graphs are worked on together."""
+
+    def batch_fn(edges: pd.DataFrame) -> pd.DataFrame:
+        src, dst, w, first, nodes = numbered_graphs(edges, g)
+        sizes = np.diff(np.append(first, len(nodes)))
+        source = np.zeros(len(nodes), bool)
+        source[src[src == dst]] = True
+        source |= np.repeat(~np.logical_or.reduceat(source, first), sizes)
+        nodes["scale"] = np.repeat(np.maximum(sizes / k, 1), sizes)
+        src, dst, w = src[src != dst], dst[src != dst], w[src != dst]
+        place, nodes = _by_component(src, dst, nodes.assign(source=source))
+        src, dst, source = place[src], place[dst], nodes["source"].to_numpy()
+        order = np.lexsort((w, src, dst))       # the shortest of parallel edges
+        src, dst, w = src[order], dst[order], w[order]
+        kept = np.append(True, (np.diff(src) != 0) | (np.diff(dst) != 0))
+        src, dst, w = src[kept], dst[kept], w[kept]
+        ends = np.append(np.flatnonzero(np.append(True, np.diff(nodes["part"].to_numpy()) != 0)), len(nodes))
+        links = np.searchsorted(dst, ends)      # edges by their component
+        held = np.add.reduceat(source.astype(np.int64), ends[:-1])
+        rank = np.cumsum(source) - 1            # the column in which a node is the source: its place among those of its component
+        rank = np.where(source, rank - np.repeat(np.cumsum(held) - held, np.diff(ends)), -1)
+        b, place = np.zeros(len(nodes)), np.zeros(len(nodes), np.int64)
+        for parts, columns in _parts(held, np.diff(links)):
+            own = np.concatenate([np.arange(links[i], links[i + 1]) for i in parts])
+            at = np.concatenate([np.arange(ends[i], ends[i + 1]) for i in parts])
+            place[at] = np.arange(len(at))
+            s, t, most = place[src[own]], place[dst[own]], int(held[parts].max())
+            for j in range(0, most, columns):
+                b[at] += _summed(s, t, w[own], rank[at] - j, min(columns, most - j))
+        on_paths = np.repeat(held, np.diff(ends)) - source > 0
+        return nodes.assign(b=b * nodes["scale"])[on_paths][[*g, "node", "b"]]
+
+    return batch_fn
+
+
+def _by_component(src: np.ndarray, dst: np.ndarray, nodes: pd.DataFrame) -> tuple[np.ndarray, pd.DataFrame]:
+    """(where each node goes, ``nodes`` in that order with the component as ``part``): the nodes of a component together.
+    The edges are in both directions."""
+    part = np.arange(len(nodes))
+    order = np.argsort(dst, kind="stable")
+    src, runs = src[order], np.searchsorted(dst[order], part)
+    while True:
+        least = np.minimum(part, np.minimum.reduceat(part[src], runs))
+        least = least[least]
+        if (least == part).all():
+            break
+        part = least
+    order = np.argsort(part, kind="stable")
+    place = np.empty(len(nodes), np.int64)
+    place[order] = np.arange(len(nodes))
+    return place, nodes.iloc[order].reset_index(drop=True).assign(part=part[order])
+
+
+def _parts(n: np.ndarray, links: np.ndarray):
+    """(components, sources at a time): those of like numbers of sources ``n`` together, about ``CELLS`` edges × sources at a time."""
+    order = np.argsort(n, kind="stable")
+    at = np.searchsorted(n[order], 1)       # those without a source are left out
+    while at < len(order):
+        end, total = at + 1, links[order[at]]
+        while end < len(order) and (total + links[order[end]]) * n[order[end]] <= CELLS:
+            total += links[order[end]]
+            end += 1
+        yield order[at:end], max(1, int(min(n[order[end - 1]], CELLS // total)))
+        at = end
+
+
+def _summed(s: np.ndarray, t: np.ndarray, w: np.ndarray, start: np.ndarray, sources: int) -> np.ndarray:
+    """Dependencies of each node, summed over the sources of ``sources`` columns: in column c those with ``start`` c, one in a component.
+
+    The edges s → t are in both directions and in the order of t, which every node is. The rounds are those of ``dependencies``.
+    """
+    runs = np.searchsorted(t, np.arange(len(start)))
+    source = start[:, None] == np.arange(sources)
+    d = np.where(source, 0.0, np.inf)
+    while True:
+        x = np.minimum.reduceat(d[s] + w[:, None], runs, axis=0)
+        better = x < d * (1 - CLOSE)
+        if not better.any():
+            break
+        d = np.where(better, x, d)
+    with np.errstate(invalid="ignore"):
+        into = np.abs(d[s] + w[:, None] - d[t]) <= CLOSE * d[t]      # s comes just before t
+        back = np.abs(d[t] + w[:, None] - d[s]) <= CLOSE * d[s]
+
+    def series(x: np.ndarray, along: np.ndarray) -> np.ndarray:
+        term, total = x, x.copy()
+        while term.any():
+            term = np.add.reduceat(np.where(along, term[s], 0.0), runs, axis=0)
+            total += term
+        return total
+
+    sigma = series(source.astype(float), into)
+    reached = sigma > 0
+    behind = series(np.where(reached, 1 / np.where(reached, sigma, 1), 0), back)
+    return np.where(reached & ~source, sigma * behind - 1, 0).sum(1)

@@ -105,6 +105,43 @@ def test_sampled_betweenness_is_within_its_error(spark):
         assert exact.get(v, 0.0) == pytest.approx(want[v], abs=1e-9)
 
 
+@pytest.mark.parametrize("weight", [None, "w"])
+def test_sampled_betweenness_in_a_task_equals_brute_force(spark, monkeypatch, weight):
+    graphs = {**_random_graphs(6), "odd": ([("c0", "r0", 1), ("c0", "r0", 4), ("r0", "c1", 1), ("c0", "c1", 2), ("c1", "c1", 1), ("c0", "r1", 5), ("c1", "r1", 3)], ["c0", "c1", "r0", "r1", "r2"])}
+    edges, nodes = _graph(spark, graphs)
+    edges = edges.union(spark.createDataFrame([(None, "c0", "r0", 1.0), (None, "c1", "r0", 1.0)], edges.schema))
+    counts = nodes.groupBy("g").count().withColumnRenamed("count", "n_nodes")
+    frame = edges.filter("g IS NOT NULL").toPandas() if weight else edges.filter("g IS NOT NULL").toPandas().assign(w=1.0)
+    whole = P._dependency_sums(["g"], 1000)(frame[frame.src != frame.dst])
+    monkeypatch.setattr(P, "CELLS", 20)      # graphs one by one, few sources at a time
+    cut = P._dependency_sums(["g"], 1000)(frame[frame.src != frame.dst])
+    assert (whole[["g", "node"]] == cut[["g", "node"]]).all(axis=None) and np.allclose(whole["b"], cut["b"], atol=1e-12)
+    got = {(r["g"], r["node"]): r["betweenness"] for r in P.betweenness_sampled(edges, counts, ["g"], weight_col=weight).collect()}
+    mixed = {(r["g"], r["node"]): r["betweenness"] for r in P.betweenness_sampled(edges, counts, ["g"], weight_col=weight, task_cells=40).collect()}
+    assert got.keys() == mixed.keys() and None not in {g for g, _ in got}
+    for g, (es, vs) in graphs.items():
+        bet, _ = _brute_paths(es, vs, weight is not None)
+        for v in vs:
+            assert got.get((g, v), 0.0) == pytest.approx(bet[v], abs=1e-9) and mixed.get((g, v), 0.0) == pytest.approx(bet[v], abs=1e-9), (g, v)
+
+
+def test_sampled_sources_in_a_task_are_those_of_the_joins(spark):
+    edges, _, counts = _one_large_graph(spark, 60, 75)
+    apart = spark.createDataFrame([("one", f"x{i}", f"x{i + 1}", 1.0) for i in range(0, 12, 2)], edges.schema)
+    both = [{r["node"]: r["betweenness"] for r in P.betweenness_sampled(edges.unionByName(apart), counts, ["g"], 0.4, 0.9, task_cells=n).collect()} for n in (10**6, 0)]
+    assert P.sample_size(0.4, 0.9, 72) < 30 and both[0].keys() == both[1].keys()
+    for v, x in both[0].items():
+        assert x == pytest.approx(both[1][v], abs=1e-12)
+
+
+def test_dependencies_of_small_graphs_write_no_rounds(spark):
+    """A long path takes as many jobs as a short one: no round is written."""
+    edges, nodes = _graph(spark, {"path": ([(f"n{i:02}", f"n{i + 1:02}", 1) for i in range(39)], [f"n{i:02}" for i in range(40)])})
+    counts = nodes.groupBy("g").count().withColumnRenamed("count", "n_nodes")
+    got, jobs = _jobs(spark, "between", lambda: {r["node"]: r["betweenness"] for r in P.betweenness_sampled(edges, counts, ["g"]).collect()})
+    assert jobs < 20 and all(got[f"n{i:02}"] == pytest.approx(2 * i * (39 - i) / (39 * 38)) for i in range(40))
+
+
 def test_stacks_are_cut_to_their_bound(spark, monkeypatch):
     r = np.random.default_rng(0)
     w = np.where(r.random((30, 6, 6)) < 0.4, r.integers(1, 4, (30, 6, 6)), np.inf)
