@@ -13,6 +13,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import by_group, cut_lineage
@@ -38,7 +39,9 @@ def map_sorted_groups(df: DataFrame, group_cols: list[str], batch_fn, schema: T.
         if carry is not None and len(carry):
             yield batch_fn(carry)
 
-    ordered = by_group(df, group_cols).sortWithinPartitions(*group_cols)
+    # by a hash of the group: where rows come from joins or unions by the group, Spark leaves a repartition by the group itself out,
+    # and may then read their parts in other tasks
+    ordered = by_group(df, [F.xxhash64(*group_cols)]).sortWithinPartitions(*group_cols)
     return ordered.mapInPandas(run, schema=schema)
 
 
