@@ -71,7 +71,8 @@ def _step(share: DataFrame, state: DataFrame, g: list[str], value: str, kept: li
 
 
 def pagerank(edges: DataFrame, nodes: DataFrame, group_cols: list[str], d: float = PAGERANK_D, tol: float = TOL,
-             max_iter: int = MAX_ITER, weight_col: str | None = None, iterations: int | None = None, hub_edges: int = HUB_EDGES) -> DataFrame:
+             max_iter: int = MAX_ITER, weight_col: str | None = None, iterations: int | None = None, hub_edges: int = HUB_EDGES,
+             task_edges: int = TASK_EDGES) -> DataFrame:
     """H7: ``(group…, node, rank)``, for graphs of any size.
 
     ``edges``: ``group…, src, dst[, weight]`` (undirected); ``nodes``: ``group…, node`` (every node, once). Uniform
@@ -81,14 +82,39 @@ def pagerank(edges: DataFrame, nodes: DataFrame, group_cols: list[str], d: float
 
     With A handing each node's value to its neighbours (dangling nodes hand on nothing), ranks are in
     proportion to y = 1 + d A y: what teleport and dangling mass add is the same for every node, so no round
-    needs a group's sum, and one division at the end makes ranks of y.
+    needs a group's sum, and one division at the end makes ranks of y. Graphs of at most ``task_edges`` nodes and edges go
+    through all rounds in a task, the others by joins; all groups get as many rounds as the slowest needs.
     """
     g = group_cols
-    share = _shares(edges, nodes, g, weight_col, hub_edges)
-    start = nodes.select(*g, "node").join(
-        share.filter("own = 1").select(*g, F.col("src").alias("node"), "salts"), [*g, "node"])
     if iterations is not None:
-        return _ranks_after(share, start, g, d, iterations)
+        share = _shares(edges, nodes, g, weight_col, hub_edges)
+        return _ranks_after(share, _started(share, nodes, g), g, d, iterations)
+    w = F.lit(1.0) if weight_col is None else F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0))
+    own = nodes.select(*g, "node").dropna()
+    # a loop of weight 0 stands for a node: isolated ones come along
+    rows = edges.select(*g, "src", "dst", w.alias("w")).dropna().unionByName(
+        own.select(*g, F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0.0).alias("w")))
+    large = large_groups(rows.groupBy(*g).agg(F.count(F.lit(1)).alias("_n")), g, F.col("_n") <= task_edges)
+    small = rows if large is None else rows.join(large, g, "left_anti")
+    needed = map_sorted_groups(small, g, _rounds_needed(g, d, tol, max_iter), T.StructType([T.StructField("rounds", T.LongType())]))
+    done, state = needed.agg(F.max("rounds")).first()[0] or 0, None
+    if large is not None and done <= max_iter:
+        held = cut_lineage(own.join(large, g, "left_semi").distinct())
+        share = _shares(edges.join(large, g, "left_semi"), held, g, weight_col, hub_edges)
+        state, done = _ranked_by_joins(share, _started(share, held, g), g, d, tol, done, max_iter)
+    if done > max_iter:
+        raise RuntimeError(f"pagerank: not within {tol} per node after {max_iter} rounds")
+    schema = T.StructType([rows.schema[c] for c in g] + [T.StructField("node", rows.schema["src"].dataType), T.StructField("rank", T.DoubleType())])
+    found = map_sorted_groups(small, g, _ranks_in_task(g, d, done), schema)
+    return found if state is None else found.unionByName(state)
+
+
+def _started(share: DataFrame, nodes: DataFrame, g: list[str]) -> DataFrame:
+    return nodes.select(*g, "node").join(share.filter("own = 1").select(*g, F.col("src").alias("node"), "salts"), [*g, "node"])
+
+
+def _ranked_by_joins(share: DataFrame, start: DataFrame, g: list[str], d: float, tol: float, least: int, max_iter: int) -> tuple[DataFrame, int]:
+    """(ranks, rounds) of the graphs of ``share`` after ``least`` rounds or as many more as they need; rounds beyond ``max_iter``: not reached."""
     state, done = cut_lineage(start.withColumn("y", F.lit(1.0))), 0
     while done < max_iter:
         for _ in range(min(STEPS_PER_JOB, max_iter - done)):
@@ -96,12 +122,57 @@ def pagerank(edges: DataFrame, nodes: DataFrame, group_cols: list[str], d: float
             done += 1
         state = cut_lineage(state)
         moved = state.groupBy(*g).agg(F.sum(F.abs(F.col("y") - F.col("before"))).alias("e"), F.sum("y").alias("total"), F.count(F.lit(1)).alias("n"))
-        if moved.filter(F.col("e") >= F.col("total") * F.col("n") * tol).isEmpty():
+        if done >= least and moved.filter(F.col("e") >= F.col("total") * F.col("n") * tol).isEmpty():
             break
     else:
-        raise RuntimeError(f"pagerank: not within {tol} per node after {max_iter} rounds")
+        done = max_iter + 1
     total = state.groupBy(*g).agg(F.sum("y").alias("total"))
-    return with_group_row(state, total, g).select(*g, "node", (F.col("y") / F.col("total")).alias("rank"))
+    return with_group_row(state, total, g).select(*g, "node", (F.col("y") / F.col("total")).alias("rank")), done
+
+
+class _Spread:
+    """The graphs of a frame of rows (group…, src, dst, w) with y = 1 + d A y of all of them."""
+
+    def __init__(self, rows: pd.DataFrame, g: list[str], d: float):
+        self.src, self.dst, w, self.first, self.nodes = numbered_graphs(rows, g)
+        total = np.bincount(self.src, w, len(self.nodes))
+        self.w, self.y = d * w / np.where(total > 0, total, 1)[self.src], np.ones(len(self.nodes))
+
+    def step(self) -> np.ndarray:
+        """The values before a round."""
+        before, self.y = self.y, 1 + np.bincount(self.dst, self.w * self.y[self.src], len(self.y))
+        return before
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(x, self.first)
+
+
+def _rounds_needed(g: list[str], d: float, tol: float, max_iter: int):
+    def batch_fn(rows: pd.DataFrame) -> pd.DataFrame:
+        at, done = _Spread(rows, g, d), 0
+        n = at.sums(np.ones(len(at.y)))
+        while done < max_iter:
+            for _ in range(min(STEPS_PER_JOB, max_iter - done)):
+                before = at.step()
+                done += 1
+            if (at.sums(np.abs(at.y - before)) < at.sums(at.y) * n * tol).all():
+                break
+        else:
+            done = max_iter + 1
+        return pd.DataFrame({"rounds": [done]})
+
+    return batch_fn
+
+
+def _ranks_in_task(g: list[str], d: float, rounds: int):
+    def batch_fn(rows: pd.DataFrame) -> pd.DataFrame:
+        at = _Spread(rows, g, d)
+        for _ in range(rounds):
+            at.step()
+        at.nodes["rank"] = at.y / np.repeat(at.sums(at.y), np.diff(np.append(at.first, len(at.y))))
+        return at.nodes
+
+    return batch_fn
 
 
 def _ranks_after(share: DataFrame, start: DataFrame, g: list[str], d: float, k: int) -> DataFrame:

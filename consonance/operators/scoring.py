@@ -7,6 +7,8 @@ response index or claim index for a value of one of its members.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,29 +75,43 @@ def score(metric: str, responses: DataFrame, group_cols: list[str], response_cou
           seed: int = 0, embed=EM.hashed_embedding, model_name: str = "", scorer=None, atoms: DataFrame | None = None) -> DataFrame:
     """A metric by name; unknown names raise. Result: ``group…, metric, name, item, value`` and
     ``subset_idx``, the response indices that were scored."""
-    if metric not in METRICS:
-        raise ValueError(f"unknown metric {metric!r}: one of {', '.join(METRICS)}")
+    return scores([metric], responses, group_cols, response_count, subset, seed, embed, model_name, scorer, atoms)
+
+
+def scores(metrics: Sequence[str], responses: DataFrame, group_cols: list[str], response_count: int | None = None, subset: int | None = None,
+           seed: int = 0, embed=EM.hashed_embedding, model_name: str = "", scorer=None, atoms: DataFrame | None = None) -> DataFrame:
+    """The rows of ``score`` for several metrics, over responses that are chosen and cut once for all of them."""
+    for metric in metrics:
+        if metric not in METRICS:
+            raise ValueError(f"unknown metric {metric!r}: one of {', '.join(METRICS)}")
     g = group_cols
     # every metric reads the responses several times: choose and cut them once
     r = cut_lineage(prepared(responses, g, response_count, subset, seed))
+    out = None
+    for metric in metrics:
+        part = _values(metric, r, responses, g, subset, embed, model_name, scorer, atoms)
+        out = part if out is None else out.unionByName(part)
+    chosen = r.groupBy(*g).agg(F.array_sort(F.collect_list(F.col("response_idx").cast("int"))).alias("subset_idx"))
+    return out.join(chosen, g, "left")
+
+
+def _values(metric: str, r: DataFrame, responses: DataFrame, g: list[str], subset: int | None, embed, model_name: str, scorer, atoms: DataFrame | None) -> DataFrame:
+    """``group…, metric, name, item, value`` of the prepared responses ``r``."""
     if metric == "dispersion":
         good, _rejected = V.normalize_rows(embedded(r, g, embed, model_name), "vec")
         s = V.group_spectra(good, g, "vec")
-        out = _long(s, g, metric, {n: F.col(n) for n in ("dispersion", "dispersion_norm", "eigenscore")})
-    elif metric == "luq":
+        return _long(s, g, metric, {n: F.col(n) for n in ("dispersion", "dispersion_norm", "eigenscore")})
+    if metric == "luq":
         conf, unc = G.luq(ST.split_statements(r, [*g, "response_idx"]), r, g, scorer=scorer)
-        out = _long(unc, g, metric, {"uncertainty": F.col("uncertainty")}).unionByName(
+        return _long(unc, g, metric, {"uncertainty": F.col("uncertainty")}).unionByName(
             _long(conf, g, metric, {"confidence": F.col("confidence")}, F.col("response_idx")))
-    elif metric == "entailment":
-        out = entailment_tables(r, g, scorer or G.default_scorer)["metrics"]
-    else:
-        own = atoms if atoms is not None else ST.split_statements(r, [*g, "response_idx"]).withColumnRenamed("statement_idx", "atom_idx")
-        if subset is not None and atoms is not None:
-            own = own.join(r.select(*g, "response_idx"), [*g, "response_idx"], "left_semi")
-        m = H.graph_uncertainty(own, responses if atoms is not None else r, g)
-        out = _long(m, g, metric, {n: F.col(n) for n in ("degree", "betweenness", "eigenvector", "pagerank", "closeness")}, F.col("node_id"))
-    chosen = r.groupBy(*g).agg(F.array_sort(F.collect_list(F.col("response_idx").cast("int"))).alias("subset_idx"))
-    return out.join(chosen, g, "left")
+    if metric == "entailment":
+        return entailment_tables(r, g, scorer or G.default_scorer)["metrics"]
+    own = atoms if atoms is not None else ST.split_statements(r, [*g, "response_idx"]).withColumnRenamed("statement_idx", "atom_idx")
+    if subset is not None and atoms is not None:
+        own = own.join(r.select(*g, "response_idx"), [*g, "response_idx"], "left_semi")
+    m = H.graph_uncertainty(own, responses if atoms is not None else r, g)
+    return _long(m, g, metric, {n: F.col(n) for n in ("degree", "betweenness", "eigenvector", "pagerank", "closeness")}, F.col("node_id"))
 
 
 def score_missing(groups: DataFrame, group_cols: list[str], scorer, store: SnapshotTable, flush_groups: int) -> int:

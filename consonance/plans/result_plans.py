@@ -433,11 +433,7 @@ def metric_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All four metrics by name, from texts cut to 50 words, in the long metrics form."""
     r = FX.conv_responses(spark, sf_dir).select(
         *FX.RESP, "response", F.concat(F.lit("conversation "), F.col("conv_id").cast("string")).alias("entity"))
-    out = None
-    for metric in SC.METRICS:
-        part = SC.score(metric, r, ["conv_id"], response_count=50, subset=4, seed=5)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return SC.scores(SC.METRICS, r, ["conv_id"], response_count=50, subset=4, seed=5)
 
 
 @register("e5_a13_scored_group_roundtrip", sql=f"""WITH {SQL_STATEMENTS_CTE},

@@ -268,6 +268,25 @@ def test_pagerank_rounds_from_the_uniform_vector(spark, weight, rounds):
             assert got[(g, v)] == pytest.approx(x, abs=1e-12)
 
 
+@pytest.mark.parametrize("weight", [None, "w"])
+def test_ranks_in_a_task_equal_those_by_joins(spark, weight):
+    graphs = {**_random_graphs(9, 6), "alone": ([("c0", "r0", 1)], ["c0", "r0", "c1", "c2"]), "large": ([(f"c{i}", f"r{i % 3}", 1) for i in range(12)], [f"c{i}" for i in range(12)] + ["r0", "r1", "r2"])}
+    edges, nodes = _graph(spark, graphs)
+    nodes = nodes.union(spark.createDataFrame([(None, "c0"), ("void", "c0")], nodes.schema))
+    both = [{(r["g"], r["node"]): r["rank"] for r in H.pagerank(edges, nodes, ["g"], weight_col=weight, task_edges=n).collect()} for n in (100_000, 25)]
+    assert both[0].keys() == both[1].keys() and len(both[0]) == nodes.count() - 1 and both[0]["void", "c0"] == 1
+    for k, x in both[0].items():
+        assert x == pytest.approx(both[1][k], abs=1e-14), k
+    twice = {(r["g"], r["node"]): r["rank"] for r in H.pagerank(edges, nodes.union(nodes), ["g"], weight_col=weight).collect()}
+    assert twice == pytest.approx(both[0])
+
+
+def test_rounds_of_small_graphs_are_no_jobs(spark):
+    edges, nodes = _graph(spark, _random_graphs(3))
+    got, jobs = _jobs(spark, "ranks", lambda: H.pagerank(edges, nodes, ["g"], tol=1e-12).collect())
+    assert len(got) == nodes.count() and jobs < 12
+
+
 def test_pagerank_of_one_group_of_all_rows(spark):
     """A hub of most edges: its edges are dealt to salts, no exchange of a round is keyed by the group alone, and each
     partition gets its part of the hub's edges."""

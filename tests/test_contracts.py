@@ -76,3 +76,14 @@ def test_responses_are_chosen_and_cut_once_per_metric(spark):
         out = SC.score(metric, r, ["conv_id"], response_count=3, subset=2, seed=5)
         assert "_salt#" not in out._jdf.queryExecution().optimizedPlan().toString(), metric
         assert {tuple(x["subset_idx"]) for x in out.collect()} and out.filter("size(subset_idx) <> 2").isEmpty()
+
+
+def test_metrics_of_one_call_share_their_responses(spark, monkeypatch):
+    calls, whole = [], SC.prepared
+    monkeypatch.setattr(SC, "prepared", lambda *a, **k: calls.append(a) or whole(*a, **k))
+    r = spark.createDataFrame([(i, f"one two. three {i}. four") for i in range(4)], "response_idx int, response string").selectExpr("7 AS conv_id", "*")
+    options = {"response_count": 3, "subset": 2, "seed": 5}
+    both = SC.scores(("luq", "graph_uncertainty"), r, ["conv_id"], **options)
+    assert len(calls) == 1
+    apart = SC.score("luq", r, ["conv_id"], **options).unionByName(SC.score("graph_uncertainty", r, ["conv_id"], **options))
+    assert sorted(map(str, both.collect())) == sorted(map(str, apart.collect()))
